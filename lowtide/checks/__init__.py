@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from lowtide.checks import (  # noqa: F401  (importing registers the queries)
-    # documents,
-    # functions,
+    documents,
+    functions,
     indicators,
-    # joins,
+    joins,
     # merges,
     # quality,
     # reports,
     screens,
     # sources,
     # streams,
-    # universe,
+    universe,
 )
 from lowtide.checks.base import REGISTRY
 

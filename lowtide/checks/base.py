@@ -138,7 +138,7 @@ CTES = {
                TIMESTAMP '2001-11-05 00:00:00'
                  - to_days(CAST(floor(abs(balance) / 25) AS INTEGER)) AS last_updated,
                kind AS data_source, balance >= 500 AS is_active,
-               round(balance / 8 - 50, 2) AS pe_ratio, round(balance / 4000, 2) AS debt_to_equity,
+               round(balance / 9 - 50, 2) AS pe_ratio, round(balance / 4000, 2) AS debt_to_equity,
                round(balance / 5000, 2) AS current_ratio,
                CASE WHEN balance < 7000 THEN round(balance / 50 + 1, 2) END AS xml_52w_low,
                round(balance / 10 + 5, 2) AS xml_52w_high

@@ -19,8 +19,8 @@ def clean_number(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """NULL for blank text and for a NaN that was read as text."""
-    return F.when((F.trim(text) != "") & (text != "NaN"), text)
+    """NULL for blank text and for a bare NaN that was read as text (with or without quotes)."""
+    return F.when(~F.trim(text).isin("", "NaN", '"NaN"'), text)
 
 
 def clean_double(value: Column) -> Column:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 PRICE_SCALE = 10_000
 YEAR_ROWS = 252
+DAY_BITS = 17
+DAY_SPAN = 1 << DAY_BITS  # days from 1790 to 2149
 
 
 def _by_day():
@@ -60,7 +62,8 @@ def feature_panel(
     (ticker, price_date), prices not NULL except possibly high and low.  Other columns
     are carried along.  Select the features you need: Catalyst drops the unused frames.
     """
-    tick = lambda c: F.round(F.col(c) * price_scale).cast("bigint")
+    # floor(x + 0.5) stays in double arithmetic; round() would go through BigDecimal
+    tick = lambda c: F.floor(F.col(c) * price_scale + 0.5)
     step = isqrt(year_rows)
     short = _by_day().rowsBetween(-(step - 1), 0)
 
@@ -73,8 +76,8 @@ def feature_panel(
         }
     )
 
-    # the extreme low keeps its day; the earlier day wins a tie
-    dated_low = F.when(F.col("_l").isNotNull(), F.struct("_l", "price_date"))
+    # low and day in one integer: its minimum is the lowest low at its earliest day
+    dated_low = F.col("_l") * DAY_SPAN + (F.unix_date("price_date") + DAY_SPAN // 2)
     basics = ticks.withColumns(
         {
             "n_bars": F.row_number().over(_by_day()).cast("bigint"),
@@ -127,12 +130,15 @@ def feature_panel(
     sum200 = F.when(n >= 200, F.col("_c200")).otherwise(close * 200)
     both = F.col("_gain") + F.col("_loss")
 
+    low_day = F.pmod(F.col("_low"), F.lit(DAY_SPAN)) - DAY_SPAN // 2
+    low_tick = F.shiftright(F.col("_low"), DAY_BITS)
+
     features = {
         "price": F.col("close"),
-        "low_52w": F.col("_low")["_l"] / F.lit(float(price_scale)),
+        "low_52w": low_tick / F.lit(float(price_scale)),
         "high_52w": F.col("_high") / F.lit(float(price_scale)),
-        "low_date": F.col("_low")["price_date"],
-        "days_since_low": F.datediff("price_date", F.col("_low")["price_date"]).cast("bigint"),
+        "low_date": F.date_from_unix_date(low_day.cast("int")),
+        "days_since_low": (F.unix_date("price_date") - low_day).cast("bigint"),
         "avg_volume_30d": F.col("_v30") / rvol_count,
         "rvol": F.when(F.col("_v30") > 0, F.col("_v") * rvol_count / F.col("_v30")).otherwise(0.0),
         "avg_volume_20d": F.when(n >= 20, F.col("_v20") / F.lit(20.0)).otherwise(

@@ -3,34 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # --- fixed values: column names and types -----------------------------------------------
 
-TICKERS = T.StructType.fromDDL(
+TICKERS = (
     "ticker string, market string, status string, status_message string, last_updated timestamp_ntz"
 )
 
-PRICES_DAILY = T.StructType.fromDDL(
+PRICES_DAILY = (
     "ticker string, price_date date, open double, high double, low double, close double, "
     "volume bigint, source string"
 )
 
-RAW_QUOTES = T.StructType.fromDDL(
+RAW_QUOTES = (
     "ticker string, market_data string, last_price double, volume bigint, last_updated timestamp_ntz"
 )
 
-CURRENT_MARKET_DATA = T.StructType.fromDDL(
+CURRENT_MARKET_DATA = (
     "ticker string, last_price double, close_price double, open_price double, high_price double, "
     "low_price double, volume bigint, last_updated timestamp_ntz"
 )
 
-RAW_COMPANY_XML = T.StructType.fromDDL(
+RAW_COMPANY_XML = (
     "ticker string, xml_snapshot string, xml_ratios string, contract_details string, "
     "last_updated timestamp_ntz"
 )
 
-STOCK_FUNDAMENTALS = T.StructType.fromDDL(
+STOCK_FUNDAMENTALS = (
     """
     ticker string, company_name string,
     rep_no string, org_perm_id string, isin string, ric string,
@@ -64,29 +63,29 @@ STOCK_FUNDAMENTALS = T.StructType.fromDDL(
     """
 )
 
-DIRECTORY = T.StructType.fromDDL(
+DIRECTORY = (
     "ticker string, company_name string, summary string, currency string, sector string, "
     "industry_group string, industry string, exchange string, market string, country string, "
     "state string, city string, zipcode string, website string, market_cap_category string, "
     "isin string, cusip string, figi string, composite_figi string, shareclass_figi string"
 )
 
-FUNDAMENTALS_CACHE = T.StructType.fromDDL(
+FUNDAMENTALS_CACHE = (
     "ticker string, symbol string, exchange string, market_cap_usd bigint, sector string, "
     "industry string, currency string, country string, last_updated timestamp_ntz, "
     "data_source string, is_active boolean, metadata string"
 )
 
-CACHE_ENTRIES = T.StructType.fromDDL(
+CACHE_ENTRIES = (
     "cache_key string, data string, timestamp timestamp_ntz, data_type string"
 )
 
-CATCHES = T.StructType.fromDDL(
+CATCHES = (
     "timestamp timestamp_ntz, ticker string, price double, volume bigint, usd_mcap double, "
     "pct_from_low double, reason string"
 )
 
-CLEANUP_LOG = T.StructType.fromDDL(
+CLEANUP_LOG = (
     "exchange string, total_processed bigint, valid_count bigint, invalid_count bigint, "
     "cleaned_at timestamp_ntz, notes string"
 )
@@ -105,6 +104,11 @@ TABLES = {
     "cleanup_log": CLEANUP_LOG,
 }
 
+
+def column_names(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(",")]
+
+
 # --- table lifecycle ----------------------------------------------------------------------
 
 

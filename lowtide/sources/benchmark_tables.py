@@ -39,6 +39,10 @@ def _at(values: list, position: Column) -> Column:
     return lookup({i: v for i, v in enumerate(values) if v is not None}, position.cast("int"))
 
 
+def _cents(amount: str) -> Column:
+    return F.floor(F.col(amount) * 100 + 0.5)
+
+
 def _exchange(key: Column) -> Column:
     return _at([row[0] for row in dims.EXCHANGES], key % len(dims.EXCHANGES))
 
@@ -55,7 +59,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select(
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("price_date"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("tick"),
+        _cents("l_extendedprice").alias("tick"),
         "l_quantity",
         "l_orderkey",
         "l_linenumber",
@@ -87,7 +91,7 @@ def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "lineitem").select(
             "l_returnflag",
             F.col("l_shipdate").cast("date").alias("price_date"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("tick"),
+            _cents("l_extendedprice").alias("tick"),
             "l_quantity",
             "l_orderkey",
             "l_linenumber",
@@ -179,7 +183,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
             _last_updated().alias("last_updated"),
             F.col("kind").alias("data_source"),
             (balance >= 500).alias("is_active"),
-            F.round(balance / 8 - 50, 2).alias("pe_ratio"),
+            F.round(balance / 9 - 50, 2).alias("pe_ratio"),
             F.round(balance / 4000, 2).alias("debt_to_equity"),
             F.round(balance / 5000, 2).alias("current_ratio"),
             F.when(balance < 7000, F.round(balance / 50 + 1, 2)).alias("xml_52w_low"),
@@ -219,7 +223,7 @@ def _events(events: DataFrame) -> DataFrame:
         "ts",
         "props",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+        _cents("value").alias("cents"),
         _ticker("C", F.col("user_id")).alias("ticker"),
     )
 

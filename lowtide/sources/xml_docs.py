@@ -136,129 +136,141 @@ def parse_snapshots(raw: DataFrame, doc: str = "xml_snapshot") -> DataFrame:
     return parsed.withColumn("_ok", present[0] | present[1] | present[2] | present[3])
 
 
-def _columns() -> dict[str, Column]:
-    ids = F.col("_x.CoIDs.CoID")
+def _intermediates() -> dict[str, Column]:
+    """Parts of a document that several columns read, each evaluated once per document."""
     issues = F.col("_x.Issues.Issue")
-    issue_ids = F.flatten(F.transform(issues, lambda i: F.coalesce(i["IssueID"], F.array())))
-    exchange = _first(
-        F.flatten(F.filter(F.transform(issues, lambda i: i["Exchange"]), lambda e: e.isNotNull()))
-    )
-    split = _first(
-        F.flatten(
-            F.filter(F.transform(issues, lambda i: i["MostRecentSplit"]), lambda e: e.isNotNull())
-        )
-    )
-    info = "_x.CoGeneralInfo."
-    shares = _first(F.col(info + "SharesOut"))
-    rate = _first(F.col(info + "MostRecentExchange"))
-    texts = F.col("_x.TextInfo.Text")
-    lines = F.col("_x.contactInfo.streetAddress")
-    phones = F.col("_x.contactInfo.phone.phone")
-    main_phone = _first(_typed(phones, "_type", "mainphone"))
-    any_phone = _first(phones)
-    industries = F.col("_x.peerInfo.IndustryInfo.Industry")
-    officers = F.transform(
-        F.coalesce(F.col("_x.officers.officer"), F.array()),
-        lambda o: F.struct(
-            F.trim(
-                F.concat(
-                    F.coalesce(o["firstName"], F.lit("")),
-                    F.lit(" "),
-                    F.coalesce(o["lastName"], F.lit("")),
-                )
-            ).alias("n"),
-            F.coalesce(o["title"]["_VALUE"], F.lit("")).alias("t"),
-        ),
-    )
-    ratios = F.flatten(
-        F.transform(F.col("_x.Ratios.Group"), lambda g: F.coalesce(g["Ratio"], F.array()))
-    )
-    forecasts = F.col("_x.ForecastData.Ratio")
-
-    def industry(kind: str, first_order: bool) -> Column:
-        matching = _typed(industries, "_type", kind)
-        if first_order:
-            matching = F.filter(matching, lambda x: x["_order"] == "1")
-        return _last(matching)
-
-    def forecast(code: str) -> Column:
-        node = _by_code(forecasts, code)
-        current = _first(_typed(node["Value"], "_PeriodType", "CURR"))
-        return clean_forecast(
-            clean_number(F.when(current.isNotNull(), current["_VALUE"]).otherwise(node["Mean"]))
-        )
 
-    phone = F.when(
-        main_phone.isNotNull(),
-        F.trim(
-            F.concat(
-                F.lit("+"),
-                F.coalesce(_text(any_phone["countryPhoneCode"]), F.lit("")),
-                F.lit(" "),
-                F.coalesce(_text(any_phone["city-areacode"]), F.lit("")),
-                F.lit(" "),
-                F.coalesce(_text(any_phone["number"]), F.lit("")),
-            )
+    def first_issue_part(name: str) -> Column:
+        given = F.filter(F.transform(issues, lambda i: i[name]), lambda part: part.isNotNull())
+        return _first(F.flatten(given))
+
+    return {
+        "_ids": _trimmed(F.col("_x.CoIDs.CoID")),
+        "_issue_ids": _trimmed(
+            F.flatten(F.transform(issues, lambda i: F.coalesce(i["IssueID"], F.array())))
         ),
-    )
-    address = F.array_join(
-        F.filter(
-            F.array(*[_text(_first(_typed(lines, "_line", str(i)))["_VALUE"]) for i in (1, 2, 3)]),
-            lambda line: line.isNotNull(),
+        "_exchange": first_issue_part("Exchange"),
+        "_split": first_issue_part("MostRecentSplit"),
+        "_shares": _first(F.col("_x.CoGeneralInfo.SharesOut")),
+        "_rate": _first(F.col("_x.CoGeneralInfo.MostRecentExchange")),
+        "_main_phone": _first(_typed(F.col("_x.contactInfo.phone.phone"), "_type", "mainphone")),
+        "_any_phone": _first(F.col("_x.contactInfo.phone.phone")),
+        "_trbc": _last(_industries("TRBC")),
+        "_naics": _last(F.filter(_industries("NAICS"), lambda x: x["_order"] == "1")),
+        "_sic": _last(F.filter(_industries("SIC"), lambda x: x["_order"] == "1")),
+        "_officers": F.transform(
+            F.coalesce(F.col("_x.officers.officer"), F.array()),
+            lambda o: F.struct(
+                F.trim(
+                    F.concat(
+                        F.coalesce(o["firstName"], F.lit("")),
+                        F.lit(" "),
+                        F.coalesce(o["lastName"], F.lit("")),
+                    )
+                ).alias("n"),
+                F.coalesce(o["title"]["_VALUE"], F.lit("")).alias("t"),
+            ),
+        ),
+        "_ratios": F.transform(
+            F.flatten(
+                F.transform(F.col("_x.Ratios.Group"), lambda g: F.coalesce(g["Ratio"], F.array()))
+            ),
+            lambda r: F.struct(
+                r["_FieldName"].alias("_FieldName"),
+                r["_VALUE"].alias("_VALUE"),
+                clean_number(r["_VALUE"]).alias("number"),
+            ),
+        ),
+        "_forecasts": F.transform(
+            F.col("_x.ForecastData.Ratio"),
+            lambda r: F.struct(
+                r["_FieldName"].alias("_FieldName"),
+                clean_forecast(clean_number(_forecast_text(r))).alias("number"),
+            ),
         ),
-        ", ",
+    }
+
+
+def _trimmed(items: Column) -> Column:
+    return F.transform(
+        items, lambda x: F.struct(x["_Type"].alias("_Type"), _text(x["_VALUE"]).alias("_VALUE"))
     )
+
+
+def _industries(kind: str) -> Column:
+    return _typed(F.col("_x.peerInfo.IndustryInfo.Industry"), "_type", kind)
+
+
+def _forecast_text(ratio: Column) -> Column:
+    """The current value if there is such a node (even a blank one), else the mean."""
+    current = _first(_typed(ratio["Value"], "_PeriodType", "CURR"))
+    return F.when(current.isNotNull(), current["_VALUE"]).otherwise(ratio["Mean"])
+
+
+def _columns() -> dict[str, Column]:
+    """All fundamentals columns, from the parsed document and the intermediates."""
+    part = F.col
+    info = "_x.CoGeneralInfo."
+    named = lambda items, kind: _first(_typed(part(items), "_Type", kind))["_VALUE"]
+    plain = lambda path: _text(_first(part(path))["_VALUE"])
+    phone = F.concat_ws(
+        " ",
+        F.concat(F.lit("+"), F.coalesce(_text(part("_any_phone.countryPhoneCode")), F.lit(""))),
+        F.coalesce(_text(part("_any_phone.city-areacode")), F.lit("")),
+        F.coalesce(_text(part("_any_phone.number")), F.lit("")),
+    )
+    lines = [
+        _text(_first(_typed(part("_x.contactInfo.streetAddress"), "_line", str(i)))["_VALUE"])
+        for i in (1, 2, 3)
+    ]
     out: dict[str, Column] = {
-        "company_name": _text(_first(_typed(ids, "_Type", "CompanyName"))["_VALUE"]),
-        "rep_no": _text(_first(_typed(ids, "_Type", "RepNo"))["_VALUE"]),
-        "org_perm_id": _text(_first(_typed(ids, "_Type", "OrganizationPermID"))["_VALUE"]),
-        "isin": _text(_first(_typed(issue_ids, "_Type", "ISIN"))["_VALUE"]),
-        "ric": _text(_first(_typed(issue_ids, "_Type", "RIC"))["_VALUE"]),
-        "exchange_code": exchange["_Code"],
-        "exchange_country": exchange["_Country"],
-        "most_recent_split_date": _day(split["_Date"]),
-        "most_recent_split_factor": clean_number(split["_VALUE"]),
-        "co_status": _text(_first(F.col(info + "CoStatus"))["_VALUE"]),
-        "co_type": _text(_first(F.col(info + "CoType"))["_VALUE"]),
-        "latest_annual_date": _day(_first(F.col(info + "LatestAvailableAnnual"))),
-        "latest_interim_date": _day(_first(F.col(info + "LatestAvailableInterim"))),
-        "employees": clean_number(_first(F.col(info + "Employees"))["_VALUE"]).cast("int"),
-        "shares_out": clean_number(shares["_VALUE"]),
-        "shares_out_date": _day(shares["_Date"]),
-        "total_float": clean_number(shares["_TotalFloat"]),
-        "reporting_currency": _first(F.col(info + "ReportingCurrency"))["_Code"],
-        "most_recent_exch_date": _day(rate["_Date"]),
-        "most_recent_exch_val": clean_number(rate["_VALUE"]),
-        "industry_trbc": industry("TRBC", False)["_VALUE"],
-        "industry_trbc_code": industry("TRBC", False)["_code"],
-        "industry_naics": industry("NAICS", True)["_VALUE"],
-        "industry_naics_code": industry("NAICS", True)["_code"],
-        "industry_sic": industry("SIC", True)["_VALUE"],
-        "industry_sic_code": industry("SIC", True)["_code"],
-        "address": _text(address),
-        "city": _text(_first(F.col("_x.contactInfo.city"))),
-        "postal_code": _text(_first(F.col("_x.contactInfo.postalCode"))),
-        "country_code": _first(F.col("_x.contactInfo.country"))["_code"],
-        "phone": phone,
-        "website": _text(_first(F.col("_x.webLinks.webSite"))["_VALUE"]),
-        "email": _text(_first(F.col("_x.webLinks.eMail"))["_VALUE"]),
-        "business_summary": _last(_typed(texts, "_Type", "Business Summary"))["_VALUE"],
-        "financial_summary": _last(_typed(texts, "_Type", "Financial Summary"))["_VALUE"],
-        "officers_json": F.to_json(officers),
+        "company_name": named("_ids", "CompanyName"),
+        "rep_no": named("_ids", "RepNo"),
+        "org_perm_id": named("_ids", "OrganizationPermID"),
+        "isin": named("_issue_ids", "ISIN"),
+        "ric": named("_issue_ids", "RIC"),
+        "exchange_code": part("_exchange._Code"),
+        "exchange_country": part("_exchange._Country"),
+        "most_recent_split_date": _day(part("_split._Date")),
+        "most_recent_split_factor": clean_number(part("_split._VALUE")),
+        "co_status": plain(info + "CoStatus"),
+        "co_type": plain(info + "CoType"),
+        "latest_annual_date": _day(_first(part(info + "LatestAvailableAnnual"))),
+        "latest_interim_date": _day(_first(part(info + "LatestAvailableInterim"))),
+        "employees": clean_number(plain(info + "Employees")).cast("int"),
+        "shares_out": clean_number(part("_shares._VALUE")),
+        "shares_out_date": _day(part("_shares._Date")),
+        "total_float": clean_number(part("_shares._TotalFloat")),
+        "reporting_currency": _first(part(info + "ReportingCurrency"))["_Code"],
+        "most_recent_exch_date": _day(part("_rate._Date")),
+        "most_recent_exch_val": clean_number(part("_rate._VALUE")),
+        "address": _text(F.concat_ws(", ", *lines)),
+        "city": _text(_first(part("_x.contactInfo.city"))),
+        "postal_code": _text(_first(part("_x.contactInfo.postalCode"))),
+        "country_code": _first(part("_x.contactInfo.country"))["_code"],
+        "phone": F.when(part("_main_phone").isNotNull(), F.trim(phone)),
+        "website": plain("_x.webLinks.webSite"),
+        "email": plain("_x.webLinks.eMail"),
+        "business_summary": _last(_typed(part("_x.TextInfo.Text"), "_Type", "Business Summary"))["_VALUE"],
+        "financial_summary": _last(_typed(part("_x.TextInfo.Text"), "_Type", "Financial Summary"))["_VALUE"],
+        "officers_json": F.to_json("_officers"),
         "price_currency": F.coalesce(
-            _text(F.col("_x.Ratios._PriceCurrency")),
-            lookup(dims.CURRENCY_BY_EXCHANGE, symbols.exchange_of(F.col("ticker"))),
+            _text(part("_x.Ratios._PriceCurrency")),
+            lookup(dims.CURRENCY_BY_EXCHANGE, symbols.exchange_of(part("ticker"))),
         ),
     }
+    for kind in ("trbc", "naics", "sic"):
+        out[f"industry_{kind}"] = part(f"_{kind}._VALUE")
+        out[f"industry_{kind}_code"] = part(f"_{kind}._code")
     for i in range(1, 6):
-        officer = F.try_element_at(officers, F.lit(i))
+        officer = F.get("_officers", i - 1)
         out[f"officer_{i}_name"] = officer["n"]
         out[f"officer_{i}_title"] = officer["t"]
     for code, column in RATIO_CODES.items():
-        text = _by_code(ratios, code)["_VALUE"]
-        out[column] = _day(text) if code == "PDATE" else clean_number(text)
+        ratio = _by_code(part("_ratios"), code)
+        out[column] = _day(ratio["_VALUE"]) if code == "PDATE" else ratio["number"]
     for code, column in FORECAST_CODES.items():
-        out[column] = forecast(code)
+        out[column] = _by_code(part("_forecasts"), code)["number"]
     return out
 
 
@@ -272,11 +284,11 @@ def flatten_snapshots(raw: DataFrame, suffix: str | None = None) -> tuple[DataFr
     parsed = parse_snapshots(scope)
     values = _columns()
     wanted = [
-        (values[f.name] if f.name in values else F.col(f.name)).alias(f.name)
-        for f in schemas.STOCK_FUNDAMENTALS
-        if f.name not in ("ticker", "last_fundamental_update")
+        values[name].alias(name)
+        for name in schemas.column_names(schemas.STOCK_FUNDAMENTALS)
+        if name not in ("ticker", "last_fundamental_update")
     ]
-    good = parsed.filter("_ok").select(
+    good = parsed.filter("_ok").withColumns(_intermediates()).select(
         "ticker", *wanted, F.col("last_updated").alias("last_fundamental_update")
     )
     bad = parsed.filter(~F.col("_ok")).select("ticker", "xml_snapshot", "last_updated")
