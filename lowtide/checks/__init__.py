@@ -7,12 +7,12 @@ from lowtide.checks import (  # noqa: F401  (importing registers the queries)
     functions,
     indicators,
     joins,
-    # merges,
-    # quality,
-    # reports,
+    merges,
+    quality,
+    reports,
     screens,
-    # sources,
-    # streams,
+    sources,
+    streams,
     universe,
 )
 from lowtide.checks.base import REGISTRY

@@ -16,10 +16,10 @@ def parameterised_query(spark: SparkSession, sql: str, params: dict | None = Non
     return spark.sql(sql, args=params or {})
 
 
-def ticker_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Curated ticker lists, one JSON document per exchange -> (exchange, ticker, position)."""
+def ticker_lists(spark: SparkSession, path: str, one_document_per_file: bool = True) -> DataFrame:
+    """Curated ticker lists, JSON documents with an array -> (exchange, ticker, position)."""
     schema = "exchange string, index_name string, source_date string, tickers array<string>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", one_document_per_file).json(path)
     return docs.select("exchange", "index_name", F.posexplode("tickers").alias("position", "ticker"))
 
 

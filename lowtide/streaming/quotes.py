@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lowtide.criteria import Criteria
+from lowtide.functions.times import utc_instant, utc_wall_clock
 from lowtide.operators.bars import bar_aggregates
 from lowtide.operators.merge import guarded_upsert
 from lowtide.operators.screen import screen
@@ -103,7 +104,10 @@ def latest_quotes_state(quotes: DataFrame, order: list[str]) -> DataFrame:
 
 def within_lateness(quotes: DataFrame, time: str = "last_updated", lateness: str = "1 hour") -> DataFrame:
     """Declare how late an event may arrive; later ones are dropped by stateful operators and
-    counted in the query's progress (``numRowsDroppedByWatermark``)."""
+    counted in the query's progress (``numRowsDroppedByWatermark``).  Watermarks need
+    instants, so wall-clock times are converted."""
+    if dict(quotes.dtypes)[time] == "timestamp_ntz":
+        quotes = quotes.withColumn(time, utc_instant(F.col(time)))
     return quotes.withWatermark(time, lateness)
 
 
@@ -111,7 +115,8 @@ def without_duplicates(
     quotes: DataFrame, keys: list[str], time: str = "last_updated", lateness: str = "1 hour"
 ) -> DataFrame:
     """Drop repeats that arrive within the lateness; state is forgotten after it."""
-    return within_lateness(quotes, time, lateness).dropDuplicatesWithinWatermark(keys)
+    unique = within_lateness(quotes, time, lateness).dropDuplicatesWithinWatermark(keys)
+    return unique.withColumn(time, utc_wall_clock(F.col(time)))
 
 
 def silent_periods(
@@ -123,7 +128,10 @@ def silent_periods(
         "ticker", F.session_window(time, gap).alias("s")
     )
     return active.agg(F.count("*").alias("quotes"), F.max(time).alias("last_quote")).select(
-        "ticker", "quotes", "last_quote", F.col("s.end").alias("stale_since")
+        "ticker",
+        "quotes",
+        utc_wall_clock(F.col("last_quote")).alias("last_quote"),
+        utc_wall_clock(F.col("s.end")).alias("stale_since"),
     )
 
 
@@ -141,7 +149,7 @@ def daily_bars(
         *bar_aggregates(price, F.coalesce(volume, F.lit(0)), order)
     )
     return bars.select(
-        "ticker", F.col("w.start").cast("date").alias("price_date"),
+        "ticker", utc_wall_clock(F.col("w.start")).cast("date").alias("price_date"),
         "open", "high", "low", "close", "volume",
     )
 
