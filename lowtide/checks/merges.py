@@ -11,7 +11,7 @@ from lowtide.operators.universe import validity
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs
 from lowtide.sources.benchmark_tables import EVENTS_TIME, LAST_DAY, UNIVERSE_TIME
-from lowtide.streaming.quotes import run_folder
+from lowtide.session import run_folder
 
 NOW = "TIMESTAMP '2001-11-05 00:00:00'"
 TTL = {"view": 24, "click": 72, "error": 240, "purchase": 480}

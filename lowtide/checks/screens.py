@@ -552,3 +552,39 @@ def reused_decisions(spark, sf):
         tables.EVENTS_TIME,
         ttl_hours=72,
     )
+
+
+@query(
+    "daily_scan",
+    "C-22 C-23 C-18 C-19 J-10",
+    sql(
+        "panel tickers directory fundamentals",
+        """SELECT p.ticker AS symbol, p.price, p.volume, round(p.rvol, 6) AS rvol, 'stored' AS source
+           FROM (SELECT * FROM panel
+                 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY price_date DESC) = 1) p
+           JOIN tickers t ON t.ticker = p.ticker
+           LEFT JOIN fundamentals f ON f.ticker = p.ticker
+           WHERE p.n_bars > 250
+             AND t.market IN ('NSE', 'ASX', 'SGX', 'SEHK', 'LSE', 'JSE', 'TADAWUL', 'IDX', 'SET')
+             AND (status = 'ACTIVE' OR status IS NULL
+                  OR t.last_updated < TIMESTAMP '2001-11-05 00:00:00' - INTERVAL 200 DAY)
+             AND price > 0 AND (volume >= 20000 OR rvol >= 2e0) AND rvol <= 2e1 AND price BETWEEN 1e0 AND 1e3
+             AND (xml_52w_low IS NULL OR NOT xml_52w_low > 0 OR (price / xml_52w_low <= 3e0
+                  AND (xml_52w_high IS NULL OR NOT xml_52w_high > 0 OR price / xml_52w_high <= 9e-1)))""",
+    ),
+)
+def daily_scan_query(spark, sf):
+    """The whole daily run: universe, stored quotes, features, screen, fallback."""
+    from lowtide import dims
+    from lowtide.plans import daily_scan
+
+    bars = tables.bars(spark, sf)
+    source = daily_scan.Tables(
+        tickers=tables.tickers(spark, sf),
+        directory=tables.directory(spark, sf),
+        bars=bars,
+        fundamentals=tables.fundamentals(spark, sf),
+        current=current_quotes(bars),
+    )
+    found = daily_scan.catches(spark, source, dims.MARKET_FLAGS, STORED, tables.UNIVERSE_TIME)
+    return found.select("symbol", "price", "volume", F.round("rvol", 6).alias("rvol"), "source")

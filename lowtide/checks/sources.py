@@ -9,7 +9,7 @@ from lowtide.checks.base import query, sql
 from lowtide.operators.exports import log_catches, write_csv
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import tables as readers
-from lowtide.streaming.quotes import run_folder
+from lowtide.session import run_folder
 
 
 @query(

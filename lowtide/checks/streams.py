@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from lowtide.checks.base import query, sql
 from lowtide.checks.screens import STORED
+from lowtide.session import run_folder
 from lowtide.sources import benchmark_tables as tables
 from lowtide.streaming import quotes as streaming
 
@@ -32,7 +31,7 @@ COLUMNS = "ticker, last_price, close_price, volume, last_updated"
 
 @query("stream_latest_quote", "T-1 T-8", sql("latest", f"SELECT {COLUMNS} FROM latest"))
 def stream_latest_quote(spark, sf):
-    folder = streaming.run_folder(spark, "latest")
+    folder = run_folder(spark, "latest")
     _finish(
         streaming.latest_quotes_batches(
             quotes_stream(spark, sf), f"{folder}/table", f"{folder}/checkpoint", tie_break=["event_id"]
@@ -43,7 +42,7 @@ def stream_latest_quote(spark, sf):
 
 @query("stream_latest_state", "T-2", sql("latest", f"SELECT {COLUMNS} FROM latest"))
 def stream_latest_state(spark, sf):
-    folder = streaming.run_folder(spark, "state")
+    folder = run_folder(spark, "state")
     newest = streaming.latest_quotes_state(quotes_stream(spark, sf), ["last_updated", "event_id"])
     _finish(
         streaming.to_versions(
@@ -56,17 +55,21 @@ def stream_latest_state(spark, sf):
 @query(
     "stream_without_duplicates",
     "T-3 T-4",
-    sql("ev", "SELECT DISTINCT ticker, event_type FROM ev"),
+    sql("quotes", "SELECT ticker, last_price, volume, last_updated FROM quotes"),
 )
 def stream_without_duplicates(spark, sf):
-    """One row per ticker and event type; the allowed lateness covers the whole month."""
-    folder = streaming.run_folder(spark, "unique")
-    rows = tables._events(events_stream(spark, sf)).select(
-        "ticker", "event_type", F.col("ts").alias("last_updated")
+    """Every quote arrives three times; one of each is kept."""
+    from lowtide.sources.json_docs import parse_quotes
+
+    folder = run_folder(spark, "unique")
+    copies = parse_quotes(quotes_stream(spark, sf)).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.lit(3)))
     )
-    unique = streaming.without_duplicates(rows, ["ticker", "event_type"], lateness="60 days")
+    unique = streaming.without_duplicates(copies, ["ticker", "last_updated"], salts=4)
     _finish(streaming.to_parquet(unique, f"{folder}/table", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/table").select("ticker", "event_type")
+    return spark.read.parquet(f"{folder}/table").select(
+        "ticker", "last_price", "volume", "last_updated"
+    )
 
 
 @query(
@@ -88,7 +91,7 @@ def stream_without_duplicates(spark, sf):
 def stream_silent_periods(spark, sf):
     from lowtide.sources.json_docs import parse_quotes
 
-    folder = streaming.run_folder(spark, "silent")
+    folder = run_folder(spark, "silent")
     periods = streaming.silent_periods(parse_quotes(quotes_stream(spark, sf)), gap="6 hours")
     _finish(streaming.to_parquet(periods, f"{folder}/table", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/table")
@@ -109,7 +112,7 @@ def stream_silent_periods(spark, sf):
 def stream_daily_bars(spark, sf):
     from lowtide.sources.json_docs import parse_quotes
 
-    folder = streaming.run_folder(spark, "bars")
+    folder = run_folder(spark, "bars")
     bars = streaming.daily_bars(parse_quotes(quotes_stream(spark, sf)), ["last_updated", "event_id"])
     _finish(
         streaming.to_versions(
@@ -132,9 +135,9 @@ def stream_daily_bars(spark, sf):
     ),
 )
 def stream_screen(spark, sf):
-    folder = streaming.run_folder(spark, "screen")
+    folder = run_folder(spark, "screen")
     caught = streaming.screened_quotes(
-        quotes_stream(spark, sf), tables.fundamentals(spark, sf), replace(STORED)
+        quotes_stream(spark, sf), tables.fundamentals(spark, sf), STORED
     ).select("event_id", "symbol", "price", "volume")
     _finish(streaming.to_parquet(caught, f"{folder}/table", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/table")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowtide.functions.text import thousands
+from lowtide.sources.tables import key_set
 
 
 def catch_rows(catches: DataFrame, now) -> DataFrame:
@@ -65,7 +66,7 @@ def review_export(directory: DataFrame, columns: list[str], order: list[str]) ->
 
 
 def ticker_export(df: DataFrame) -> DataFrame:
-    return df.select("ticker").orderBy("ticker")
+    return key_set(df)
 
 
 def write_digest(digest: DataFrame, path: str) -> None:

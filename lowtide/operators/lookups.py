@@ -28,9 +28,15 @@ def orphan_count(rows: DataFrame, parents: DataFrame, key: str = "ticker") -> Da
     )
 
 
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    """Distinct keys.  Repeats are dropped in each map task, so a hot key on the lookup side
+    ships one row per task; the join reuses the partitioning of this aggregate."""
+    return df.select(key).distinct()
+
+
 def missing_from(rows: DataFrame, other: DataFrame, key: str = "ticker") -> DataFrame:
     """Rows whose key does not occur in the other table."""
-    return rows.join(other.select(key), key, "left_anti")
+    return rows.join(_keys(other, key), key, "left_anti")
 
 
 def without_payload(tickers: DataFrame, raw: DataFrame, payload: str) -> DataFrame:
@@ -40,17 +46,19 @@ def without_payload(tickers: DataFrame, raw: DataFrame, payload: str) -> DataFra
 
 def present_in(rows: DataFrame, keys: DataFrame, key: str = "ticker") -> DataFrame:
     """Rows whose key is wanted (batched key lookup)."""
-    return rows.join(keys.select(key), key, "left_semi")
+    return rows.join(_keys(keys, key), key, "left_semi")
 
 
 def not_in(rows: DataFrame, other: DataFrame, key: str = "ticker") -> DataFrame:
-    """SQL NOT IN: keeps nothing when the other side holds a NULL key."""
-    spark = rows.sparkSession
-    return spark.sql(
-        f"SELECT * FROM {{rows}} WHERE {key} NOT IN (SELECT {key} FROM {{other}})",
-        rows=rows,
-        other=other,
-    )
+    """SQL NOT IN: nothing is left when the other side holds a NULL key.
+
+    Written as an anti join plus two existence tests, because Spark runs a literal NOT IN by
+    broadcasting the whole other side.
+    """
+    keys = _keys(other, key)
+    holds_null = keys.filter(F.col(key).isNull()).exists()
+    unmatched = rows.join(keys.filter(F.col(key).isNotNull()), key, "left_anti")
+    return unmatched.filter(~holds_null & (F.col(key).isNotNull() | ~keys.exists()))
 
 
 def split_by_age(

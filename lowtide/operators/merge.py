@@ -81,7 +81,7 @@ def guarded_upsert(
 
 def new_rows_only(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key is not stored yet (insert, ignore existing)."""
-    return incoming.join(current.select(*keys), keys, "left_anti")
+    return incoming.join(current.select(*keys).distinct(), keys, "left_anti")
 
 
 def update_status(tickers: DataFrame, updates: DataFrame, now) -> DataFrame:

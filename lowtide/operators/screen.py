@@ -11,16 +11,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowtide import dims
-from lowtide.criteria import PRESETS, SCORE_WEIGHTS, Criteria, apply_preset
+from lowtide.criteria import SCORE_WEIGHTS, Criteria, apply_preset
 from lowtide.functions import symbols
 from lowtide.functions.lookup import lookup
-from lowtide.functions.text import fixed, screening_reason
+from lowtide.functions.text import screening_reason
 from lowtide.functions.values import full_usd_cap
 from lowtide.operators.indicators import latest_per_key, year_stats
+from lowtide.operators.lookups import present_in
+from lowtide.session import written
 
 
 def _field(df: DataFrame, name: str, default) -> Column:
@@ -266,8 +268,6 @@ def priority_score(catches: DataFrame, criteria: Criteria) -> DataFrame:
 
 def top_scored(scored: DataFrame, k: int, tie_break: list[str]) -> DataFrame:
     """The k best scores with their rank; only k rows ever meet in one place."""
-    from pyspark.sql import Window
-
     order = [F.desc("score"), *tie_break]
     best = scored.orderBy(*order).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
@@ -328,7 +328,7 @@ def stored_quote_screen(
     behaviour that knows none of them and takes RVOL as 1.
     """
     rows = (
-        quotes.join(tickers.select("ticker"), "ticker", "left_semi")
+        present_in(quotes, tickers)
         .filter(F.coalesce(F.col("last_price"), F.lit(0.0)) != 0)
         .join(
             fundamentals.select(
@@ -405,24 +405,18 @@ def two_phase_screen(bars: DataFrame, cheap: DataFrame, panel, criteria: Criteri
         & F.coalesce(F.col("price") <= criteria.max_price, F.lit(True))
         & (F.col("volume") > 0)
     ).select(F.col("symbol").alias("ticker"))
-    features = panel(bars.join(hopeful, "ticker", "left_semi"))
+    features = panel(present_in(bars, hopeful))
     return screen(features.withColumnRenamed("ticker", "symbol"), criteria)
 
 
 def first_nonempty(sources: list[DataFrame]) -> DataFrame:
     """Rows of the first source that has any; sources share one schema.
 
-    A source counts only while every earlier one is empty; each of those tests is an
-    uncorrelated EXISTS, which stops at the first row.
+    Each source is a finished screen, hence small.  It is written once and kept if it holds
+    rows; the sources after it are never computed.
     """
-    kept = [sources[0]]
-    for i, source in enumerate(sources[1:], start=1):
-        kept.append(source.filter(_all_of([~earlier.exists() for earlier in sources[:i]])))
-    return reduce(lambda a, b: a.unionByName(b), kept)
-
-
-def failure_reason_text(pct_above_low: Column, limit_pct: Column) -> Column:
-    return F.concat(fixed(pct_above_low, 1), F.lit("% from 52w low (>"), fixed(limit_pct, 0), F.lit("% threshold)"))
-
-
-PRESET_NAMES = list(PRESETS)
+    for source in sources:
+        kept = written(source, "candidates")
+        if not kept.isEmpty():
+            break
+    return kept

@@ -12,6 +12,7 @@ from lowtide.criteria import Criteria
 from lowtide.functions import symbols
 from lowtide.functions.rules import error_status
 from lowtide.functions.text import fixed
+from lowtide.operators.lookups import present_in
 
 
 def _time(asof) -> Column:
@@ -159,7 +160,7 @@ def prices_between(bars: DataFrame, first, last, tickers: DataFrame | None = Non
     rows = bars.filter(
         F.col("price_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
     )
-    return rows if tickers is None else rows.join(tickers.select("ticker"), "ticker", "left_semi")
+    return rows if tickers is None else present_in(rows, tickers)
 
 
 def build_universe(

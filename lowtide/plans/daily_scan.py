@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lowtide.criteria import Criteria
 from lowtide.operators import indicators, reports, screen
+from lowtide.operators.lookups import present_in
 from lowtide.operators.universe import build_universe
 
 
@@ -31,9 +32,8 @@ def history_features(bars: DataFrame, tickers: DataFrame, criteria: Criteria) ->
 
     Bars outside the universe are removed before the windows, where they would cost most.
     """
-    wanted = bars.join(tickers.select("ticker"), "ticker", "left_semi")
     panel = indicators.with_history_gate(
-        indicators.feature_panel(wanted), criteria.min_history_days
+        indicators.feature_panel(present_in(bars, tickers)), criteria.min_history_days
     )
     return indicators.latest_per_key(panel, ["ticker"], ["price_date"])
 

@@ -97,7 +97,8 @@ def land_raw(df: DataFrame, path: str) -> None:
 
 
 def key_set(df: DataFrame, key: str = "ticker") -> DataFrame:
-    return df.select(key).orderBy(key)
+    """Sorted distinct keys; repeats would otherwise all sort into one partition."""
+    return df.select(key).distinct().orderBy(key)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -8,8 +8,6 @@ batch id: a batch that is run again after a failure writes the same version agai
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -19,7 +17,6 @@ from lowtide.functions.times import utc_instant, utc_wall_clock
 from lowtide.operators.bars import bar_aggregates
 from lowtide.operators.merge import guarded_upsert
 from lowtide.operators.screen import screen
-from lowtide.session import shared_folder
 from lowtide.sources.json_docs import parse_quotes
 
 # --- sources and triggers -----------------------------------------------------------------
@@ -44,10 +41,6 @@ def with_cadence(writer: DataStreamWriter, every: str | None = None) -> DataStre
     return writer.trigger(processingTime=every)
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- versioned state tables -----------------------------------------------------------------
 
 
@@ -67,17 +60,31 @@ def upsert_sink(path: str, keys: list[str], time: str, tie_break: list[str] | No
             # the same de-duplication within the first batch
             state = guarded_upsert(batch.limit(0), batch, keys, time, tie_break)
         state.write.mode("overwrite").parquet(_version(path, number))
+        # the previous version stays until the batch after this one has been committed
+        _folder(spark, _version(path, number - 2)).drop()
 
     return write
 
 
+class _folder:
+    """A folder on whatever file system its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def drop(self) -> None:
+        if self.files.exists(self.path):
+            self.files.delete(self.path, True)
+
+    def subfolders(self) -> list[str]:
+        found = self.files.listStatus(self.path)
+        return sorted(s.getPath().toString() for s in found if s.isDirectory())
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; versions are folders, so listing them is a metadata operation."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().toString() for s in files.listStatus(folder) if s.isDirectory())
-    return spark.read.parquet(versions[-1])
+    """The newest version; only folder names are listed."""
+    return spark.read.parquet(_folder(spark, path).subfolders()[-1])
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -112,10 +119,25 @@ def within_lateness(quotes: DataFrame, time: str = "last_updated", lateness: str
 
 
 def without_duplicates(
-    quotes: DataFrame, keys: list[str], time: str = "last_updated", lateness: str = "1 hour"
+    quotes: DataFrame,
+    keys: list[str],
+    time: str = "last_updated",
+    lateness: str = "1 hour",
+    salts: int = 1,
 ) -> DataFrame:
-    """Drop repeats that arrive within the lateness; state is forgotten after it."""
-    unique = within_lateness(quotes, time, lateness).dropDuplicatesWithinWatermark(keys)
+    """Drop repeats that arrive within the lateness; state is forgotten after it.
+
+    When one group of copies may be very large, ``salts`` > 1 first drops repeats within
+    each of that many slices of the input, so the final pass sees at most ``salts`` copies.
+    """
+    unique = within_lateness(quotes, time, lateness)
+    if salts > 1:
+        unique = (
+            unique.withColumn("_salt", F.spark_partition_id() % salts)
+            .dropDuplicatesWithinWatermark([*keys, "_salt"])
+            .drop("_salt")
+        )
+    unique = unique.dropDuplicatesWithinWatermark(keys)
     return unique.withColumn(time, utc_wall_clock(F.col(time)))
 
 
@@ -123,7 +145,14 @@ def silent_periods(
     quotes: DataFrame, time: str = "last_updated", gap: str = "24 hours", lateness: str = "1 hour"
 ) -> DataFrame:
     """Freshness monitor: per ticker, the periods of activity that ended with a silence
-    longer than the gap.  A period is emitted once the watermark passes its end."""
+    longer than the gap.  A period is emitted once the watermark passes its end.
+
+    Sessions are merged within each input partition before the shuffle, so a ticker with very
+    many quotes ships one row per partition and period.
+    """
+    quotes.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     active = within_lateness(quotes, time, lateness).groupBy(
         "ticker", F.session_window(time, gap).alias("s")
     )
