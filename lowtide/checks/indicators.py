@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from lowtide.checks.base import query, sql
 from lowtide.criteria import DEFAULT
+from lowtide.functions.values import rounded
 from lowtide.operators import bars as bar_ops
 from lowtide.operators import indicators as ind
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources.benchmark_tables import LAST_DAY
 
 # a 200-day mean of ticks falls on half a millionth, so 8 digits avoid rounding ties
-R = lambda *names: [F.round(n, 8).alias(n) for n in names]
+R = lambda *names: [rounded(F.col(n), 8).alias(n) for n in names]
 SQL_R = lambda *names: ", ".join(f"round({n}, 8) AS {n}" for n in names)
 
 

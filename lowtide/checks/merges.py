@@ -10,6 +10,7 @@ from lowtide.operators import exports, merge
 from lowtide.operators.universe import validity
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs
+from lowtide.sources.layout import spread
 from lowtide.sources.benchmark_tables import EVENTS_TIME, LAST_DAY, UNIVERSE_TIME
 from lowtide.session import run_folder
 
@@ -90,7 +91,7 @@ def upsert_all_columns(spark, sf):
 )
 def merge_guarded(spark, sf):
     """Purchases are stored; all other quotes arrive, older and newer ones mixed."""
-    events = tables.load(spark, sf, "events")
+    events = spread(tables.load(spark, sf, "events"), "event_id")
     purchase = F.col("event_type") == "purchase"
     stored = json_docs.latest_quotes(tables.raw_quotes_of(events.filter(purchase)), ["event_id"])
     arriving = json_docs.parse_quotes(tables.raw_quotes_of(events.filter(~purchase)))

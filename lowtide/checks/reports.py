@@ -9,6 +9,7 @@ from lowtide.checks.screens import WIDE, WIDE_SQL, features
 from lowtide.operators import reports, screen
 from lowtide.operators.bars import current_quotes
 from lowtide.operators.indicators import latest_per_key, year_stats
+from lowtide.session import written
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources.benchmark_tables import EVENTS_TIME, LAST_DAY, UNIVERSE_TIME
 
@@ -253,7 +254,9 @@ _LINE = """CASE WHEN coalesce(rsi <= 25, FALSE) AND rvol >= 5 THEN '🔥'
     ),
 )
 def digest_by_exchange(spark, sf):
-    return reports.digest(screen.screen(features(spark, sf), WIDE))
+    catches = screen.screen(features(spark, sf), WIDE)
+    columns = ["symbol", "price_date", "price", "pct_from_low", "rvol", "rsi", "atr_pct"]
+    return reports.digest(written(catches.select(*columns), "catches"))
 
 
 @query(

@@ -70,9 +70,9 @@ def directory_search(spark, sf):
 _WIDE = """
     flags AS (
         SELECT l_returnflag AS ticker, CAST(l_shipdate AS DATE) AS price_date,
-               first(tick ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, tick) / 1e4 AS open,
+               first(tick ORDER BY l_orderkey, l_linenumber, l_partkey, tick, l_suppkey) / 1e4 AS open,
                max(tick) / 1e4 AS high, min(tick) / 1e4 AS low,
-               last(tick ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, tick) / 1e4 AS close,
+               last(tick ORDER BY l_orderkey, l_linenumber, l_partkey, tick, l_suppkey) / 1e4 AS close,
                CAST(sum(l_quantity * 1000) AS BIGINT) AS volume
         FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS tick FROM lineitem)
         GROUP BY ALL),

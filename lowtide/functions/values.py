@@ -36,6 +36,15 @@ def volume_or_zero(value: Column) -> Column:
     return F.coalesce(whole_number(clean_number(value.cast("string"))), F.lit(0).cast("bigint"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half-up rounding of non-negative doubles in double arithmetic.
+
+    ``round`` goes through BigDecimal, about ten times slower on a wide panel.
+    """
+    scale = F.lit(float(10**digits))
+    return F.floor(value * scale + 0.5) / scale
+
+
 def clean_forecast(value: Column) -> Column:
     return F.nullif(value, F.lit(MISSING_FORECAST))
 

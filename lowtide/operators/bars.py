@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def bar_aggregates(price: str, volume: Column, order: list[str]) -> list[Column]:
-    """OHLCV aggregates; ``order`` decides which price is first and last."""
-    at = F.struct(*order, price)
+    """OHLCV aggregates; ``order`` decides which price is first and last.
+
+    One numeric order column, unique within a bar, keeps the plan a hash aggregate.  Several
+    columns are compared as a struct together with the price, which sorts instead.
+    """
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order, price)
     return [
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),

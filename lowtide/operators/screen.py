@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lowtide import dims
 from lowtide.criteria import SCORE_WEIGHTS, Criteria, apply_preset
 from lowtide.functions import symbols
-from lowtide.functions.lookup import lookup
+from lowtide.functions.lookup import first_match, lookup
 from lowtide.functions.text import screening_reason
 from lowtide.functions.values import full_usd_cap
 from lowtide.operators.indicators import latest_per_key, year_stats
@@ -185,16 +185,16 @@ def explain_screen(df: DataFrame, criteria: Criteria, **options) -> DataFrame:
 def funnel(df: DataFrame, criteria: Criteria, **options) -> DataFrame:
     """How many rows are left after each stage: (stage_no, stage, remaining).
 
-    One pass over the data: each stage's cumulative flag is counted in the same aggregate,
-    then the single result row is turned into one row per stage.
+    One pass over the data.  Each row is first reduced to the number of stages it survives,
+    then all stages are counted from that one number.
     """
     rules = predicates(df, criteria, **options)
     names = ["input", *rules]
-    flags, kept = [F.lit(True)], F.lit(True)
-    for rule in rules.values():
-        kept = kept & rule
-        flags.append(kept)
-    counts = df.agg(*[F.count_if(flag).alias(f"n{i}") for i, flag in enumerate(flags)])
+    failed = [(~rule, F.lit(i)) for i, rule in enumerate(rules.values())]
+    survived = df.select(first_match(failed, F.lit(len(rules))).alias("_survived"))
+    counts = survived.agg(
+        *[F.count_if(F.col("_survived") >= i).alias(f"n{i}") for i in range(len(names))]
+    )
     stages = F.array(
         *[
             F.struct(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lowtide import dims
 from lowtide.functions.lookup import lookup
 from lowtide.operators.bars import daily_bars
+from lowtide.sources.layout import spread
 
 # --- fixed values -------------------------------------------------------------------------
 
@@ -57,9 +58,17 @@ def _ticker(prefix: str, key: Column) -> Column:
 # --- bars ---------------------------------------------------------------------------------------
 
 
+def _sequence() -> Column:
+    """(order key, line number, part key, tick) as one integer of up to 38 digits."""
+    high = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(18,0)")
+    low = (F.col("l_partkey") * (1 << 27) + F.col("tick")).cast("decimal(19,0)")
+    return (high * F.lit("1" + "0" * 19).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select(
+    rows = load(spark, sf_dir, "lineitem").select(
         "l_suppkey",
+        "l_returnflag",
         F.col("l_shipdate").cast("date").alias("price_date"),
         _cents("l_extendedprice").alias("tick"),
         "l_quantity",
@@ -67,6 +76,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
     )
+    return spread(rows, "l_orderkey").withColumn("seq", _sequence())
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +86,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_suppkey"],
         "tick",
         F.col("l_quantity") * 1000,
-        ["l_orderkey", "l_linenumber", "l_partkey"],
+        ["seq"],
     )
     price = lambda c: (F.col(c) / F.lit(PRICE_TICKS)).alias(c)
     return daily.select(
@@ -89,21 +99,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide daily prices with columns ``A|Open`` … for the three return flags."""
+    # a line may occur once per supplier, so the supplier takes part in the order
     daily = daily_bars(
-        load(spark, sf_dir, "lineitem").select(
-            "l_returnflag",
-            F.col("l_shipdate").cast("date").alias("price_date"),
-            _cents("l_extendedprice").alias("tick"),
-            "l_quantity",
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
-        ),
+        trades(spark, sf_dir),
         ["l_returnflag"],
         "tick",
         F.col("l_quantity") * 1000,
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+        ["seq", "l_suppkey"],
     )
     cells = []
     for flag in ("A", "N", "R"):
@@ -261,7 +263,7 @@ def raw_quotes_of(events: DataFrame) -> DataFrame:
 
 
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_quotes_of(load(spark, sf_dir, "events"))
+    return raw_quotes_of(spread(load(spark, sf_dir, "events"), "event_id"))
 
 
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +313,7 @@ def decisions(spark: SparkSession, sf_dir: str, criteria_version: str) -> DataFr
 
 def directory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as directory documents: keyed by ticker for large sizes, direct otherwise."""
-    d = directory(spark, sf_dir)
+    d = spread(directory(spark, sf_dir), "ticker")
     body = F.concat(
         F.lit("{"),
         *[
@@ -391,7 +393,7 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
 
 def company_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as company snapshots; the deepest debtors have an empty ``{}`` document."""
-    customers = listings(spark, sf_dir).filter(F.col("kind") == "customer")
+    customers = spread(listings(spark, sf_dir).filter(F.col("kind") == "customer"), "ticker")
     key, balance = F.col("key"), F.col("balance")
     text = lambda condition, given, other="": F.when(condition, given).otherwise(other)
     third = (

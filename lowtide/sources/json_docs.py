@@ -69,7 +69,8 @@ def _quote_schema() -> str:
 def parse_quotes(raw: DataFrame) -> DataFrame:
     """Raw quotes -> typed columns; each document is parsed once.
 
-    Top-level table columns win over the document for last price and volume; document
+    The parsed value comes out of a one-element array, so that a later filter on a price is
+    not pushed down with a copy of the parser.  Top-level table columns win over the document for last price and volume; document
     fields may be flat or inside ``Ticker``.  The last price falls back to the close.
     """
     doc = F.col("_doc")
@@ -78,7 +79,7 @@ def parse_quotes(raw: DataFrame) -> DataFrame:
     extra = [c for c in raw.columns if c not in ("ticker", "market_data", "last_price", "volume")]
     return (
         raw.filter(F.col("market_data").isNotNull())
-        .withColumn("_doc", F.from_json("market_data", _quote_schema()))
+        .select("*", F.explode(F.array(F.from_json("market_data", _quote_schema()))).alias("_doc"))
         .select(
             symbols.undouble_suffix(F.col("ticker")).alias("ticker"),
             F.coalesce("last_price", nested("last"), number("close")).alias("last_price"),

@@ -1,0 +1,20 @@
+"""Spreading of small inputs over the available cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str, limit: int = SMALL_INPUT) -> DataFrame:
+    """Rows hashed over all cores when the input is small, unchanged otherwise.
+
+    A small table is usually one file with one row group, so a single task would do all the
+    parsing and aggregation that follows.  Large tables have row groups enough; shuffling
+    their raw rows would only cost.  The size is the planner's estimate, no job is run.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -128,10 +128,13 @@ def _day(text: Column) -> Column:
 
 
 def parse_snapshots(raw: DataFrame, doc: str = "xml_snapshot") -> DataFrame:
-    """Add the parsed document as ``_x`` and whether it is usable as ``_ok``."""
-    parsed = raw.filter(F.col(doc).isNotNull()).withColumn(
-        "_x", F.from_xml(F.col(doc), SNAPSHOT, {"rowTag": "ReportSnapshot"})
-    )
+    """Add the parsed document as ``_x`` and whether it is usable as ``_ok``.
+
+    The parsed value comes out of a one-element array.  A filter on it therefore stays above
+    the parser; it would otherwise be pushed down with a copy of the parser in each term.
+    """
+    parser = F.from_xml(F.col(doc), SNAPSHOT, {"rowTag": "ReportSnapshot"})
+    parsed = raw.filter(F.col(doc).isNotNull()).select("*", F.explode(F.array(parser)).alias("_x"))
     present = [F.col(f"_x.{name}").isNotNull() for name in ("CoIDs", "Issues", "CoGeneralInfo", "Ratios")]
     return parsed.withColumn("_ok", present[0] | present[1] | present[2] | present[3])
 
