@@ -305,7 +305,7 @@ def concatenated_markets(spark, sf):
 )
 def large_caps_missing(spark, sf):
     large = tables.fundamentals(spark, sf).filter(F.col("market_cap_usd") > 500_000_000)
-    return large.select("ticker").subtract(latest(spark, sf).select("ticker"))
+    return lookups.key_difference(large, latest(spark, sf))
 
 
 @query(

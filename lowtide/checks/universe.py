@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lowtide import dims
 from lowtide.checks.base import query, sql
+from lowtide.functions import symbols, text, values
 from lowtide.operators import universe as uni
 from lowtide.operators.reports import market_freshness, row_counts
 from lowtide.sources import benchmark_tables as tables
+from lowtide.sources import json_docs
 from lowtide.sources import tables as readers
 from lowtide.sources.benchmark_tables import LAST_DAY, UNIVERSE_TIME
 
@@ -138,14 +140,9 @@ def suffix_filter(spark, sf):
     ),
 )
 def valid_quotes(spark, sf):
-    from lowtide.sources.json_docs import latest_quotes
-
-    change = F.try_divide(F.col("last_price") - F.col("close_price"), F.col("close_price")) * 100
-    return (
-        latest_quotes(tables.raw_quotes(spark, sf), ["event_id"])
-        .filter(F.col("last_price") > 0)
-        .select("ticker", "last_price", "close_price", "volume", F.round(change, 2).alias("change_pct"))
-        .orderBy(F.desc("volume"), "ticker")
+    quotes = json_docs.latest_quotes(tables.raw_quotes(spark, sf), ["event_id"])
+    return uni.quote_changes(quotes).select(
+        "ticker", "last_price", "close_price", "volume", "change_pct"
     )
 
 
@@ -155,7 +152,7 @@ def valid_quotes(spark, sf):
     "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 50",
 )
 def json_path_predicate(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = values.json_number(F.col("props"), "$.k")
     return tables.load(spark, sf, "events").filter(k >= 50).select("event_id")
 
 
@@ -169,11 +166,8 @@ def json_path_predicate(spark, sf):
     ),
 )
 def high_caps(spark, sf):
-    return (
-        tables.fundamentals(spark, sf)
-        .filter(F.col("market_cap_usd") > 800_000_000)
-        .select("ticker", "company_name", "market_cap_usd")
-        .orderBy(F.desc_nulls_last("market_cap_usd"))
+    return uni.large_caps(tables.fundamentals(spark, sf), 800_000_000).select(
+        "ticker", "company_name", "market_cap_usd"
     )
 
 
@@ -192,7 +186,7 @@ def historical_ids(spark, sf):
             F.when(F.col("o_orderstatus") == "P", ".L").otherwise("X.NS"),
         ).alias("ticker")
     )
-    return ids.filter(~F.col("ticker").rlike(r"^0[A-Z0-9]+\.L$"))
+    return ids.filter(~symbols.is_historical_id(F.col("ticker")))
 
 
 def _requested(spark, sf):
@@ -315,14 +309,7 @@ def validity_full(spark, sf):
     ),
 )
 def smallest_caps(spark, sf):
-    cap = F.col("market_cap_usd")
-    return (
-        tables.fundamentals(spark, sf)
-        .filter((cap > 0) & (cap < 150_000_000))
-        .select("ticker", "market_cap_usd")
-        .orderBy("market_cap_usd", "ticker")
-        .limit(5)
-    )
+    return uni.smallest_caps(tables.fundamentals(spark, sf)).select("ticker", "market_cap_usd")
 
 
 @query(
@@ -360,7 +347,7 @@ def prices_of_day(spark, sf):
 def document_excerpts(spark, sf):
     return tables.load(spark, sf, "documents").select(
         "doc_id",
-        F.left("text", F.lit(100)).alias("excerpt"),
+        text.excerpt(F.col("text"), 100).alias("excerpt"),
         F.length("text").cast("bigint").alias("size"),
         F.concat("lang", F.lit(":"), "source").alias("origin"),
     )
@@ -426,4 +413,4 @@ def market_fresh(spark, sf):
     ),
 )
 def inactive_count(spark, sf):
-    return row_counts({"inactive": tables.fundamentals(spark, sf).filter(~F.col("is_active"))})
+    return row_counts({"inactive": uni.inactive(tables.fundamentals(spark, sf))})

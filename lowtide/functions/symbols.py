@@ -128,6 +128,11 @@ def undouble_suffix(ticker: Column) -> Column:
     ).otherwise(ticker)
 
 
+def is_historical_id(ticker: Column) -> Column:
+    """Archive ids of delisted listings: a zero, capitals or digits, and '.L'."""
+    return ticker.rlike(r"^0[A-Z0-9]+\.L$")
+
+
 def base_symbol(ticker: Column) -> Column:
     """Everything before the first dot."""
     return F.substring_index(ticker, ".", 1)

@@ -40,6 +40,11 @@ def thousands(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
+def excerpt(document: Column, size: int) -> Column:
+    """The start of a document, for display only."""
+    return F.left(document, F.lit(size))
+
+
 def screening_reason(price: Column, low_52w: Column, volume: Column) -> Column:
     """Why a stored quote was caught."""
     above_low = F.try_divide(price - low_52w, low_52w) * 100

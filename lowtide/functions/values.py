@@ -67,6 +67,11 @@ def full_usd_cap(cap: Column) -> Column:
     return F.when(known < 1000, known * 1e9).otherwise(known)
 
 
+def json_number(doc: Column, path: str) -> Column:
+    """A number at a JSON path, NULL when missing or not a number."""
+    return F.get_json_object(doc, path).try_cast("double")
+
+
 def quote_field(doc: Column, name: str) -> Column:
     """A quote field given flat or inside ``Ticker``, as cleaned text."""
     return F.coalesce(doc.getField(name), doc.getField("Ticker").getField(name))

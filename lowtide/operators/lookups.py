@@ -39,6 +39,11 @@ def missing_from(rows: DataFrame, other: DataFrame, key: str = "ticker") -> Data
     return rows.join(_keys(other, key), key, "left_anti")
 
 
+def key_difference(rows: DataFrame, other: DataFrame, key: str = "ticker") -> DataFrame:
+    """Distinct keys of the first table that the other one lacks."""
+    return _keys(rows, key).subtract(_keys(other, key))
+
+
 def without_payload(tickers: DataFrame, raw: DataFrame, payload: str) -> DataFrame:
     """Tickers without a raw row, or only with an empty one."""
     return missing_from(tickers, raw.filter(F.col(payload).isNotNull()))

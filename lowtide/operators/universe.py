@@ -163,6 +163,37 @@ def prices_between(bars: DataFrame, first, last, tickers: DataFrame | None = Non
     return rows if tickers is None else present_in(rows, tickers)
 
 
+def valid_quotes(quotes: DataFrame) -> DataFrame:
+    return quotes.filter(F.col("last_price") > 0)
+
+
+def quote_changes(quotes: DataFrame) -> DataFrame:
+    """Change against the close in percent, most traded first."""
+    close = F.col("close_price")
+    change = F.round(F.try_divide(F.col("last_price") - close, close) * 100, 2)
+    return (
+        valid_quotes(quotes)
+        .withColumn("change_pct", change)
+        .orderBy(F.desc_nulls_last("volume"), "ticker")
+    )
+
+
+def large_caps(fundamentals: DataFrame, above: int) -> DataFrame:
+    """Listings above a cap, largest first."""
+    return fundamentals.filter(F.col("market_cap_usd") > above).orderBy(
+        F.desc("market_cap_usd"), "ticker"
+    )
+
+
+def smallest_caps(fundamentals: DataFrame, below: int = 150_000_000, n: int = 5) -> DataFrame:
+    cap = F.col("market_cap_usd")
+    return fundamentals.filter((cap > 0) & (cap < below)).orderBy(cap, "ticker").limit(n)
+
+
+def inactive(fundamentals: DataFrame) -> DataFrame:
+    return fundamentals.filter(~F.col("is_active"))
+
+
 def build_universe(
     spark: SparkSession,
     tickers: DataFrame,
