@@ -102,6 +102,14 @@ def test_every_rule_and_every_missing_field(spark, criteria):
     got = {r["id"] for r in screen.screen(df, criteria).select("id").collect()}
     want = {i for i, (s, r) in enumerate(rows) if passes(s, r, criteria)}
     assert got == want
+
+
+def test_explain_and_funnel_agree_with_the_screen(spark):
+    rows = cases()
+    data = [(i, s, *[r[n] for n in NAMES]) for i, (s, r) in enumerate(rows)]
+    df = spark.createDataFrame(data, f"id bigint, symbol string, {FIELDS}")
+    criteria = replace(DEFAULT, fundamental_enabled=True)
+    want = {i for i, (s, r) in enumerate(rows) if passes(s, r, criteria)}
     assert {r["id"] for r in screen.explain_screen(df, criteria).filter("passed").collect()} == want
     steps = [r["remaining"] for r in screen.funnel(df, criteria).orderBy("stage_no").collect()]
     assert steps[0] == len(rows) and steps[-1] == len(want)
