@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import xml.etree.ElementTree as ET
+
 from pyspark.sql import functions as F
 
 from lowtide import dims
-from lowtide.checks.base import query, sql
+from lowtide.checks.base import query, sql, values_cte
 from lowtide.operators.indicators import latest_per_key
 from lowtide.operators.merge import guarded_upsert
 from lowtide.sources import benchmark_tables as tables
@@ -296,7 +299,76 @@ def xml_node_counts(spark, sf):
     return discovery.node_counts(nodes(spark, sf))
 
 
-@query("xml_paths", "D-14 U-6")
+def _template_root():
+    """A document without any optional part."""
+    optional = ("split", "floor", "third_officer", "price_currency")
+    text = re.sub(r"{(\w+)}", lambda m: "" if m[1] in optional else "x", tables.COMPANY_TEMPLATE)
+    return ET.fromstring(text)
+
+
+def _template_fields() -> int:
+    """Number of distinct data fields of such a document."""
+    fields = set()
+    for node in _template_root().iter():
+        if (node.text or "").strip():
+            fields.add((node.tag, node.get("FieldName") if node.tag == "Ratio" else None))
+        fields |= {(node.tag, f"@{name}") for name in node.attrib}
+    return len(fields)
+
+
+def _template_paths() -> dict[str, int]:
+    """Data-bearing paths of such a document, with their node counts."""
+    counts: dict[str, int] = {}
+
+    def visit(node, parent):
+        path = f"{parent}/{node.tag}" if parent else node.tag
+        found = [f"{path}@{name}" for name in node.attrib]
+        if len(node) == 0 and (node.text or "").strip():
+            found.append(path)
+        for item in found:
+            counts[item] = counts.get(item, 0) + 1
+        for child in node:
+            visit(child, path)
+
+    visit(_template_root(), "")
+    return counts
+
+
+_ROOT = "ReportSnapshot"
+_OPTIONAL_PATHS = (
+    (f"{_ROOT}/Issues/Issue/MostRecentSplit", "split"),
+    (f"{_ROOT}/Issues/Issue/MostRecentSplit@Date", "split"),
+    (f"{_ROOT}/contactInfo/streetAddress", "floor"),
+    (f"{_ROOT}/officers/officer@rank", "third"),
+    (f"{_ROOT}/officers/officer/firstName", "third"),
+    (f"{_ROOT}/officers/officer/title", "third"),
+    (f"{_ROOT}/officers/officer/title@startYear", "third"),
+    (f"{_ROOT}/Ratios@PriceCurrency", "priced"),
+)
+
+
+@query(
+    "xml_paths",
+    "D-14 U-6",
+    sql(
+        "listings",
+        """SELECT path, CAST(CASE WHEN sum(per_document) > 0 THEN max(total) ELSE max(extra) END AS BIGINT) AS documents,
+                  CAST(sum(per_document * total + extra) AS BIGINT) AS nodes
+           FROM (SELECT path, per_document, total, 0 AS extra FROM always, counts
+                 UNION ALL
+                 SELECT path, 0, total, CASE part WHEN 'split' THEN split WHEN 'floor' THEN floors
+                          WHEN 'third' THEN third ELSE priced END FROM optional_paths, counts)
+           GROUP BY path""",
+        values_cte("always", "path, per_document", sorted(_template_paths().items()))
+        + ",\n"
+        + values_cte("optional_paths", "path, part", _OPTIONAL_PATHS)
+        + """,
+        counts AS (SELECT count(*) AS total, count(*) FILTER (balance > 5000) AS split,
+                          count(*) FILTER (balance > 2000) AS floors, count(*) FILTER (balance > 3000) AS third,
+                          count(*) FILTER (balance >= 1000) AS priced
+                   FROM listings WHERE kind = 'customer' AND balance >= -900)""",
+    ),
+)
 def xml_paths(spark, sf):
     return discovery.path_counts(nodes(spark, sf))
 
@@ -317,7 +389,16 @@ def xml_field_codes(spark, sf):
     return discovery.field_codes(nodes(spark, sf))
 
 
-@query("xml_unique_fields", "D-16")
+@query(
+    "xml_unique_fields",
+    "D-16",
+    sql(
+        "listings",
+        f"""SELECT ticker, {_template_fields()} + CASE WHEN balance > 5000 THEN 2 ELSE 0 END
+                  + CASE WHEN balance >= 1000 THEN 1 ELSE 0 END AS unique_fields
+           FROM listings WHERE kind = 'customer' AND balance >= -900""",
+    ),
+)
 def xml_unique_fields(spark, sf):
     return discovery.unique_fields(nodes(spark, sf))
 
