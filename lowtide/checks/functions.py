@@ -179,6 +179,28 @@ def ticker_standardise(spark, sf):
     )
 
 
+@query(
+    "standardise_counts",
+    "F-9",
+    sql(
+        "tickers directory ev",
+        """SELECT 'tickers' AS table_name, count(*) FILTER (ticker NOT LIKE '%.NS') AS changed_rows FROM tickers
+           UNION ALL SELECT 'directory', count(*) FILTER (ticker NOT LIKE '%.NS') FROM directory
+           UNION ALL SELECT 'quotes', count(*) FILTER (ticker NOT LIKE '%.NS' OR event_type = 'view') FROM ev""",
+    ),
+)
+def standardise_counts(spark, sf):
+    from lowtide.operators import reports
+
+    return reports.standardise_counts(
+        {
+            "tickers": tables.tickers(spark, sf),
+            "directory": tables.directory(spark, sf),
+            "quotes": tables.raw_quotes(spark, sf),
+        }
+    )
+
+
 @query(
     "id_variants",
     "F-11",

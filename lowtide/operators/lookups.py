@@ -103,7 +103,7 @@ def with_fx(df: DataFrame, fx: DataFrame, amount: str, currency: str = "currency
     """Amount in USD; currencies without a rate count as 1 and are flagged."""
     rates = fx.withColumnRenamed("currency", currency)
     return (
-        df.join(F.broadcast(rates), currency, "left")
+        df.join(rates, currency, "left")
         .withColumn("fx_missing", F.col("usd_rate").isNull())
         .withColumn(f"usd_{amount}", F.col(amount) * F.coalesce("usd_rate", F.lit(1.0)))
         .drop("usd_rate")

@@ -145,7 +145,7 @@ def drop_expired(entries: DataFrame, ttl: DataFrame, asof) -> DataFrame:
     """Remove entries older than the TTL of their type; types without a TTL are kept."""
     age_limit = F.lit(asof).cast("timestamp_ntz") - F.make_dt_interval(hours=F.col("ttl_hours"))
     return (
-        entries.join(F.broadcast(ttl), "data_type", "left")
+        entries.join(ttl, "data_type", "left")
         .filter(F.col("ttl_hours").isNull() | (F.col("timestamp") >= age_limit))
         .drop("ttl_hours")
     )

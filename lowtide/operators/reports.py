@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lowtide import dims
 from lowtide.functions.rules import cache_key
+from lowtide.functions.symbols import standardise
 from lowtide.functions.text import alert_line, display_info
 
 
@@ -21,6 +22,16 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
+def standardise_counts(tables: dict[str, DataFrame], key: str = "ticker") -> DataFrame:
+    """Per table: how many rows the ticker standardisation would change."""
+    changed = standardise(F.col(key)) != F.col(key)
+    counts = [
+        df.agg(F.lit(name).alias("table_name"), F.count_if(changed).alias("changed_rows"))
+        for name, df in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 def latest_updates(bars: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Newest bar day and newest fundamentals time."""
     days = bars.agg(F.max("price_date").alias("latest_price"))
@@ -165,7 +176,8 @@ def digest(catches: DataFrame) -> DataFrame:
     """Digest rows: one header per exchange label with its count, then one line per catch.
 
     Lines are rows, not one collected text: an exchange may hold most of the catches.  Sort
-    by (label, line_kind, ticker, price_date) and write as text to get the message.
+    by (label, line_kind, ticker, price_date) and write as text to get the message.  Catches
+    are read twice, so pass a written table rather than a pending screen.
     """
     rows = catches.withColumn("_d", display_info(F.col("symbol")))
     lines = rows.select(

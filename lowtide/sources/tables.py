@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +71,15 @@ def ingest_wide(wide: DataFrame, source: str, **options) -> DataFrame:
 
 
 def read_catches(spark: SparkSession, path: str) -> DataFrame:
-    """Read back the catch log with its fixed columns; malformed lines are dropped."""
-    return (
-        spark.read.schema(schemas.CATCHES)
-        .option("header", True)
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
+    """Read back the catch log with its fixed columns; malformed lines are dropped, and a log
+    that cannot be read counts as empty."""
+    reader = (
+        spark.read.schema(schemas.CATCHES).option("header", True).option("mode", "DROPMALFORMED")
     )
+    try:
+        return reader.csv(path)
+    except AnalysisException:
+        return schemas.empty(spark, "catches")
 
 
 def clean_missing(df: DataFrame) -> DataFrame:

@@ -309,9 +309,7 @@ def usd_market_cap(fundamentals: DataFrame, fx: DataFrame) -> DataFrame:
     """Whole-dollar market cap from millions of local currency; flags a missing rate."""
     return (
         fundamentals.join(
-            F.broadcast(fx.withColumnRenamed("currency", "price_currency")),
-            "price_currency",
-            "left",
+            fx.withColumnRenamed("currency", "price_currency"), "price_currency", "left"
         )
         .withColumn("fx_missing", F.col("usd_rate").isNull())
         .withColumn(

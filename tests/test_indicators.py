@@ -129,7 +129,7 @@ def test_random_series(spark, cents, spread):
     check(spark, bars_frame({"R": rows}), year=20)
 
 
-def test_reference_series_is_no_double_bottom(spark):
+def test_stepwise_series_is_no_double_bottom(spark):
     closes = [100.0] * 10 + [95.0] * 5 + [98.0] * 5 + [94.0] * 5 + [97.0] * 5 + [96.0] * 5 + [102.0] * 5 + [105.0] * 10
     frame = bars_frame({"P": candles(closes)})
     flags = ind.with_double_bottom(spark.createDataFrame(frame, SCHEMA))

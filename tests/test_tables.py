@@ -112,6 +112,17 @@ def test_catch_rows_defaults(spark):
     assert rows(out, "ticker", "price", "volume", "usd_mcap", "reason") == [("A", 1.01, 7, 0.0, ""), ("UNKNOWN", 0.0, 0, 0.0, "")]
 
 
+def test_unreadable_catch_log_counts_as_empty(spark, tmp_path):
+    assert readers.read_catches(spark, str(tmp_path / "absent")).isEmpty()
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "part.csv").write_text(
+        "timestamp,ticker,price,volume,usd_mcap,pct_from_low,reason\n"
+        "2026-01-01T00:00:00.000,A,1.5,10,0.0,1.0,ok\n2026-01-01T00:00:00.000,B,oops,10,0.0,1.0,bad\n"
+    )
+    assert rows(readers.read_catches(spark, str(log)), "ticker", "price") == [("A", 1.5)]
+
+
 def test_freshness(spark):
     bars = spark.range(1)
     now = lambda *v: spark.createDataFrame([(x,) for x in v], "last_updated timestamp_ntz")
