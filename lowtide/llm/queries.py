@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lowtide.llm import minhash_dedup, packing, quality_rules, resharding, substring_dedup, token_counts, topk_search
+from lowtide.llm import html_extraction, minhash_dedup, packing, quality_classifier, quality_rules, resharding, substring_dedup, token_counts, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,11 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, paths their languages."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.judge(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
