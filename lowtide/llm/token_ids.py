@@ -1,6 +1,6 @@
 """Token ids of whole Arrow batches for tokenizers whose tokens never reach across white space.
 
-``WordIds`` keeps the ids of every word that a worker has met (bounded, then begun anew), so the
+``IdCache`` keeps the ids of every word that a worker has met (bounded, then begun anew), so the
 tokenizer itself sees each distinct word once.  This is exact for a lower-casing tokenizer that
 drops white space and cuts words at every change between letters and punctuation:
 
@@ -42,42 +42,26 @@ def load(path: str):
     return _TOKENIZERS[path]
 
 
-class WordIds:
-    def __init__(self, tokenizer, limit: int = CACHE_WORDS):
-        self.tokenizer, self.limit = tokenizer, limit
-        self.separator = tokenizer.token_to_id(SEPARATOR)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
-        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+class IdCache:
+    """Token ids of the distinct words that a worker has met, in one array.
+
+    ``new_ids`` gives the ids of words that are met for the first time."""
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        self.limit = limit
         self._clear()
 
+    def new_ids(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words in any order, all their ids, and where the ids of each end."""
+        raise NotImplementedError
+
     def _clear(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)  # of word k; the end is the start of k + 1
 
-    def _encoded(self, texts: list[str]) -> np.ndarray:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
-
     def _add(self, words: pa.Array) -> None:
-        """Ids of new words, many encoded at a time.  A word of letters alone is one run, so its
-        ids end with the one token that closes a word; between all others the special string is
-        put, whose id then separates them."""
-        letters = pc.match_substring_regex(words, "^[a-zà-öø-ÿ]+$")
-        letters = pc.and_(letters, pc.invert(pc.match_substring_regex(words, "^.{500}")))
-        plain, other = words.filter(letters), words.filter(pc.invert(letters))
-        texts = plain.to_pylist()
-        n = WORDS_AT_ONCE
-        ids = self._encoded([" ".join(texts[i : i + n]) for i in range(0, len(texts), n)])
-        ends = np.flatnonzero(self.last[ids]) + 1
-        texts = other.to_pylist()
-        # the string after each word, also the last of a text
-        more = self._encoded([SEPARATOR.join((*texts[i : i + n], "")) for i in range(0, len(texts), n)])
-        closed = more == self.separator
-        more_ends = len(ids) + np.cumsum(~closed)[closed]
-        ids, ends = np.concatenate((ids, more[~closed])), np.concatenate((ends, more_ends))
-        assert len(ends) == len(words), "the tokenizer splits words of letters"
+        words, ids, ends = self.new_ids(words)
         have, used = len(self.known), int(self.start[len(self.known)])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -85,7 +69,7 @@ class WordIds:
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
         self.flat[used : used + len(ids)] = ids
         self.start[have + 1 : have + len(words) + 1] = used + ends
-        self.known = pa.concat_arrays([self.known, plain, other])
+        self.known = pa.concat_arrays([self.known, words])
 
     def numbers(self, vocabulary: pa.Array) -> np.ndarray:
         """Number of every word of a vocabulary, each distinct."""
@@ -108,6 +92,40 @@ class WordIds:
         return self.flat[place], begin[words.offsets]
 
 
+class WordIds(IdCache):
+    def __init__(self, tokenizer, limit: int = CACHE_WORDS):
+        super().__init__(limit)
+        self.tokenizer = tokenizer
+        self.separator = tokenizer.token_to_id(SEPARATOR)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+
+    def new_ids(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """New words are encoded many at a time.  A word of letters alone is one run, so its
+        ids end with the one token that closes a word; between all others the special string is
+        put, whose id then separates them."""
+        letters = pc.match_substring_regex(words, "^[a-zà-öø-ÿ]+$")
+        letters = pc.and_(letters, pc.invert(pc.match_substring_regex(words, "^.{500}")))
+        plain, other = words.filter(letters), words.filter(pc.invert(letters))
+        texts = plain.to_pylist()
+        n = WORDS_AT_ONCE
+        ids = self._encoded([" ".join(texts[i : i + n]) for i in range(0, len(texts), n)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        texts = other.to_pylist()
+        # the string after each word, also the last of a text
+        more = self._encoded([SEPARATOR.join((*texts[i : i + n], "")) for i in range(0, len(texts), n)])
+        closed = more == self.separator
+        more_ends = len(ids) + np.cumsum(~closed)[closed]
+        ids, ends = np.concatenate((ids, more[~closed])), np.concatenate((ends, more_ends))
+        assert len(ends) == len(words), "the tokenizer splits words of letters"
+        return pa.concat_arrays([plain, other]), ids, ends
+
+
 def cut_words(texts: pa.Array) -> Words:
     """Lower-cased words with the punctuation after letters and digits cut off."""
     folded = pc.ascii_lower(texts)
