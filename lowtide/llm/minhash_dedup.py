@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lowtide.llm.graph import components
@@ -86,9 +86,9 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, node`` (name of the set, null if empty) and ``sig``."""
+    """Per row: ``doc_id``, digest of the text, ``n_shingles, node`` (name of the set, null if empty), ``sig``."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "node", "sig"]
+    names = ["doc_id", "digest", "n_shingles", "node", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -97,11 +97,15 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 n.append(len(s))
                 node.append(set_key(s) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            columns = [batch.column("_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
+            columns = [batch.column("_key"), batch.column("_digest"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"doc_id {kind}, n_shingles long, node long, sig binary"
-    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, digest long, n_shingles long, node long, sig binary"
+    return docs.select(docs[key].alias("_key"), _digest(docs[text]).alias("_digest"), docs[text].alias("_text")).mapInArrow(run, schema)
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -195,7 +199,7 @@ def _fits(small: str, large: str):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept`` and ``node``, its class."""
+    """One row per document: ``doc_id, n_shingles, component_id, kept`` and the digest of its text."""
     rows = written(signatures(docs, key, text), "signatures")
     found = rows.where("node IS NOT NULL").groupBy("node")
     classes = found.agg(
@@ -239,14 +243,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     return (
-        rows.select("doc_id", "n_shingles", "node")
+        rows.select("doc_id", "digest", "n_shingles", "node")
         .join(named, "node", "left")
         .select(
             F.col("doc_id").alias(key),
             "n_shingles",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-            "node",
+            "digest",
         )
     )
 
@@ -268,6 +272,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows that repeat a kept document's id and text stay too: they are the same document."""
     found = near_duplicates(docs, key, text).where("kept")
-    keep = found.select(F.col(key).alias("_keep"), F.col("node").alias("_node")).distinct()
-    shared = [c for c in docs.columns]
-    return docs.join(keep.select("_keep").distinct(), docs[key].eqNullSafe(F.col("_keep")), "left_semi").select(*shared)
+    keep = found.select(F.col(key).alias("_keep"), F.col("digest").alias("_kept_digest")).distinct()
+    same = docs[key].eqNullSafe(keep["_keep"]) & (_digest(docs[text]) == keep["_kept_digest"])
+    return docs.join(keep, same, "left_semi")

@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lowtide.llm import html_extraction, minhash_dedup, packing, quality_classifier, quality_rules, resharding, substring_dedup, token_counts, topk_search
+from lowtide.llm import (
+    html_extraction,
+    minhash_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    resharding,
+    sentence_pieces,
+    substring_dedup,
+    token_counts,
+    topk_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,7 +84,7 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USIN
 
 @query("op4_minhash_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 OP5_SQL = r"""
@@ -117,6 +128,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows, F.col("vec_id") % 100 == 0)
 
 
+@query("op7_sentence_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, w.word, w.place, text FROM (
