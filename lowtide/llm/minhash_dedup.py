@@ -6,16 +6,23 @@
    at least T of K coordinates share a pair among the first K - T + 1 of *any* common order of the
    pairs, so only this prefix is posted, rarest pairs first: long lists are skipped unless nearly
    the whole signature lies in long lists.
-3. Lists are merged in two steps, neither of which emits all pairs of a list.  First each member
-   meets the list's first member only; confirmed links give components.  Then only members of one
-   list that are still in *different* components meet.  A large group of near copies is therefore
-   linked by about as many pairs as it has members, and no link between components is lost.
-4. For a pair the agreeing coordinates are counted; at least T are asked for.  Pairs above it are
-   confirmed on their full sets, so every link is exact.  A pair at the similarity limit is missed
-   with the chance that it agrees in fewer than T = 42 of 64 coordinates: 3e-5 at 0.85, 3e-8 at 0.9.
-
-Components are found by alternating stars.  Nothing but counts reaches the driver, save the table
-of the most frequent pairs, which holds at most ``HOT_PAIRS`` entries at every size.
+3. The agreeing coordinates of pairs that meet are counted, and at least T are asked for.  Members
+   of lists of up to ``SHORT`` classes meet each other.  In longer lists each member meets the
+   class of the earliest document only.  Pairs with enough agreement are confirmed on their full
+   sets, and the links give components.
+4. Members of one long list may still lie in different components.  For those the set itself
+   serves as the signature: each shingle is a coordinate, and the prefix is the exact one that
+   Jaccard similarity asks for (the first shingles, rarest first, of which two similar sets of
+   these sizes must share one).  A member of a large group of near copies that is too far from the
+   others has a prefix of shingles of its own and meets nobody, so the work follows the members
+   and not their pairs, and no link between components is lost.
+
+Every link is exact.  A pair at the similarity limit is missed with the chance that it agrees in
+fewer than T = 42 of 64 coordinates: 3e-5 at 0.85, 3e-8 at 0.9.
+
+Components are found by alternating stars.  What reaches the driver has a fixed size: counts, the
+table of the most frequent pairs (at most ``HOT_PAIRS`` entries), a bitmap of wanted documents and
+a table of shingle frequencies (one byte for each of 2**TABLE_BITS slots).
 
 Defined results: a null text or one without words has an empty set and is linked with nothing;
 one of fewer than five words is one shingle; repeated rows are one class.  Rows without an id take
@@ -45,6 +52,12 @@ COORDINATES, AGREE = 64, 42
 PREFIX = COORDINATES - AGREE + 1
 #: most entries of the table of frequent pairs
 HOT_PAIRS = 1 << 17
+#: members of a list that all meet each other
+SHORT = 8
+#: slots of the table of shingle frequencies, and of the bitmap of wanted documents
+TABLE_BITS = 24
+#: ratio of neighbouring size classes
+SIZE_STEP = 1.02
 #: shingles hashed at once for a signature
 BLOCK = 1 << 14
 
@@ -135,7 +148,7 @@ def frequent_pairs(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``pair, node, n_shingles`` for the prefix of every class."""
+    """``pair, rep, node, n_shingles`` for the prefix of every class."""
     pairs, counts = frequent_pairs(classes)
     shared = classes.sparkSession.sparkContext.broadcast((pairs, counts))
 
@@ -150,10 +163,12 @@ def postings(classes: DataFrame) -> DataFrame:
             order = np.lexsort((mixed(name.astype(np.uint64)), times_of), axis=1)[:, :PREFIX]
             chosen = np.take_along_axis(name, order, axis=1)
             row = pa.array(np.repeat(np.arange(len(name)), PREFIX))
-            columns = [pa.array(chosen.ravel()), batch.column("node").take(row), batch.column("n_shingles").take(row)]
-            yield pa.RecordBatch.from_arrays(columns, names=["pair", "node", "n_shingles"])
+            rest = [batch.column(c).take(row) for c in ("rep", "node", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), *rest], names=["pair", "rep", "node", "n_shingles"])
 
-    return classes.select("node", "n_shingles", "sig").mapInArrow(run, "pair long, node long, n_shingles long")
+    kind = classes.schema["rep"].dataType.simpleString()
+    schema = f"pair long, rep {kind}, node long, n_shingles long"
+    return classes.select("rep", "node", "n_shingles", "sig").mapInArrow(run, schema)
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,15 +184,25 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, shingles`` of the wanted classes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
+    rows = texts.join(wanted.select("node").distinct(), "node", "left_semi")
+    return written(rows.mapInArrow(sets, "node long, shingles binary"), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -187,12 +212,150 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILARITY_PCT * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    full = written(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"), "sets")
     left = full.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
     right = full.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
 
 
+def _frequencies(full: DataFrame) -> np.ndarray:
+    """For each slot of the shingles' hashes, about 8 log2 of 1 + their number, in a byte."""
+    parts, size = 64, (1 << TABLE_BITS) // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            slot, n = np.unique((all_ >> np.uint64(64 - TABLE_BITS)).astype(np.uint32), return_counts=True)
+            part, begin = np.unique(slot // size, return_index=True)
+            ends = np.append(begin[1:], len(slot))
+            cut = lambda x, begin=begin, ends=ends: pa.array([x[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())
+            columns = [pa.array(part.astype(np.int32)), cut((slot % size).astype(np.uint32)), cut(n.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None  # rows come sorted by part
+
+        def done() -> pa.RecordBatch:
+            level = np.minimum(np.ceil(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
+
+        for batch in batches:
+            for p, place, n in zip(batch.column("part").to_pylist(), batch.column("place"), batch.column("n")):
+                if p != part:
+                    if part is not None:
+                        yield done()
+                    part, total = p, np.zeros(size, np.int64)
+                total[np.frombuffer(place.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.uint32)
+        if part is not None:
+            yield done()
+
+    counted = full.select("shingles").mapInArrow(count, "part int, place binary, n binary")
+    merged = counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, level binary")
+    table = np.zeros((parts, size), np.uint8)
+    for r in merged.collect():
+        table[r["part"]] = np.frombuffer(r["level"], np.uint8)
+    return table.ravel()
+
+
+def _least_overlap(x: int, y: int) -> int:
+    """Shingles that two sets of these sizes share at least if they are similar enough."""
+    return -(-SIMILARITY_PCT * (x + y) // (100 + SIMILARITY_PCT))
+
+
+def _size_class(n: int) -> int:
+    return int(np.log(n) / np.log(SIZE_STEP) + 1e-9)
+
+
+def _exact_postings(members: DataFrame) -> DataFrame:
+    """``shingle, size_class, probe, node, root, n, place`` of the exact prefixes.
+
+    A set lies under its own size class; it asks in each class of sets that are no larger and may
+    still be similar, with the prefix that the smallest size of the class allows."""
+    shared = members.sparkSession.sparkContext.broadcast(_frequencies(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        names = ["shingle", "size_class", "probe", "node", "root", "n", "place"]
+        once = int(np.ceil(8 * np.log2(2.0)))
+        for batch in batches:
+            out: list[tuple] = []
+            for node, root, raw in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                n, level = len(s), levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                longest = n - -(-SIMILARITY_PCT * n // 100) + 1
+                order = np.lexsort((s, level))[:longest]
+                # a shingle alone in its slot is in no other set, but it has its place
+                places = np.flatnonzero(level[order] > once)
+                if not len(places):
+                    continue
+                value = s[order].view(np.int64)[places].tolist()
+                places = places.tolist()
+                own = _size_class(n)
+                index = n - _least_overlap(n, n) + 1
+                out += [(v, own, False, node, root, n, p) for v, p in zip(value, places) if p < index]
+                for c in range(_size_class(max(1, -(-SIMILARITY_PCT * n // 100))) - 1, own + 1):
+                    smallest = max(int(np.floor(SIZE_STEP**c)), -(-SIMILARITY_PCT * n // 100))
+                    prefix = n - _least_overlap(n, smallest) + 1
+                    out += [(v, c, True, node, root, n, p) for v, p in zip(value, places) if p < prefix]
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    schema = "shingle long, size_class int, probe boolean, node long, root long, n long, place long"
+    return members.select("node", "root", "shingles").mapInArrow(run, schema)
+
+
+def _between_components(members: DataFrame) -> DataFrame:
+    """Pairs of members in different components that may be similar by the exact prefixes."""
+    posted = written(_exact_postings(members), "exact")
+    index = posted.where("NOT probe").select("shingle", "size_class", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "place")])
+    least = F.ceil(F.lit(SIMILARITY_PCT) * (F.col("n") + F.col("_n")) / F.lit(100 + SIMILARITY_PCT))
+    met = posted.where("probe").join(index, ["shingle", "size_class"])
+    met = met.where("root <> _root AND n >= _n AND (n > _n OR node > _node)")
+    met = met.where(F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) >= least)
+    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
+    """Bitmap of the hashes of the ids (column ``rep``), of fixed size."""
+    parts, size = 16, (1 << TABLE_BITS) // 16
+    slot = F.shiftrightunsigned(F.xxhash64("rep"), 64 - TABLE_BITS).cast("long")
+    rows = ids.select(slot.alias("slot")).distinct()
+    rows = rows.withColumn("part", F.floor(F.col("slot") / size).cast("int"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, slot = np.asarray(batch.column("part")), np.asarray(batch.column("slot"))
+            for p in np.unique(part).tolist():
+                bits.setdefault(p, np.zeros(size, bool))[slot[part == p] - p * size] = True
+        for p, b in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(b).tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((parts, size // 8), np.uint8)
+    for r in rows.repartition("part").select("part", "slot").mapInArrow(merge, "part int, bits binary").collect():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, text`` of the wanted classes (columns ``rep, node``), one row each.
+
+    A bitmap keeps most other documents out of the shuffle; the join is what decides."""
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
+    kind = docs.schema[key].dataType.simpleString()
+    slot = F.shiftrightunsigned(F.xxhash64(docs[key]), 64 - TABLE_BITS).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("slot"), dtype=np.int64)
+            keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+            yield batch.filter(pa.array(keep)).select(["rep", "text"])
+
+    body = docs.select(docs[key].alias("rep"), docs[text].alias("text"), slot.alias("slot"))
+    body = body.where("rep IS NOT NULL").mapInArrow(run, f"rep {kind}, text string")
+    return written(_own_text(body.join(ids, "rep").select("node", "text")), "texts")
+
+
 def _fits(small: str, large: str):
     """Whether the sizes of two sets allow the similarity."""
     return F.least(small, large) * 100 >= F.greatest(small, large) * SIMILARITY_PCT
@@ -209,33 +372,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     posted = postings(classes.where("rep IS NOT NULL"))
     lists = (
         posted.groupBy("pair")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "n_shingles")).alias("first"))
-        .where("_n > 1")
+        .agg(
+            F.count(F.lit(1)).alias("members"),
+            F.min(F.struct("rep", "node", "n_shingles")).alias("first"),
+            F.min("n_shingles").alias("_least"),
+            F.max("n_shingles").alias("_most"),
+        )
+        .where("members > 1")
+        .where((F.col("members") > 2) | _fits("_least", "_most"))
+        .drop("_least", "_most")
     )
-    posted = posted.join(lists.drop("_n"), "pair")
-    posted = written(posted.select("pair", "node", "n_shingles", "first"), "postings")
-
-    # the texts of all posted classes, fetched once for both steps
-    fetched = posted.select("node").distinct().join(classes.select("node", "rep"), "node")
-    body = docs.select(docs[key].alias("rep"), docs[text].alias("text"))
-    texts = body.join(fetched, "rep").select("node", "text")
-    texts = written(_own_text(texts), "texts")
-
-    stars = posted.where("node <> first.node").where(_fits("n_shingles", "first.n_shingles"))
-    stars = stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(written(_agreeing(stars, classes), "agreeing"), texts), "links")
+    posted = written(posted.drop("rep").join(lists, "pair"), "postings")
+
+    short = posted.where(F.col("members") <= SHORT).select("pair", F.col("node").alias("a"), "n_shingles")
+    other = short.select("pair", F.col("a").alias("b"), F.col("n_shingles").alias("_size"))
+    met = short.join(other, "pair").where("a < b").where(_fits("n_shingles", "_size")).select("a", "b")
+    long = posted.where(F.col("members") > SHORT)
+    stars = long.where("node <> first.node").where(_fits("n_shingles", "first.n_shingles"))
+    stars = stars.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b"))
+    found = written(_agreeing(met.union(stars).distinct(), classes), "agreeing")
+
+    # the texts of all classes whose sets may be asked for, fetched once
+    members = long.select("node").distinct()
+    ends = _ends(found)
+    texts = _fetched(docs, ends.union(members).distinct().join(classes.select("node", "rep"), "node"), key, text)
+    links = written(_confirmed(found, _sets(texts, ends)), "links")
     roots = components(links)
 
-    apart = posted.join(roots, "node", "left").select(
-        "pair", "node", "n_shingles", F.coalesce("root", "node").alias("root")
-    )
+    apart = long.select("pair", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = apart.groupBy("pair").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    apart = written(apart.join(mixed_lists.select("pair"), "pair", "left_semi"), "apart")
-    other = apart.select("pair", F.col("node").alias("b"), F.col("n_shingles").alias("_size"), F.col("root").alias("_root"))
-    met = apart.withColumnRenamed("node", "a").join(other, "pair").where("a < b AND root <> _root")
-    met = met.where(_fits("n_shingles", "_size")).select("a", "b").distinct()
-    late = _confirmed(written(_agreeing(met, classes), "agreeing"), texts)
-    links = written(links.union(late), "links")
+    apart = apart.join(mixed_lists.select("pair"), "pair", "left_semi").select("node", "root").distinct()
+    full = _sets(texts, apart)
+    late = written(_between_components(full.join(apart, "node")), "late")
+    links = written(links.union(_confirmed(late, full)), "links")
     roots = components(links)
 
     named = classes.select("node", "rep").join(roots, "node", "left")
