@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lowtide.llm.bitmaps import bitmap, kept
 from lowtide.llm.graph import components
 from lowtide.llm.storage import written
 from lowtide.llm.text import hashes, mixed, rolling, slices, split_words, strings
@@ -54,7 +55,7 @@ PREFIX = COORDINATES - AGREE + 1
 HOT_PAIRS = 1 << 17
 #: members of a list that all meet each other
 SHORT = 8
-#: slots of the table of shingle frequencies, and of the bitmap of wanted documents
+#: slots of the table of shingle frequencies
 TABLE_BITS = 24
 #: ratio of neighbouring size classes
 SIZE_STEP = 1.02
@@ -315,44 +316,12 @@ def _between_components(members: DataFrame) -> DataFrame:
     return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
-def _wanted_bits(ids: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes of the ids (column ``rep``), of fixed size."""
-    parts, size = 16, (1 << TABLE_BITS) // 16
-    slot = F.shiftrightunsigned(F.xxhash64("rep"), 64 - TABLE_BITS).cast("long")
-    rows = ids.select(slot.alias("slot")).distinct()
-    rows = rows.withColumn("part", F.floor(F.col("slot") / size).cast("int"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, slot = np.asarray(batch.column("part")), np.asarray(batch.column("slot"))
-            for p in np.unique(part).tolist():
-                bits.setdefault(p, np.zeros(size, bool))[slot[part == p] - p * size] = True
-        for p, b in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(b).tobytes()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros((parts, size // 8), np.uint8)
-    for r in rows.repartition("part").select("part", "slot").mapInArrow(merge, "part int, bits binary").collect():
-        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """``node, text`` of the wanted classes (columns ``rep, node``), one row each.
 
     A bitmap keeps most other documents out of the shuffle; the join is what decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(ids))
-    kind = docs.schema[key].dataType.simpleString()
-    slot = F.shiftrightunsigned(F.xxhash64(docs[key]), 64 - TABLE_BITS).cast("long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column("slot"), dtype=np.int64)
-            keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            yield batch.filter(pa.array(keep)).select(["rep", "text"])
-
-    body = docs.select(docs[key].alias("rep"), docs[text].alias("text"), slot.alias("slot"))
-    body = body.where("rep IS NOT NULL").mapInArrow(run, f"rep {kind}, text string")
+    body = docs.select(docs[key].alias("rep"), docs[text].alias("text")).where("rep IS NOT NULL")
+    body = kept(body, F.xxhash64("rep"), bitmap(ids, F.xxhash64("rep")))
     return written(_own_text(body.join(ids, "rep").select("node", "text")), "texts")
 
 

@@ -5,20 +5,24 @@ document of smaller id, or earlier in the same document.  Windows are judged on
 
 The reference of a window is every earlier window, so the reference is the corpus itself and no
 broadcast of its automata has a bound.  It is therefore cut into shards by content: a window's
-shard is the hash of its *anchor*, the 5-word gram of least hash in it (the leftmost of equals).
+shard is the hash of its *anchor*, the 8-word gram of least hash in it (the leftmost of equals).
 Equal windows have equal anchors and meet in one shard; consecutive windows with one anchor
 travel together as one block of text.
 
-1. A pass over the documents counts anchors in a table of fixed size (2**SKETCH_BITS slots).  Two
+1. Of documents with equal texts only the first goes on; all words of the others lie in windows of
+   the first (if there is a window at all).  They are found by digests, combined before the
+   shuffle, however many there are.
+2. A pass over the documents counts anchors in a table of fixed size (2**SKETCH_BITS slots).  Two
    bitmaps of it are broadcast: slots met twice or more, and slots met so often that the anchor is
    hot.  A bitmap has 2**SKETCH_BITS / 8 bytes at every size of the input.
-2. A second pass keeps the blocks whose slot was met twice.  Equal blocks of one batch are
+3. A second pass keeps the blocks whose slot was met twice.  Equal blocks of one batch are
    combined, so a passage with very many copies is sent once a batch.  The windows of hot anchors
    are sent one by one under their own hash, as such an anchor may have very many contexts.
-3. In each shard blocks come in order of (document, start).  A suffix automaton of the blocks so
+4. In each shard blocks come in order of (document, start).  A suffix automaton of the blocks so
    far is streamed over with the next one: where the matching statistic reaches ``SPAN`` words,
    the window that ends there has been met.  A block that brings new windows is added.
-4. The maximal spans of each document are joined to it and cut out.
+5. The maximal spans of each document are joined to it and cut out.  Documents without any are
+   kept out of that shuffle by a bitmap of fixed size.
 
 The order of rows is (id, digest of the text, start): rows that repeat both are one document and
 lose the same words, rows that share an id alone are taken as different documents.  A null id
@@ -38,15 +42,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lowtide.llm.bitmaps import bitmap, held, kept
+from lowtide.llm.storage import written
 from lowtide.llm.text import Words, hashes, mixed, owners, rolling, slices, split_words, strings, window_starts
 
 SPAN = 20
-ANCHOR = 5
+ANCHOR = 8
 SKETCH_BITS = 27
 SLICE_BITS = 21
 #: an anchor is hot from this count, and from this many times the mean count of a slot
 HOT_COUNT, HOT_TIMES = 256, 64
 LAST_ID = (1 << 63) - 1
+#: text bytes handled at once
+SLICE = 4_000_000
 
 
 class SuffixAutomaton:
@@ -141,21 +149,45 @@ def _slots(anchor: np.ndarray) -> np.ndarray:
     return (anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _doc(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(LAST_ID))
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Order of the document, digest of its text, and the text."""
+    """Order of the document, two digests of its text, and the text."""
+    body = F.coalesce(docs[text], F.lit(""))
     return docs.select(
-        F.coalesce(docs[key].cast("long"), F.lit(LAST_ID)).alias("_doc"),
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("_digest"),
+        _doc(docs[key]).alias("_doc"),
+        _digest(docs[text]).alias("_digest"),
+        F.xxhash64(F.lit("second"), body).alias("_other"),
         docs[text].alias("_text"),
     )
 
 
+def _first_texts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents without later copies of whole texts, and those copies (``doc, digest``)."""
+    names = keyed.select("_doc", "_digest", "_other")
+    again = names.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = bitmap(again, F.col("_digest"))
+    some = kept(keyed, F.col("_digest"), bits).groupBy("_digest", "_other")
+    firsts = written(some.agg(F.min("_doc").alias("_doc"), F.first("_text").alias("_text")), "firsts")
+    others = kept(keyed, F.col("_digest"), bits, inside=False)
+    unique = others.select("_doc", "_digest", "_text").union(firsts.select("_doc", "_digest", "_text"))
+    first = firsts.select("_digest", "_other", F.col("_doc").alias("_first"))
+    copies = kept(names, F.col("_digest"), bits).join(first, ["_digest", "_other"]).where("_doc > _first")
+    return unique, copies.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")).distinct()
+
+
 def anchor_bitmaps(keyed: DataFrame, hot_count: int = HOT_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the slots met at least twice and of the hot ones, 2**SKETCH_BITS bits each."""
     slice_size = 1 << SLICE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             words = split_words(strings(batch.column("_text")))
             slot, n = np.unique(_slots(anchored(_word_hashes(words), words.offsets)[0]), return_counts=True)
             part, begin = np.unique(slot >> SLICE_BITS, return_index=True)
@@ -207,10 +239,6 @@ def anchor_bitmaps(keyed: DataFrame, hot_count: int = HOT_COUNT) -> tuple[np.nda
     return twice.ravel(), np.packbits(hot)
 
 
-def _bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-
-
 def _joined(words: Words) -> tuple[bytes, np.ndarray]:
     """All words with a space after each, and where each begins."""
     size = np.asarray(pc.binary_length(words.values), dtype=np.int64) + 1
@@ -231,16 +259,16 @@ def blocks(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, hot = shared.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             words = split_words(strings(batch.column("_text")))
             word = _word_hashes(words)
             anchor, start, n = anchored(word, words.offsets)
             slot = _slots(anchor)
-            keep = _bit(twice, slot)
+            keep = held(twice, slot)
             anchor, start, n, slot = anchor[keep], start[keep], n[keep], slot[keep]
             if not len(start):
                 continue
-            single = _bit(hot, slot)
+            single = held(hot, slot)
             if single.any():  # each window of a hot anchor on its own
                 each = n[single]
                 places = np.repeat(start[single] - (np.cumsum(each) - each), each) + np.arange(each.sum())
@@ -307,7 +335,7 @@ class Shard:
 
 
 def repeated_spans(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
-    """``doc, digest, spans``: word spans to remove of each document that has any."""
+    """``doc, digest, spans``: word spans to remove; each document has any number of such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route, shard, last, last_met = None, None, None, []
@@ -336,17 +364,25 @@ def repeated_spans(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
                 )
 
     ordered = blocks(keyed, hot_count).repartition("route").sortWithinPartitions("route", "doc", "digest", "start")
-    found = ordered.mapInArrow(run, "doc long, digest long, spans binary")
-    return found.groupBy("doc", "digest").agg(F.collect_list("spans").alias("_spans"))
+    return ordered.mapInArrow(run, "doc long, digest long, spans binary")
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents, all columns, with the packed spans that go."""
-    spans = repeated_spans(_keyed(docs, key, text))
-    doc: Column = F.coalesce(docs[key].cast("long"), F.lit(LAST_ID))
-    digest: Column = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    """The documents, all columns, with the packed spans that go (an empty one: all words)."""
+    unique, copies = _first_texts(_keyed(docs, key, text))
+    every = copies.withColumn("spans", F.lit(b""))
+    spans = written(repeated_spans(unique).union(every), "spans")
+    name = F.xxhash64("doc", "digest")
+    bits = bitmap(spans, name)
+    spans = spans.groupBy("doc", "digest").agg(F.collect_list("spans").alias("_spans"))
     spans = spans.withColumnsRenamed({"doc": "_span_doc", "digest": "_span_digest"})
-    return docs.join(spans, (doc == F.col("_span_doc")) & (digest == F.col("_span_digest")), "left").drop("_span_doc", "_span_digest")
+    doc, digest = _doc(docs[key]), _digest(docs[text])
+    without = kept(docs, F.xxhash64(doc, digest), bits, inside=False)
+    some = kept(docs, F.xxhash64(doc, digest), bits)
+    doc, digest = _doc(some[key]), _digest(some[text])
+    joined = some.join(spans, (doc == F.col("_span_doc")) & (digest == F.col("_span_digest")), "left")
+    joined = joined.drop("_span_doc", "_span_digest")
+    return joined.unionByName(without.withColumn("_spans", F.lit(None).cast("array<binary>")))
 
 
 def _gone(batch: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -355,7 +391,11 @@ def _gone(batch: pa.RecordBatch, words: Words) -> np.ndarray:
     column = batch.column("_spans")
     steps = np.zeros(total + 1, np.int64)
     for i in np.flatnonzero(np.asarray(column.is_valid())):
-        spans = np.frombuffer(b"".join(column[int(i)].as_py()), np.int64).reshape(-1, 2) + words.offsets[i]
+        parts = column[int(i)].as_py()
+        if b"" in parts:  # a copy of a whole text: all words, if they make a window
+            n = words.offsets[i + 1] - words.offsets[i]
+            parts = [np.array([0, n], np.int64).tobytes()] if n >= SPAN else []
+        spans = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2) + words.offsets[i]
         np.add.at(steps, spans[:, 0], 1)
         np.add.at(steps, spans[:, 1], -1)
     return np.cumsum(steps)[:total] > 0
@@ -367,7 +407,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     names = [key, "n_words", "n_removed", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_body"):
+        for batch in slices(batches, "_body", SLICE):
             words = split_words(strings(batch.column("_body")))
             gone = _gone(batch, words)
             kept = np.concatenate(([0], np.cumsum(~gone)))[words.offsets]
@@ -396,18 +436,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
             words = split_words(strings(batch.column(text)))
             gone = _gone(batch, words)
             hit = np.flatnonzero(np.asarray(batch.column("_spans").is_valid()))
-            new, left = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+            new, left, cut = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for i in hit.tolist():
                 own = gone[words.offsets[i] : words.offsets[i + 1]]
-                body = new[i].encode()
-                head = body[: len(body) - len(body.lstrip(b" \t\n\x0b\x0c\r"))]
-                parts = [w for w, out in zip(_WORD.findall(body), own) if not out]
-                new[i], left[i] = (head + b"".join(parts)).decode(), bool(parts)
+                if own.any():
+                    body = new[i].encode()
+                    head = body[: len(body) - len(body.lstrip(b" \t\n\x0b\x0c\r"))]
+                    parts = [w for w, out in zip(_WORD.findall(body), own) if not out]
+                    new[i], left[i], cut[i] = (head + b"".join(parts)).decode(), bool(parts), True
             out = pa.array(new, batch.column(text).type)
             columns = [out if c == text else batch.column(c) for c in names]
             if chars in names:
                 at = names.index(chars)
-                columns[at] = pc.if_else(batch.column("_spans").is_valid(), pc.utf8_length(out).cast(columns[at].type), columns[at])
+                columns[at] = pc.if_else(pa.array(cut), pc.utf8_length(out).cast(columns[at].type), columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(left))
 
     return _marked(docs, key, text).mapInArrow(run, docs.schema)
