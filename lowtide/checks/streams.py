@@ -11,9 +11,18 @@ from lowtide.sources import benchmark_tables as tables
 from lowtide.streaming import quotes as streaming
 
 
-def events_stream(spark, sf):
-    schema = tables.load(spark, sf, "events").schema
-    return streaming.parquet_stream(spark, sf, schema, pattern="events.parquet")
+BATCHES = 4
+
+
+def events_stream(spark, sf, in_order=True):
+    """The events as four files that become a micro-batch each, by ranges of their ids or mixed."""
+    events = tables.load(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    number = F.floor(F.col("event_id") * BATCHES / (last + 1)) if in_order else F.col("event_id") % BATCHES
+    folder = run_folder(spark, "arrivals")
+    for i in range(BATCHES):  # one after the other, as the stream takes files by their age
+        events.filter(number == i).coalesce(1).write.mode("append").parquet(folder)
+    return streaming.parquet_stream(spark, folder, events.schema, files_per_batch=1)
 
 
 def quotes_stream(spark, sf):
@@ -37,7 +46,8 @@ def stream_latest_quote(spark, sf):
             quotes_stream(spark, sf), f"{folder}/table", f"{folder}/checkpoint", tie_break=["event_id"]
         )
     )
-    return streaming.read_state(spark, f"{folder}/table").select(COLUMNS.split(", "))
+    state = streaming.read_state(spark, f"{folder}/table", ["ticker"], "last_updated", ["event_id"])
+    return state.select(COLUMNS.split(", "))
 
 
 @query("stream_latest_state", "T-2", sql("latest", f"SELECT {COLUMNS} FROM latest"))
@@ -45,11 +55,11 @@ def stream_latest_state(spark, sf):
     folder = run_folder(spark, "state")
     newest = streaming.latest_quotes_state(quotes_stream(spark, sf), ["last_updated", "event_id"])
     _finish(
-        streaming.to_versions(
+        streaming.to_changes(
             newest, f"{folder}/table", f"{folder}/checkpoint", ["ticker"], "last_updated"
         )
     )
-    return streaming.read_state(spark, f"{folder}/table").select(COLUMNS.split(", "))
+    return streaming.read_state(spark, f"{folder}/table", ["ticker"], "last_updated").select(COLUMNS.split(", "))
 
 
 @query(
@@ -65,7 +75,7 @@ def stream_without_duplicates(spark, sf):
     copies = parse_quotes(quotes_stream(spark, sf)).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.lit(3)))
     )
-    unique = streaming.without_duplicates(copies, ["ticker", "last_updated"], salts=4)
+    unique = streaming.without_duplicates(copies, ["ticker", "last_updated"])
     _finish(streaming.to_parquet(unique, f"{folder}/table", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/table").select(
         "ticker", "last_price", "volume", "last_updated"
@@ -115,11 +125,36 @@ def stream_daily_bars(spark, sf):
     folder = run_folder(spark, "bars")
     bars = streaming.daily_bars(parse_quotes(quotes_stream(spark, sf)), ["last_updated", "event_id"])
     _finish(
-        streaming.to_versions(
+        streaming.to_changes(
             bars, f"{folder}/table", f"{folder}/checkpoint", ["ticker", "price_date"], "price_date"
         )
     )
-    return streaming.read_state(spark, f"{folder}/table")
+    return streaming.read_state(spark, f"{folder}/table", ["ticker", "price_date"], "price_date")
+
+
+@query(
+    "stream_late_rows",
+    "T-3",
+    sql(
+        "quotes",
+        f"""SELECT CAST(batch AS BIGINT) AS batch,
+                   CAST(count(*) FILTER (last_updated <= (SELECT date_trunc('millisecond', max(newest)) - INTERVAL 1 HOUR
+                                                          FROM seen WHERE seen.batch < arrived.batch - 1)) AS BIGINT) AS late_rows
+            FROM arrived GROUP BY batch""",
+        f"""arrived AS (SELECT event_id % {BATCHES} AS batch, last_updated FROM quotes),
+            seen AS (SELECT batch, max(last_updated) AS newest FROM arrived GROUP BY batch)""",
+    ),
+)
+def stream_late_rows(spark, sf):
+    """Rows of each batch that came too late for the duplicate check.  A batch is judged by the
+    watermark that the batch before the last one left."""
+    from lowtide.sources.json_docs import parse_quotes
+
+    folder = run_folder(spark, "late")
+    unique = streaming.without_duplicates(parse_quotes(tables.raw_quotes_of(events_stream(spark, sf, in_order=False))), ["event_id"], salts=1)
+    running = streaming.to_parquet(unique, f"{folder}/table", f"{folder}/checkpoint")
+    _finish(running)
+    return streaming.late_rows(running).filter("input_rows > 0").select("batch", "late_rows")
 
 
 @query(

@@ -2,12 +2,15 @@
 
 State is kept per ticker (newest quote), per ticker and day (open bar) or per recent key
 (duplicates), never per event.  Aggregates combine within each task before the state store
-sees them, so a hot ticker costs one update per task and batch.  Sinks are versioned by
-batch id: a batch that is run again after a failure writes the same version again.
+sees them, so a hot ticker costs one update per task and batch.  Sinks write one change folder
+per batch: what a batch costs follows the batch, and one that is run again after a failure
+writes the same folder again.
 """
 
 from __future__ import annotations
 
+import time as _clock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -15,7 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from lowtide.criteria import Criteria
 from lowtide.functions.times import utc_instant, utc_wall_clock
 from lowtide.operators.bars import bar_aggregates
-from lowtide.operators.merge import guarded_upsert
+from lowtide.operators.indicators import latest_per_key
 from lowtide.operators.screen import screen
 from lowtide.sources.json_docs import parse_quotes
 
@@ -41,50 +44,84 @@ def with_cadence(writer: DataStreamWriter, every: str | None = None) -> DataStre
     return writer.trigger(processingTime=every)
 
 
-# --- versioned state tables -----------------------------------------------------------------
+# --- change tables ---------------------------------------------------------------------------
+#
+# {path}/changes/run=<query id>/batch=<number>/   rows of one micro-batch, newest per key
+# {path}/commits/                                 one row per finished batch
+#
+# A batch writes what it brings, however large the table is.  The query id is kept in the
+# checkpoint, so a batch that runs again overwrites its own folder, and a new checkpoint begins
+# a new run beside the old ones.  A reader takes the committed batches and the newest row per key.
+
+COMMITS = "run string, batch bigint, seq bigint, covers bigint"
+
+
+def _commit(spark: SparkSession, path: str, run: str, number: int, seq: int, covers: int = -1) -> None:
+    row = spark.range(1).select(
+        F.lit(run).alias("run"),
+        F.lit(number).cast("bigint").alias("batch"),
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.lit(covers).cast("bigint").alias("covers"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
-def _version(path: str, number: int) -> str:
-    return f"{path}/version={number:010d}"
+def _committed(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that count: one row each, without those that a compaction covers."""
+    rows = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    rows = rows.groupBy("run", "batch").agg(F.max("seq").alias("seq"), F.max("covers").alias("covers"))
+    covered = rows.agg(F.max("covers").alias("until"))
+    rows = rows.join(F.broadcast(covered)).filter((F.col("seq") > F.col("until")) | (F.col("covers") == F.col("until")))
+    return rows.select("run", "batch", "seq")
 
 
-def upsert_sink(path: str, keys: list[str], time: str, tie_break: list[str] | None = None):
-    """foreachBatch function: new version = previous version upserted with the batch."""
+def change_sink(path: str, keys: list[str], time: str, tie_break: list[str] | None = None):
+    """foreachBatch function: the batch, reduced to the newest row per key, as a change folder."""
 
-    def write(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int, run: str | None = None) -> None:
         spark = batch.sparkSession
-        if number > 0:
-            before = spark.read.parquet(_version(path, number - 1))
-            state = guarded_upsert(before, batch, keys, time, tie_break)
-        else:
-            # the same de-duplication within the first batch
-            state = guarded_upsert(batch.limit(0), batch, keys, time, tie_break)
-        state.write.mode("overwrite").parquet(_version(path, number))
-        # the previous version stays until the batch after this one has been committed
-        _folder(spark, _version(path, number - 2)).drop()
+        run = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        seq = _clock.time_ns()
+        rows = latest_per_key(batch, keys, [time, *(tie_break or [])])
+        folder = f"{path}/changes/run={run}/batch={number}"
+        rows.withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(folder)
+        _commit(spark, path, run, number, seq)
 
     return write
 
 
-class _folder:
-    """A folder on whatever file system its path names."""
+def read_state(
+    spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None
+) -> DataFrame:
+    """Newest row per key over all committed batches; on equal times the later batch wins."""
+    changes = spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes")
+    counted = _committed(spark, path).select("run", F.col("batch").alias("batch"))
+    rows = changes.join(F.broadcast(counted), ["run", "batch"], "left_semi")
+    return latest_per_key(rows, keys, [time, "_seq", *(tie_break or [])]).drop("run", "batch", "_seq")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def drop(self) -> None:
-        if self.files.exists(self.path):
-            self.files.delete(self.path, True)
+def compact(spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None) -> None:
+    """Write the present state as one folder that covers all batches committed so far.
 
-    def subfolders(self) -> list[str]:
-        found = self.files.listStatus(self.path)
-        return sorted(s.getPath().toString() for s in found if s.isDirectory())
+    Runs beside the stream: batches that are committed meanwhile have later numbers and stay.  The
+    covered folders are no longer read; a storage clean-up may delete them."""
+    until = _committed(spark, path).agg(F.max("seq").alias("until")).first()["until"]
+    state = read_state(spark, path, keys, time, tie_break)
+    run = f"base-{until}"
+    state.withColumn("_seq", F.lit(until)).write.mode("overwrite").parquet(f"{path}/changes/run={run}/batch=0")
+    _commit(spark, path, run, 0, until, covers=until)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; only folder names are listed."""
-    return spark.read.parquet(_folder(spark, path).subfolders()[-1])
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """Rows that came in and rows that were dropped as too late, for each batch of a query that
+    is still known to the session."""
+    rows = [
+        (p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]))
+        for p in query.recentProgress
+    ]
+    found = SparkSession.active().createDataFrame(rows, "batch bigint, input_rows bigint, late_rows bigint")
+    # a trigger without data may report a batch number again
+    return found.groupBy("batch").agg(F.max("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -93,10 +130,9 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 def latest_quotes_batches(
     quotes: DataFrame, path: str, checkpoint: str, every: str | None = None, **options
 ) -> StreamingQuery:
-    """Micro-batch flatten into a versioned table: newest quote per ticker, ties to the
-    incoming row."""
+    """Micro-batch flatten into a change table: newest quote per ticker, ties to the incoming row."""
     writer = parse_quotes(quotes).writeStream.foreachBatch(
-        upsert_sink(path, ["ticker"], "last_updated", **options)
+        change_sink(path, ["ticker"], "last_updated", **options)
     )
     return with_cadence(writer.option("checkpointLocation", checkpoint), every).start()
 
@@ -123,12 +159,12 @@ def without_duplicates(
     keys: list[str],
     time: str = "last_updated",
     lateness: str = "1 hour",
-    salts: int = 1,
+    salts: int = 8,
 ) -> DataFrame:
     """Drop repeats that arrive within the lateness; state is forgotten after it.
 
-    When one group of copies may be very large, ``salts`` > 1 first drops repeats within
-    each of that many slices of the input, so the final pass sees at most ``salts`` copies.
+    A group of copies may be very large, so repeats are first dropped within each of ``salts``
+    slices of the input; the final pass sees at most that many copies (1: no slices).
     """
     unique = within_lateness(quotes, time, lateness)
     if salts > 1:
@@ -147,12 +183,10 @@ def silent_periods(
     """Freshness monitor: per ticker, the periods of activity that ended with a silence
     longer than the gap.  A period is emitted once the watermark passes its end.
 
-    Sessions are merged within each input partition before the shuffle, so a ticker with very
-    many quotes ships one row per partition and period.
+    The session should merge sessions within each input partition before the shuffle
+    (``lowtide.session.SETTINGS`` does), so that a ticker with very many quotes ships one row per
+    partition and period; the result is the same without.
     """
-    quotes.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     active = within_lateness(quotes, time, lateness).groupBy(
         "ticker", F.session_window(time, gap).alias("s")
     )
@@ -183,24 +217,42 @@ def daily_bars(
     )
 
 
-def screened_quotes(quotes: DataFrame, fundamentals: DataFrame, criteria: Criteria) -> DataFrame:
-    """Enrich a stream of quotes with the stored fundamentals and screen it.
+def screened_quotes(
+    quotes: DataFrame, fundamentals: DataFrame, criteria: Criteria, features: DataFrame | None = None
+) -> DataFrame:
+    """Enrich a stream of quotes with the stored fundamentals and rolling features, and screen it.
 
-    The static side is left to Catalyst: broadcast while it is small, else sort-merged.
+    ``features`` has the stored rolling values per ticker; a quote's RVOL is its own volume over
+    the stored 20-day average.  Without them RVOL counts as 1.  Caps are whole dollars.  The static
+    sides are left to Catalyst: broadcast while they are small, else sort-merged.
     """
     known = fundamentals.select(
         "ticker",
         F.col("xml_52w_low").alias("low_52w"),
         F.col("xml_52w_high").alias("high_52w"),
-        (F.coalesce(F.col("mkt_cap_usd"), F.lit(0.0)) / 1e9).alias("usd_mcap"),
+        F.coalesce(F.col("mkt_cap_usd"), F.lit(0.0)).alias("usd_mcap"),
     )
     rows = (
         parse_quotes(quotes)
         .join(known, "ticker", "left")
         .withColumnsRenamed({"ticker": "symbol", "last_price": "price", "last_updated": "time"})
-        .withColumn("rvol", F.lit(1.0))
     )
-    return screen(rows, criteria)
+    if features is None:
+        return screen(rows.withColumn("rvol", F.lit(1.0)), criteria)
+    stored = features.select(
+        F.col("ticker").alias("symbol"),
+        "avg_volume_20d",
+        "days_since_low",
+        "rsi",
+        "price_vs_sma50_pct",
+        "sma50_vs_sma200_pct",
+        "atr_pct",
+    )
+    usual = F.col("avg_volume_20d")
+    rows = rows.join(stored, "symbol", "left")
+    return screen(
+        rows.withColumn("rvol", F.when(usual > 0, F.col("volume") / usual).otherwise(F.lit(1.0))), criteria
+    )
 
 
 def to_parquet(
@@ -215,7 +267,7 @@ def to_parquet(
     return with_cadence(writer, every).start()
 
 
-def to_versions(
+def to_changes(
     stream: DataFrame,
     path: str,
     checkpoint: str,
@@ -223,10 +275,10 @@ def to_versions(
     time: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Updated rows of a stateful stream into a versioned table, one row per key."""
+    """Updated rows of a stateful stream into a change table, read as one row per key."""
     writer = (
         stream.writeStream.outputMode("update")
-        .foreachBatch(upsert_sink(path, keys, time))
+        .foreachBatch(change_sink(path, keys, time))
         .option("checkpointLocation", checkpoint)
     )
     return with_cadence(writer, every).start()

@@ -57,32 +57,71 @@ def test_latest_quote_by_batches_and_by_state(spark, shuffled):
     want = rows(json_docs.latest_quotes(everything, ["seq"]), "ticker", "last_price", "last_updated")
     out = run_folder(spark, "out")
     streaming.latest_quotes_batches(stream(spark, shuffled), f"{out}/a", f"{out}/ca", tie_break=["seq"]).awaitTermination()
-    assert rows(streaming.read_state(spark, f"{out}/a"), "ticker", "last_price", "last_updated") == want
+    assert rows(streaming.read_state(spark, f"{out}/a", ["ticker"], "last_updated", ["seq"]), "ticker", "last_price", "last_updated") == want
     newest = streaming.latest_quotes_state(stream(spark, shuffled), ["last_updated", "seq"])
-    streaming.to_versions(newest, f"{out}/b", f"{out}/cb", ["ticker"], "last_updated").awaitTermination()
-    assert rows(streaming.read_state(spark, f"{out}/b"), "ticker", "last_price", "last_updated") == want
+    streaming.to_changes(newest, f"{out}/b", f"{out}/cb", ["ticker"], "last_updated").awaitTermination()
+    assert rows(streaming.read_state(spark, f"{out}/b", ["ticker"], "last_updated"), "ticker", "last_price", "last_updated") == want
 
 
-def test_restart_continues_and_old_versions_go(spark):
+STATE = (["ticker"], "last_updated")
+
+
+def test_restart_continues_and_a_new_checkpoint_adds(spark):
     folder, out = run_folder(spark, "arrivals"), run_folder(spark, "out")
-    run = lambda: streaming.latest_quotes_batches(stream(spark, folder), f"{out}/t", f"{out}/c").awaitTermination()
-    for step in range(4):
+    run = lambda c: streaming.latest_quotes_batches(stream(spark, folder), f"{out}/t", f"{out}/{c}").awaitTermination()
+    for step in range(3):
         land(spark, folder, [[quote(step, step * 10, "A"), quote(90, 5 - step, "B", 7.0 + step)]])
-        run()
-    state = streaming.read_state(spark, f"{out}/t")
-    assert rows(state, "ticker", "last_price") == [("A", 4.0), ("B", 7.0)]  # older arrivals of B lose
-    assert len(streaming._folder(spark, f"{out}/t").subfolders()) == 2
+        run("c")
+    assert rows(streaming.read_state(spark, f"{out}/t", *STATE), "ticker", "last_price") == [("A", 3.0), ("B", 7.0)]
+    # a fresh checkpoint reads everything again as new batches, the newest rows of all runs count
+    land(spark, folder, [[quote(3, 30, "A"), quote(5, 0, "C", 2.0)]])
+    run("fresh")
+    state = streaming.read_state(spark, f"{out}/t", *STATE)
+    assert rows(state, "ticker", "last_price") == [("A", 4.0), ("B", 7.0), ("C", 2.0)]
+    assert streaming._committed(spark, f"{out}/t").select("run").distinct().count() == 2
+
+
+SMALL = "ticker string, p double, last_updated timestamp_ntz"
+
+
+def test_a_repeated_batch_writes_the_same_folder(spark):
+    out = run_folder(spark, "out")
+    sink = streaming.change_sink(out, *STATE)
+    first = spark.createDataFrame([("A", 1.0, START), ("B", 1.0, START)], SMALL)
+    second = spark.createDataFrame([("A", 2.0, START)], SMALL)
+    sink(first, 0, "r")
+    sink(second, 1, "r")
+    sink(second, 1, "r")
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == [("A", 2.0), ("B", 1.0)]
+    changes = spark.read.parquet(f"{out}/changes")
+    assert rows(changes.groupBy("batch").count(), "batch", "count") == [(0, 2), (1, 1)]  # as large as the batches
+
+
+def test_a_reader_sees_committed_batches_only(spark):
+    out = run_folder(spark, "out")
+    sink = streaming.change_sink(out, *STATE)
+    sink(spark.createDataFrame([("A", 1.0, START)], SMALL), 0, "r")
+    # a batch that is written but not committed, as while its writer is at work or after it was lost
+    half = spark.createDataFrame([("A", 9.0, START + dt.timedelta(days=1))], SMALL).withColumn("_seq", F.lit(2**62))
+    half.write.parquet(f"{out}/changes/run=r/batch=1")
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == [("A", 1.0)]
+    sink(spark.createDataFrame([("A", 3.0, START)], SMALL), 1, "r")
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == [("A", 3.0)]
 
 
-def test_a_repeated_batch_writes_the_same_version(spark):
+def test_compaction_keeps_the_state(spark):
     out = run_folder(spark, "out")
-    sink = streaming.upsert_sink(out, ["ticker"], "last_updated")
-    first = spark.createDataFrame([("A", 1.0, START)], "ticker string, p double, last_updated timestamp_ntz")
-    second = spark.createDataFrame([("A", 2.0, START)], first.schema)
-    sink(first, 0)
-    sink(second, 1)
-    sink(second, 1)
-    assert rows(streaming.read_state(spark, out), "ticker", "p") == [("A", 2.0)]
+    sink = streaming.change_sink(out, *STATE)
+    for i in range(4):
+        sink(spark.createDataFrame([(t, float(i), START + dt.timedelta(hours=i)) for t in "AB"[: 1 + i % 2]], SMALL), i, "r")
+    before = rows(streaming.read_state(spark, out, *STATE), "ticker", "p")
+    streaming.compact(spark, out, *STATE)
+    assert streaming._committed(spark, out).count() == 1
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == before
+    sink(spark.createDataFrame([("C", 8.0, START)], SMALL), 4, "r")
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == [*before, ("C", 8.0)]
+    streaming.compact(spark, out, *STATE)
+    assert rows(streaming.read_state(spark, out, *STATE), "ticker", "p") == [*before, ("C", 8.0)]
 
 
 @pytest.mark.parametrize("salts", [1, 5])
@@ -100,13 +139,13 @@ def test_duplicates_are_dropped(spark, shuffled, salts):
 def test_daily_bars_equal_the_batch_form(spark, shuffled):
     out = run_folder(spark, "out")
     bars = streaming.daily_bars(stream(spark, shuffled), ["last_updated", "seq"], lateness="30 days")
-    streaming.to_versions(bars, f"{out}/t", f"{out}/c", ["ticker", "price_date"], "price_date").awaitTermination()
+    streaming.to_changes(bars, f"{out}/t", f"{out}/c", ["ticker", "price_date"], "price_date").awaitTermination()
     batch = daily_bars(
         spark.read.schema(SCHEMA).parquet(shuffled).withColumn("price_date", F.col("last_updated").cast("date")),
         ["ticker"], "last_price", F.col("volume"), ["last_updated", "seq"],
     )
     columns = ["ticker", "price_date", "open", "high", "low", "close", "volume"]
-    assert rows(streaming.read_state(spark, f"{out}/t"), *columns) == rows(batch, *columns)
+    assert rows(streaming.read_state(spark, f"{out}/t", ["ticker", "price_date"], "price_date"), *columns) == rows(batch, *columns)
 
 
 def test_late_quotes_follow_the_declared_lateness(spark):
@@ -120,6 +159,8 @@ def test_late_quotes_follow_the_declared_lateness(spark):
     assert got == [(dt.date(2026, 1, 6), 20), (dt.date(2026, 1, 7), 10)]
     dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     assert dropped >= 1  # the quote of the first day came two days late
+    late = streaming.late_rows(query)
+    assert sum(r["late_rows"] for r in late.collect()) == dropped
     # the batch rule keeps only what is newer than the stored maximum
     stored = spark.createDataFrame([quote(1, 60 * 48, "A")], SCHEMA)
     arrivals = spark.createDataFrame([quote(2, 60 * 47, "A"), quote(3, 60 * 48, "A"), quote(4, 60 * 96, "A")], SCHEMA)
@@ -160,4 +201,4 @@ def test_cadence(spark, shuffled):
     assert query.isActive
     query.stop()
     query.awaitTermination()
-    assert streaming.read_state(spark, f"{out}/t").count() > 0
+    assert streaming.read_state(spark, f"{out}/t", ["ticker"], "last_updated").count() > 0
