@@ -10,7 +10,6 @@ from lowtide.operators import exports, merge
 from lowtide.operators.universe import validity
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs
-from lowtide.sources.layout import spread
 from lowtide.sources.benchmark_tables import EVENTS_TIME, LAST_DAY, UNIVERSE_TIME
 from lowtide.session import run_folder
 
@@ -19,14 +18,21 @@ TTL = {"view": 24, "click": 72, "error": 240, "purchase": 480}
 
 
 def _incoming(spark, sf):
-    """Directory listings as incoming tickers, joined by known customers of an odd nation."""
+    """Directory listings as incoming tickers, known customers that moved, and known and new ones
+    that state no market."""
     listed = tables.directory(spark, sf).select("ticker", "market")
     moved = (
         tables.listings(spark, sf)
         .filter(F.col("segment") == "MACHINERY")
         .select("ticker", F.lit("MOVED").alias("market"))
     )
-    return listed.unionByName(moved)
+    seen = (
+        tables.listings(spark, sf)
+        .filter(F.col("segment") == "BUILDING")
+        .select(F.when(F.col("nation") < 5, F.concat(F.lit("X"), "ticker")).otherwise(F.col("ticker")).alias("ticker"))
+        .withColumn("market", F.lit(None).cast("string"))
+    )
+    return listed.unionByName(moved).unionByName(seen)
 
 
 @query(
@@ -39,7 +45,9 @@ def _incoming(spark, sf):
                    CASE WHEN i.ticker IS NOT NULL THEN {NOW} ELSE t.last_updated END AS last_updated
             FROM tickers t FULL JOIN (
               SELECT ticker, market FROM directory
-              UNION ALL SELECT ticker, 'MOVED' FROM listings WHERE segment = 'MACHINERY') i
+              UNION ALL SELECT ticker, 'MOVED' FROM listings WHERE segment = 'MACHINERY'
+              UNION ALL SELECT CASE WHEN nation < 5 THEN 'X' || ticker ELSE ticker END, NULL
+              FROM listings WHERE segment = 'BUILDING') i
             ON i.ticker = t.ticker""",
     ),
 )
@@ -91,7 +99,7 @@ def upsert_all_columns(spark, sf):
 )
 def merge_guarded(spark, sf):
     """Purchases are stored; all other quotes arrive, older and newer ones mixed."""
-    events = spread(tables.load(spark, sf, "events"), "event_id")
+    events = tables.load(spark, sf, "events")
     purchase = F.col("event_type") == "purchase"
     stored = json_docs.latest_quotes(tables.raw_quotes_of(events.filter(purchase)), ["event_id"])
     arriving = json_docs.parse_quotes(tables.raw_quotes_of(events.filter(~purchase)))
@@ -120,22 +128,27 @@ def insert_ignore_existing(spark, sf):
     sql(
         "tickers failures",
         f"""SELECT t.ticker, t.market,
-              CASE WHEN n.ticker IS NOT NULL THEN 'INACTIVE' ELSE t.status END AS status,
+              CASE WHEN n.ticker IS NOT NULL THEN n.status ELSE t.status END AS status,
               CASE WHEN n.ticker IS NOT NULL THEN n.message ELSE t.status_message END AS status_message,
               CASE WHEN n.ticker IS NOT NULL THEN {NOW} ELSE t.last_updated END AS last_updated
             FROM tickers t LEFT JOIN (
-              SELECT ticker, max(message) AS message FROM failures
-              WHERE message <> 'Read timed out' GROUP BY ticker) n ON n.ticker = t.ticker""",
+              SELECT ticker, message,
+                     CASE WHEN message = 'Read timed out' THEN 'ACTIVE' ELSE 'INACTIVE' END AS status
+              FROM failures QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_id DESC) = 1
+              ) n ON n.ticker = t.ticker""",
     ),
 )
 def status_update(spark, sf):
     from lowtide.operators.universe import classify_failures
 
-    gone = classify_failures(tables.failures(spark, sf)).filter(F.col("new_status") == "INACTIVE")
-    updates = gone.select(
-        "ticker", F.col("new_status").alias("status"), F.col("message").alias("status_message")
+    # many tickers fail for good and by a mere time-out, in either order: the last one counts
+    updates = classify_failures(tables.failures(spark, sf)).select(
+        "event_id",
+        "ticker",
+        F.when(F.col("new_status") == "INACTIVE", "INACTIVE").otherwise("ACTIVE").alias("status"),
+        F.col("message").alias("status_message"),
     )
-    return merge.update_status(tables.tickers(spark, sf), updates, UNIVERSE_TIME)
+    return merge.update_status(tables.tickers(spark, sf), updates, UNIVERSE_TIME, ["event_id"])
 
 
 _VALID = """valid AS (
@@ -192,17 +205,22 @@ def deactivate_stale(spark, sf):
     "K-9",
     sql(
         "fundamentals",
-        """SELECT ticker, company_name, CASE WHEN sector = 'BUILDING' THEN pe_ratio + 1 ELSE pe_ratio END AS pe_ratio,
+        """SELECT ticker, company_name, CASE WHEN sector = 'BUILDING' THEN pe_ratio + 2 ELSE pe_ratio END AS pe_ratio,
                   CASE WHEN sector = 'BUILDING' THEN 'EUR' ELSE currency END AS currency FROM fundamentals""",
     ),
 )
 def partial_update(spark, sf):
     rows = tables.fundamentals(spark, sf)
+    # every change arrives three times; the second one is the newest
     change = rows.filter(F.col("sector") == "BUILDING").select(
-        "ticker", (F.col("pe_ratio") + 1).alias("pe_ratio"), F.lit("EUR").alias("currency")
+        "ticker",
+        F.lit("EUR").alias("currency"),
+        F.col("pe_ratio").alias("_pe"),
+        F.explode(F.array(F.lit(1), F.lit(2), F.lit(0))).alias("round"),
     )
+    change = change.withColumn("pe_ratio", F.col("_pe") + F.col("round"))
     current = rows.select("ticker", "company_name", "pe_ratio", "currency")
-    return merge.update_columns(current, change, "ticker", ["pe_ratio", "currency"])
+    return merge.update_columns(current, change, "ticker", ["pe_ratio", "currency"], ["round"])
 
 
 @query(
@@ -252,10 +270,28 @@ def replace_table(spark, sf):
     """A table is replaced by a state computed from itself."""
     folder = run_folder(spark, "replaced")
     first = json_docs.latest_quotes(tables.raw_quotes(spark, sf), ["event_id"])
-    first.select("ticker", "last_price", F.lit(1).cast("bigint").alias("generation")).write.parquet(folder)
-    state = spark.read.parquet(folder).withColumn("generation", F.col("generation") + 1)
+    first = first.select("ticker", "last_price", F.lit(1).cast("bigint").alias("generation"))
+    merge.replace_table(spark, first, folder)
+    state = merge.read_current(spark, folder).withColumn("generation", F.col("generation") + 1)
     merge.replace_table(spark, state, folder)
-    return spark.read.parquet(folder)
+    return merge.read_current(spark, folder)
+
+
+@query(
+    "drop_table",
+    "K-13",
+    sql("latest", "SELECT ticker, 'second' AS life FROM latest WHERE last_price > 100"),
+)
+def drop_table(spark, sf):
+    """A table is written, dropped and created again with other rows."""
+    folder = run_folder(spark, "dropped")
+    rows = json_docs.latest_quotes(tables.raw_quotes(spark, sf), ["event_id"])
+    merge.replace_table(spark, rows.select("ticker", F.lit("first").alias("life")), folder)
+    merge.drop_table(spark, folder)
+    assert merge.read_current(spark, folder) is None
+    again = rows.filter("last_price > 100").select("ticker", F.lit("second").alias("life"))
+    merge.replace_table(spark, again, folder)
+    return merge.read_current(spark, folder)
 
 
 @query(

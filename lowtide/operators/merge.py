@@ -1,6 +1,6 @@
 """Table state changes: inserts, upserts, updates and deletes as whole-table transforms.
 
-Parquet has no MERGE; each operator returns the new state, to be written beside the old one
+Parquet has no MERGE; each operator returns the new state, to be written as a new version
 (``replace_table``) or into the touched partitions only.  Keys are matched by aggregation
 (``max_by``), which keeps one candidate per key and map task, so repeated copies of a hot
 key never meet unreduced in one task.
@@ -8,28 +8,74 @@ key never meet unreduced in one task.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowtide.operators.indicators import latest_per_key
 
 
-def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+POINTER = "version bigint, folder string, at timestamp"
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the current version; (0, None) if there is none."""
+    try:
+        row = (
+            spark.read.schema(POINTER)
+            .parquet(f"{path}/pointer")
+            .agg(F.max(F.struct("version", "at", "folder")).alias("now"))
+            .first()["now"]
+        )
+    except AnalysisException:  # no table yet
+        return 0, None
+    return (row["version"], row["folder"]) if row else (0, None)
+
+
+def _point(spark: SparkSession, path: str, version: int, folder: str | None) -> None:
+    row = spark.range(1).select(
+        F.lit(version).cast("bigint").alias("version"),
+        F.lit(folder).cast("string").alias("folder"),
+        F.current_timestamp().alias("at"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write a new state to ``path``, which the plan may itself read.
-
-    The state is first written next to the table, then read back and swapped in, so a lost
-    executor can always recompute from intact files.
-    """
-    staged = path.rstrip("/") + "__next"
-    df.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).parquet(path)
+    """Make ``df`` the new state of the table at ``path``, which the plan may itself read.
+
+    The state is written once, to a folder of its own; a one-row pointer then makes it current.
+    Readers see the old state until then, and a failed write leaves it untouched."""
+    version, _ = _pointer(spark, path)
+    folder = f"version={version + 1:010d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    _point(spark, path, version + 1, folder)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current state of a replaced table; None if there is none or it was dropped."""
+    _, folder = _pointer(spark, path)
+    return spark.read.parquet(f"{path}/{folder}") if folder else None
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Drop a replaced table: it has no current version any more, whatever files are left."""
+    version, folder = _pointer(spark, path)
+    if folder:
+        _point(spark, path, version + 1, None)
+
+
+def retired_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Folders that are no longer current, with the time at which they were replaced: what a
+    storage clean-up may delete once no reader uses them."""
+    now, _ = _pointer(spark, path)
+    if not now:
+        return spark.createDataFrame([], "folder string, retired_at timestamp")
+    rows = spark.read.schema(POINTER).parquet(f"{path}/pointer")
+    after = rows.select((F.col("version") - 1).alias("version"), F.col("at").alias("retired_at"))
+    return rows.filter("folder IS NOT NULL").join(after, "version").select("folder", "retired_at")
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
@@ -41,9 +87,9 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 
 def save_tickers(current: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """Upsert listings: market and time come from the incoming row, status is kept."""
-    news = incoming.groupBy("ticker").agg(F.max("market").alias("_market"))
+    news = incoming.groupBy("ticker").agg(F.max("market").alias("_market"), F.lit(True).alias("_incoming"))
     stamp = F.lit(now).cast("timestamp_ntz")
-    touched = F.col("_market").isNotNull()
+    touched = F.col("_incoming").isNotNull()  # also by a row without a market
     known = current.withColumn("_known", F.lit(True))
     return known.join(news, "ticker", "full_outer").select(
         "ticker",
@@ -84,10 +130,12 @@ def new_rows_only(current: DataFrame, incoming: DataFrame, keys: list[str]) -> D
     return incoming.join(current.select(*keys).distinct(), keys, "left_anti")
 
 
-def update_status(tickers: DataFrame, updates: DataFrame, now) -> DataFrame:
-    """Set status, message and time of the named tickers; unknown tickers are ignored."""
+def update_status(tickers: DataFrame, updates: DataFrame, now, order: list[str]) -> DataFrame:
+    """Set status, message and time of the named tickers; unknown tickers are ignored.
+
+    Of several updates of one ticker the last by ``order`` counts."""
     change = updates.groupBy("ticker").agg(
-        F.max(F.struct("status", "status_message")).alias("_new")
+        F.max_by(F.struct("status", "status_message"), F.struct(*order)).alias("_new")
     )
     hit = F.col("_new").isNotNull()
     return tickers.join(change, "ticker", "left").select(
@@ -124,10 +172,13 @@ def deactivate_stale(fundamentals: DataFrame, asof, days_old: int = 90) -> DataF
 
 
 def update_columns(
-    current: DataFrame, changes: DataFrame, key: str, columns: list[str]
+    current: DataFrame, changes: DataFrame, key: str, columns: list[str], order: list[str]
 ) -> DataFrame:
-    """Overwrite some columns where a change exists; a NULL in the change keeps the old value."""
-    renamed = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Overwrite some columns where a change exists; a NULL in the change keeps the old value.
+
+    Of several changes of one key the last by ``order`` counts."""
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_new"))
+    renamed = newest.select(key, *[F.col("_new")[c].alias(f"_new_{c}") for c in columns])
     return current.join(renamed, key, "left").select(
         *[
             F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c)
