@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
-
 from pyspark.sql import functions as F
 
 from lowtide import dims
 from lowtide.checks.base import query, sql, values_cte
 from lowtide.operators.indicators import latest_per_key
 from lowtide.operators.merge import guarded_upsert
+from lowtide.session import run_folder
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import discovery, json_docs, xml_docs
 
@@ -62,6 +60,32 @@ def quotes_or_zero(spark, sf):
     )
 
 
+@query(
+    "closed_market_quotes",
+    "D-13",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN value + 1 END ELSE value END AS last_price,
+              event_id % 3 = 0 AS was_closed FROM events""",
+)
+def closed_market_quotes(spark, sf):
+    """Every third quote is of a closed market (-1), flat, nested or as a table column."""
+    e = tables.load(spark, sf, "events")
+    closed = F.col("event_id") % 3 == 0
+    last = F.when(closed, F.lit(-1.0)).otherwise(F.col("value"))
+    close = F.when(F.col("event_id") % 2 == 0, F.col("value") + 1)
+    body = F.struct(last.cast("string").alias("last"), close.cast("string").alias("close"))
+    nested = F.to_json(F.struct(F.struct(last.alias("last"), close.alias("close")).alias("Ticker")))
+    in_column = F.col("event_id") % 5 == 0
+    raw = e.select(
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("ticker"),
+        F.when(in_column, F.to_json(F.struct(close.alias("close")))).when(F.col("event_id") % 2 == 0, F.to_json(body)).otherwise(nested).alias("market_data"),
+        F.when(in_column | (F.col("event_id") % 2 == 0), last).alias("last_price"),
+        F.lit(1).cast("bigint").alias("volume"),
+        "event_id",
+        closed.alias("was_closed"),
+    )
+    return json_docs.parse_quotes(raw, closed_as_missing=True).select("event_id", "last_price", "was_closed")
+
+
 @query("latest_quotes", "D-13 K-4", sql("latest", f"SELECT {QUOTE_COLUMNS} FROM latest"))
 def latest_quotes(spark, sf):
     return json_docs.latest_quotes(tables.raw_quotes(spark, sf), ["event_id"]).drop("event_id")
@@ -123,25 +147,25 @@ def info_keys(spark, sf):
 # --- XML ------------------------------------------------------------------------------------
 
 XML_SQL = """
-    SELECT ticker, name AS company_name, 'R' || key AS rep_no,
-           CAST(key + 4295000000 AS VARCHAR) AS org_perm_id, 'IN' || lpad(CAST(key AS VARCHAR), 10, '0') AS isin,
+    SELECT ticker, CASE WHEN balance NOT BETWEEN 4000 AND 4200 THEN name END AS company_name, 'R' || key AS rep_no,
+           CAST(key + 7700000000 AS VARCHAR) AS org_perm_id, 'QQ' || lpad(CAST(key AS VARCHAR), 10, '0') AS isin,
            ticker AS ric, exchange AS exchange_code, 'N' || nation AS exchange_country,
-           CASE WHEN balance > 5000 THEN DATE '2020-06-15' END AS most_recent_split_date,
-           CASE WHEN balance > 5000 THEN 2e0 END AS most_recent_split_factor,
-           'Active' AS co_status, 'Equity Issue' AS co_type, DATE '2025-03-31' AS latest_annual_date,
+           CASE WHEN balance > 5000 THEN DATE '1999-04-06' END AS most_recent_split_date,
+           CASE WHEN balance > 5000 THEN 3e0 END AS most_recent_split_factor,
+           'Trading' AS co_status, 'Share Company' AS co_type, DATE '2000-12-29' AS latest_annual_date,
            CAST(NULL AS DATE) AS latest_interim_date, CAST(key * 3 + 1 AS INTEGER) AS employees,
-           key * 1000 + 5e-1 AS shares_out, DATE '2025-09-30' AS shares_out_date,
+           key * 1000 + 5e-1 AS shares_out, DATE '2001-06-08' AS shares_out_date,
            key * 9e2 AS total_float, 'USD' AS reporting_currency,
-           DATE '2026-01-09' AS most_recent_exch_date, 90.215e0 AS most_recent_exch_val,
-           segment || ' last' AS industry_trbc, '5020' AS industry_trbc_code,
-           'Refineries' AS industry_naics, '324110' AS industry_naics_code,
-           'Refining' AS industry_sic, '2911' AS industry_sic_code,
+           DATE '2001-10-19' AS most_recent_exch_date, 1.3125e0 AS most_recent_exch_val,
+           coalesce(segment, 'SUPPLY') || ' last' AS industry_trbc, '81B' AS industry_trbc_code,
+           'Weaving' AS industry_naics, '700100' AS industry_naics_code,
+           'Textiles' AS industry_sic, '7700' AS industry_sic_code,
            key || ' Main Street' || CASE WHEN balance > 2000 THEN ', Floor 3' ELSE '' END AS address,
            'CITY ' || nation AS city, lpad(CAST(key AS VARCHAR), 6, '0') AS postal_code,
-           'N' || nation AS country_code, '+91 22 ' || key AS phone,
+           'N' || nation AS country_code, '+99 77 ' || key AS phone,
            'https://example.com/' || key AS website, 'ir' || key || '@example.com' AS email,
-           segment || ' company of ' || name AS business_summary,
-           'BRIEF & complete' AS financial_summary,
+           coalesce(segment, 'SUPPLY') || ' company of ' || name AS business_summary,
+           'Short & simple' AS financial_summary,
            'Ann No' || key AS officer_1_name, 'Chair' AS officer_1_title,
            'Bo Li' AS officer_2_name, 'Director' AS officer_2_title,
            CASE WHEN balance > 3000 THEN 'Cy' END AS officer_3_name,
@@ -149,14 +173,14 @@ XML_SQL = """
            '[{"n":"Ann No' || key || '","t":"Chair"},{"n":"Bo Li","t":"Director"}'
              || CASE WHEN balance > 3000 THEN ',{"n":"Cy","t":"Secretary"}' ELSE '' END || ']' AS officers_json,
            balance AS xml_last_price, round(balance + 100.25e0, 2) AS xml_52w_high,
-           round(balance - 100.25e0, 2) AS xml_52w_low, DATE '2026-01-12' AS xml_last_price_date,
-           10.5e0 AS xml_vol_10d_avg, key * 7e0 + 100 AS mkt_cap_usd,
+           round(balance - 100.25e0, 2) AS xml_52w_low, DATE '2001-10-22' AS xml_last_price_date,
+           10.5e0 AS xml_vol_10d_avg, CASE WHEN balance NOT BETWEEN 4300 AND 4500 THEN key * 7e0 + 100 END AS mkt_cap_local_mn,
            CASE WHEN balance > 1500 THEN round(balance / 100, 4) END AS pe_ratio,
            CAST(NULL AS DOUBLE) AS revenue_annual,
            CASE WHEN balance >= 1000 THEN 'INR' WHEN ticker LIKE '%.%' THEN reg_currency END AS price_currency,
            round(balance + 10, 2) AS target_price,
            CASE WHEN balance >= 2000 THEN 22.5e0 END AS proj_pe, 1.75e0 AS recommendation_score
-    FROM listings WHERE kind = 'customer' AND balance >= -900"""
+    FROM listings WHERE balance >= -900"""
 
 
 @query("xml_flatten_roundtrip", "D-1 D-2 D-3 D-4 D-5 D-6 D-7 D-8 D-9 D-11 S-4", sql("listings", XML_SQL))
@@ -172,7 +196,7 @@ def xml_flatten_roundtrip(spark, sf):
         "postal_code", "country_code", "phone", "website", "email", "business_summary",
         "financial_summary", "officer_1_name", "officer_1_title", "officer_2_name",
         "officer_2_title", "officer_3_name", "officer_3_title", "officers_json", "xml_last_price",
-        "xml_52w_high", "xml_52w_low", "xml_last_price_date", "xml_vol_10d_avg", "mkt_cap_usd",
+        "xml_52w_high", "xml_52w_low", "xml_last_price_date", "xml_vol_10d_avg", "mkt_cap_local_mn",
         "pe_ratio", "revenue_annual", "price_currency", "target_price", "proj_pe",
         "recommendation_score",
     )
@@ -183,7 +207,7 @@ def xml_flatten_roundtrip(spark, sf):
     "D-10",
     sql(
         "listings",
-        "SELECT ticker, '{}' AS xml_snapshot FROM listings WHERE kind = 'customer' AND balance < -900",
+        "SELECT ticker, '{}' AS xml_snapshot FROM listings WHERE balance < -900",
     ),
 )
 def xml_quarantine(spark, sf):
@@ -197,20 +221,41 @@ def xml_quarantine(spark, sf):
     sql(
         "listings",
         """SELECT count(*) FILTER (balance >= -900) AS upserted, count(*) FILTER (balance < -900) AS errors
-           FROM listings WHERE kind = 'customer'""",
+           FROM listings""",
     ),
 )
 def xml_flatten_counts(spark, sf):
     return xml_docs.flatten_counts(tables.company_xml(spark, sf))
 
 
+@query(
+    "xml_flatten_once",
+    "D-10 A-14",
+    sql(
+        "listings",
+        """SELECT balance >= -900 AS ok, count(*) AS documents,
+                  count(CASE WHEN balance >= -900 AND balance NOT BETWEEN 4000 AND 4200 THEN 1 END) AS names
+           FROM listings GROUP BY ALL""",
+    ),
+)
+def xml_flatten_once(spark, sf):
+    """Good rows, quarantine and counts from one parse: one written table, split by status."""
+    folder = run_folder(spark, "snapshots")
+    xml_docs.write_snapshots(tables.company_xml(spark, sf), folder)
+    good, bad = xml_docs.read_snapshots(spark, folder)
+    part = lambda df, ok, name: df.groupBy(F.lit(ok).alias("ok")).agg(
+        F.count("*").alias("documents"), F.count(name).alias("names")
+    )
+    return part(good, True, "company_name").unionByName(part(bad, False, F.lit(None)))
+
+
 @query(
     "xml_scope_by_suffix",
     "D-10 P-7",
     sql(
         "listings",
-        """SELECT ticker, name AS company_name FROM listings
-           WHERE kind = 'customer' AND balance >= -900 AND ticker LIKE '%.HK'""",
+        """SELECT ticker, CASE WHEN balance NOT BETWEEN 4000 AND 4200 THEN name END AS company_name FROM listings
+           WHERE balance >= -900 AND ticker LIKE '%.HK'""",
     ),
 )
 def xml_scope_by_suffix(spark, sf):
@@ -223,11 +268,11 @@ def xml_scope_by_suffix(spark, sf):
     "D-7 F-12",
     sql(
         "listings",
-        """SELECT ticker, round((key * 7e0 + 100) * 1e6 * CASE cur WHEN 'INR' THEN 0.012e0
+        """SELECT ticker, round(CASE WHEN balance NOT BETWEEN 4300 AND 4500 THEN key * 7e0 + 100 END * 1e6 * CASE cur WHEN 'INR' THEN 0.012e0
                     WHEN 'CAD' THEN 0.74e0 ELSE 1e0 END, 2) AS usd_mcap,
                   coalesce(cur NOT IN ('INR', 'CAD', 'USD', 'THB', 'IDR'), TRUE) AS fx_missing
            FROM (SELECT *, CASE WHEN balance >= 1000 THEN 'INR' WHEN ticker LIKE '%.%' THEN reg_currency END AS cur
-                 FROM listings WHERE kind = 'customer' AND balance >= -900)""",
+                 FROM listings WHERE balance >= -900)""",
     ),
 )
 def xml_usd_market_cap(spark, sf):
@@ -242,9 +287,14 @@ def xml_usd_market_cap(spark, sf):
     "Q-F",
     sql(
         "listings",
-        """SELECT ticker, balance >= -900 AS well_formed, balance >= -900 AS has_name,
-                  balance >= -900 AS has_issues, balance >= -900 AS has_ratios
-           FROM listings WHERE kind = 'customer'""",
+        """SELECT ticker, balance >= -900 AS well_formed,
+                  balance >= -900 AND balance NOT BETWEEN 4000 AND 4200 AS has_name,
+                  balance >= -900 AND balance NOT BETWEEN 4300 AND 4500 AS has_market_cap,
+                  balance > 1500 AS has_pe_ratio,
+                  concat_ws(',', CASE WHEN balance < -900 OR balance BETWEEN 4000 AND 4200 THEN 'name' END,
+                            CASE WHEN balance < -900 OR balance BETWEEN 4300 AND 4500 THEN 'market_cap' END,
+                            CASE WHEN balance <= 1500 THEN 'pe_ratio' END) AS missing
+           FROM listings""",
     ),
 )
 def xml_required_fields(spark, sf):
@@ -259,16 +309,16 @@ def xml_required_fields(spark, sf):
         """SELECT tag, (SELECT CASE tag WHEN 'NPRICE' THEN CAST(balance AS VARCHAR)
                           WHEN 'NHIG' THEN CAST(round(balance + 100.25e0, 2) AS VARCHAR)
                           WHEN 'NLOW' THEN CAST(round(balance - 100.25e0, 2) AS VARCHAR)
-                          WHEN 'PDATE' THEN '2026-01-12T00:00:00' WHEN 'VOL10DAVG' THEN '10.5'
-                          WHEN 'MKTCAP' THEN CAST(key * 7 + 100 AS VARCHAR)
+                          WHEN 'PDATE' THEN '2001-10-22T00:00:00' WHEN 'VOL10DAVG' THEN '10.5'
+                          WHEN 'MKTCAP' THEN CASE WHEN balance BETWEEN 4300 AND 4500 THEN 'n/a' ELSE CAST(key * 7 + 100 AS VARCHAR) END
                           WHEN 'APEEXCLXOR' THEN CASE WHEN balance > 1500
                                THEN CAST(round(balance / 100, 4) AS VARCHAR) ELSE 'n/a' END
                           WHEN 'AREV' THEN ' '
                           WHEN 'TargetPrice' THEN '<Value PeriodType="CURR">' || CAST(round(balance + 10, 2) AS VARCHAR) || '</Value>'
                           WHEN 'ProjPE' THEN '<Value PeriodType="CURR">' || CASE WHEN balance < 2000 THEN '-99999.99000' ELSE '22.5' END || '</Value>'
                           WHEN 'ConsRecom' THEN '<Mean>1.75</Mean>' END
-                        FROM listings WHERE kind = 'customer' AND balance >= -900 ORDER BY ticker LIMIT 1) AS value,
-                  (SELECT count(*) FROM listings WHERE kind = 'customer' AND balance >= -900) AS occurrences
+                        FROM listings WHERE balance >= -900 ORDER BY ticker LIMIT 1) AS value,
+                  (SELECT count(*) FROM listings WHERE balance >= -900) AS occurrences
            FROM (VALUES ('NPRICE'), ('NHIG'), ('NLOW'), ('PDATE'), ('VOL10DAVG'), ('MKTCAP'),
                  ('APEEXCLXOR'), ('AREV'), ('TargetPrice'), ('ProjPE'), ('ConsRecom')) t(tag)""",
     ),
@@ -280,8 +330,8 @@ def xml_ratio_tags(spark, sf):
 # --- discovery: the number of nodes follows from how the documents are built --------------------
 
 
-def nodes(spark, sf):
-    return discovery.xml_nodes(tables.company_xml(spark, sf))
+def nodes(spark, sf, per_document=True):
+    return discovery.xml_nodes(tables.company_xml(spark, sf), per_document=per_document)
 
 
 @query(
@@ -292,50 +342,81 @@ def nodes(spark, sf):
         """SELECT ticker,
                   78 + CASE WHEN balance > 5000 THEN 1 ELSE 0 END + CASE WHEN balance > 3000 THEN 4 ELSE 0 END AS total_nodes,
                   54 + CASE WHEN balance > 5000 THEN 1 ELSE 0 END + CASE WHEN balance > 3000 THEN 3 ELSE 0 END AS leaf_nodes
-           FROM listings WHERE kind = 'customer' AND balance >= -900""",
+           FROM listings WHERE balance >= -900""",
     ),
 )
 def xml_node_counts(spark, sf):
     return discovery.node_counts(nodes(spark, sf))
 
 
-def _template_root():
-    """A document without any optional part."""
-    optional = ("split", "floor", "third_officer", "price_currency")
-    text = re.sub(r"{(\w+)}", lambda m: "" if m[1] in optional else "x", tables.COMPANY_TEMPLATE)
-    return ET.fromstring(text)
-
-
-def _template_fields() -> int:
-    """Number of distinct data fields of such a document."""
-    fields = set()
-    for node in _template_root().iter():
-        if (node.text or "").strip():
-            fields.add((node.tag, node.get("FieldName") if node.tag == "Ratio" else None))
-        fields |= {(node.tag, f"@{name}") for name in node.attrib}
-    return len(fields)
-
-
-def _template_paths() -> dict[str, int]:
-    """Data-bearing paths of such a document, with their node counts."""
-    counts: dict[str, int] = {}
-
-    def visit(node, parent):
-        path = f"{parent}/{node.tag}" if parent else node.tag
-        found = [f"{path}@{name}" for name in node.attrib]
-        if len(node) == 0 and (node.text or "").strip():
-            found.append(path)
-        for item in found:
-            counts[item] = counts.get(item, 0) + 1
-        for child in node:
-            visit(child, path)
-
-    visit(_template_root(), "")
-    return counts
-
+# what every document holds: its data-bearing paths with their number of nodes
+_ALWAYS_PATHS = (
+    ("ReportSnapshot@Major", 1),
+    ("ReportSnapshot/CoIDs/CoID@Type", 3),
+    ("ReportSnapshot/CoIDs/CoID", 2),
+    ("ReportSnapshot/Issues/Issue@ID", 2),
+    ("ReportSnapshot/Issues/Issue@Type", 2),
+    ("ReportSnapshot/Issues/Issue/IssueID@Type", 4),
+    ("ReportSnapshot/Issues/Issue/IssueID", 4),
+    ("ReportSnapshot/Issues/Issue/Exchange@Code", 2),
+    ("ReportSnapshot/Issues/Issue/Exchange@Country", 2),
+    ("ReportSnapshot/Issues/Issue/Exchange", 2),
+    ("ReportSnapshot/CoGeneralInfo/CoStatus@Code", 1),
+    ("ReportSnapshot/CoGeneralInfo/CoStatus", 1),
+    ("ReportSnapshot/CoGeneralInfo/CoType@Code", 1),
+    ("ReportSnapshot/CoGeneralInfo/CoType", 1),
+    ("ReportSnapshot/CoGeneralInfo/LatestAvailableAnnual", 1),
+    ("ReportSnapshot/CoGeneralInfo/Employees@LastUpdated", 1),
+    ("ReportSnapshot/CoGeneralInfo/Employees", 1),
+    ("ReportSnapshot/CoGeneralInfo/SharesOut@Date", 1),
+    ("ReportSnapshot/CoGeneralInfo/SharesOut@TotalFloat", 1),
+    ("ReportSnapshot/CoGeneralInfo/SharesOut", 1),
+    ("ReportSnapshot/CoGeneralInfo/ReportingCurrency@Code", 1),
+    ("ReportSnapshot/CoGeneralInfo/ReportingCurrency", 1),
+    ("ReportSnapshot/CoGeneralInfo/MostRecentExchange@Date", 1),
+    ("ReportSnapshot/CoGeneralInfo/MostRecentExchange", 1),
+    ("ReportSnapshot/TextInfo/Text@Type", 2),
+    ("ReportSnapshot/TextInfo/Text", 2),
+    ("ReportSnapshot/contactInfo/streetAddress@line", 3),
+    ("ReportSnapshot/contactInfo/streetAddress", 1),
+    ("ReportSnapshot/contactInfo/city", 1),
+    ("ReportSnapshot/contactInfo/postalCode", 1),
+    ("ReportSnapshot/contactInfo/country@code", 1),
+    ("ReportSnapshot/contactInfo/country", 1),
+    ("ReportSnapshot/contactInfo/phone/phone@type", 2),
+    ("ReportSnapshot/contactInfo/phone/phone/countryPhoneCode", 2),
+    ("ReportSnapshot/contactInfo/phone/phone/city-areacode", 2),
+    ("ReportSnapshot/contactInfo/phone/phone/number", 2),
+    ("ReportSnapshot/webLinks/webSite@mainCategory", 1),
+    ("ReportSnapshot/webLinks/webSite", 1),
+    ("ReportSnapshot/webLinks/eMail@mainCategory", 1),
+    ("ReportSnapshot/webLinks/eMail", 1),
+    ("ReportSnapshot/peerInfo/IndustryInfo/Industry@type", 5),
+    ("ReportSnapshot/peerInfo/IndustryInfo/Industry@order", 5),
+    ("ReportSnapshot/peerInfo/IndustryInfo/Industry@code", 5),
+    ("ReportSnapshot/peerInfo/IndustryInfo/Industry", 5),
+    ("ReportSnapshot/officers/officer@rank", 2),
+    ("ReportSnapshot/officers/officer/firstName", 2),
+    ("ReportSnapshot/officers/officer/lastName", 2),
+    ("ReportSnapshot/officers/officer/title@startYear", 2),
+    ("ReportSnapshot/officers/officer/title", 2),
+    ("ReportSnapshot/Ratios@ExchangeRate", 1),
+    ("ReportSnapshot/Ratios/Group@ID", 2),
+    ("ReportSnapshot/Ratios/Group/Ratio@FieldName", 8),
+    ("ReportSnapshot/Ratios/Group/Ratio@Type", 8),
+    ("ReportSnapshot/Ratios/Group/Ratio", 7),
+    ("ReportSnapshot/ForecastData/Ratio@FieldName", 3),
+    ("ReportSnapshot/ForecastData/Ratio@Type", 3),
+    ("ReportSnapshot/ForecastData/Ratio/Value@PeriodType", 2),
+    ("ReportSnapshot/ForecastData/Ratio/Value", 2),
+    ("ReportSnapshot/ForecastData/Ratio/Mean", 1),
+)
+#: distinct data fields of such a document: elements with text or attributes, ratios by code
+_ALWAYS_FIELDS = 63
 
 _ROOT = "ReportSnapshot"
 _OPTIONAL_PATHS = (
+    (f"{_ROOT}/CoIDs/CoID", "named"),
     (f"{_ROOT}/Issues/Issue/MostRecentSplit", "split"),
     (f"{_ROOT}/Issues/Issue/MostRecentSplit@Date", "split"),
     (f"{_ROOT}/contactInfo/streetAddress", "floor"),
@@ -357,20 +438,21 @@ _OPTIONAL_PATHS = (
            FROM (SELECT path, per_document, total, 0 AS extra FROM always, counts
                  UNION ALL
                  SELECT path, 0, total, CASE part WHEN 'split' THEN split WHEN 'floor' THEN floors
-                          WHEN 'third' THEN third ELSE priced END FROM optional_paths, counts)
+                          WHEN 'third' THEN third WHEN 'named' THEN named ELSE priced END FROM optional_paths, counts)
            GROUP BY path""",
-        values_cte("always", "path, per_document", sorted(_template_paths().items()))
+        values_cte("always", "path, per_document", _ALWAYS_PATHS)
         + ",\n"
         + values_cte("optional_paths", "path, part", _OPTIONAL_PATHS)
         + """,
         counts AS (SELECT count(*) AS total, count(*) FILTER (balance > 5000) AS split,
                           count(*) FILTER (balance > 2000) AS floors, count(*) FILTER (balance > 3000) AS third,
-                          count(*) FILTER (balance >= 1000) AS priced
-                   FROM listings WHERE kind = 'customer' AND balance >= -900)""",
+                          count(*) FILTER (balance >= 1000) AS priced,
+                          count(*) FILTER (balance NOT BETWEEN 4000 AND 4200) AS named
+                   FROM listings WHERE balance >= -900)""",
     ),
 )
 def xml_paths(spark, sf):
-    return discovery.path_counts(nodes(spark, sf))
+    return discovery.paths(tables.company_xml(spark, sf))
 
 
 @query(
@@ -382,11 +464,11 @@ def xml_paths(spark, sf):
              SELECT * FROM (VALUES ('ratio', 'NPRICE'), ('ratio', 'NHIG'), ('ratio', 'NLOW'), ('ratio', 'PDATE'),
                ('ratio', 'VOL10DAVG'), ('ratio', 'MKTCAP'), ('ratio', 'APEEXCLXOR'), ('ratio', 'AREV'),
                ('forecast', 'TargetPrice'), ('forecast', 'ProjPE'), ('forecast', 'ConsRecom')) t(kind, field_name))
-           JOIN (SELECT count(*) AS n FROM listings WHERE kind = 'customer' AND balance >= -900) ON TRUE""",
+           JOIN (SELECT count(*) AS n FROM listings WHERE balance >= -900) ON TRUE""",
     ),
 )
 def xml_field_codes(spark, sf):
-    return discovery.field_codes(nodes(spark, sf))
+    return discovery.field_codes(nodes(spark, sf, per_document=False))
 
 
 @query(
@@ -394,9 +476,9 @@ def xml_field_codes(spark, sf):
     "D-16",
     sql(
         "listings",
-        f"""SELECT ticker, {_template_fields()} + CASE WHEN balance > 5000 THEN 2 ELSE 0 END
+        f"""SELECT ticker, {_ALWAYS_FIELDS} + CASE WHEN balance > 5000 THEN 2 ELSE 0 END
                   + CASE WHEN balance >= 1000 THEN 1 ELSE 0 END AS unique_fields
-           FROM listings WHERE kind = 'customer' AND balance >= -900""",
+           FROM listings WHERE balance >= -900""",
     ),
 )
 def xml_unique_fields(spark, sf):
@@ -414,11 +496,11 @@ def xml_unique_fields(spark, sf):
                  ('webLinks', 3), ('peerInfo', 7), ('officers', 9), ('Ratios', 11), ('ForecastData', 7)) t(section, base)
            JOIN (SELECT count(*) AS n, count(*) FILTER (balance > 5000) AS splits,
                         count(*) FILTER (balance > 3000) AS thirds
-                 FROM listings WHERE kind = 'customer' AND balance >= -900) ON TRUE""",
+                 FROM listings WHERE balance >= -900) ON TRUE""",
     ),
 )
 def xml_section_sizes(spark, sf):
-    return discovery.section_sizes(nodes(spark, sf))
+    return discovery.section_sizes(nodes(spark, sf, per_document=False))
 
 
 @query(

@@ -315,12 +315,11 @@ def large_caps_missing(spark, sf):
         "bars",
         """SELECT ticker, (CAST(close * 1e4 AS BIGINT) + 50) // 100 / 1e2 AS price, volume, 0e0 AS usd_mcap, 0e0 AS pct_from_low, '' AS reason,
                   TIMESTAMP '2001-11-05 00:00:00' AS timestamp
-           FROM bars WHERE price_date >= DATE '2001-10-01'""",
+           FROM bars""",
     ),
 )
 def catches_concat(spark, sf):
-    bars = tables.bars(spark, sf).filter(F.col("price_date") >= F.lit("2001-10-01").cast("date"))
-    rows = bars.select(F.col("ticker").alias("symbol"), F.col("close").alias("price"), "volume", "price_date")
+    rows = tables.bars(spark, sf).select(F.col("ticker").alias("symbol"), F.col("close").alias("price"), "volume", "price_date")
     edge = F.lit("2001-10-20").cast("date")
     old = catch_rows(rows.filter(F.col("price_date") < edge), tables.UNIVERSE_TIME)
     new = catch_rows(rows.filter(F.col("price_date") >= edge), tables.UNIVERSE_TIME)

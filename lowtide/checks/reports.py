@@ -404,12 +404,12 @@ def nearest_to_low(spark, sf):
     sql(
         "fundamentals",
         """SELECT ticker, xml_52w_low FROM fundamentals
-           ORDER BY xml_52w_low DESC NULLS LAST, ticker LIMIT 50""",
+           ORDER BY xml_52w_low DESC NULLS LAST, ticker""",
     ),
 )
 def caps_nulls_last(spark, sf):
     rows = tables.fundamentals(spark, sf).select("ticker", "xml_52w_low")
-    return rows.orderBy(F.desc_nulls_last("xml_52w_low"), "ticker").limit(50)
+    return rows.orderBy(F.desc_nulls_last("xml_52w_low"), "ticker")
 
 
 @query(

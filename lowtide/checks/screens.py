@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from lowtide import dims
 from lowtide.checks.base import query, sql
 from lowtide.checks.indicators import panel
 from lowtide.criteria import DEFAULT, apply_preset
@@ -13,7 +14,7 @@ from lowtide.operators import indicators as ind
 from lowtide.operators import lookups, screen
 from lowtide.operators.bars import current_quotes
 from lowtide.sources import benchmark_tables as tables
-from lowtide.sources import json_docs
+from lowtide.sources import json_docs, xml_docs
 from lowtide.sources.benchmark_tables import LAST_DAY
 
 WIDE = apply_preset(DEFAULT, "wide")
@@ -180,7 +181,8 @@ PRESET_BASE = replace(
     "C-26 F-28",
     sql(
         "panel",
-        "SELECT preset, count(*) AS passing_rows, count(DISTINCT ticker) AS passing_symbols FROM (\n"
+        "SELECT preset, count(ticker) AS passing_rows, count(DISTINCT ticker) AS passing_symbols\n"
+        "FROM (VALUES ('conservative'), ('aggressive'), ('balanced')) p(preset) LEFT JOIN (\n"
         + "\nUNION ALL ".join(
             [
                 _preset_sql("conservative", "1.03e0", "3e0", "30", "100000"),
@@ -188,7 +190,7 @@ PRESET_BASE = replace(
                 _preset_sql("balanced", "1e1", "2e0", "50", "10000"),
             ]
         )
-        + ") GROUP BY preset",
+        + ") USING (preset) GROUP BY preset",
     ),
 )
 def screen_presets(spark, sf):
@@ -498,13 +500,74 @@ def two_phase_screen(spark, sf):
     ),
 )
 def fallback_chain(spark, sf):
+    """Scanner, stored and history; the first two find nothing in these data."""
     rows = features(spark, sf)
-    strict = screen.screen(rows.filter(F.col("price") < 0), WIDE)  # a source that finds nothing
-    history = screen.screen(rows, WIDE)
+    found = lambda criteria: screen.screen(rows, criteria)
     pick = lambda df, name: df.select(
         "symbol", "price_date", "price", F.lit(name).alias("source")
     )
-    return screen.first_nonempty([pick(strict, "scanner"), pick(history, "history")])
+    return screen.first_nonempty(
+        [
+            pick(found(replace(WIDE, min_price=1e9, max_price=None)), "scanner"),
+            pick(found(replace(WIDE, max_price=0.001, min_price=None)), "stored"),
+            pick(found(WIDE), "history"),
+        ]
+    )
+
+
+@query(
+    "fallback_stops",
+    "C-23",
+    sql(
+        "panel",
+        f"""SELECT ticker AS symbol, price_date, price, 'stored' AS source FROM panel
+            WHERE n_bars > 250 AND price < 500 AND {WIDE_SQL}""",
+    ),
+)
+def fallback_stops(spark, sf):
+    """The second of three sources has rows, so the third adds none."""
+    rows = features(spark, sf)
+    pick = lambda df, name: df.select(
+        "symbol", "price_date", "price", F.lit(name).alias("source")
+    )
+    return screen.first_nonempty(
+        [
+            pick(screen.screen(rows, replace(WIDE, min_price=1e9, max_price=None)), "scanner"),
+            pick(screen.screen(rows, WIDE).filter("price < 500"), "stored"),
+            pick(screen.screen(rows, WIDE), "history"),
+        ]
+    )
+
+
+@query(
+    "stored_screen_with_caps",
+    "C-18 F-12",
+    sql(
+        "latest tickers listings",
+        """SELECT q.ticker AS symbol, last_price AS price, volume, CAST(usd AS BIGINT) AS usd_mcap
+           FROM latest q JOIN tickers USING (ticker) JOIN stated f USING (ticker)
+           WHERE last_price BETWEEN 1e0 AND 1e3 AND coalesce(volume, 0) >= 20000 AND usd >= floor
+             AND (NOT low > 0 OR (last_price / low <= 3e0 AND (NOT high > 0 OR last_price / high <= 9e-1)))""",
+        """stated AS (
+             SELECT ticker, round(balance - 100.25e0, 2) AS low, round(balance + 100.25e0, 2) AS high,
+                    coalesce(reg.min_cap_usd, 500000000) AS floor,
+                    round(CASE WHEN balance NOT BETWEEN 4300 AND 4500 THEN key * 7e0 + 100 END * 1e6
+                      * CASE CASE WHEN balance >= 1000 THEN 'INR' WHEN ticker LIKE '%.%' THEN reg_currency END
+                          WHEN 'INR' THEN 0.012e0 WHEN 'CAD' THEN 0.74e0 ELSE 1e0 END) AS usd
+             FROM listings LEFT JOIN reg ON reg.exchange = listings.exchange AND ticker LIKE '%.%'
+             WHERE balance >= -900)""",
+    ),
+)
+def stored_screen_with_caps(spark, sf):
+    """Company documents state millions of local currency; the cap floor is in dollars."""
+    good, _ = xml_docs.flatten_snapshots(tables.company_xml(spark, sf))
+    return screen.stored_quote_screen(
+        tables.tickers(spark, sf),
+        json_docs.latest_quotes(tables.raw_quotes(spark, sf), ["event_id"]),
+        xml_docs.in_dollars(good, dims.fx_rates(spark)),
+        replace(STORED, mcap_enabled=True),
+        legacy_stored=True,
+    ).select("symbol", "price", "volume", F.round("usd_mcap").cast("bigint").alias("usd_mcap"))
 
 
 @query(
@@ -575,7 +638,6 @@ def reused_decisions(spark, sf):
 )
 def daily_scan_query(spark, sf):
     """The whole daily run: universe, stored quotes, features, screen, fallback."""
-    from lowtide import dims
     from lowtide.plans import daily_scan
 
     bars = tables.bars(spark, sf)

@@ -109,13 +109,12 @@ def ingest_wide(spark, sf):
     sql(
         "bars",
         """SELECT ticker, (CAST(close * 1e4 AS BIGINT) + 50) // 100 / 1e2 AS price, volume,
-                  'bar' AS reason FROM bars WHERE price_date >= DATE '2001-09-01'""",
+                  'bar' AS reason FROM bars""",
     ),
 )
 def catch_log_readback(spark, sf):
     """Two appends to the log, then a read with the fixed schema."""
-    rows = tables.bars(spark, sf).filter(F.col("price_date") >= F.lit("2001-09-01").cast("date"))
-    rows = rows.select(
+    rows = tables.bars(spark, sf).select(
         F.col("ticker").alias("symbol"), F.col("close").alias("price"), "volume", "price_date",
         F.lit("bar").alias("reason"),
     )
@@ -125,6 +124,38 @@ def catch_log_readback(spark, sf):
     return readers.read_catches(spark, folder).select("ticker", "price", "volume", "reason")
 
 
+@query(
+    "catch_log_malformed",
+    "S-8",
+    sql(
+        "bars",
+        """SELECT 'kept' AS state, count(*) AS lines, CAST(sum(volume) AS BIGINT) AS volume FROM bars
+           UNION ALL SELECT 'quarantined', count(*), CAST(sum(length(ticker)) AS BIGINT) FROM bars
+           WHERE day(price_date) = 1""",
+    ),
+)
+def catch_log_malformed(spark, sf):
+    """A log in another column order, with a bad copy of every bar of a first of the month."""
+    rows = tables.bars(spark, sf).select(
+        F.lit("bar").alias("reason"), F.col("volume").cast("string").alias("volume"), F.col("close").alias("price"),
+        "ticker", "price_date",
+    )
+    first = rows.filter(F.dayofmonth("price_date") == 1)
+    bad = first.withColumn("volume", F.concat(F.lit("about "), F.col("volume")))
+    folder = run_folder(spark, "catches")
+    write_csv(rows.unionByName(bad).drop("price_date"), folder)
+    kept, quarantined = readers.read_catches(spark, folder), readers.malformed_catches(spark, folder)
+    return kept.agg(
+        F.lit("kept").alias("state"), F.count("*").alias("lines"), F.sum("volume").alias("volume")
+    ).unionByName(
+        quarantined.agg(
+            F.lit("quarantined").alias("state"),
+            F.count("*").alias("lines"),
+            F.sum(F.length(F.col("fields")["ticker"])).cast("bigint").alias("volume"),
+        )
+    )
+
+
 @query(
     "raw_landing",
     "S-9 K-1",

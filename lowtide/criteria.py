@@ -47,8 +47,6 @@ class Criteria:
     min_price: float | None = 1.0
     # sizes
     mcap_enabled: bool = True
-    scan_sample_size: int = 5000
-    top_limit: int = 200
 
 
 DEFAULT = Criteria()

@@ -213,14 +213,21 @@ def compare_presets(df: DataFrame, base: Criteria, presets: list[str]) -> DataFr
     verdicts = {
         name: _all_of(list(predicates(df, apply_preset(base, name)).values())) for name in presets
     }
-    hits = [F.when(ok, F.lit(name)) for name, ok in verdicts.items()]
-    return (
-        df.select("symbol", F.explode(F.array_compact(F.array(*hits))).alias("preset"))
-        .groupBy("preset", "symbol")
-        .agg(F.count("*").alias("n"))
-        .groupBy("preset")
-        .agg(F.sum("n").alias("passing_rows"), F.count("*").alias("passing_symbols"))
+    # one row per symbol, then one in all; a preset that nobody passes is reported with zero
+    per_symbol = df.groupBy("symbol").agg(*[F.count_if(ok).alias(name) for name, ok in verdicts.items()])
+    totals = per_symbol.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(f"{name}_rows") for name in presets],
+        *[F.count_if(F.col(name) > 0).alias(f"{name}_symbols") for name in presets],
     )
+    rows = [
+        F.struct(
+            F.lit(name).alias("preset"),
+            F.col(f"{name}_rows").alias("passing_rows"),
+            F.col(f"{name}_symbols").alias("passing_symbols"),
+        )
+        for name in presets
+    ]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def screen_with_presets(df: DataFrame, base: Criteria, presets: list[str]) -> DataFrame:
@@ -324,6 +331,8 @@ def stored_quote_screen(
 ) -> DataFrame:
     """Screen the latest stored quotes of the given tickers.
 
+    ``fundamentals.mkt_cap_usd`` holds whole dollars (``xml_docs.in_dollars`` converts what company
+    documents state).
     Rolling features are joined in when given; ``legacy_stored`` reproduces the older
     behaviour that knows none of them and takes RVOL as 1.
     """
@@ -335,7 +344,7 @@ def stored_quote_screen(
                 "ticker",
                 F.col("xml_52w_low").alias("low_52w"),
                 F.col("xml_52w_high").alias("high_52w"),
-                (F.coalesce(F.col("mkt_cap_usd"), F.lit(0.0)) / 1e9).alias("usd_mcap"),
+                F.coalesce(F.col("mkt_cap_usd"), F.lit(0.0)).alias("usd_mcap"),
             ),
             "ticker",
             "left",
@@ -409,14 +418,17 @@ def two_phase_screen(bars: DataFrame, cheap: DataFrame, panel, criteria: Criteri
     return screen(features.withColumnRenamed("ticker", "symbol"), criteria)
 
 
-def first_nonempty(sources: list[DataFrame]) -> DataFrame:
+def first_nonempty(sources: list[DataFrame], only_first: bool = False) -> DataFrame:
     """Rows of the first source that has any; sources share one schema.
 
-    Each source is a finished screen, hence small.  It is written once and kept if it holds
-    rows; the sources after it are never computed.
-    """
-    for source in sources:
-        kept = written(source, "candidates")
-        if not kept.isEmpty():
-            break
-    return kept
+    One lazy plan: each source is filtered by existence tests over those before it, which stop at
+    their first row.  ``only_first`` keeps the older behaviour, where an empty answer of the first
+    source already counts as an answer."""
+    found = sources[0]
+    if only_first:
+        return found
+    none_before = F.lit(True)
+    for before, source in zip(sources, sources[1:]):
+        none_before = none_before & ~before.exists()
+        found = found.unionByName(source.filter(none_before))
+    return found

@@ -1,4 +1,4 @@
-"""The daily run as one lazy plan: universe, quotes, features, screen, catches."""
+"""The daily run as one lazy plan: gate, universe, quotes, features, screen, catches."""
 
 from __future__ import annotations
 
@@ -22,9 +22,9 @@ class Tables:
     current: DataFrame
 
 
-def ready(tables: Tables, asof) -> DataFrame:
+def ready(tables: Tables, asof, max_hours: int = 24) -> DataFrame:
     """Freshness gate: one row that says whether the scan may run."""
-    return reports.freshness(tables.current, tables.bars, asof)
+    return reports.freshness(tables.current, tables.bars, asof, max_hours)
 
 
 def history_features(bars: DataFrame, tickers: DataFrame, criteria: Criteria) -> DataFrame:
@@ -45,20 +45,40 @@ def catches(
     criteria: Criteria,
     asof,
     *,
+    scanner: DataFrame | None = None,
     legacy_stored: bool = False,
+    max_hours: int = 24,
+    only_first: bool = False,
 ) -> DataFrame:
-    """Stored quotes first, history when they give nothing."""
+    """Scanner hits first, then stored quotes, then history when these give nothing.
+
+    ``scanner`` has the hits of an outside scanner (symbol, price, volume), which are screened like
+    stored quotes.  Without fresh market data (``ready``) the run gives no rows.  ``only_first``: see
+    ``first_nonempty``."""
     universe = build_universe(spark, tables.tickers, tables.directory, enabled, asof)
     features = history_features(tables.bars, universe, criteria)
     stored = screen.stored_quote_screen(
         universe, tables.current, tables.fundamentals, criteria, features, legacy_stored
     )
     caps = tables.fundamentals.select(
-        F.col("ticker").alias("symbol"), (F.col("mkt_cap_usd") / 1e9).alias("usd_mcap")
+        F.col("ticker").alias("symbol"), F.col("mkt_cap_usd").alias("usd_mcap")
     )
     history = screen.screen(
         features.withColumnRenamed("ticker", "symbol").join(caps, "symbol", "left"), criteria
     )
     columns = ["symbol", "price", "volume", "usd_mcap", "pct_from_low", "rvol"]
     pick = lambda df, source: df.select(*columns, F.lit(source).alias("source"))
-    return screen.first_nonempty([pick(stored, "stored"), pick(history, "history")])
+    sources = [pick(stored, "stored"), pick(history, "history")]
+    if scanner is not None:
+        hits = scanner.select(
+            F.col("symbol").alias("ticker"),
+            F.col("price").alias("last_price"),
+            "volume",
+            F.lit(asof).cast("timestamp_ntz").alias("last_updated"),
+        )
+        hits = screen.stored_quote_screen(
+            universe, hits, tables.fundamentals, criteria, features, legacy_stored
+        )
+        sources.insert(0, pick(hits, "scanner"))
+    fresh = ready(tables, asof, max_hours).filter("is_fresh").exists()
+    return screen.first_nonempty(sources, only_first).filter(fresh)

@@ -1,74 +1,105 @@
 """Path discovery over XML documents.
 
 Spark has no operator that lists the paths of an unknown document, so one Arrow-batched
-``mapInArrow`` step turns documents into (path, kind, section) rows; all counting is done
-by ordinary aggregates with map-side combining.
+``mapInArrow`` step parses documents and counts their nodes: one row per kind of node and
+document, or per kind of node and batch.  All further counting is done by ordinary aggregates
+with map-side combining.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = (
-    "ticker string, path string, tag string, attribute string, field_name string, "
-    "section string, is_leaf boolean, has_text boolean"
-)
+#: what tells kinds of nodes apart, and what is counted of each
+KIND = ("path", "tag", "attribute", "field_name", "section")
+COUNTS = ("documents", "nodes", "leaves", "bearing", "texts")
+NODE_SCHEMA = ", ".join(["ticker string", *[f"{k} string" for k in KIND], *[f"{c} long" for c in COUNTS]])
 
 
-def _nodes(document: str) -> Iterator[tuple]:
-    """One tuple per element and one per attribute, in document order."""
+def _kinds(document: str) -> dict[tuple, list[int]]:
+    """Nodes, leaves, data-bearing nodes and nodes with text of each kind in one document."""
+    found: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     try:
         root = ET.fromstring(document)
     except ET.ParseError:
-        return
+        return found
     stack = [(root, root.tag, None)]
     while stack:
         node, path, section = stack.pop()
         leaf = len(node) == 0
         text = bool(node.text and node.text.strip())
         field = node.get("FieldName")
-        yield path, node.tag, None, field, section, leaf, text
+        counts = found[(path, node.tag, None, field, section)]
+        counts[0] += 1
+        counts[1] += leaf
+        counts[2] += leaf and text
+        counts[3] += text
         for name in node.attrib:
-            yield f"{path}@{name}", node.tag, name, field, section, False, False
-        for child in reversed(node):
+            counts = found[(f"{path}@{name}", node.tag, name, field, section)]
+            counts[0] += 1
+            counts[2] += 1
+        for child in node:
             stack.append((child, f"{path}/{child.tag}", section or child.tag))
+    return found
 
 
-def xml_nodes(raw: DataFrame, doc: str = "xml_snapshot") -> DataFrame:
-    """All elements and attributes of all documents; malformed ones give no rows."""
+def xml_nodes(raw: DataFrame, doc: str = "xml_snapshot", per_document: bool = True) -> DataFrame:
+    """Kinds of nodes of all documents with their counts; malformed documents give no rows.
 
-    names = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
-    kinds = [pa.bool_() if "boolean" in part else pa.string() for part in NODE_SCHEMA.split(", ")]
-    arrow_schema = pa.schema(list(zip(names, kinds)))
+    Without ``per_document`` the documents of a batch are counted together and ``ticker`` is NULL:
+    what leaves the task is then a row per kind, however many documents there are."""
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # one output batch per document keeps memory at the size of a document
+            total: dict[tuple, list[int]] = {}
             for ticker, document in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(ticker, *node) for node in _nodes(document)]
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+                for kind, counts in _kinds(document).items():
+                    key = (ticker if per_document else None, *kind)
+                    have = total.setdefault(key, [0] * len(COUNTS))
+                    for i, n in enumerate((1, *counts)):
+                        have[i] += n
+            if total:
+                texts = [pa.array(c, pa.string()) for c in zip(*total)]
+                numbers = [pa.array(c, pa.int64()) for c in zip(*total.values())]
+                yield pa.RecordBatch.from_arrays([*texts, *numbers], names=["ticker", *KIND, *COUNTS])
 
-    return (
-        raw.filter(F.col(doc).isNotNull()).select("ticker", doc).mapInArrow(expand, NODE_SCHEMA)
-    )
+    return raw.filter(F.col(doc).isNotNull()).select("ticker", doc).mapInArrow(count, NODE_SCHEMA)
 
 
 def path_counts(nodes: DataFrame) -> DataFrame:
     """Distinct data-bearing paths with the number of documents and nodes."""
-    bearing = nodes.filter(
-        F.col("attribute").isNotNull() | (F.col("is_leaf") & F.col("has_text"))
-    )
-    per_document = bearing.groupBy("path", "ticker").agg(F.count("*").alias("n"))
-    return per_document.groupBy("path").agg(
-        F.count("*").alias("documents"), F.sum("n").alias("nodes")
-    )
+    # ratios of several codes share a path, so a document may have several rows of it
+    per_document = nodes.filter("bearing > 0").groupBy("path", "ticker").agg(F.sum("bearing").alias("n"))
+    return per_document.groupBy("path").agg(F.count("*").alias("documents"), F.sum("n").alias("nodes"))
+
+
+def paths(raw: DataFrame, doc: str = "xml_snapshot") -> DataFrame:
+    """As ``path_counts``, straight from the documents: a row per path and batch leaves the task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[str, list[int]] = {}
+            for document in batch.column(0).to_pylist():
+                own: dict[str, int] = defaultdict(int)
+                for kind, counts in _kinds(document).items():
+                    own[kind[0]] += counts[2]
+                for path, n in own.items():
+                    if n:
+                        have = total.setdefault(path, [0, 0])
+                        have[0] += 1
+                        have[1] += n
+            if total:
+                numbers = [pa.array(c, pa.int64()) for c in zip(*total.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(total)), *numbers], names=["path", "documents", "nodes"])
+
+    found = raw.filter(F.col(doc).isNotNull()).select(doc).mapInArrow(count, "path string, documents long, nodes long")
+    return found.groupBy("path").agg(F.sum("documents").alias("documents"), F.sum("nodes").alias("nodes"))
 
 
 def field_codes(nodes: DataFrame) -> DataFrame:
@@ -77,14 +108,14 @@ def field_codes(nodes: DataFrame) -> DataFrame:
         (F.col("tag") == "Ratio") & F.col("attribute").isNull() & F.col("field_name").isNotNull()
     )
     kind = F.when(F.contains("path", F.lit("ForecastData")), "forecast").otherwise("ratio")
-    return ratios.groupBy(kind.alias("kind"), "field_name").agg(F.count("*").alias("nodes"))
+    return ratios.groupBy(kind.alias("kind"), "field_name").agg(F.sum("nodes").alias("nodes"))
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
     """Elements and leaf elements per document."""
     elements = nodes.filter(F.col("attribute").isNull())
     return elements.groupBy("ticker").agg(
-        F.count("*").alias("total_nodes"), F.count_if("is_leaf").alias("leaf_nodes")
+        F.sum("nodes").alias("total_nodes"), F.sum("leaves").alias("leaf_nodes")
     )
 
 
@@ -98,11 +129,11 @@ def unique_fields(nodes: DataFrame) -> DataFrame:
         )
         .otherwise(F.col("tag"))
     )
-    bearing = nodes.filter(F.col("attribute").isNotNull() | F.col("has_text"))
+    bearing = nodes.filter(F.col("attribute").isNotNull() | (F.col("texts") > 0))
     return bearing.groupBy("ticker").agg(F.count_distinct(field).alias("unique_fields"))
 
 
 def section_sizes(nodes: DataFrame) -> DataFrame:
     """Elements per top-level section over all documents."""
     inside = nodes.filter(F.col("attribute").isNull() & F.col("section").isNotNull())
-    return inside.groupBy("section").agg(F.count("*").alias("nodes"))
+    return inside.groupBy("section").agg(F.sum("nodes").alias("nodes"))

@@ -66,13 +66,16 @@ def _quote_schema() -> str:
     return f"struct<{flat},Ticker:struct<{flat}>>"
 
 
-def parse_quotes(raw: DataFrame) -> DataFrame:
+def parse_quotes(raw: DataFrame, closed_as_missing: bool = True) -> DataFrame:
     """Raw quotes -> typed columns; each document is parsed once.
 
     The parsed value comes out of a one-element array, so that a later filter on a price is
-    not pushed down with a copy of the parser.  Top-level table columns win over the document for last price and volume; document
-    fields may be flat or inside ``Ticker``.  The last price falls back to the close.
+    not pushed down with a copy of the parser.  Top-level table columns win over the document for
+    last price and volume; document fields may be flat or inside ``Ticker``.  The last price falls
+    back to the close.  A last price of zero or less (-1 tells of a closed market) counts as
+    missing, unless ``closed_as_missing`` is off.
     """
+    given = lambda price: F.when(price > 0, price) if closed_as_missing else price
     doc = F.col("_doc")
     number = lambda f: clean_number(quote_field(doc, f))
     nested = lambda f: clean_number(doc["Ticker"][f])
@@ -82,7 +85,7 @@ def parse_quotes(raw: DataFrame) -> DataFrame:
         .select("*", F.explode(F.array(F.from_json("market_data", _quote_schema()))).alias("_doc"))
         .select(
             symbols.undouble_suffix(F.col("ticker")).alias("ticker"),
-            F.coalesce("last_price", nested("last"), number("close")).alias("last_price"),
+            F.coalesce(given(F.col("last_price")), given(nested("last")), number("close")).alias("last_price"),
             number("close").alias("close_price"),
             number("open").alias("open_price"),
             number("high").alias("high_price"),

@@ -70,16 +70,67 @@ def ingest_wide(wide: DataFrame, source: str, **options) -> DataFrame:
     )
 
 
-def read_catches(spark: SparkSession, path: str) -> DataFrame:
-    """Read back the catch log with its fixed columns; malformed lines are dropped, and a log
-    that cannot be read counts as empty."""
-    reader = (
-        spark.read.schema(schemas.CATCHES).option("header", True).option("mode", "DROPMALFORMED")
-    )
+#: one value of a log line, which is read with a comma before it; quotes inside are doubled or escaped
+_VALUE = r',("(?:[^"\\]|\\.|"")*"|[^,]*)'
+
+
+def _catch_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """Lines of a catch log by column name: ``fields`` (name -> text) and, typed, ``row``.
+
+    Every file is read by its own header line, whatever its column order; a value holds no line
+    break.  ``issue`` says what is
+    wrong with a line: a number of values other than the header's, or a value that does not fit its
+    column.  None if the log cannot be read."""
     try:
-        return reader.csv(path)
+        lines = spark.read.text(path)
     except AnalysisException:
+        return None
+    quoted = lambda v: F.when(
+        v.startswith('"'), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), r'[\\"](["\\])', "$1")
+    ).otherwise(v)
+    found = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(_VALUE), F.lit(1))
+    lines = lines.filter(F.trim("value") != "").select(
+        F.transform(found, quoted).alias("values"), F.col("_metadata.file_path").alias("file")
+    )
+    is_header = F.array_contains("values", "ticker") & F.array_contains("values", "price")
+    headers = lines.filter(is_header).groupBy("file").agg(F.min("values").alias("header"))
+    named = lines.filter(~is_header).join(headers, "file", "left")
+    fits = F.size("values") == F.size("header")
+    fields = F.when(fits, F.map_from_arrays("header", "values"))
+    named = named.withColumn("fields", F.coalesce(fields, F.create_map().cast("map<string,string>")))
+    kinds = [part.split() for part in schemas.CATCHES.split(",")]
+    text = lambda n: F.nullif(F.try_element_at("fields", F.lit(n)), F.lit(""))
+    row = F.struct(
+        *[
+            (F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit("")) if kind == "string" else text(n).try_cast(kind)).alias(n)
+            for n, kind in kinds
+        ]
+    )
+    wrong = [
+        F.when(text(n).isNotNull() & text(n).try_cast(kind).isNull(), F.lit(n)) for n, kind in kinds if kind != "string"
+    ]
+    issue = F.when(~F.coalesce(fits, F.lit(False)), F.lit("number of values")).otherwise(
+        F.nullif(F.concat_ws(",", *wrong), F.lit(""))
+    )
+    return named.select("file", "values", "fields", row.alias("row"), issue.alias("issue"))
+
+
+def read_catches(spark: SparkSession, path: str) -> DataFrame:
+    """Read back the catch log: its fixed columns, found by name in the header of each file.
+
+    Lines that do not fit are left to ``malformed_catches``; a log that cannot be read is empty."""
+    lines = _catch_lines(spark, path)
+    if lines is None:
         return schemas.empty(spark, "catches")
+    return lines.filter(F.col("issue").isNull()).select("row.*")
+
+
+def malformed_catches(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a catch log that do not fit: file, values, values by column name, and the issue."""
+    lines = _catch_lines(spark, path)
+    if lines is None:
+        return spark.createDataFrame([], "file string, values array<string>, fields map<string,string>, issue string")
+    return lines.filter(F.col("issue").isNotNull()).select("file", "values", "fields", "issue")
 
 
 def clean_missing(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ or empty document gives a row of NULLs, which is how the quarantine recognises i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowtide import dims, schemas
@@ -17,7 +17,7 @@ from lowtide.functions.values import clean_forecast, clean_number
 # --- fixed values: vendor codes -> columns ---------------------------------------------------
 
 RATIO_CODES = {
-    "MKTCAP": "mkt_cap_usd",
+    "MKTCAP": "mkt_cap_local_mn",
     "APEEXCLXOR": "pe_ratio",
     "APRICE2BK": "price_to_book",
     "APR2REV": "price_to_revenue",
@@ -95,6 +95,10 @@ SNAPSHOT = """
         Mean: string>>>
 """
 
+#: what a document gives: the columns of the fundamentals table, but the cap as it is stated
+_FLAT = schemas.STOCK_FUNDAMENTALS.replace("mkt_cap_usd", "mkt_cap_local_mn")
+FLAT_COLUMNS = schemas.column_names(_FLAT)
+
 # --- picking ------------------------------------------------------------------------------
 
 
@@ -280,16 +284,14 @@ def _columns() -> dict[str, Column]:
 def flatten_snapshots(raw: DataFrame, suffix: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Snapshots -> (fundamentals rows, quarantined documents), optionally of one suffix.
 
-    ``mkt_cap_usd`` holds what the document states: millions of local currency (see
-    ``usd_market_cap``).
+    ``mkt_cap_local_mn`` holds what the document states, millions of local currency; ``in_dollars``
+    turns the rows into those of the fundamentals table.
     """
     scope = raw if suffix is None else raw.filter(F.col("ticker").endswith(suffix))
     parsed = parse_snapshots(scope)
     values = _columns()
     wanted = [
-        values[name].alias(name)
-        for name in schemas.column_names(schemas.STOCK_FUNDAMENTALS)
-        if name not in ("ticker", "last_fundamental_update")
+        values[name].alias(name) for name in FLAT_COLUMNS if name not in ("ticker", "last_fundamental_update")
     ]
     good = parsed.filter("_ok").withColumns(_intermediates()).select(
         "ticker", *wanted, F.col("last_updated").alias("last_fundamental_update")
@@ -298,6 +300,39 @@ def flatten_snapshots(raw: DataFrame, suffix: str | None = None) -> tuple[DataFr
     return good, bad
 
 
+def flatten_all(raw: DataFrame, suffix: str | None = None) -> DataFrame:
+    """All documents in one frame, parsed once: the fundamentals columns, ``ok``, and the document
+    itself where it could not be flattened."""
+    scope = raw if suffix is None else raw.filter(F.col("ticker").endswith(suffix))
+    values = _columns()
+    wanted = [
+        values[name].alias(name) for name in FLAT_COLUMNS if name not in ("ticker", "last_fundamental_update")
+    ]
+    return parse_snapshots(scope).withColumns(_intermediates()).select(
+        "ticker",
+        *wanted,
+        F.col("last_updated").alias("last_fundamental_update"),
+        F.when(~F.col("_ok"), F.col("xml_snapshot")).alias("xml_snapshot"),
+        F.col("_ok").alias("ok"),
+    )
+
+
+def write_snapshots(raw: DataFrame, folder: str, suffix: str | None = None) -> None:
+    """Flatten every document once into a table that is partitioned by its status."""
+    flatten_all(raw, suffix).write.mode("overwrite").partitionBy("ok").parquet(folder)
+
+
+def read_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(fundamentals rows, quarantined documents) of a written table, each from its own files."""
+    ddl = _FLAT + ", xml_snapshot string, ok boolean"
+    both = spark.read.schema(ddl).parquet(folder)
+    good = both.filter("ok").drop("ok", "xml_snapshot")
+    bad = both.filter("NOT ok").select(
+        "ticker", "xml_snapshot", F.col("last_fundamental_update").alias("last_updated")
+    )
+    return good, bad
+
+
 def flatten_counts(raw: DataFrame) -> DataFrame:
     """How many documents were flattened and how many were skipped."""
     return parse_snapshots(raw).agg(
@@ -313,24 +348,37 @@ def usd_market_cap(fundamentals: DataFrame, fx: DataFrame) -> DataFrame:
         )
         .withColumn("fx_missing", F.col("usd_rate").isNull())
         .withColumn(
-            "usd_mcap", F.col("mkt_cap_usd") * 1e6 * F.coalesce("usd_rate", F.lit(1.0))
+            "usd_mcap", F.col("mkt_cap_local_mn") * 1e6 * F.coalesce("usd_rate", F.lit(1.0))
         )
         .drop("usd_rate")
     )
 
 
+def in_dollars(fundamentals: DataFrame, fx: DataFrame) -> DataFrame:
+    """Flattened documents as rows of the fundamentals table, whose cap is in whole dollars."""
+    return usd_market_cap(fundamentals, fx).select(
+        *[
+            F.col("usd_mcap" if name == "mkt_cap_usd" else name).alias(name)
+            for name in schemas.column_names(schemas.STOCK_FUNDAMENTALS)
+        ]
+    )
+
+
 def required_fields(raw: DataFrame) -> DataFrame:
-    """Per document: is it well-formed and does it have name, ISIN and ratios?"""
-    x = parse_snapshots(raw)
-    ids = F.col("_x.CoIDs.CoID")
-    checks = {
-        "well_formed": F.col("_ok"),
-        "has_name": F.size(_typed(ids, "_Type", "CompanyName")) > 0,
-        "has_issues": F.size("_x.Issues.Issue") > 0,
-        "has_ratios": F.size("_x.Ratios.Group") > 0,
+    """Per document: is it well-formed, does it state the three required values, and which are missing?
+
+    A company document must give its name, its market cap and its price-earnings ratio."""
+    x = parse_snapshots(raw).withColumns({k: v for k, v in _intermediates().items() if k in ("_ids", "_ratios")})
+    values = {
+        "name": _first(_typed(F.col("_ids"), "_Type", "CompanyName"))["_VALUE"],
+        "market_cap": _by_code(F.col("_ratios"), "MKTCAP")["number"],
+        "pe_ratio": _by_code(F.col("_ratios"), "APEEXCLXOR")["number"],
     }
     return x.select(
-        "ticker", *[F.coalesce(c, F.lit(False)).alias(name) for name, c in checks.items()]
+        "ticker",
+        F.coalesce("_ok", F.lit(False)).alias("well_formed"),
+        *[v.isNotNull().alias(f"has_{name}") for name, v in values.items()],
+        F.concat_ws(",", *[F.when(v.isNull(), F.lit(name)) for name, v in values.items()]).alias("missing"),
     )
 
 

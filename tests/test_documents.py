@@ -15,14 +15,14 @@ FULL = """<?xml version="1.0" encoding="UTF-8"?>
   <Issues>
     <Issue ID="1" Type="P"><IssueID Type="Name">No exchange here</IssueID></Issue>
     <Issue ID="2" Type="C"><IssueID Type="ISIN">IN01</IssueID><IssueID Type="RIC">ACM.NS</IssueID>
-      <Exchange Code="NSE" Country="IND">x</Exchange><MostRecentSplit Date="2024-10-28">2.0</MostRecentSplit></Issue>
+      <Exchange Code="NSE" Country="IND">x</Exchange><MostRecentSplit Date="2001-05-17">2.0</MostRecentSplit></Issue>
     <Issue ID="3" Type="C"><IssueID Type="ISIN">IN02</IssueID><Exchange Code="BOM" Country="IND">y</Exchange></Issue>
   </Issues>
-  <CoGeneralInfo><CoStatus Code="1">Active</CoStatus><Employees LastUpdated="2025-03-31">411</Employees>
-    <SharesOut Date="2025-09-30" TotalFloat="1,000.5">2000.0</SharesOut><ReportingCurrency Code="INR">Rupee</ReportingCurrency></CoGeneralInfo>
+  <CoGeneralInfo><CoStatus Code="1">Active</CoStatus><Employees LastUpdated="2001-01-20">523</Employees>
+    <SharesOut Date="2001-02-14" TotalFloat="1,000.5">2000.0</SharesOut><ReportingCurrency Code="INR">Rupee</ReportingCurrency></CoGeneralInfo>
   <TextInfo><Text Type="Business Summary">first</Text><Text Type="Business Summary">second &amp; last</Text></TextInfo>
   <contactInfo><streetAddress line="1">One Road</streetAddress><streetAddress line="2"></streetAddress><streetAddress line="3">Floor</streetAddress>
-    <city>MUMBAI</city><country code="IND">India</country>
+    <city>LAKETOWN</city><country code="IND">India</country>
     <phone><phone type="mainfax"><countryPhoneCode>90</countryPhoneCode><number>1</number></phone>
            <phone type="mainphone"><countryPhoneCode>91</countryPhoneCode><city-areacode>22</city-areacode><number>35</number></phone></phone></contactInfo>
   <peerInfo><IndustryInfo><Industry type="TRBC" order="1" code="1">old</Industry><Industry type="TRBC" order="2" code="2">new</Industry>
@@ -33,7 +33,7 @@ FULL = """<?xml version="1.0" encoding="UTF-8"?>
     <officer rank="3"><lastName>Three</lastName></officer><officer rank="4"><firstName>D</firstName></officer>
     <officer rank="5"><firstName>E</firstName></officer><officer rank="6"><firstName>F</firstName><lastName>Six</lastName></officer>
   </officers>
-  <Ratios PriceCurrency="INR"><Group ID="g1"><Ratio FieldName="MKTCAP" Type="N">1.5</Ratio><Ratio FieldName="PDATE" Type="D">2026-01-12T00:00:00</Ratio></Group>
+  <Ratios PriceCurrency="INR"><Group ID="g1"><Ratio FieldName="MKTCAP" Type="N">1.5</Ratio><Ratio FieldName="PDATE" Type="D">2001-12-03T00:00:00</Ratio></Group>
     <Group ID="g2"><Ratio FieldName="MKTCAP" Type="N">2.5</Ratio><Ratio FieldName="APEEXCLXOR" Type="N">n/a</Ratio><Ratio FieldName="OTHER" Type="N">7</Ratio></Group></Ratios>
   <ForecastData><Ratio FieldName="TargetPrice" Type="N"><Mean>9</Mean><Value PeriodType="CURR">10.5</Value></Ratio>
     <Ratio FieldName="ProjPE" Type="N"><Value PeriodType="CURR">-99999.99000</Value></Ratio>
@@ -58,17 +58,17 @@ def test_snapshot_fields(spark):
     r = rows["ACM.NS"]
     want = {
         "company_name": "Acme Ltd", "rep_no": "A1", "org_perm_id": None, "isin": "IN01", "ric": "ACM.NS",
-        "exchange_code": "NSE", "exchange_country": "IND", "most_recent_split_factor": 2.0, "employees": 411,
+        "exchange_code": "NSE", "exchange_country": "IND", "most_recent_split_factor": 2.0, "employees": 523,
         "shares_out": 2000.0, "total_float": 1000.5, "reporting_currency": "INR", "co_type": None,
-        "business_summary": "second & last", "address": "One Road, Floor", "city": "MUMBAI", "postal_code": None,
+        "business_summary": "second & last", "address": "One Road, Floor", "city": "LAKETOWN", "postal_code": None,
         "country_code": "IND", "phone": "+90  1", "industry_trbc": "new", "industry_trbc_code": "2",
         "industry_naics": "main", "industry_naics_code": "3", "industry_sic": None,
         "officer_1_name": "A One", "officer_1_title": "Chair", "officer_2_name": "B", "officer_3_name": "Three",
-        "officer_3_title": "", "officer_5_name": "E", "mkt_cap_usd": 2.5, "pe_ratio": None, "ev": None,
+        "officer_3_title": "", "officer_5_name": "E", "mkt_cap_local_mn": 2.5, "pe_ratio": None, "ev": None,
         "target_price": 10.5, "proj_pe": None, "proj_eps": 4.5, "price_currency": "INR",
     }
     assert {k: r[k] for k in want} == want
-    assert str(r["xml_last_price_date"]) == "2026-01-12" and str(r["most_recent_split_date"]) == "2024-10-28"
+    assert str(r["xml_last_price_date"]) == "2001-12-03" and str(r["most_recent_split_date"]) == "2001-05-17"
     assert r["officers_json"].count('"n"') == 6 and '"n":"F Six"' in r["officers_json"]
     assert rows["S.HK"]["price_currency"] == "HKD"  # from the registry
 
@@ -76,16 +76,29 @@ def test_snapshot_fields(spark):
 def test_snapshot_schema_is_the_table_schema(spark):
     from lowtide import schemas
 
-    good, _ = xml_docs.flatten_snapshots(raw(spark))
+    from lowtide import dims
+
+    flat, _ = xml_docs.flatten_snapshots(raw(spark))
+    good = xml_docs.in_dollars(flat, dims.fx_rates(spark))
     assert good.columns == schemas.column_names(schemas.STOCK_FUNDAMENTALS) and len(good.columns) == 81
     assert good.schema.simpleString() == schemas.empty(spark, "stock_fundamentals").schema.simpleString()
 
 
 def test_required_fields(spark):
-    flags = {r["ticker"]: (r["well_formed"], r["has_name"], r["has_ratios"]) for r in xml_docs.required_fields(raw(spark)).collect()}
-    assert flags["ACM.NS"] == (True, True, True)
-    assert flags["S.HK"] == (True, False, True)
-    assert flags["BAD.NS"] == (False, False, False)
+    flags = {r["ticker"]: (r["well_formed"], r["has_name"], r["has_market_cap"], r["missing"]) for r in xml_docs.required_fields(raw(spark)).collect()}
+    assert flags["ACM.NS"] == (True, True, True, "pe_ratio")  # stated as n/a
+    assert flags["S.HK"] == (True, False, False, "name,market_cap,pe_ratio")
+    assert flags["BAD.NS"] == (False, False, False, "name,market_cap,pe_ratio")
+
+
+def test_one_parse_for_good_rows_and_quarantine(spark, tmp_path):
+    xml_docs.write_snapshots(raw(spark), str(tmp_path / "t"))
+    good, bad = xml_docs.read_snapshots(spark, str(tmp_path / "t"))
+    want_good, want_bad = xml_docs.flatten_snapshots(raw(spark))
+    assert sorted(map(str, good.collect())) == sorted(map(str, want_good.collect())) and good.columns == want_good.columns
+    assert sorted(map(str, bad.collect())) == sorted(map(str, want_bad.collect()))
+    plan = xml_docs.flatten_all(raw(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml") <= 1
 
 
 def _walk(node, path=""):
@@ -107,6 +120,8 @@ def test_discovery_against_element_tree(spark):
     all_paths = [(t, p) for t, x in trees.items() for p in _walk(x)]
     documents, total = Counter(p for _, p in set(all_paths)), Counter(p for _, p in all_paths)
     assert paths == {p: (documents[p], total[p]) for p in total}
+    straight = {r["path"]: (r["documents"], r["nodes"]) for r in discovery.paths(raw(spark)).collect()}
+    assert straight == paths
     codes = {(r["kind"], r["field_name"]) for r in discovery.field_codes(nodes).collect()}
     assert ("forecast", "ProjPE") in codes and ("ratio", "OTHER") in codes and ("ratio", "ProjPE") not in codes
     fields = {r["ticker"]: r["unique_fields"] for r in discovery.unique_fields(nodes).collect()}

@@ -44,6 +44,43 @@ def test_save_tickers_keeps_status(spark):
     assert rows(out, "ticker", "market", "status") == [("A", "LSE", "INACTIVE"), ("B", "LSE", None), ("C", "LSE", "ACTIVE")]
 
 
+def test_rows_without_a_market_count_as_seen(spark):
+    current = spark.createDataFrame([("A", "NSE", "ACTIVE", None, T(1)), ("B", "NSE", None, None, T(1))], schemas.TICKERS)
+    incoming = spark.createDataFrame([("A", None), ("N", None)], "ticker string, market string")
+    out = merge.save_tickers(current, incoming, "2026-01-09")
+    assert rows(out, "ticker", "market", "status", "last_updated") == [
+        ("A", "NSE", "ACTIVE", T(9)), ("B", "NSE", None, T(1)), ("N", None, "ACTIVE", T(9))
+    ]
+
+
+def test_the_last_update_of_a_key_counts(spark):
+    current = spark.createDataFrame([("A", "NSE", None, None, T(1))], schemas.TICKERS)
+    updates = spark.createDataFrame(
+        [("A", "INACTIVE", "gone", 1), ("A", "ACTIVE", None, 3), ("A", "INACTIVE", "z", 2), ("Q", "ACTIVE", "", 9)],
+        "ticker string, status string, status_message string, n int",
+    )
+    out = merge.update_status(current, updates, "2026-01-09", ["n"])
+    assert rows(out, "ticker", "status", "status_message") == [("A", "ACTIVE", None)]
+    values = spark.createDataFrame([("A", 1, 2), ("B", 1, 2)], "k string, x int, y int")
+    changes = spark.createDataFrame([("A", 5, None, 1), ("A", 7, None, 2), ("A", 6, 9, 0)], "k string, x int, y int, n int")
+    assert rows(merge.update_columns(values, changes, "k", ["x", "y"], ["n"]), "*") == [("A", 7, 2), ("B", 1, 2)]
+
+
+def test_versions_of_a_replaced_table(spark):
+    path = run_folder(spark, "versions")
+    assert merge.read_current(spark, path) is None and merge.retired_versions(spark, path).isEmpty()
+    merge.replace_table(spark, spark.range(3), path)
+    old = merge.read_current(spark, path)  # a reader that has the old state goes on reading it
+    merge.replace_table(spark, merge.read_current(spark, path).filter("id > 0"), path)
+    assert old.count() == 3 and rows(merge.read_current(spark, path), "id") == [(1,), (2,)]
+    with pytest.raises(Exception):
+        merge.replace_table(spark, spark.range(9).select(F.raise_error(F.lit("lost"))), path)
+    assert rows(merge.read_current(spark, path), "id") == [(1,), (2,)]
+    assert merge.retired_versions(spark, path).count() == 1
+    merge.drop_table(spark, path)
+    assert merge.read_current(spark, path) is None and merge.retired_versions(spark, path).count() == 2
+
+
 def test_not_in_null_semantics(spark):
     left = spark.createDataFrame([("A",), ("B",), (None,)], "ticker string")
     right = lambda *v: spark.createDataFrame([(x,) for x in v], "ticker string")
@@ -120,7 +157,11 @@ def test_unreadable_catch_log_counts_as_empty(spark, tmp_path):
         "timestamp,ticker,price,volume,usd_mcap,pct_from_low,reason\n"
         "2026-01-01T00:00:00.000,A,1.5,10,0.0,1.0,ok\n2026-01-01T00:00:00.000,B,oops,10,0.0,1.0,bad\n"
     )
-    assert rows(readers.read_catches(spark, str(log)), "ticker", "price") == [("A", 1.5)]
+    (log / "other.csv").write_text("reason,price,ticker,volume\n\"odd, quoted\",2.5,C,7\nshort,1.0\n,,D,\n")
+    assert rows(readers.read_catches(spark, str(log)), "ticker", "price", "volume", "reason") == [
+        ("A", 1.5, 10, "ok"), ("C", 2.5, 7, "odd, quoted"), ("D", None, None, ""),
+    ]
+    assert rows(readers.malformed_catches(spark, str(log)), "issue") == [("number of values",), ("price",)]
 
 
 def test_freshness(spark):
