@@ -72,7 +72,7 @@ def functions_of(run, seen: set | None = None) -> list[str]:
 
 
 def main(survey: str) -> None:
-    rows = re.findall(r"^\| ([A-Z]-(?:\d+|[A-H])) \| ([^|]+) \|", open(survey).read(), re.M)
+    rows = re.findall(r"^\| ([A-Z]-(?:\d+|[A-H])) \| ((?:[^|\\]|\\.)+) \|", open(survey).read(), re.M)
     inventory = [(i, what.strip()) for i, what in rows if not re.fullmatch(r"Q-\d+", i)]
     print("# Operator coverage\n")
     print("Every query has an SQL twin, unless marked *.\n")

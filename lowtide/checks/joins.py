@@ -126,12 +126,18 @@ def not_in_null_aware(spark, sf):
     sql(
         "tickers fundamentals",
         """SELECT ticker FROM tickers
-           WHERE ticker NOT IN (SELECT company_name FROM fundamentals)""",
+           WHERE ticker NOT IN (SELECT company_name FROM fundamentals)
+           UNION ALL
+           SELECT ticker FROM tickers
+           WHERE ticker NOT IN (SELECT ticker FROM fundamentals WHERE company_name IS NULL)""",
     ),
 )
 def not_in_with_null_key(spark, sf):
-    names = tables.fundamentals(spark, sf).select(F.col("company_name").alias("ticker"))
-    return lookups.not_in(tables.tickers(spark, sf).select("ticker"), names)
+    """Against names, of which some are NULL, nothing is left; against the tickers of those, most are."""
+    tickers, known = tables.tickers(spark, sf).select("ticker"), tables.fundamentals(spark, sf)
+    names = known.select(F.col("company_name").alias("ticker"))
+    nameless = known.filter(F.col("company_name").isNull()).select("ticker")
+    return lookups.not_in(tickers, names).unionByName(lookups.not_in(tickers, nameless))
 
 
 @query(
@@ -184,6 +190,24 @@ def resume_split(spark, sf):
     )
 
 
+@query(
+    "resume_cap",
+    "O-7 J-12",
+    sql(
+        "tickers ev",
+        """SELECT t.ticker FROM tickers t WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.ticker = t.ticker
+                 AND NOT (event_type = 'view' AND ev.ticker LIKE '%.NS') AND event_type <> 'signup'
+                 AND ts > TIMESTAMP '2024-02-01' - INTERVAL 3 DAY)
+           ORDER BY t.ticker LIMIT 50""",
+    ),
+)
+def resume_cap(spark, sf):
+    """The first 50 of what is still to be fetched."""
+    from lowtide.operators.reports import capped
+
+    return capped(resume_split(spark, sf).filter("action = 'fetch'"), ["ticker"], 50).select("ticker")
+
+
 @query(
     "market_lookup",
     "J-13 F-7",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lowtide.checks.base import query, sql
 from lowtide.checks.screens import WIDE, WIDE_SQL, features
 from lowtide.operators import reports, screen
-from lowtide.operators.bars import current_quotes
-from lowtide.operators.indicators import latest_per_key, year_stats
+from lowtide.operators.bars import market_summary
+from lowtide.operators.indicators import latest_per_key
 from lowtide.session import written
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources.benchmark_tables import EVENTS_TIME, LAST_DAY, UNIVERSE_TIME
@@ -158,9 +158,10 @@ def group_counts(spark, sf):
     ]
     from lowtide.sources.tables import union_all
 
-    return union_all(
+    rows = union_all(
         [df.select(F.lit(name).alias("what"), F.col(c).alias("value"), "n") for name, df, c in parts]
     )
+    return rows.orderBy("what", F.desc("n"), "value")
 
 
 @query(
@@ -389,8 +390,8 @@ def top_per_category(spark, sf):
 def nearest_to_low(spark, sf):
     bars = tables.bars(spark, sf)
     rows = (
-        current_quotes(bars)
-        .join(year_stats(bars, LAST_DAY), "ticker")
+        market_summary(bars, LAST_DAY)
+        .filter("bars_in_year > 0")
         .withColumn("pct_from_low", F.col("last_price") / F.col("low_52w"))
     )
     return reports.nearest_to_low(rows).select(
@@ -414,7 +415,7 @@ def caps_nulls_last(spark, sf):
 
 @query(
     "universe_cap",
-    "O-4 O-5 O-7",
+    "O-4 O-5",
     sql("tickers", "SELECT ticker, market FROM tickers ORDER BY market, ticker LIMIT 200"),
 )
 def universe_cap(spark, sf):

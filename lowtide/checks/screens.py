@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lowtide import dims
 from lowtide.checks.base import query, sql
 from lowtide.checks.indicators import panel
-from lowtide.criteria import DEFAULT, apply_preset
+from lowtide.criteria import DEFAULT, ENHANCED, ENHANCED_PRESETS, apply_preset
 from lowtide.operators import indicators as ind
 from lowtide.operators import lookups, screen
-from lowtide.operators.bars import current_quotes
+from lowtide.operators.bars import current_quotes, market_summary
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs, xml_docs
 from lowtide.sources.benchmark_tables import LAST_DAY
@@ -199,6 +199,40 @@ def screen_presets(spark, sf):
     )
 
 
+@query(
+    "screen_presets_enhanced",
+    "C-26 F-28",
+    sql(
+        "panel",
+        "SELECT preset, count(ticker) AS passing_rows, count(DISTINCT ticker) AS passing_symbols\n"
+        "FROM (VALUES ('conservative'), ('aggressive'), ('balanced')) p(preset) LEFT JOIN (\n"
+        + "\nUNION ALL ".join(
+            f"""SELECT '{name}' AS preset, ticker FROM panel WHERE n_bars > 250 AND price > 0
+                AND (NOT low_52w > 0 OR price / low_52w <= {low})
+                AND (NOT low_52w > 0 OR NOT high_52w > 0 OR price / high_52w <= 5e-1)
+                AND (volume >= 100000 OR rvol >= {rvol}) AND rvol <= 2e1 AND price BETWEEN 1e0 AND 1e3
+                AND (NOT avg_volume_20d > 0 OR avg_volume_20d >= {average})
+                AND coalesce(rsi BETWEEN 20 AND {rsi}, FALSE)"""
+            for name, low, rvol, rsi, average in (
+                ("conservative", "1.005e0", "3e0", 30, 100000),
+                ("aggressive", "1.05e0", "1.5e0", 50, 25000),
+                ("balanced", "1.01e0", "2e0", 40, 50000),
+            )
+        )
+        + ") USING (preset) GROUP BY preset",
+    ),
+)
+def screen_presets_enhanced(spark, sf):
+    """The second profile and its own presets; what synthetic bars cannot meet is off."""
+    base = replace(
+        ENHANCED, mcap_enabled=False, ma_enabled=False, atr_enabled=False,
+        min_days_since_low=None, max_days_since_low=None,
+    )
+    return screen.compare_presets(
+        features(spark, sf), base, ["conservative", "aggressive", "balanced"], ENHANCED_PRESETS
+    )
+
+
 @query(
     "screen_rows_by_preset",
     "C-26",
@@ -331,8 +365,7 @@ def _offline(spark, sf):
     bars = tables.bars(spark, sf)
     return screen.offline_screen(
         tables.fundamentals(spark, sf),
-        current_quotes(bars),
-        ind.year_stats(bars, LAST_DAY),
+        market_summary(bars, LAST_DAY),
         DEFAULT,
     )
 

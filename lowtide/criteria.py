@@ -51,6 +51,17 @@ class Criteria:
 
 DEFAULT = Criteria()
 
+#: the second, stricter profile
+ENHANCED = Criteria(
+    price_52w_low_pct=1.01,
+    min_volume=100_000,
+    rsi_max=40,
+    sma50_vs_sma200_pct=0.90,
+    atr_min_pct=0.02,
+    atr_max_pct=0.10,
+    pattern_enabled=False,
+)
+
 PRESETS: dict[str, dict] = {
     "conservative": {
         "price_52w_low_pct": 1.03,
@@ -92,12 +103,19 @@ SCORE_WEIGHTS = {
     "momentum": 0.10,
 }
 
+#: what the presets mean on top of the second profile where that differs
+ENHANCED_PRESETS: dict[str, dict] = {
+    "conservative": {**PRESETS["conservative"], "price_52w_low_pct": 1.005},
+    "aggressive": PRESETS["aggressive"],
+    "balanced": {},
+}
+
 # --- overlays -------------------------------------------------------------------------
 
 
-def apply_preset(criteria: Criteria, name: str) -> Criteria:
+def apply_preset(criteria: Criteria, name: str, presets: dict[str, dict] = PRESETS) -> Criteria:
     """Overlay a preset; an unknown name leaves the criteria as they are."""
-    return replace(criteria, **PRESETS.get(name, {}))
+    return replace(criteria, **presets.get(name, {}))
 
 
 def version(criteria: Criteria) -> str:

@@ -90,7 +90,7 @@ SUFFIX_CURRENCY = {".NS": "INR", ".JK": "IDR", ".BK": "THB", ".TO": "CAD", ".T":
 # the four suffixes the older cap filter knows
 LEGACY_SUFFIX_EXCHANGE = {".NS": "NSE", ".TO": "TSE", ".JK": "IDX", ".BK": "SET"}
 
-# the nine suffixes the fundamentals writer knows
+# the eight suffixes the fundamentals writer knows
 WRITER_SUFFIX_EXCHANGE = {
     ".NS": "NSE",
     ".TO": "TSE",

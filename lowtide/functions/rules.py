@@ -23,6 +23,7 @@ def quarterly_update_due(day: Column, last_update: Column, forced: bool = False)
     if forced:
         return F.struct(F.lit(True).alias("due"), F.lit("Forced run requested").alias("reason"))
     due = is_quarter_start(day) & (last_update.isNull() | (age > 80))
+    # fixed values: output texts
     reason = (
         F.when(~is_quarter_start(day), "Not quarter start date")
         .when(last_update.isNull(), "No previous fundamentals data found")

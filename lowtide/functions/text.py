@@ -24,10 +24,6 @@ def short_money(value: Column) -> Column:
     )
 
 
-def billions_or_none(value: Column) -> Column:
-    return F.when(value != 0, F.concat(fixed(value / 1e9, 2), F.lit("B"))).otherwise("None")
-
-
 def number_or_none(value: Column, digits: int = 2) -> Column:
     return F.when(value != 0, fixed(value, digits)).otherwise("None")
 

@@ -49,3 +49,27 @@ def current_quotes(bars: DataFrame) -> DataFrame:
         F.col("b.volume").alias("volume"),
         F.col("day").cast("timestamp_ntz").alias("last_updated"),
     )
+
+
+def market_summary(bars: DataFrame, asof, days: int = 365) -> DataFrame:
+    """Per ticker: the newest bar as a quote, and the lowest low and highest high of the year up to
+    ``asof``, in one aggregate.  Tickers without a bar in that year have NULL there."""
+    day = F.lit(asof).cast("date")
+    in_year = F.col("price_date").between(F.date_sub(day, days), day)
+    past = F.col("price_date") <= day
+    found = bars.groupBy("ticker").agg(
+        F.max_by(F.struct("close", "volume"), "price_date").alias("newest"),
+        F.max_by(F.when(past, F.col("close")), F.when(past, F.col("price_date"))).alias("close_asof"),
+        F.min(F.when(in_year, F.col("low"))).alias("low_52w"),
+        F.max(F.when(in_year, F.col("high"))).alias("high_52w"),
+        F.count_if(in_year).alias("bars_in_year"),
+    )
+    return found.select(
+        "ticker",
+        F.col("newest.close").alias("last_price"),
+        F.col("newest.volume").alias("volume"),
+        "close_asof",
+        "low_52w",
+        "high_52w",
+        "bars_in_year",
+    )

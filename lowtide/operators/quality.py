@@ -124,6 +124,7 @@ def valid_rows(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
 def ticker_validity(bars: DataFrame) -> DataFrame:
     """Per ticker: which validations of its bars failed."""
     flags = {name: F.bool_or(F.coalesce(c, F.lit(False))).alias(name) for name, c in bar_rules().items()}
+    # fixed values: output texts
     messages = {
         "price_out_of_range": "Price range outside reasonable bounds",
         "negative_volume": "Negative volume values found",

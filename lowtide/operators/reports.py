@@ -121,16 +121,17 @@ def completeness(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def group_counts(df: DataFrame, *keys: str, drop_null: bool = False) -> DataFrame:
+    """Rows per group; a report orders them once, at its end."""
     rows = df.dropna(subset=list(keys)) if drop_null else df
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def category_share(df: DataFrame, category: str, digits: int = 1) -> DataFrame:
-    """Count and percentage per category; the total is a scalar subquery over the counts."""
+    """Count and percentage per category; the total is a window over the counts, a row a category."""
     counts = (
         df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
     )
-    total = counts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, digits))
 
 

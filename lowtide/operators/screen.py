@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowtide import dims
-from lowtide.criteria import SCORE_WEIGHTS, Criteria, apply_preset
+from lowtide.criteria import PRESETS, SCORE_WEIGHTS, Criteria, apply_preset
 from lowtide.functions import symbols
 from lowtide.functions.lookup import first_match, lookup
 from lowtide.functions.text import screening_reason
 from lowtide.functions.values import full_usd_cap
-from lowtide.operators.indicators import latest_per_key, year_stats
+from lowtide.operators.bars import market_summary
 from lowtide.operators.lookups import present_in
-from lowtide.session import written
 
 
 def _field(df: DataFrame, name: str, default) -> Column:
@@ -32,7 +31,7 @@ def _field(df: DataFrame, name: str, default) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if default is not None else F.col(name)
 
 
-# --- patterns ------------------------------------------------------------------------------
+# --- patterns (fixed values: the labels of strengths and kinds) ----------------------------
 
 
 def volume_spike(volume: Column, avg_volume: Column, threshold: float = 1.5) -> Column:
@@ -208,10 +207,13 @@ def funnel(df: DataFrame, criteria: Criteria, **options) -> DataFrame:
     return counts.select(F.inline(stages))
 
 
-def compare_presets(df: DataFrame, base: Criteria, presets: list[str]) -> DataFrame:
+def compare_presets(
+    df: DataFrame, base: Criteria, presets: list[str], overlays: dict[str, dict] = PRESETS
+) -> DataFrame:
     """Rows and distinct symbols that pass under each preset, in one pass."""
     verdicts = {
-        name: _all_of(list(predicates(df, apply_preset(base, name)).values())) for name in presets
+        name: _all_of(list(predicates(df, apply_preset(base, name, overlays)).values()))
+        for name in presets
     }
     # one row per symbol, then one in all; a preset that nobody passes is reported with zero
     per_symbol = df.groupBy("symbol").agg(*[F.count_if(ok).alias(name) for name, ok in verdicts.items()])
@@ -283,18 +285,16 @@ def top_scored(scored: DataFrame, k: int, tie_break: list[str]) -> DataFrame:
 # --- screens over stored tables -----------------------------------------------------------------
 
 
-def offline_screen(
-    fundamentals: DataFrame, quotes: DataFrame, stats: DataFrame, criteria: Criteria
-) -> DataFrame:
+def offline_screen(fundamentals: DataFrame, market: DataFrame, criteria: Criteria) -> DataFrame:
     """Stored-table screen: every check is evaluated and the failed ones are listed.
 
+    ``market`` has the newest quote and the extremes of the year (``bars.market_summary``).
     Volume alone decides liquidity, a missing value fails its check, and the limits are
     applied as percentages.  Tickers without a quote or without bars are left out.
     """
-    rows = (
-        fundamentals.select("ticker", "company_name", "mkt_cap_usd")
-        .join(quotes.filter(F.col("last_price") > 0).select("ticker", "last_price", "volume"), "ticker")
-        .join(stats.select("ticker", "low_52w", "high_52w"), "ticker")
+    known = market.filter((F.col("last_price") > 0) & (F.col("bars_in_year") > 0))
+    rows = fundamentals.select("ticker", "company_name", "mkt_cap_usd").join(
+        known.select("ticker", "last_price", "volume", "low_52w", "high_52w"), "ticker"
     )
     price, low, high, volume = (F.col(c) for c in ("last_price", "low_52w", "high_52w", "volume"))
     above_low = F.when(low > 0, (price - low) / low * 100)
@@ -386,18 +386,11 @@ def stored_quote_screen(
 
 def low_proximity_scan(bars: DataFrame, asof, criteria: Criteria, days: int = 365) -> DataFrame:
     """Tickers whose newest close is near the low of the past year; no other check."""
-    stats = year_stats(bars, asof, days)
-    last = latest_per_key(
-        bars.filter(F.col("price_date") <= F.lit(asof).cast("date")).select(
-            "ticker", "price_date", "close"
-        ),
-        ["ticker"],
-        ["price_date"],
-    )
-    ratio = F.col("close") / F.col("low_52w")
+    ratio = F.col("close_asof") / F.col("low_52w")
     return (
-        last.join(stats, "ticker")
-        .select("ticker", F.col("close").alias("price"), "low_52w", ratio.alias("pct_from_low"))
+        market_summary(bars, asof, days)
+        .filter(F.col("bars_in_year") > 0)
+        .select("ticker", F.col("close_asof").alias("price"), "low_52w", ratio.alias("pct_from_low"))
         .filter(F.col("pct_from_low") <= criteria.price_52w_low_pct)
     )
 

@@ -112,6 +112,7 @@ def fundamental_prefilter(tickers: DataFrame, fundamentals: DataFrame, asof) ->
     inactive = ~F.coalesce("is_active", F.lit(True))
     age = F.floor(F.timestamp_diff("DAY", F.col("last_updated"), _time(asof))).cast("bigint")
     in_millions = lambda c: F.concat(F.lit("$"), fixed(c / 1e6, 0), F.lit("M"))
+    # fixed values: output texts
     reason = (
         F.when(F.col("_k").isNull(), "No cached fundamentals")
         .when(
@@ -237,16 +238,20 @@ def build_universe(
         )
         .distinct()
     )
-    # a listed ticker gets a new time stamp, hence no parole; its status is kept
-    seeded = in_scope.select("ticker", "market", "status", "last_updated").join(
-        added.select("ticker", F.lit(True).alias("_listed")), "ticker", "left"
+    # one full join of both sides: a listed ticker gets a new time stamp, hence no parole, and keeps
+    # its status; a listed ticker that is not known yet is new
+    known = tickers.join(chosen.select("market", F.lit(True).alias("_in_scope")), "market", "left")
+    known = known.select("ticker", "market", "status", "last_updated", "_in_scope", F.lit(True).alias("_known"))
+    both = known.join(
+        added.select("ticker", F.col("market").alias("_added"), F.lit(True).alias("_listed")), "ticker", "full_outer"
+    )
+    actionable_ = is_active() | (
+        F.col("_listed").isNull() & (F.col("last_updated") < _days_before(asof, 200))
+    )
+    keep = F.when(F.col("_known"), F.col("_in_scope") & actionable_).otherwise(F.col("_listed"))
+    return both.filter(F.coalesce(keep, F.lit(False))).select(
+        "ticker", F.when(F.col("_known"), F.col("market")).otherwise(F.col("_added")).alias("market")
     )
-    kept = seeded.filter(
-        is_active()
-        | (F.col("_listed").isNull() & (F.col("last_updated") < _days_before(asof, 200)))
-    ).select("ticker", "market")
-    brand_new = added.join(tickers.select("ticker"), "ticker", "left_anti")
-    return kept.unionByName(brand_new.select("ticker", "market"))
 
 
 def union_markets(frames: list[DataFrame]) -> DataFrame:

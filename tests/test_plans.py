@@ -7,10 +7,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lowtide import dims
+from lowtide import dims, schemas
 from lowtide.criteria import DEFAULT, apply_preset
 from lowtide.operators import indicators, lookups, merge, reports, screen, universe
-from lowtide.operators.bars import daily_bars
+from lowtide.operators.bars import daily_bars, market_summary
 from lowtide.session import run_folder
 
 DAY = dt.date(2026, 1, 1)
@@ -62,6 +62,31 @@ def test_screen_adds_no_shuffle(bars):
     assert "TakeOrderedAndProject" in tree(screen.top_scored(scored, 5, ["symbol"]))
 
 
+def test_one_aggregate_gives_quote_and_year(bars):
+    text = tree(market_summary(bars, DAY))
+    assert text.count("Scan parquet") == 1 and text.count("Exchange") == 1
+
+
+def test_fallback_is_one_lazy_plan(spark, bars):
+    rows = indicators.feature_panel(bars).withColumnRenamed("ticker", "symbol")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    pick = lambda name: screen.screen(rows, apply_preset(DEFAULT, name)).select("symbol", F.lit(name).alias("source"))
+    found = screen.first_nonempty([pick("conservative"), pick("wide"), pick("aggressive")])
+    assert jobs() == before  # nothing runs while the plan is built
+    assert found.select("source").distinct().count() <= 1
+
+
+def test_universe_reads_each_table_twice_at_most(spark):
+    path = run_folder(spark, "universe")
+    spark.createDataFrame([("A.NS", "NSE", "ACTIVE", None, None)], schemas.TICKERS).write.parquet(f"{path}/t")
+    listed = "ticker string, exchange string, market string, market_cap_category string"
+    spark.createDataFrame([("B", "NSE", "NSE", "Large Cap")], listed).write.parquet(f"{path}/d")
+    found = universe.build_universe(spark, spark.read.parquet(f"{path}/t"), spark.read.parquet(f"{path}/d"), dims.MARKET_FLAGS, DAY)
+    text = plan(found)
+    assert text.count(f"{path}/t]") <= 2 and text.count(f"{path}/d]") <= 1
+
+
 def test_preset_comparison_reads_the_features_once(bars):
     rows = indicators.feature_panel(bars).withColumnRenamed("ticker", "symbol")
     assert tree(screen.compare_presets(rows, DEFAULT, ["balanced", "aggressive"])).count("Scan parquet") == 1

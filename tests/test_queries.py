@@ -10,7 +10,7 @@ from lowtide.checks import REGISTRY
 SF_DIR = "/root/testdata/sf0.001"
 
 # rows appear only if the data has them; the semantics are tested elsewhere
-MAY_BE_EMPTY = {"not_in_with_null_key", "xml_quarantine", "daily_scan"}
+MAY_BE_EMPTY = {"xml_quarantine", "daily_scan"}
 
 
 @pytest.fixture(scope="module")
