@@ -185,46 +185,35 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted classes."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
-
-    rows = texts.join(wanted.select("node").distinct(), "node", "left_semi")
-    return written(rows.mapInArrow(sets, "node long, shingles binary"), "sets")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough.
+
+    Texts travel instead of sets, which take several times their space."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "_a"):
             keep = []
-            for x, y in zip(batch.column("_a"), batch.column("_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(shingle_sets(batch.column("_a")), shingle_sets(batch.column("_b"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= SIMILARITY_PCT * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    left = full.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
-    right = full.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
 
 
-def _frequencies(full: DataFrame) -> np.ndarray:
+def _frequencies(members: DataFrame) -> np.ndarray:
     """For each slot of the shingles' hashes, about 8 log2 of 1 + their number, in a byte."""
     parts, size = 64, (1 << TABLE_BITS) // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_ = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+        for batch in slices(batches, "text"):
+            all_ = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column("text"))])
             slot, n = np.unique((all_ >> np.uint64(64 - TABLE_BITS)).astype(np.uint32), return_counts=True)
             part, begin = np.unique(slot // size, return_index=True)
             ends = np.append(begin[1:], len(slot))
@@ -249,7 +238,7 @@ def _frequencies(full: DataFrame) -> np.ndarray:
         if part is not None:
             yield done()
 
-    counted = full.select("shingles").mapInArrow(count, "part int, place binary, n binary")
+    counted = members.select("text").mapInArrow(count, "part int, place binary, n binary")
     merged = counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, level binary")
     table = np.zeros((parts, size), np.uint8)
     for r in merged.collect():
@@ -277,10 +266,10 @@ def _exact_postings(members: DataFrame) -> DataFrame:
         levels = shared.value
         names = ["shingle", "size_class", "probe", "node", "root", "n", "place"]
         once = int(np.ceil(8 * np.log2(2.0)))
-        for batch in batches:
+        for batch in slices(batches, "text", 1_000_000):
             out: list[tuple] = []
-            for node, root, raw in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles")):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
+            columns = (batch.column("node").to_pylist(), batch.column("root").to_pylist(), shingle_sets(batch.column("text")))
+            for node, root, s in zip(*columns):
                 n, level = len(s), levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 longest = n - -(-SIMILARITY_PCT * n // 100) + 1
                 order = np.lexsort((s, level))[:longest]
@@ -302,7 +291,7 @@ def _exact_postings(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     schema = "shingle long, size_class int, probe boolean, node long, root long, n long, place long"
-    return members.select("node", "root", "shingles").mapInArrow(run, schema)
+    return members.select("node", "root", "text").mapInArrow(run, schema)
 
 
 def _between_components(members: DataFrame) -> DataFrame:
@@ -317,12 +306,15 @@ def _between_components(members: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, text`` of the wanted classes (columns ``rep, node``), one row each.
+    """``node, text`` of the wanted classes (columns ``rep, node``).
 
+    A class has more than one row only if rows share its id and differ in text but not in its set.
     A bitmap keeps most other documents out of the shuffle; the join is what decides."""
     body = docs.select(docs[key].alias("rep"), docs[text].alias("text")).where("rep IS NOT NULL")
     body = kept(body, F.xxhash64("rep"), bitmap(ids, F.xxhash64("rep")))
-    return written(_own_text(body.join(ids, "rep").select("node", "text")), "texts")
+    # repeated rows fall together where the join has put them
+    found = body.join(ids, "rep").withColumn("_digest", F.xxhash64("text")).dropDuplicates(["rep", "node", "_digest"])
+    return written(_own_text(found.select("node", "text")), "texts")
 
 
 def _fits(small: str, large: str):
@@ -361,19 +353,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = stars.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b"))
     found = written(_agreeing(met.union(stars).distinct(), classes), "agreeing")
 
-    # the texts of all classes whose sets may be asked for, fetched once
-    members = long.select("node").distinct()
+    # the texts of all classes that may be asked for, fetched once
+    listed = long.select("node").distinct()
     ends = _ends(found)
-    texts = _fetched(docs, ends.union(members).distinct().join(classes.select("node", "rep"), "node"), key, text)
-    links = written(_confirmed(found, _sets(texts, ends)), "links")
+    texts = _fetched(docs, ends.union(listed).distinct().join(classes.select("node", "rep"), "node"), key, text)
+    links = written(_confirmed(found, kept(texts, F.xxhash64("node"), bitmap(ends, F.xxhash64("node")))), "links")
     roots = components(links)
 
     apart = long.select("pair", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = apart.groupBy("pair").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
     apart = apart.join(mixed_lists.select("pair"), "pair", "left_semi").select("node", "root").distinct()
-    full = _sets(texts, apart)
-    late = written(_between_components(full.join(apart, "node")), "late")
-    links = written(links.union(_confirmed(late, full)), "links")
+    members = written(texts.join(apart, "node"), "members")
+    late = written(_between_components(members), "late")
+    bits = bitmap(_ends(late), F.xxhash64("node"))
+    links = written(links.union(_confirmed(late, kept(texts, F.xxhash64("node"), bits))), "links")
     roots = components(links)
 
     named = classes.select("node", "rep").join(roots, "node", "left")
@@ -394,7 +387,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _own_text(texts: DataFrame) -> DataFrame:
-    """One text of each class: rows that share an id may bring others, which are left out."""
+    """Texts that are of their class: rows that share an id may bring others, which are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -402,7 +395,7 @@ def _own_text(texts: DataFrame) -> DataFrame:
             own = [len(s) > 0 and set_key(s) == n for s, n in zip(shingle_sets(batch.column("text")), name)]
             yield batch.filter(pa.array(own, pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["node"])
+    return texts.mapInArrow(run, texts.schema)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
