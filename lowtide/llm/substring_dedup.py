@@ -12,10 +12,11 @@ travel together as one block of text.
 1. Of documents with equal texts only the first goes on; all words of the others lie in windows of
    the first (if there is a window at all).  They are found by digests, combined before the
    shuffle, however many there are.
-2. A pass over the documents counts anchors in a table of fixed size (2**SKETCH_BITS slots).  Two
-   bitmaps of it are broadcast: slots met twice or more, and slots met so often that the anchor is
-   hot.  A bitmap has 2**SKETCH_BITS / 8 bytes at every size of the input.
-3. A second pass keeps the blocks whose slot was met twice.  Equal blocks of one batch are
+2. A pass over the documents counts anchors in a table of fixed size (2**SKETCH_BITS slots), and a
+   second pass counts those whose slot was met twice in another table, which leaves few chance
+   meetings.  Bitmaps are broadcast: slots met twice or more, and slots met so often that the
+   anchor is hot.  A bitmap has 2**SKETCH_BITS / 8 bytes at every size of the input.
+3. A third pass keeps the blocks whose slots were met twice.  Equal blocks of one batch are
    combined, so a passage with very many copies is sent once a batch.  The windows of hot anchors
    are sent one by one under their own hash, as such an anchor may have very many contexts.
 4. In each shard blocks come in order of (document, start).  A suffix automaton of the blocks so
@@ -42,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lowtide.llm.bitmaps import bitmap, held, kept
+from lowtide.llm.bitmaps import bitmap, held, kept, slot
 from lowtide.llm.storage import written
 from lowtide.llm.text import Words, hashes, mixed, owners, rolling, slices, split_words, strings, window_starts
 
@@ -145,8 +146,10 @@ def _word_hashes(words: Words) -> np.ndarray:
     return hashes(vocabulary)[codes]
 
 
-def _slots(anchor: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slots(anchor: np.ndarray, level: int = 0) -> np.ndarray:
+    """Slots of anchors in the table of the first or the second count."""
+    other = anchor if level == 0 else mixed(anchor ^ np.uint64(0xD6E8FEB86659FD93))
+    return (other >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _doc(key: Column) -> Column:
@@ -168,31 +171,59 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _first_texts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents without later copies of whole texts, and those copies (``doc, digest``)."""
+NEVER = -1  # slot of rows that no bitmap leaves out
+
+
+def _first_texts(keyed: DataFrame) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Documents, the bitmap whose slots (column ``_slot``) are to be left out of them, and the later
+    copies of whole texts (``doc, digest``).
+
+    The first of each group of equal texts is there again as a row that is not left out."""
     names = keyed.select("_doc", "_digest", "_other")
     again = names.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bits = bitmap(again, F.col("_digest"))
     some = kept(keyed, F.col("_digest"), bits).groupBy("_digest", "_other")
     firsts = written(some.agg(F.min("_doc").alias("_doc"), F.first("_text").alias("_text")), "firsts")
-    others = kept(keyed, F.col("_digest"), bits, inside=False)
-    unique = others.select("_doc", "_digest", "_text").union(firsts.select("_doc", "_digest", "_text"))
+    names_ = ["_doc", "_digest", "_text"]
+    others = keyed.select(*names_, slot(F.col("_digest")).alias("_slot"))
+    unique = others.union(firsts.select(*names_, F.lit(NEVER).cast("long")))
     first = firsts.select("_digest", "_other", F.col("_doc").alias("_first"))
     copies = kept(names, F.col("_digest"), bits).join(first, ["_digest", "_other"]).where("_doc > _first")
-    return unique, copies.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")).distinct()
+    return unique, bits, copies.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")).distinct()
+
+
+def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the rows whose slot is not in the bitmap."""
+
+    def some() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("_slot"), dtype=np.int64)
+            yield batch.filter(pa.array((at < 0) | ~held(bits, np.maximum(at, 0))))
 
+    return slices(some(), text, SLICE)
 
-def anchor_bitmaps(keyed: DataFrame, hot_count: int = HOT_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the slots met at least twice and of the hot ones, 2**SKETCH_BITS bits each."""
-    slice_size = 1 << SLICE_BITS
+
+def anchor_bitmaps(
+    unique: DataFrame, without: np.ndarray, hot_count: int = HOT_COUNT, within: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the slots met at least twice and of the hot ones, 2**SKETCH_BITS bits each.
+
+    With ``within``, the first result of a count before, only anchors held there are counted, under
+    a second hash: this tells chance meetings in the first table from anchors that do repeat."""
+    slice_size, level = 1 << SLICE_BITS, int(within is not None)
+    shared = unique.sparkSession.sparkContext.broadcast((without, within))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", SLICE):
+        bits, before = shared.value
+        for batch in _passing(batches, bits, "_text"):
             words = split_words(strings(batch.column("_text")))
-            slot, n = np.unique(_slots(anchored(_word_hashes(words), words.offsets)[0]), return_counts=True)
-            part, begin = np.unique(slot >> SLICE_BITS, return_index=True)
-            ends = np.append(begin[1:], len(slot))
-            place, n = (slot & (slice_size - 1)).astype(np.uint32), n.astype(np.uint32)
+            anchor = anchored(_word_hashes(words), words.offsets)[0]
+            if before is not None:
+                anchor = anchor[held(before, _slots(anchor))]
+            slot_, n = np.unique(_slots(anchor, level), return_counts=True)
+            part, begin = np.unique(slot_ >> SLICE_BITS, return_index=True)
+            ends = np.append(begin[1:], len(slot_))
+            place, n = (slot_ & (slice_size - 1)).astype(np.uint32), n.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(part.astype(np.int32)),
@@ -225,7 +256,7 @@ def anchor_bitmaps(keyed: DataFrame, hot_count: int = HOT_COUNT) -> tuple[np.nda
         if part is not None:
             yield done()
 
-    counted = keyed.select("_text").mapInArrow(count, "part int, place binary, n binary")
+    counted = unique.select("_text", "_slot").mapInArrow(count, "part int, place binary, n binary")
     merged = counted.repartition("part").sortWithinPartitions("part")
     found = merged.mapInArrow(merge, "part int, total long, twice binary, hot binary").collect()
     n_slices = 1 << (SKETCH_BITS - SLICE_BITS)
@@ -253,22 +284,23 @@ def _lines(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
-def blocks(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
+def blocks(unique: DataFrame, without: np.ndarray, hot_count: int = HOT_COUNT) -> DataFrame:
     """Candidate blocks: ``route, text`` with the first place and, packed, the other places."""
-    shared = keyed.sparkSession.sparkContext.broadcast(anchor_bitmaps(keyed, hot_count))
+    once, _ = anchor_bitmaps(unique, without, hot_count)
+    twice, hot = anchor_bitmaps(unique, without, hot_count, within=once)
+    shared = unique.sparkSession.sparkContext.broadcast((without, once, twice, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hot = shared.value
-        for batch in slices(batches, "_text", SLICE):
+        bits, once, twice, hot = shared.value
+        for batch in _passing(batches, bits, "_text"):
             words = split_words(strings(batch.column("_text")))
             word = _word_hashes(words)
             anchor, start, n = anchored(word, words.offsets)
-            slot = _slots(anchor)
-            keep = held(twice, slot)
-            anchor, start, n, slot = anchor[keep], start[keep], n[keep], slot[keep]
+            keep = held(once, _slots(anchor)) & held(twice, _slots(anchor, 1))
+            anchor, start, n = anchor[keep], start[keep], n[keep]
             if not len(start):
                 continue
-            single = held(hot, slot)
+            single = held(hot, _slots(anchor, 1))
             if single.any():  # each window of a hot anchor on its own
                 each = n[single]
                 places = np.repeat(start[single] - (np.cumsum(each) - each), each) + np.arange(each.sum())
@@ -298,7 +330,7 @@ def blocks(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
                 names=["route", "words", "doc", "digest", "start", "more"],
             )
 
-    return keyed.mapInArrow(run, "route long, words binary, doc long, digest long, start long, more binary")
+    return unique.mapInArrow(run, "route long, words binary, doc long, digest long, start long, more binary")
 
 
 def _spans(places: list[int], start: int) -> np.ndarray:
@@ -334,7 +366,7 @@ class Shard:
         return found
 
 
-def repeated_spans(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
+def repeated_spans(unique: DataFrame, without: np.ndarray, hot_count: int = HOT_COUNT) -> DataFrame:
     """``doc, digest, spans``: word spans to remove; each document has any number of such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,26 +395,29 @@ def repeated_spans(keyed: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
                     names=["doc", "digest", "spans"],
                 )
 
-    ordered = blocks(keyed, hot_count).repartition("route").sortWithinPartitions("route", "doc", "digest", "start")
+    ordered = blocks(unique, without, hot_count).repartition("route").sortWithinPartitions("route", "doc", "digest", "start")
     return ordered.mapInArrow(run, "doc long, digest long, spans binary")
 
 
-def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents, all columns, with the packed spans that go (an empty one: all words)."""
-    unique, copies = _first_texts(_keyed(docs, key, text))
+def _marked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
+    """The documents, all columns, with the packed spans that go (an empty one: all words), and the
+    bitmap whose slots (column ``_slot``) are to be left out.
+
+    Only documents that may have spans are joined with them; they are there a second time, without
+    a slot."""
+    unique, without, copies = _first_texts(_keyed(docs, key, text))
     every = copies.withColumn("spans", F.lit(b""))
-    spans = written(repeated_spans(unique).union(every), "spans")
-    name = F.xxhash64("doc", "digest")
-    bits = bitmap(spans, name)
+    spans = written(repeated_spans(unique, without).union(every), "spans")
+    bits = bitmap(spans, F.xxhash64("doc", "digest"))
     spans = spans.groupBy("doc", "digest").agg(F.collect_list("spans").alias("_spans"))
     spans = spans.withColumnsRenamed({"doc": "_span_doc", "digest": "_span_digest"})
-    doc, digest = _doc(docs[key]), _digest(docs[text])
-    without = kept(docs, F.xxhash64(doc, digest), bits, inside=False)
-    some = kept(docs, F.xxhash64(doc, digest), bits)
+    some = kept(docs, F.xxhash64(_doc(docs[key]), _digest(docs[text])), bits)
     doc, digest = _doc(some[key]), _digest(some[text])
     joined = some.join(spans, (doc == F.col("_span_doc")) & (digest == F.col("_span_digest")), "left")
-    joined = joined.drop("_span_doc", "_span_digest")
-    return joined.unionByName(without.withColumn("_spans", F.lit(None).cast("array<binary>")))
+    joined = joined.drop("_span_doc", "_span_digest").withColumn("_slot", F.lit(NEVER).cast("long"))
+    name = slot(F.xxhash64(_doc(docs[key]), _digest(docs[text])))
+    others = docs.withColumn("_spans", F.lit(None).cast("array<binary>")).withColumn("_slot", name)
+    return joined.unionByName(others), bits
 
 
 def _gone(batch: pa.RecordBatch, words: Words) -> np.ndarray:
@@ -406,8 +441,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_words", "n_removed", "kept_sha256"]
 
+    narrow = docs.select(docs[key].alias("_id"), docs[text].alias("_body"))
+    marked, bits = _marked(narrow, "_id", "_body")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_body", SLICE):
+        for batch in _passing(batches, shared.value, "_body"):
             words = split_words(strings(batch.column("_body")))
             gone = _gone(batch, words)
             kept = np.concatenate(([0], np.cumsum(~gone)))[words.offsets]
@@ -417,8 +456,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             columns = [batch.column("_id"), pa.array(n), pa.array(n - np.diff(kept)), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    narrow = docs.select(docs[key].alias("_id"), docs[text].alias("_body"))
-    return _marked(narrow, "_id", "_body").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    return marked.mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -430,9 +468,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
     A removed word takes the white space after it along, so kept lines stay lines.  ``chars``, if
     there is such a column, gets the new length.  A document of which nothing is left goes."""
     names = docs.columns
+    marked, bits = _marked(docs, key, text)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in _passing(batches, shared.value, text):
             words = split_words(strings(batch.column(text)))
             gone = _gone(batch, words)
             hit = np.flatnonzero(np.asarray(batch.column("_spans").is_valid()))
@@ -451,4 +491,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
                 columns[at] = pc.if_else(pa.array(cut), pc.utf8_length(out).cast(columns[at].type), columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(left))
 
-    return _marked(docs, key, text).mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)

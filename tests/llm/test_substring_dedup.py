@@ -50,7 +50,7 @@ def corpus():
 def test_same_words_as_all_windows(spark, hot, monkeypatch):
     rows = corpus()
     plain = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda keyed: plain(keyed, hot))
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda unique, without: plain(unique, without, hot))
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string").repartition(7)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeats(docs).collect()}
     want = {
