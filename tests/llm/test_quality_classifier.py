@@ -8,9 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from lowtide.llm import quality_classifier
-from lowtide.llm.quality_classifier import UNIT, judge, keep_good
+from lowtide.llm.quality_classifier import UNIT
 
-HOST, PATH = F.col("source"), F.concat_ws("/", "source", "lang")
+
+def judge(docs, labels):
+    return quality_classifier.judge(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def keep_good(docs, labels):
+    return quality_classifier.keep_good(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
 def _corpus(n=600, seed=3):
@@ -45,7 +51,7 @@ def tables(spark):
 def test_labels_held_out(spark, tables):
     docs, labels = tables
     halves = labels.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
-    got = judge(docs, halves.where("half = 0").drop("half"), HOST, PATH)
+    got = judge(docs, halves.where("half = 0").drop("half"))
     rows = got.join(halves.where("half = 1"), "doc_id").collect()
     assert len(rows) > 100
     right = sum(r["kept"] == bool(r["quality"] and not r["toxic"]) for r in rows)
@@ -78,20 +84,20 @@ def test_odd_rows(spark, tables):
     extra = [(None, None, None, None), (9001, "", "en", None), (9002, "x " * 100_000, None, "s"), (9001, "", "en", None)]
     more = docs.union(spark.createDataFrame(extra, docs.schema)).withColumn("_p_clash", F.lit(1)).withColumn("kept", F.lit("clash"))
     marks = labels.union(spark.createDataFrame([(None, 1, 0), (3, None, None), (1, 0, 1), (777_777, 1, 1)], labels.schema))
-    got = judge(more, marks, HOST, PATH)
+    got = judge(more, marks)
     assert got.count() == more.count()
-    kept = keep_good(more, marks, HOST, PATH)
+    kept = keep_good(more, marks)
     assert kept.schema.names == more.schema.names
     assert kept.count() == got.where("kept").count()
 
 
 def test_without_labels_all_rows_stay(spark, tables):
     docs, labels = tables
-    got = judge(docs, labels.limit(0), HOST, PATH)
+    got = judge(docs, labels.limit(0))
     assert got.where("kept").count() == docs.count()
 
 
 def test_empty_table(spark, tables):
     docs, labels = tables
-    assert judge(docs.limit(0), labels, HOST, PATH).collect() == []
-    assert keep_good(docs.limit(0), labels, HOST, PATH).collect() == []
+    assert judge(docs.limit(0), labels).collect() == []
+    assert keep_good(docs.limit(0), labels).collect() == []
