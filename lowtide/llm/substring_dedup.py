@@ -55,7 +55,7 @@ SLICE_BITS = 21
 HOT_COUNT, HOT_TIMES = 256, 64
 LAST_ID = (1 << 63) - 1
 #: text bytes handled at once
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 class SuffixAutomaton:

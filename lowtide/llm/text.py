@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: characters of text handled at once inside a task; bounds the memory of a worker
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 #: odd multiplier of the rolling hashes (arithmetic is modulo 2**64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,6 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_CHARS
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
 
 @dataclass

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from lowtide.llm.text import Words, split_words, strings
 
 #: distinct words kept by a worker
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 SEPARATOR = "<|endoftext|>"
 WORD_END = "</w>"
 WORDS_AT_ONCE = 256
