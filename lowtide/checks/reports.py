@@ -404,13 +404,14 @@ def nearest_to_low(spark, sf):
     "O-2",
     sql(
         "fundamentals",
-        """SELECT ticker, xml_52w_low FROM fundamentals
-           ORDER BY xml_52w_low DESC NULLS LAST, ticker""",
+        """SELECT ticker, CASE WHEN xml_52w_low IS NOT NULL THEN market_cap_usd END AS cap FROM fundamentals
+           ORDER BY cap DESC NULLS LAST, ticker""",
     ),
 )
 def caps_nulls_last(spark, sf):
-    rows = tables.fundamentals(spark, sf).select("ticker", "xml_52w_low")
-    return rows.orderBy(F.desc_nulls_last("xml_52w_low"), "ticker")
+    cap = F.when(F.col("xml_52w_low").isNotNull(), F.col("market_cap_usd"))
+    rows = tables.fundamentals(spark, sf).select("ticker", cap.alias("cap"))
+    return rows.orderBy(F.desc_nulls_last("cap"), "ticker")
 
 
 @query(
