@@ -12,6 +12,9 @@ from lowtide.llm.storage import written
 #: SQL cannot train the classifier or encode texts; the stages are tested one by one
 ORACLE_SQL = None
 
+#: documents of this similarity or more are near copies to the pipeline; op4 has a limit of its own
+NEAR_COPY_PCT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text and site speak for quality; hosts are the sources, paths their languages."""
@@ -26,7 +29,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates."""
-    return minhash_dedup.keep_first(docs)
+    return minhash_dedup.keep_first(docs, pct=NEAR_COPY_PCT)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@
    others has a prefix of shingles of its own and meets nobody, so the work follows the members
    and not their pairs, and no link between components is lost.
 
-Every link is exact.  A pair at the similarity limit is missed with the chance that it agrees in
-fewer than T = 42 of 64 coordinates: 3e-5 at 0.85, 3e-8 at 0.9.
+Every link is exact.  The similarity limit is a parameter, in percent, and T follows from it: the
+largest T of which a pair at the limit falls short with a chance of at most ``MISSED``.  At 0.85
+that is 42 of 64 coordinates; a pair at 0.9 then falls short with a chance of 3e-8.
 
 Components are found by alternating stars.  What reaches the driver has a fixed size: counts, the
 table of the most frequent pairs (at most ``HOT_PAIRS`` entries), a bitmap of wanted documents and
@@ -35,6 +36,7 @@ through by ``keep_first``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +50,11 @@ from lowtide.llm.storage import written
 from lowtide.llm.text import hashes, mixed, rolling, slices, split_words, strings
 
 WORDS = 5
+#: the limit of the contract of op4
 SIMILARITY_PCT = 85
-COORDINATES, AGREE = 64, 42
-PREFIX = COORDINATES - AGREE + 1
+COORDINATES = 64
+#: chance at most with which the signature misses a pair at the limit
+MISSED = 5e-5
 #: most entries of the table of frequent pairs
 HOT_PAIRS = 1 << 17
 #: members of a list that all meet each other
@@ -66,6 +70,16 @@ _STEP = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9
 _FACTOR, _SHIFT = _STEP[:COORDINATES] | np.uint64(1), _STEP[COORDINATES:]
 
 
+def agreement(pct: int) -> int:
+    """Coordinates in which a pair at this similarity agrees, but for a chance of at most MISSED."""
+    p, chance = pct / 100, 0.0
+    for t in range(COORDINATES + 1):
+        chance += comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if chance > MISSED:
+            return max(t, 1)
+    return COORDINATES
+
+
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text of an Arrow array."""
     words = split_words(pc.ascii_lower(strings(texts)))
@@ -148,8 +162,9 @@ def frequent_pairs(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, pct: int) -> DataFrame:
     """``pair, rep, node, n_shingles`` for the prefix of every class."""
+    posted = COORDINATES - agreement(pct) + 1
     pairs, counts = frequent_pairs(classes)
     shared = classes.sparkSession.sparkContext.broadcast((pairs, counts))
 
@@ -161,9 +176,9 @@ def postings(classes: DataFrame) -> DataFrame:
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
                 times_of = np.where(hot[at] == name, times[at], 0)
-            order = np.lexsort((mixed(name.astype(np.uint64)), times_of), axis=1)[:, :PREFIX]
+            order = np.lexsort((mixed(name.astype(np.uint64)), times_of), axis=1)[:, :posted]
             chosen = np.take_along_axis(name, order, axis=1)
-            row = pa.array(np.repeat(np.arange(len(name)), PREFIX))
+            row = pa.array(np.repeat(np.arange(len(name)), posted))
             rest = [batch.column(c).take(row) for c in ("rep", "node", "n_shingles")]
             yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), *rest], names=["pair", "rep", "node", "n_shingles"])
 
@@ -172,15 +187,16 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "node", "n_shingles", "sig").mapInArrow(run, schema)
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     """The pairs whose signatures agree in enough coordinates."""
+    agree = agreement(pct)
     left = classes.select(F.col("node").alias("a"), F.col("sig").alias("_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sig").alias("_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = (_matrix(batch.column("_a")) == _matrix(batch.column("_b"))).sum(axis=1)
-            yield batch.filter(pa.array(same >= AGREE)).select(["a", "b"])
+            yield batch.filter(pa.array(same >= agree)).select(["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
@@ -189,7 +205,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     """The pairs whose full sets are similar enough.
 
     Texts travel instead of sets, which take several times their space."""
@@ -199,7 +215,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(shingle_sets(batch.column("_a")), shingle_sets(batch.column("_b"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILARITY_PCT * (len(x) + len(y) - both))
+                keep.append(100 * both >= pct * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("_a"))
@@ -246,16 +262,16 @@ def _frequencies(members: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _least_overlap(x: int, y: int) -> int:
+def _least_overlap(x: int, y: int, pct: int) -> int:
     """Shingles that two sets of these sizes share at least if they are similar enough."""
-    return -(-SIMILARITY_PCT * (x + y) // (100 + SIMILARITY_PCT))
+    return -(-pct * (x + y) // (100 + pct))
 
 
 def _size_class(n: int) -> int:
     return int(np.log(n) / np.log(SIZE_STEP) + 1e-9)
 
 
-def _exact_postings(members: DataFrame) -> DataFrame:
+def _exact_postings(members: DataFrame, pct: int) -> DataFrame:
     """``shingle, size_class, probe, node, root, n, place`` of the exact prefixes.
 
     A set lies under its own size class; it asks in each class of sets that are no larger and may
@@ -271,7 +287,7 @@ def _exact_postings(members: DataFrame) -> DataFrame:
             columns = (batch.column("node").to_pylist(), batch.column("root").to_pylist(), shingle_sets(batch.column("text")))
             for node, root, s in zip(*columns):
                 n, level = len(s), levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                longest = n - -(-SIMILARITY_PCT * n // 100) + 1
+                longest = n - -(-pct * n // 100) + 1
                 order = np.lexsort((s, level))[:longest]
                 # a shingle alone in its slot is in no other set, but it has its place
                 places = np.flatnonzero(level[order] > once)
@@ -280,11 +296,11 @@ def _exact_postings(members: DataFrame) -> DataFrame:
                 value = s[order].view(np.int64)[places].tolist()
                 places = places.tolist()
                 own = _size_class(n)
-                index = n - _least_overlap(n, n) + 1
+                index = n - _least_overlap(n, n, pct) + 1
                 out += [(v, own, False, node, root, n, p) for v, p in zip(value, places) if p < index]
-                for c in range(_size_class(max(1, -(-SIMILARITY_PCT * n // 100))) - 1, own + 1):
-                    smallest = max(int(np.floor(SIZE_STEP**c)), -(-SIMILARITY_PCT * n // 100))
-                    prefix = n - _least_overlap(n, smallest) + 1
+                for c in range(_size_class(max(1, -(-pct * n // 100))) - 1, own + 1):
+                    smallest = max(int(np.floor(SIZE_STEP**c)), -(-pct * n // 100))
+                    prefix = n - _least_overlap(n, smallest, pct) + 1
                     out += [(v, c, True, node, root, n, p) for v, p in zip(value, places) if p < prefix]
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -294,11 +310,11 @@ def _exact_postings(members: DataFrame) -> DataFrame:
     return members.select("node", "root", "text").mapInArrow(run, schema)
 
 
-def _between_components(members: DataFrame) -> DataFrame:
+def _between_components(members: DataFrame, pct: int) -> DataFrame:
     """Pairs of members in different components that may be similar by the exact prefixes."""
-    posted = written(_exact_postings(members), "exact")
+    posted = written(_exact_postings(members, pct), "exact")
     index = posted.where("NOT probe").select("shingle", "size_class", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "place")])
-    least = F.ceil(F.lit(SIMILARITY_PCT) * (F.col("n") + F.col("_n")) / F.lit(100 + SIMILARITY_PCT))
+    least = F.ceil(F.lit(pct) * (F.col("n") + F.col("_n")) / F.lit(100 + pct))
     met = posted.where("probe").join(index, ["shingle", "size_class"])
     met = met.where("root <> _root AND n >= _n AND (n > _n OR node > _node)")
     met = met.where(F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) >= least)
@@ -317,20 +333,22 @@ def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     return written(_own_text(found.select("node", "text")), "texts")
 
 
-def _fits(small: str, large: str):
+def _fits(small: str, large: str, pct: int) -> Column:
     """Whether the sizes of two sets allow the similarity."""
-    return F.least(small, large) * 100 >= F.greatest(small, large) * SIMILARITY_PCT
+    return F.least(small, large) * 100 >= F.greatest(small, large) * pct
+
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = SIMILARITY_PCT) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept`` and the digest of its text.
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept`` and the digest of its text."""
+    Sets of a similarity of at least ``pct`` percent are linked."""
     rows = written(signatures(docs, key, text), "signatures")
     found = rows.where("node IS NOT NULL").groupBy("node")
     classes = found.agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")
     )
     classes = written(classes, "classes")
-    posted = postings(classes.where("rep IS NOT NULL"))
+    posted = postings(classes.where("rep IS NOT NULL"), pct)
     lists = (
         posted.groupBy("pair")
         .agg(
@@ -340,33 +358,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             F.max("n_shingles").alias("_most"),
         )
         .where("members > 1")
-        .where((F.col("members") > 2) | _fits("_least", "_most"))
+        .where((F.col("members") > 2) | _fits("_least", "_most", pct))
         .drop("_least", "_most")
     )
     posted = written(posted.drop("rep").join(lists, "pair"), "postings")
 
     short = posted.where(F.col("members") <= SHORT).select("pair", F.col("node").alias("a"), "n_shingles")
     other = short.select("pair", F.col("a").alias("b"), F.col("n_shingles").alias("_size"))
-    met = short.join(other, "pair").where("a < b").where(_fits("n_shingles", "_size")).select("a", "b")
+    met = short.join(other, "pair").where("a < b").where(_fits("n_shingles", "_size", pct)).select("a", "b")
     long = posted.where(F.col("members") > SHORT)
-    stars = long.where("node <> first.node").where(_fits("n_shingles", "first.n_shingles"))
+    stars = long.where("node <> first.node").where(_fits("n_shingles", "first.n_shingles", pct))
     stars = stars.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b"))
-    found = written(_agreeing(met.union(stars).distinct(), classes), "agreeing")
+    found = written(_agreeing(met.union(stars).distinct(), classes, pct), "agreeing")
 
     # the texts of all classes that may be asked for, fetched once
     listed = long.select("node").distinct()
     ends = _ends(found)
     texts = _fetched(docs, ends.union(listed).distinct().join(classes.select("node", "rep"), "node"), key, text)
-    links = written(_confirmed(found, kept(texts, F.xxhash64("node"), bitmap(ends, F.xxhash64("node")))), "links")
+    links = written(_confirmed(found, kept(texts, F.xxhash64("node"), bitmap(ends, F.xxhash64("node"))), pct), "links")
     roots = components(links)
 
     apart = long.select("pair", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = apart.groupBy("pair").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
     apart = apart.join(mixed_lists.select("pair"), "pair", "left_semi").select("node", "root").distinct()
     members = written(texts.join(apart, "node"), "members")
-    late = written(_between_components(members), "late")
+    late = written(_between_components(members, pct), "late")
     bits = bitmap(_ends(late), F.xxhash64("node"))
-    links = written(links.union(_confirmed(late, kept(texts, F.xxhash64("node"), bits))), "links")
+    links = written(links.union(_confirmed(late, kept(texts, F.xxhash64("node"), bits), pct)), "links")
     roots = components(links)
 
     named = classes.select("node", "rep").join(roots, "node", "left")
@@ -398,11 +416,11 @@ def _own_text(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = SIMILARITY_PCT) -> DataFrame:
     """The documents with the smallest id of their component, all columns unchanged.
 
     Rows that repeat a kept document's id and text stay too: they are the same document."""
-    found = near_duplicates(docs, key, text).where("kept")
+    found = near_duplicates(docs, key, text, pct).where("kept")
     keep = found.select(F.col(key).alias("_keep"), F.col("digest").alias("_kept_digest")).distinct()
     same = docs[key].eqNullSafe(keep["_keep"]) & (_digest(docs[text]) == keep["_kept_digest"])
     return docs.join(keep, same, "left_semi")

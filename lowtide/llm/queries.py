@@ -84,7 +84,7 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USIN
 
 @query("op4_minhash_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), pct=minhash_dedup.SIMILARITY_PCT).drop("digest")
 
 
 OP5_SQL = r"""

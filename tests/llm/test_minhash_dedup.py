@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from lowtide.llm import minhash_dedup
 from lowtide.llm.graph import components
 
@@ -117,3 +119,27 @@ def test_components_of_a_graph(spark):
                 todo += near[x]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_limit_is_a_parameter_and_the_pipeline_takes_eighty(spark):
+    """Pairs of similarity 0.80 to 0.85 are near copies to the pipeline's stage and not to op4."""
+    r = random.Random(9)
+    rows, pairs = [], 40
+    for i in range(pairs):  # 10 of 100 shingles replaced on each side: 90 / 110 = 0.818
+        words = [f"{r.randrange(10**9)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:94] + [f"{r.randrange(10**9)}" for _ in range(10)]))]
+    for a, b in zip(rows[::2], rows[1::2]):
+        x, y = shingles(a[1]), shingles(b[1])
+        assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minhash_dedup.keep_first(docs).count() == 2 * pairs
+    assert {x["doc_id"] for x in minhash_dedup.keep_first(docs, pct=80).collect()} == {2 * i for i in range(pairs)}
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {2 * i for i in range(pairs)}
+
+
+def test_agreement_follows_from_the_limit():
+    assert minhash_dedup.agreement(85) == 42
+    for pct in (60, 75, 80, 85, 90, 95):
+        p, t = pct / 100, minhash_dedup.agreement(pct)
+        below = [math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(t + 1)]
+        assert sum(below[:-1]) <= minhash_dedup.MISSED < sum(below)
