@@ -26,8 +26,9 @@ table of the most frequent pairs (at most ``HOT_PAIRS`` entries), a bitmap of wa
 a table of shingle frequencies (one byte for each of 2**TABLE_BITS slots).
 
 Defined results: a null text or one without words has an empty set and is linked with nothing;
-one of fewer than five words is one shingle; repeated rows are one class.  Rows without an id take
-the component of their class but are never its smallest id; a class of only such rows has none.
+one of fewer than five words is one shingle; repeated rows are one class.  Rows without an id are
+linked as all others and take the component of their class, but are never its smallest id; a
+component of only such rows has none, and one row of the least digest is kept of it.
 Rows that share an id but not the text are separate documents whose component is found by text.
 An empty table gives an empty result; other columns are ignored by ``near_duplicates`` and passed
 through by ``keep_first``.
@@ -322,15 +323,21 @@ def _between_components(members: DataFrame, pct: int) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, text`` of the wanted classes (columns ``rep, node``).
+    """``node, text`` of the wanted classes (columns ``node, rep, digest``).
 
+    Classes without an id are found by the digest of one of their texts; repeated rows of it are
+    combined before the shuffle.
     A class has more than one row only if rows share its id and differ in text but not in its set.
     A bitmap keeps most other documents out of the shuffle; the join is what decides."""
-    body = docs.select(docs[key].alias("rep"), docs[text].alias("text")).where("rep IS NOT NULL")
-    body = kept(body, F.xxhash64("rep"), bitmap(ids, F.xxhash64("rep")))
+    rows = docs.select(docs[key].alias("rep"), docs[text].alias("text"))
+    named, unnamed = ids.where("rep IS NOT NULL").select("node", "rep"), ids.where("rep IS NULL").select("node", "digest")
+    body = kept(rows.where("rep IS NOT NULL"), F.xxhash64("rep"), bitmap(named, F.xxhash64("rep")))
     # repeated rows fall together where the join has put them
-    found = body.join(ids, "rep").withColumn("_digest", F.xxhash64("text")).dropDuplicates(["rep", "node", "_digest"])
-    return written(_own_text(found.select("node", "text")), "texts")
+    found = body.join(named, "rep").withColumn("_digest", F.xxhash64("text")).dropDuplicates(["rep", "node", "_digest"])
+    body = rows.where("rep IS NULL").select(_digest(F.col("text")).alias("digest"), "text")
+    body = kept(body, F.xxhash64("digest"), bitmap(unnamed, F.xxhash64("digest")))
+    rest = body.groupBy("digest").agg(F.min("text").alias("text")).join(unnamed, "digest")
+    return written(_own_text(found.select("node", "text").union(rest.select("node", "text"))), "texts")
 
 
 def _fits(small: str, large: str, pct: int) -> Column:
@@ -342,18 +349,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pc
     """One row per document: ``doc_id, n_shingles, component_id, kept`` and the digest of its text.
 
     Sets of a similarity of at least ``pct`` percent are linked."""
-    rows = written(signatures(docs, key, text), "signatures")
+    rows = written(signatures(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
     found = rows.where("node IS NOT NULL").groupBy("node")
     classes = found.agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")
+        F.min("doc_id").alias("rep"),
+        F.max("n_shingles").alias("n_shingles"),
+        F.max("sig").alias("sig"),
+        F.min("digest").alias("digest"),
+        F.min(F.when(F.col("doc_id").isNull(), F.struct("digest", "row"))).alias("unnamed"),
     )
     classes = written(classes, "classes")
-    posted = postings(classes.where("rep IS NOT NULL"), pct)
+    posted = postings(classes, pct)
     lists = (
         posted.groupBy("pair")
         .agg(
             F.count(F.lit(1)).alias("members"),
-            F.min(F.struct("rep", "node", "n_shingles")).alias("first"),
+            F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node", "n_shingles")).alias("first"),
             F.min("n_shingles").alias("_least"),
             F.max("n_shingles").alias("_most"),
         )
@@ -374,7 +385,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pc
     # the texts of all classes that may be asked for, fetched once
     listed = long.select("node").distinct()
     ends = _ends(found)
-    texts = _fetched(docs, ends.union(listed).distinct().join(classes.select("node", "rep"), "node"), key, text)
+    texts = _fetched(docs, ends.union(listed).distinct().join(classes.select("node", "rep", "digest"), "node"), key, text)
     links = written(_confirmed(found, kept(texts, F.xxhash64("node"), bitmap(ends, F.xxhash64("node"))), pct), "links")
     roots = components(links)
 
@@ -387,18 +398,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pc
     links = written(links.union(_confirmed(late, kept(texts, F.xxhash64("node"), bits), pct)), "links")
     roots = components(links)
 
-    named = classes.select("node", "rep").join(roots, "node", "left")
+    named = classes.select("node", "rep", "unnamed").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("unnamed")["row"].alias("_first"))
+    named = named.join(least, "root").select("node", "component_id", "_first")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("row") == F.col("_first")))
     return (
-        rows.select("doc_id", "digest", "n_shingles", "node")
+        rows.select("doc_id", "digest", "n_shingles", "node", "row")
         .join(named, "node", "left")
         .select(
             F.col("doc_id").alias(key),
             "n_shingles",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-            F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+            F.when(F.col("node").isNull(), F.lit(True)).otherwise(own).alias("kept"),
             "digest",
         )
     )
@@ -419,8 +431,15 @@ def _own_text(texts: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: int = SIMILARITY_PCT) -> DataFrame:
     """The documents with the smallest id of their component, all columns unchanged.
 
-    Rows that repeat a kept document's id and text stay too: they are the same document."""
+    Rows that repeat a kept document's id and text stay too: they are the same document.  Of a
+    component of rows without an id one row stays."""
     found = near_duplicates(docs, key, text, pct).where("kept")
-    keep = found.select(F.col(key).alias("_keep"), F.col("digest").alias("_kept_digest")).distinct()
+    alone = F.col(key).isNull() & (F.col("n_shingles") > 0)
+    keep = found.select(F.col(key).alias("_keep"), F.col("digest").alias("_kept_digest"), alone.alias("_alone")).distinct()
+    keep = written(keep, "kept")
     same = docs[key].eqNullSafe(keep["_keep"]) & (_digest(docs[text]) == keep["_kept_digest"])
-    return docs.join(keep, same, "left_semi")
+    stay = docs.join(keep.where("NOT _alone"), same, "left_semi")
+    ones = keep.where("_alone").select("_kept_digest")
+    unnamed = docs.where(docs[key].isNull()).select(F.struct("*").alias("_row"), _digest(docs[text]).alias("_kept_digest"))
+    unnamed = unnamed.groupBy("_kept_digest").agg(F.first("_row").alias("_row")).join(ones, "_kept_digest", "left_semi")
+    return stay.union(unnamed.select("_row.*"))

@@ -143,3 +143,31 @@ def test_agreement_follows_from_the_limit():
         p, t = pct / 100, minhash_dedup.agreement(pct)
         below = [math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(t + 1)]
         assert sum(below[:-1]) <= minhash_dedup.MISSED < sum(below)
+
+
+def test_rows_without_ids_are_linked_by_their_texts(spark):
+    """Chains run through rows without an id, and one row of a component of only such rows is kept."""
+    words = [f"w{i}" for i in range(200)]
+    chain = []
+    for i in range(8):  # ends are too far apart for a link of their own
+        words[25 * i] = f"x{i}"
+        words[25 * i + 10] = f"y{i}"
+        chain.append(" ".join(words))
+    alone = [" ".join(f"a{i}" for i in range(60)), " ".join([*(f"a{i}" for i in range(59)), "z"])]
+    numbers = [5, None, None, None, None, None, None, 9]
+    rows = [*zip(numbers, chain), (None, alone[0]), (None, alone[0]), (None, alone[1]), (None, alone[1].upper()), (None, ""), (None, None)]
+    x, y = shingles(chain[0]), shingles(chain[-1])
+    assert 100 * len(x & y) < 85 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(docs).collect()
+    of_chain = [r for r in got if r["n_shingles"] == 196]
+    assert len(of_chain) == 8 and {r["component_id"] for r in of_chain} == {5}
+    assert [r["doc_id"] for r in of_chain if r["kept"]] == [5]
+    of_alone = [r for r in got if r["n_shingles"] == 56]
+    assert len(of_alone) == 4 and {r["component_id"] for r in of_alone} == {None} and sum(r["kept"] for r in of_alone) == 1
+    first = minhash_dedup.keep_first(docs)
+    assert first.schema == docs.schema
+    first = [tuple(r) for r in first.collect()]
+    assert sum(t in chain for _, t in first) == 1 and (5, chain[0]) in first
+    assert sum((t or "").lower() in alone for _, t in first) == 1
+    assert len(first) == 4 and (None, None) in first and (None, "") in first
