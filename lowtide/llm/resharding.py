@@ -188,14 +188,39 @@ def reshard(
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, key: str, folder: str) -> None:
+def rewrite(docs: DataFrame, plan: DataFrame, key: str, folder: str, old: Column | None = None, text: str = "text") -> None:
     """Write the new contents of the shards that change, one folder a shard; others keep their files.
 
-    The plan must hold each key once.  A shard is affected if a row enters or leaves it."""
+    A shard is affected if a row enters or leaves it.  Each row takes one line of the plan: of its key,
+    size and text_crc32, and by rank among equal ones, so repeated rows and null keys are written as
+    often as they occur.  ``old`` is needed where such rows lie in several shards and differ in other
+    columns."""
     moved = plan.where("old_shard <> shard")
     affected = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    todo = plan.join(F.broadcast(affected), "shard", "left_semi").select(
-        F.col(key).alias("_plan_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
+    body = F.coalesce(docs[text], F.lit(""))
+    name = {
+        "_key": docs[key],
+        "_size": (F.octet_length(body) + 1).cast("long"),
+        "_crc": F.crc32(body.cast("binary")),
+        "_old": F.lit(0) if old is None else old.cast("int"),
+    }
+    lines = plan.select(
+        F.col(key).alias("_key"),
+        F.col("size").alias("_size"),
+        F.col("text_crc32").alias("_crc"),
+        (F.lit(0) if old is None else F.col("old_shard")).alias("_old"),
+        F.col("shard").alias("_shard"),
+        F.col("slot").alias("_slot"),
     )
-    joined = docs.join(todo, docs[key].eqNullSafe(todo["_plan_key"])).drop("_plan_key")
+    equal = Window.partitionBy(*name)
+    lines = lines.withColumn("_rank", F.row_number().over(equal.orderBy("_shard", "_slot")))
+    todo = lines.join(F.broadcast(affected), lines["_shard"] == affected["shard"], "left_semi")
+    rows = docs.select("*", *[c.alias(n) for n, c in name.items()])
+    # maps have no order and no hash
+    content = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = rows.withColumn("_content", content).withColumn("_rank", F.row_number().over(equal.orderBy("_content")))
+    names = [*name, "_rank"]
+    todo = todo.select(*[F.col(n).alias(f"_plan{n}") for n in names], "_shard", "_slot")
+    same = [rows[n].eqNullSafe(todo[f"_plan{n}"]) for n in names]
+    joined = rows.join(todo, same).select(*[rows[c] for c in docs.columns], "_shard", "_slot")
     joined.repartition("_shard", F.pmod("_slot", F.lit(64))).drop("_slot").write.mode("overwrite").partitionBy("_shard").parquet(folder)

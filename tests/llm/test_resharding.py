@@ -83,6 +83,21 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     assert {r["doc_id"]: r["_shard"] for r in written.collect()} == want
 
 
+def test_rewrite_writes_repeated_and_null_keys_once(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"text {i % 40} " * (1 + i % 5), i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    old = F.pmod(F.col("n"), F.lit(3))
+    plan = spark.createDataFrame(reshard(docs, old, 3, 5).collect())
+    rewrite(docs, plan, "doc_id", str(tmp_path / "out"), old)
+    moved = {x for r in plan.where("old_shard <> shard").collect() for x in (r["old_shard"], r["shard"])}
+    assert moved == set(range(5))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["n"] for r in got) == list(range(300))
+    assert {(r["doc_id"], r["text"], r["n"]) for r in got} == set(rows)
+    counted = lambda found, shard: Counter((r["doc_id"], r[shard]) for r in found)
+    assert counted(got, "_shard") == counted(plan.collect(), "shard")
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert reshard(docs, F.lit(0), 1, 8).collect() == []
