@@ -117,7 +117,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(len(codes), np.int64)
     rank[order] = np.concatenate(([0], np.cumsum(step[1:] != step[:-1])))
     length = 1
-    while length < depth:
+    while length < min(depth, len(codes)):  # after as many characters as there are, all suffixes differ
         after = np.zeros(len(codes), np.int64)
         after[: len(codes) - length] = rank[length:] + 1
         key = rank * (len(codes) + 1) + after

@@ -1,9 +1,20 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and batches of bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
 from lowtide.session import written
 
-__all__ = ["written"]
+__all__ = ["bounded_batches", "written"]
+
+#: bytes of one Arrow batch on its way to a Python worker, which holds the batch while it slices it
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches end at BATCH_BYTES, if it allows more; a row is never cut."""
+    digits = spark.conf.get(_LIMIT).rstrip("b")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
