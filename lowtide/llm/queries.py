@@ -21,6 +21,7 @@ from lowtide.llm import (
     sentence_pieces,
     substring_dedup,
     token_counts,
+    tokenizer_alignment,
     topk_search,
 )
 
@@ -220,6 +221,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokenizer_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _op12_sql() -> str:
     """Assignments and means written out round by round."""
     k, size, rounds = centroid_clustering.CLUSTERS, centroid_clustering.SIZE, centroid_clustering.ROUNDS

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -99,3 +100,23 @@ def test_suffix_array_ranges():
     low, high = sentence_pieces.occurrences(codes, array, table, np.array([len(p) for p in pieces]))
     got = [sorted(array[a:b].tolist()) for a, b in zip(low, high)]
     assert got == [[i for i in range(len(text)) if text.startswith(p, i)] for p in pieces]
+
+
+@pytest.mark.parametrize("length", range(1, 41))
+def test_suffix_arrays_of_every_length(length):
+    r = random.Random(length)
+    for depth in range(1, 18):
+        codes = np.array([r.choice((1, 2, 3)) for _ in range(length)])
+        array = sentence_pieces.suffix_array(codes, depth)
+        assert sorted(array.tolist()) == list(range(length))
+        heads = [codes[i : i + depth].tolist() for i in array]
+        assert heads == sorted(heads)
+
+
+def test_one_new_word_in_a_warm_cache():
+    cache = sentence_pieces.PieceIds(PATH)
+    some = ["a", "word", "b c", "xyz", "12345", "", "é"]
+    for t in some:
+        for again in (t, t + t):
+            ids, _ = cache.ids(sentence_pieces._segmented(token_counts.strings(pa.array([again]))))
+            assert ids.tolist() == MODEL.encode(again)
