@@ -10,10 +10,15 @@
    of lists of up to ``SHORT`` classes meet each other.  In longer lists each member meets the
    class of the earliest document only.  Pairs with enough agreement are confirmed on their full
    sets, and the links give components.
-4. Members of one long list may still lie in different components.  For those the set itself
+4. Members of one long list may still lie in different components.  ``MORE`` further pairs are posted
+   a class, so two sets that agree enough share 1 + MORE pairs among those posted; had they not met, all of these
+   are long lists with members of several components.  Only classes with so many such lists go on, which a
+   passage that many documents share does not bring about.  For those the set itself
    serves as the signature: each shingle is a coordinate, and the prefix is the exact one that
    Jaccard similarity asks for (the first shingles, rarest first, of which two similar sets of
-   these sizes must share one).  A member of a large group of near copies that is too far from the
+   these sizes must share one).  One row a shingle of the prefix is written; those that only one component
+   has are dropped by an aggregate, and the rest is asked for only in the size classes that occur under
+   the shingle.  A member of a large group of near copies that is too far from the
    others has a prefix of shingles of its own and meets nobody, so the work follows the members
    and not their pairs, and no link between components is lost.
 
@@ -47,7 +52,7 @@ from pyspark.sql import functions as F
 
 from lowtide.llm.bitmaps import bitmap, kept
 from lowtide.llm.graph import components
-from lowtide.llm.storage import written
+from lowtide.llm.storage import bounded_batches, written
 from lowtide.llm.text import hashes, mixed, rolling, slices, split_words, strings
 
 WORDS = 5
@@ -60,6 +65,8 @@ MISSED = 5e-5
 HOT_PAIRS = 1 << 17
 #: members of a list that all meet each other
 SHORT = 8
+#: pairs posted beyond those of which similar sets share one
+MORE = 6
 #: slots of the table of shingle frequencies
 TABLE_BITS = 24
 #: ratio of neighbouring size classes
@@ -165,7 +172,7 @@ def frequent_pairs(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def postings(classes: DataFrame, pct: int) -> DataFrame:
     """``pair, rep, node, n_shingles`` for the prefix of every class."""
-    posted = COORDINATES - agreement(pct) + 1
+    posted = min(COORDINATES, COORDINATES - agreement(pct) + 1 + MORE)
     pairs, counts = frequent_pairs(classes)
     shared = classes.sparkSession.sparkContext.broadcast((pairs, counts))
 
@@ -212,7 +219,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, pct: int) -> DataFrame:
     Texts travel instead of sets, which take several times their space."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_a"):
+        for batch in slices(batches, "_a", "_b"):
             keep = []
             for x, y in zip(shingle_sets(batch.column("_a")), shingle_sets(batch.column("_b"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -263,62 +270,60 @@ def _frequencies(members: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _least_overlap(x: int, y: int, pct: int) -> int:
-    """Shingles that two sets of these sizes share at least if they are similar enough."""
-    return -(-pct * (x + y) // (100 + pct))
-
-
-def _size_class(n: int) -> int:
-    return int(np.log(n) / np.log(SIZE_STEP) + 1e-9)
-
-
 def _exact_postings(members: DataFrame, pct: int) -> DataFrame:
-    """``shingle, size_class, probe, node, root, n, place`` of the exact prefixes.
-
-    A set lies under its own size class; it asks in each class of sets that are no larger and may
-    still be similar, with the prefix that the smallest size of the class allows."""
+    """``shingle, node, root, n, place`` of the exact prefixes: a row a shingle that a set may have to share."""
     shared = members.sparkSession.sparkContext.broadcast(_frequencies(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        names = ["shingle", "size_class", "probe", "node", "root", "n", "place"]
         once = int(np.ceil(8 * np.log2(2.0)))
-        for batch in slices(batches, "text", 1_000_000):
-            out: list[tuple] = []
-            columns = (batch.column("node").to_pylist(), batch.column("root").to_pylist(), shingle_sets(batch.column("text")))
-            for node, root, s in zip(*columns):
+        for batch in slices(batches, "text", size=1_000_000):
+            row, shingle, size, place = [], [], [], []
+            for i, s in enumerate(shingle_sets(batch.column("text"))):
                 n, level = len(s), levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                longest = n - -(-pct * n // 100) + 1
-                order = np.lexsort((s, level))[:longest]
+                order = np.lexsort((s, level))[: n - -(-pct * n // 100) + 1]
                 # a shingle alone in its slot is in no other set, but it has its place
                 places = np.flatnonzero(level[order] > once)
-                if not len(places):
-                    continue
-                value = s[order].view(np.int64)[places].tolist()
-                places = places.tolist()
-                own = _size_class(n)
-                index = n - _least_overlap(n, n, pct) + 1
-                out += [(v, own, False, node, root, n, p) for v, p in zip(value, places) if p < index]
-                for c in range(_size_class(max(1, -(-pct * n // 100))) - 1, own + 1):
-                    smallest = max(int(np.floor(SIZE_STEP**c)), -(-pct * n // 100))
-                    prefix = n - _least_overlap(n, smallest, pct) + 1
-                    out += [(v, c, True, node, root, n, p) for v, p in zip(value, places) if p < prefix]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-    schema = "shingle long, size_class int, probe boolean, node long, root long, n long, place long"
-    return members.select("node", "root", "text").mapInArrow(run, schema)
+                row.append(np.full(len(places), i))
+                shingle.append(s[order][places].view(np.int64))
+                size.append(np.full(len(places), n))
+                place.append(places)
+            at = pa.array(np.concatenate(row).astype(np.int64))
+            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (shingle, size, place)]
+            yield pa.RecordBatch.from_arrays(
+                [columns[0], batch.column("node").take(at), batch.column("root").take(at), *columns[1:]],
+                names=["shingle", "node", "root", "n", "place"],
+            )
+
+    return members.select("node", "root", "text").mapInArrow(run, "shingle long, node long, root long, n long, place long")
 
 
 def _between_components(members: DataFrame, pct: int) -> DataFrame:
-    """Pairs of members in different components that may be similar by the exact prefixes."""
+    """Pairs of members in different components that may be similar by the exact prefixes.
+
+    A set lies under its own size class; it asks in each class of sets that are no larger and may
+    still be similar, with the prefix that the smallest size of the class allows."""
     posted = written(_exact_postings(members, pct), "exact")
-    index = posted.where("NOT probe").select("shingle", "size_class", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "place")])
-    least = F.ceil(F.lit(pct) * (F.col("n") + F.col("_n")) / F.lit(100 + pct))
-    met = posted.where("probe").join(index, ["shingle", "size_class"])
+    shared = posted.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+    posted = written(posted.join(shared.select("shingle"), "shingle", "left_semi"), "shared")
+
+    def least(x: Column, y: Column) -> Column:
+        return F.ceil(F.lit(pct) * (x + y) / F.lit(100 + pct))
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / F.lit(float(np.log(SIZE_STEP))) + F.lit(1e-9)).cast("int")
+
+    n, place = F.col("n"), F.col("place")
+    index = posted.where(place < n - least(n, n) + 1)
+    index = index.select("shingle", size_class(n).alias("size_class"), *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "place")])
+    classes = index.groupBy("shingle", "size_class").agg(F.min("_n").alias("_smallest"))
+    asked = posted.join(classes, "shingle").where(F.col("_smallest") <= n)
+    smallest = F.greatest(F.col("_smallest"), F.ceil(F.lit(pct) * n / 100))
+    asked = asked.where((size_class(n) >= F.col("size_class")) & (size_class(F.ceil(F.lit(pct) * n / 100)) <= F.col("size_class")))
+    asked = asked.where(place < n - least(n, smallest) + 1)
+    met = asked.join(index, ["shingle", "size_class"])
     met = met.where("root <> _root AND n >= _n AND (n > _n OR node > _node)")
-    met = met.where(F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) >= least)
+    met = met.where(F.least(n - place, F.col("_n") - F.col("_place")) >= least(n, F.col("_n")))
     return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
@@ -349,6 +354,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pc
     """One row per document: ``doc_id, n_shingles, component_id, kept`` and the digest of its text.
 
     Sets of a similarity of at least ``pct`` percent are linked."""
+    bounded_batches(docs.sparkSession)
     rows = written(signatures(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
     found = rows.where("node IS NOT NULL").groupBy("node")
     classes = found.agg(
@@ -383,15 +389,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pc
     found = written(_agreeing(met.union(stars).distinct(), classes, pct), "agreeing")
 
     # the texts of all classes that may be asked for, fetched once
-    listed = long.select("node").distinct()
+    listed = long.groupBy("node").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") > MORE).select("node")
     ends = _ends(found)
     texts = _fetched(docs, ends.union(listed).distinct().join(classes.select("node", "rep", "digest"), "node"), key, text)
     links = written(_confirmed(found, kept(texts, F.xxhash64("node"), bitmap(ends, F.xxhash64("node"))), pct), "links")
     roots = components(links)
 
-    apart = long.select("pair", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = long.select("pair", "node").join(listed, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = apart.groupBy("pair").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    apart = apart.join(mixed_lists.select("pair"), "pair", "left_semi").select("node", "root").distinct()
+    apart = apart.join(mixed_lists.select("pair"), "pair", "left_semi").groupBy("node").agg(F.max("root").alias("root"), F.count(F.lit(1)).alias("lists"))
+    apart = apart.where(F.col("lists") > MORE).select("node", "root")
     members = written(texts.join(apart, "node"), "members")
     late = written(_between_components(members, pct), "late")
     bits = bitmap(_ends(late), F.xxhash64("node"))
@@ -441,5 +448,5 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", pct: in
     stay = docs.join(keep.where("NOT _alone"), same, "left_semi")
     ones = keep.where("_alone").select("_kept_digest")
     unnamed = docs.where(docs[key].isNull()).select(F.struct("*").alias("_row"), _digest(docs[text]).alias("_kept_digest"))
-    unnamed = unnamed.groupBy("_kept_digest").agg(F.first("_row").alias("_row")).join(ones, "_kept_digest", "left_semi")
+    unnamed = unnamed.join(ones, "_kept_digest", "left_semi").groupBy("_kept_digest").agg(F.first("_row").alias("_row"))
     return stay.union(unnamed.select("_row.*"))

@@ -9,7 +9,7 @@ from lowtide.session import written
 __all__ = ["bounded_batches", "written"]
 
 #: bytes of one Arrow batch on its way to a Python worker, which holds the batch while it slices it
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

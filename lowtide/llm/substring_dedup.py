@@ -200,7 +200,7 @@ def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray, text: str) ->
             at = np.asarray(batch.column("_slot"), dtype=np.int64)
             yield batch.filter(pa.array((at < 0) | ~held(bits, np.maximum(at, 0))))
 
-    return slices(some(), text, SLICE)
+    return slices(some(), text, size=SLICE)
 
 
 def anchor_bitmaps(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,19 +28,28 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``size`` text bytes, at least one row each."""
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], *text: str, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``size`` bytes of these texts together, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
+        length = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(t)), 0), dtype=np.int64) for t in text)
+        ends = np.cumsum(length)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # workers are kept for later tasks
+        release()
 
 
 @dataclass
