@@ -10,7 +10,8 @@ Both tokenizers begin a new token at a space between two characters that are no
 pre-tokenizer takes such a space as the first character of a token, and no piece of B holds a space mark after another
 character.  So both end a token there, groups never reach across, and a text is the sequence of its segments between
 these places.  Both properties are proved from the files (``cuts``); for other tokenizers the whole text is one segment.
-A worker aligns each distinct segment once and keeps the result in a bounded cache.
+A worker aligns the distinct segments that it has not met yet, many at a time as one text, and keeps what it found of
+each in a bounded cache.
 
 How many documents hold a pair linked is counted in a first pass, combined within each task.  In a second pass the most
 frequent pairs (at most HOT_PAIRS, as many as fit) are broadcast and looked up in place; only the other,
@@ -29,13 +30,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +51,15 @@ HOT_PAIRS = 1 << 19
 #: pairs a task gathers before it passes them on
 GATHERED = 1 << 20
 #: segments, and pairs of segments, kept by a worker
-CACHE_SEGMENTS, CACHE_PAIRS = 200_000, 4_000_000
+CACHE_SEGMENTS, CACHE_PAIRS = 400_000, 4_000_000
+#: characters of new segments that are aligned together
+TOGETHER_CHARS = 200_000
+#: links of a group up to which they are written out
+WRITTEN_OUT = 4096
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: white space, and segments of the blocks up to Latin Extended-B only
+WHITE = "[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+KNOWN = "^[\x00-\u024f]*$"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -63,34 +70,34 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The id lists of both sides cut where tokens of both end; both spell the same bytes."""
-    ends: list[dict[int, int]] = []
-    for ids, raw in ((a, bytes_a), (b, bytes_b)):
-        at, places = 0, {}
-        for i, t in enumerate(ids):
-            at += len(raw[t])
-            places[at] = i + 1
-        ends.append(places)
-    out, x, y = [], 0, 0
-    for end in sorted(ends[0].keys() & ends[1].keys()):
-        out.append((a[x : ends[0][end]], b[y : ends[1][end]]))
-        x, y = ends[0][end], ends[1][end]
-    return out
-
-
-def links(found: list[tuple[list[int], list[int]]]) -> Counter:
-    """How often each pair of ids is linked."""
-    out: Counter = Counter()
-    for a, b in found:
-        if len(a) == len(b) == 1:
-            out[a[0] << 32 | b[0]] += 1
-            continue
-        of_b = Counter(b).items()
-        for x, n in Counter(a).items():
-            for y, m in of_b:
-                out[x << 32 | y] += n * m
-    return out
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices behind the tokens of A and of B that end at the same byte, in order."""
+    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+    both = sorted(index_a.keys() & index_b.keys())
+    return np.array([index_a[e] for e in both], np.int64), np.array([index_b[e] for e in both], np.int64)
+
+
+def links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, pair and number of links of the linked id pairs of each group, whose ids end at the cuts.
+
+    The pairs of a group are written out, but those of a group of very many by distinct ids."""
+    start_a, start_b = np.concatenate(([0], cut_a[:-1])), np.concatenate(([0], cut_b[:-1]))
+    n_a, n_b = cut_a - start_a, cut_b - start_b
+    size = n_a * n_b
+    large = np.flatnonzero(size > WRITTEN_OUT)
+    size[large] = 0
+    group = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+    x = a[start_a[group] + at // np.maximum(n_b[group], 1)]
+    y = b[start_b[group] + at % np.maximum(n_b[group], 1)]
+    parts = [(group, x << 32 | y, np.ones(len(group), np.int64))]
+    for g in large.tolist():
+        ids_a, times_a = np.unique(a[start_a[g] : cut_a[g]], return_counts=True)
+        ids_b, times_b = np.unique(b[start_b[g] : cut_b[g]], return_counts=True)
+        pair, times = (ids_a[:, None] << 32 | ids_b).ravel(), np.outer(times_a, times_b).ravel()
+        parts.append((np.full(len(pair), g), pair, times))
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 class Tokenizers:
@@ -115,16 +122,40 @@ class Tokenizers:
         before = made.get("pre_tokenizer") or {}
         by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True)
         self.cuts = stable and bool(by_words) and made.get("normalizer") is None
-
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both for segments that lack their first space; None where the bytes differ."""
-        spaced = [" " + s for s in segments]
-        got_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        got_b = self.b.encode(segments, num_threads=1)
-        for text, a, b in zip(spaced, (e.ids for e in got_a), got_b):
-            want = text.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if same else None
+        self.fast = self._ranked(made["model"]) if self.cuts else None
+
+        self.size_a = np.array([len(x) for x in self.bytes_a])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.digits = pa.array([str(i) for i in range(most)], pa.large_string())
+
+    def _ranked(self, model: dict):
+        """A as an encoder by ranks, which is faster: the same if merges make the ids in their order."""
+        vocabulary = model.get("vocab") or {}
+        added = set(self.a.get_added_tokens_decoder())
+        ranks = {self.bytes_a[i]: i for i in vocabulary.values() if i not in added}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges") or []]
+        first = len(ranks) - len(pairs)
+        made = [vocabulary.get("".join(p)) for p in pairs]
+        if first != 256 or made != list(range(first, len(ranks))) or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, segments: list[str], known: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for the segments joined by spaces; None where the bytes differ from a space and that text.
+
+        As both end a token before every such space, these are the ids of the segments one by one.
+        ``known``: all characters are of the blocks that every version of Unicode classes alike."""
+        text = " ".join(segments)
+        if known and self.fast is not None:
+            a = self.fast.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        want = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
+            return np.array(a, np.int64), np.array(b, np.int64)
+        return None
 
 
 class Aligned(IdCache):
@@ -151,66 +182,100 @@ class Aligned(IdCache):
         return super().numbers(vocabulary)
 
     def _add(self, words: pa.Array) -> None:
-        texts, figures, place, times, size, new = [], [], [], [], [], []
-        for found in self.tokenizers.encode(words.to_pylist()):
-            if found is None:
-                texts.append("")
-                figures.append((0, 0, 0, 0, 1))
-                size.append(0)
-                continue
-            cut = groups(*found, self.tokenizers.bytes_a, self.tokenizers.bytes_b)
-            linked = links(cut)
-            texts.append(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in cut))
-            figures.append((len(found[0]), len(found[1]), len(cut), sum(linked.values()), 0))
-            for pair, n in linked.items():
-                at = self._place_of.setdefault(pair, len(self._place_of))
-                if at == len(self.pairs) + len(new):
-                    new.append(pair)
-                place.append(at)
-                times.append(n)
-            size.append(len(linked))
-        self.known = pa.concat_arrays([self.known, words.cast(pa.large_string())])
-        self.text = pa.concat_arrays([self.text, pa.array(texts, pa.large_string())])
-        self.figures = np.concatenate((self.figures, np.array(figures, np.int64).reshape(-1, 5)))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.array(size, np.int64))))
-        self.place = np.concatenate((self.place, np.array(place, np.int64)))
-        self.times = np.concatenate((self.times, np.array(times, np.int64)))
-        self.pairs = np.concatenate((self.pairs, np.array(new, np.int64)))
+        # a segment with white space at an end, as of the ends of a text, can have no neighbour
+        alone = np.asarray(pc.match_substring_regex(words, f"^$|^{WHITE}|{WHITE}$|{MARK}"))
+        known = np.asarray(pc.match_substring_regex(words, KNOWN)) & ~alone
+        order = []
+        for chosen in (known, ~known & ~alone):
+            names = words.filter(pa.array(chosen)).to_pylist()
+            size = np.cumsum([len(w) for w in names])
+            start = 0
+            while start < len(names):
+                stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + TOGETHER_CHARS)))
+                self._add_some(names[start:stop], chosen is known)
+                start = stop
+            order += names
+        rest = words.filter(pa.array(alone)).to_pylist()
+        for w in rest:
+            self._add_some([w])
+        self.known = pa.concat_arrays([self.known, pa.array(order + rest, pa.large_string())])
+
+    def _add_some(self, names: list[str], known: bool = False) -> None:
+        """Figures of new segments, aligned together as one text."""
+        both = self.tokenizers.encode(names, known) if self.tokenizers.cuts or len(names) == 1 else None
+        if both is None and len(names) > 1:  # one of them is not spelt by its tokens, or they have to stay apart
+            half = len(names) // 2
+            self._add_some(names[:half], known)
+            self._add_some(names[half:], known)
+            return
+        if both is None:
+            self._append(np.array([[0, 0, 0, 0, 1]]), pa.array([""], pa.large_string()), *[np.zeros(0, np.int64)] * 3)
+            return
+        a, b = both
+        t = self.tokenizers
+        ends_a, ends_b = np.cumsum(t.size_a[a]), np.cumsum(t.size_b[b])
+        cut_a, cut_b = common_ends(ends_a, ends_b)
+        ends = np.cumsum([len(w.encode()) + 1 for w in names])
+        behind = [np.searchsorted(e, ends, side="right") for e in (ends_a, ends_b, ends_a[cut_a - 1])]
+        n_a, n_b, n_groups = (np.diff(x, prepend=0) for x in behind)
+        group, pair, times = links(a, b, cut_a, cut_b)
+        segment = np.searchsorted(behind[2], group, side="right")
+        n_links = np.bincount(segment, times, len(names)).astype(np.int64)
+        # the groups as text: ids by commas, sides by a bar, groups by semicolons
+        sides = [self._joined(t.digits.take(pa.array(x)), np.concatenate(([0], cut)), ",") for x, cut in ((a, cut_a), (b, cut_b))]
+        text = self._joined(pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string())), np.concatenate(([0], behind[2])), ";")
+        # distinct pairs of each segment
+        number, at = np.unique(pair, return_inverse=True)
+        key = segment * max(len(number), 1) + at
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times, first) if len(first) else times
+        segment, at = np.divmod(key[first], max(len(number), 1))
+        place = [self._place_of.setdefault(p, len(self._place_of)) for p in number.tolist()]
+        fresh = np.array(place, np.int64) >= len(self.pairs)
+        self.pairs = np.concatenate((self.pairs, number[fresh]))
+        figures = np.stack((n_a, n_b, n_groups, n_links, np.zeros(len(names), np.int64)), axis=1)
+        self._append(figures, text, np.bincount(segment, minlength=len(names)), np.array(place, np.int64)[at], times)
+
+    @staticmethod
+    def _joined(values: pa.Array, offsets: np.ndarray, separator: str) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), pa.scalar(separator, pa.large_string()))
+
+    def _append(self, figures: np.ndarray, text: pa.Array, size: np.ndarray, place: np.ndarray, times: np.ndarray) -> None:
+        if not len(size):
+            size = np.zeros(len(figures), np.int64)
+        self.text = pa.concat_arrays([self.text, text])
+        self.figures = np.concatenate((self.figures, figures))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
+        self.place = np.concatenate((self.place, place))
+        self.times = np.concatenate((self.times, times))
 
 
 def segments(texts: pa.Array, cuts: bool) -> Words:
     """Segments of every text, each without its first space; an empty text has none."""
     empty = np.asarray(pc.binary_length(texts)) == 0
+    kept = texts.filter(pa.array(~empty))
     if not cuts:
-        kept = texts.filter(pa.array(~empty))
         return Words(kept, np.concatenate(([0], np.cumsum(~empty))))
-    lists = pc.split_pattern(texts, " ")
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    lists = pc.split_pattern(kept, " ")
+    offsets = np.asarray(lists.offsets, dtype=np.int64) if len(kept) else np.zeros(1, np.int64)
     offsets = offsets - offsets[0]
     parts = lists.flatten()
+    # a space is a cut unless white space, or an end of the text, stands beside it
     codes = parts.dictionary_encode()
-    names = codes.dictionary.to_pylist()
     number = np.asarray(codes.indices, dtype=np.int64)
-    # a space beside other white space is no cut: such texts are cut by the expression itself
-    first = np.fromiter((not n or n[0].isspace() for n in names), bool, len(names))[number]
-    last = np.fromiter((not n or n[-1].isspace() for n in names), bool, len(names))[number]
-    end = offsets[1:] - 1
-    last[end[end >= 0]] = False  # no space follows the last part
-    odd = (sums(first | last, offsets) > 0) | empty
-    if not odd.any():
-        return Words(parts, offsets)
-    out, n = [], []
-    for i in range(len(texts)):
-        if empty[i]:
-            n.append(0)
-        elif odd[i]:
-            cut = _CUT.split(" " + texts[i].as_py())
-            out += [cut[0][1:], *cut[1:]]
-            n.append(len(cut))
-        else:
-            out += [names[k] for k in number[offsets[i] : offsets[i + 1]].tolist()]
-            n.append(int(offsets[i + 1] - offsets[i]))
-    return Words(pa.array(out, pa.large_string()), np.concatenate(([0], np.cumsum(n))).astype(np.int64))
+    first, last = (np.asarray(pc.match_substring_regex(codes.dictionary, x))[number] for x in (f"^$|^{WHITE}", f"^$|{WHITE}$"))
+    begins = np.ones(len(parts), bool)
+    begins[1:] = ~first[1:] & ~last[:-1]
+    begins[offsets[:-1]] = True
+    if not begins.all():
+        cut = np.append(np.flatnonzero(begins), len(parts)).astype(np.int32)
+        parts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), parts), pa.scalar(" ", parts.type))
+        offsets = np.concatenate(([0], np.cumsum(begins)))[offsets]
+    count = np.zeros(len(texts), np.int64)
+    count[~empty] = np.diff(offsets)
+    return Words(parts, np.concatenate(([0], np.cumsum(count))))
 
 
 _CACHES: dict[tuple[str, str], Aligned] = {}
@@ -234,8 +299,7 @@ class Slice:
         totals = [sums(figures[:, i], words.offsets) for i in range(5)]
         self.bad = (totals[4] > 0) | (words.counts == 0)
         self.figures = [np.where(self.bad, 0, t) for t in totals[:4]]
-        lists = pa.ListArray.from_arrays(pa.array(words.offsets.astype(np.int32)), cache.text.take(pa.array(number)))
-        self.joined = pc.binary_join(lists, pa.scalar(";", cache.text.type))
+        self.joined = cache._joined(cache.text.take(pa.array(number)), words.offsets, ";")
         # distinct pairs of each document, by their places in the cache
         used = ~np.repeat(self.bad, words.counts)
         doc, number = np.repeat(np.arange(len(self.bad)), words.counts)[used], number[used]

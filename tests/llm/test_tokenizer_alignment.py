@@ -6,13 +6,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 
 from lowtide.llm import tokenizer_alignment as ta
 from lowtide.llm.text import strings
-from lowtide.llm.tokenizer_alignment import Tokenizers, align, groups, segments
+from lowtide.llm.tokenizer_alignment import Tokenizers, align, segments
 
 PATH_A, PATH_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZERS = Tokenizers(PATH_A, PATH_B)
@@ -80,6 +81,13 @@ def test_same_as_whole_texts(spark, hot_pairs):
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
 
+def test_ranks_give_the_ids_of_the_library():
+    assert TOKENIZERS.fast is not None
+    for text in texts(500, 7):
+        if text and max(text) < "\u0250":
+            assert TOKENIZERS.fast.encode_ordinary(" " + text) == TOKENIZERS.a.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_tokens_end_at_every_cut():
     assert TOKENIZERS.cuts
     for text in texts(1500, 2):
@@ -94,8 +102,20 @@ def test_tokens_end_at_every_cut():
 
 
 def test_slices_end_where_both_end():
-    raw = [b"a", b"bc", b"abc", b"d"]
-    assert groups([0, 1, 3], [2, 3], raw, raw) == [([0, 1], [2]), ([3], [3])]
+    ends_a, ends_b = np.array([1, 3, 4, 6]), np.array([3, 4, 5, 6])
+    cut_a, cut_b = ta.common_ends(ends_a, ends_b)
+    assert cut_a.tolist() == [2, 3, 4] and cut_b.tolist() == [1, 2, 4]
+
+
+@pytest.mark.parametrize("written_out", [0, 3, 4096])
+def test_links_of_large_groups(written_out, monkeypatch):
+    monkeypatch.setattr(ta, "WRITTEN_OUT", written_out)
+    a, b = np.array([5, 6, 5, 7]), np.array([1, 1, 2])
+    group, pair, times = ta.links(a, b, np.array([3, 4]), np.array([2, 3]))
+    got = Counter()
+    for g, p, n in zip(group.tolist(), pair.tolist(), times.tolist()):
+        got[g, p >> 32, p & 0xFFFFFFFF] += n
+    assert got == {(0, 5, 1): 4, (0, 6, 1): 2, (1, 7, 2): 1}
 
 
 def test_small_caches_and_batches(spark, monkeypatch):
@@ -103,6 +123,7 @@ def test_small_caches_and_batches(spark, monkeypatch):
     cache = ta.Aligned(TOKENIZERS, limit=20)
     want = {i: x for i, *x in brute([(i, t) for i, t in enumerate(texts(60, 3))])}
     for i, t in enumerate(texts(60, 3)):
+        monkeypatch.setattr(ta, "TOGETHER_CHARS", 1 + 7 * (i % 3))
         one = ta.Slice(pa.array([t]), cache)
         assert [int(v[0]) for v in one.figures] == want[i][:4] and one.sha256() == [want[i][6]]
 
