@@ -10,7 +10,9 @@ writes the same folder again.
 from __future__ import annotations
 
 import time as _clock
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -48,80 +50,111 @@ def with_cadence(writer: DataStreamWriter, every: str | None = None) -> DataStre
 #
 # {path}/changes/run=<query id>/batch=<number>/   rows of one micro-batch, newest per key
 # {path}/commits/                                 one row per finished batch
+# {path}/covers/base=<name>/                      the batches that a compaction has read
 #
 # A batch writes what it brings, however large the table is.  The query id is kept in the
 # checkpoint, so a batch that runs again overwrites its own folder, and a new checkpoint begins
 # a new run beside the old ones.  A reader takes the committed batches and the newest row per key.
+# A delete is a row that says so (a tombstone): it has its time and its place in the order like any other
+# change, so an older change that comes after it stays deleted and a newer one brings the key back.
 
-COMMITS = "run string, batch bigint, seq bigint, covers bigint"
+COMMITS = "run string, batch bigint, seq bigint"
+COVERS = "run string, batch bigint, base string"
 
 
-def _commit(spark: SparkSession, path: str, run: str, number: int, seq: int, covers: int = -1) -> None:
+def _commit(spark: SparkSession, path: str, run: str, number: int, seq: int) -> None:
     row = spark.range(1).select(
-        F.lit(run).alias("run"),
-        F.lit(number).cast("bigint").alias("batch"),
-        F.lit(seq).cast("bigint").alias("seq"),
-        F.lit(covers).cast("bigint").alias("covers"),
+        F.lit(run).alias("run"), F.lit(number).cast("bigint").alias("batch"), F.lit(seq).cast("bigint").alias("seq")
     )
     row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 def _committed(spark: SparkSession, path: str) -> DataFrame:
-    """The batches that count: one row each, without those that a compaction covers."""
-    rows = spark.read.schema(COMMITS).parquet(f"{path}/commits")
-    rows = rows.groupBy("run", "batch").agg(F.max("seq").alias("seq"), F.max("covers").alias("covers"))
-    covered = rows.agg(F.max("covers").alias("until"))
-    rows = rows.join(F.broadcast(covered)).filter((F.col("seq") > F.col("until")) | (F.col("covers") == F.col("until")))
-    return rows.select("run", "batch", "seq")
+    """The batches that count: one row each, without those that a finished compaction has read."""
+    rows = spark.read.schema(COMMITS).parquet(f"{path}/commits").groupBy("run", "batch").agg(F.max("seq").alias("seq"))
+    try:
+        covers = spark.read.schema(COVERS).parquet(f"{path}/covers")
+    except AnalysisException:  # never compacted
+        return rows
+    covers = covers.join(rows.select(F.col("run").alias("base")), "base", "left_semi")
+    return rows.join(covers, ["run", "batch"], "left_anti")
 
 
-def change_sink(path: str, keys: list[str], time: str, tie_break: list[str] | None = None):
-    """foreachBatch function: the batch, reduced to the newest row per key, as a change folder."""
+def _write_changes(rows: DataFrame, path: str, run: str, number: int) -> None:
+    spark, seq = rows.sparkSession, _clock.time_ns()
+    if "_deleted" not in rows.columns:
+        rows = rows.withColumn("_deleted", F.lit(False))
+    rows.withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(f"{path}/changes/run={run}/batch={number}")
+    _commit(spark, path, run, number, seq)
+
+
+def change_sink(path: str, keys: list[str], time: str, tie_break: list[str] | None = None, deleted: str | None = None):
+    """foreachBatch function: the batch, reduced to the newest row per key, as a change folder.
+
+    ``deleted`` names a boolean column of the batch that marks deletes."""
 
     def write(batch: DataFrame, number: int, run: str | None = None) -> None:
-        spark = batch.sparkSession
-        run = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        seq = _clock.time_ns()
+        run = run or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         rows = latest_per_key(batch, keys, [time, *(tie_break or [])])
-        folder = f"{path}/changes/run={run}/batch={number}"
-        rows.withColumn("_seq", F.lit(seq)).write.mode("overwrite").parquet(folder)
-        _commit(spark, path, run, number, seq)
+        if deleted is not None:
+            rows = rows.withColumn("_deleted", F.coalesce(deleted, F.lit(False))).drop(deleted)
+        _write_changes(rows, path, run, number)
 
     return write
 
 
-def read_state(
-    spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None
-) -> DataFrame:
-    """Newest row per key over all committed batches; on equal times the later batch wins."""
+def _changes(spark: SparkSession, path: str, batches: DataFrame) -> DataFrame:
     changes = spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes")
-    counted = _committed(spark, path).select("run", F.col("batch").alias("batch"))
-    rows = changes.join(F.broadcast(counted), ["run", "batch"], "left_semi")
-    return latest_per_key(rows, keys, [time, "_seq", *(tie_break or [])]).drop("run", "batch", "_seq")
-
+    return changes.join(batches.select("run", "batch"), ["run", "batch"], "left_semi")
 
-def compact(spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None) -> None:
-    """Write the present state as one folder that covers all batches committed so far.
 
-    Runs beside the stream: batches that are committed meanwhile have later numbers and stay.  The
-    covered folders are no longer read; a storage clean-up may delete them."""
-    until = _committed(spark, path).agg(F.max("seq").alias("until")).first()["until"]
-    state = read_state(spark, path, keys, time, tie_break)
-    run = f"base-{until}"
-    state.withColumn("_seq", F.lit(until)).write.mode("overwrite").parquet(f"{path}/changes/run={run}/batch=0")
-    _commit(spark, path, run, 0, until, covers=until)
+def _newest(rows: DataFrame, keys: list[str], time: str, tie_break: list[str] | None) -> DataFrame:
+    """On equal times the later batch wins, and within a batch the tie-break."""
+    return latest_per_key(rows, keys, [time, "_seq", *(tie_break or [])]).drop("run", "batch")
 
 
-def late_rows(query: StreamingQuery) -> DataFrame:
-    """Rows that came in and rows that were dropped as too late, for each batch of a query that
-    is still known to the session."""
-    rows = [
-        (p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]))
-        for p in query.recentProgress
-    ]
-    found = SparkSession.active().createDataFrame(rows, "batch bigint, input_rows bigint, late_rows bigint")
-    # a trigger without data may report a batch number again
-    return found.groupBy("batch").agg(F.max("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
+def read_state(
+    spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None
+) -> DataFrame:
+    """Newest row per key over all committed batches, without the deleted keys."""
+    rows = _newest(_changes(spark, path, _committed(spark, path)), keys, time, tie_break)
+    return rows.filter("NOT _deleted").drop("_seq", "_deleted")
+
+
+def delete_keys(gone: DataFrame, path: str, keys: list[str], time: str, at) -> None:
+    """Delete the keys named in ``gone`` as of a time: changes up to then are void, whenever they come."""
+    spark = gone.sparkSession
+    stored = spark.read.parquet(f"{path}/changes").schema
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in stored if f.name not in (*keys, time, "run", "batch", "_seq", "_deleted")]
+    stamp = F.lit(at).cast(stored[time].dataType).alias(time)
+    rows = gone.select(*keys).distinct().select(*keys, stamp, *blank, F.lit(True).alias("_deleted"))
+    _write_changes(rows, path, f"delete-{uuid.uuid4().hex}", 0)
+
+
+def delete_where(spark: SparkSession, path: str, keys: list[str], time: str, condition, at, tie_break: list[str] | None = None) -> None:
+    """Delete the keys whose present row meets the condition (a suffix, an age), as of a time."""
+    delete_keys(read_state(spark, path, keys, time, tie_break).filter(condition), path, keys, time, at)
+
+
+def compact(
+    spark: SparkSession, path: str, keys: list[str], time: str, tie_break: list[str] | None = None, retire_before=None
+) -> None:
+    """Write the newest rows as one folder that stands for the batches that were read.
+
+    Runs beside streams: what it covers is the list of the batches it has read, so one that is committed
+    meanwhile, by whatever run, still counts.  Rows keep their place in the order.  Tombstones are kept too, as an
+    older change may still come; those before ``retire_before`` are dropped, which states that no change older
+    than that will come any more.  The covered folders are no longer read; a storage clean-up may delete them."""
+    base = f"base-{uuid.uuid4().hex}"
+    listed = _committed(spark, path).select("run", "batch")
+    listed.withColumn("base", F.lit(base)).coalesce(1).write.parquet(f"{path}/covers/of={base}")
+    listed = spark.read.schema(COVERS).parquet(f"{path}/covers/of={base}")
+    state = _newest(_changes(spark, path, listed), keys, time, tie_break)
+    if retire_before is not None:
+        old = F.col("_deleted") & (F.col(time) < F.lit(retire_before).cast(state.schema[time].dataType))
+        state = state.filter(~old)
+    state.write.mode("overwrite").parquet(f"{path}/changes/run={base}/batch=0")
+    _commit(spark, path, base, 0, _clock.time_ns())
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -147,7 +180,7 @@ def latest_quotes_state(quotes: DataFrame, order: list[str]) -> DataFrame:
 
 def within_lateness(quotes: DataFrame, time: str = "last_updated", lateness: str = "1 hour") -> DataFrame:
     """Declare how late an event may arrive; later ones are dropped by stateful operators and
-    counted in the query's progress (``numRowsDroppedByWatermark``).  Watermarks need
+    counted in the query's progress, which ``lateness.ProgressTable`` keeps.  Watermarks need
     instants, so wall-clock times are converted."""
     if dict(quotes.dtypes)[time] == "timestamp_ntz":
         quotes = quotes.withColumn(time, utc_instant(F.col(time)))
@@ -274,11 +307,12 @@ def to_changes(
     keys: list[str],
     time: str,
     every: str | None = None,
+    tie_break: list[str] | None = None,
 ) -> StreamingQuery:
     """Updated rows of a stateful stream into a change table, read as one row per key."""
     writer = (
         stream.writeStream.outputMode("update")
-        .foreachBatch(change_sink(path, keys, time))
+        .foreachBatch(change_sink(path, keys, time, tie_break))
         .option("checkpointLocation", checkpoint)
     )
     return with_cadence(writer, every).start()
