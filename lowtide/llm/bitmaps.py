@@ -52,10 +52,13 @@ def kept(rows: DataFrame, hash_: Column, bits: np.ndarray, inside: bool = True)
     """The rows whose hash may be in the bitmap, or with ``inside=False`` surely is not."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     width = int(np.log2(len(bits) * 8))
+    name = "_slot"
+    while name in rows.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = held(shared.value, np.asarray(batch.column("_slot"), dtype=np.int64))
+            mask = held(shared.value, np.asarray(batch.column(name), dtype=np.int64))
             yield batch.filter(pa.array(mask if inside else ~mask)).select(batch.schema.names[:-1])
 
-    return rows.withColumn("_slot", slot(hash_, width)).mapInArrow(run, rows.schema)
+    return rows.withColumn(name, slot(hash_, width)).mapInArrow(run, rows.schema)

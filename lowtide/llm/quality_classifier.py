@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lowtide.llm.quality_rules import measured
-from lowtide.llm.storage import written
+from lowtide.llm.storage import bounded_batches, written
 from lowtide.llm.text import Words, slices, split_words, strings, sums
 
 #: most labelled documents that the models are fitted on
@@ -163,6 +163,7 @@ def _lexicon(sample: DataFrame, label: str) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Models:
     """The models, fitted on at most ``rows`` labelled documents."""
+    bounded_batches(docs.sparkSession)
     marks = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     )
     marks = written(marks, "labels")  # at most ``rows`` narrow rows, so a broadcast is bounded
     body = docs.select(docs[key].alias("_key"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    # ids may have many rows in ``docs``: twice as many rows as labels at most, chosen by hash, are fitted on
     sample = body.join(F.broadcast(marks.withColumnRenamed("doc_id", "_key")), "_key")
     sample = written(sample.withColumn("_bad", ~F.col("_good")), "sample")
     lexicons = (_lexicon(sample, "_bad"), _lexicon(sample, "_toxic"))
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    found = sample.mapInArrow(run, f"key {kind}, x binary, good boolean, toxic boolean").orderBy("key", "x").limit(2 * rows).collect()
+    found = sample.mapInArrow(run, f"key {kind}, x binary, good boolean, toxic boolean").orderBy(F.xxhash64("key"), "key", "x").limit(2 * rows).collect()
     width = len(FIGURES) + 4
     x = np.array([np.frombuffer(r["x"]) for r in found]).reshape(-1, width)
     centre, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(width), np.ones(width))
@@ -249,12 +251,14 @@ def _posterior(scored: DataFrame) -> DataFrame:
         return scored.withColumns({"_prior": F.lit(0).cast("long"), "_posterior": F.lit(0).cast("long")})
     n = total["n"]
     mean = total["s"] / n / UNIT
-    within = max(float(total["q"]) / n / UNIT**2 - mean**2, 1e-9)
     off = lambda s, c, m: F.col(c) * F.pow(F.col(s) / F.col(c) / UNIT - m, F.lit(2))
     between = hosts.agg(F.sum(off("_hs", "_hn", F.lit(mean))).alias("v"), F.count(F.lit(1)).alias("k")).first()
     inside = (
         paths.join(hosts, "_host").agg(F.sum(off("_s", "_n", F.col("_hs") / F.col("_hn") / UNIT)).alias("v")).first()
     )
+    # what varies inside the paths: all but what lies between hosts and between their paths
+    apart = ((between["v"] or 0.0) + (inside["v"] or 0.0)) / n
+    within = max(float(total["q"]) / n / UNIT**2 - mean**2 - apart, 1e-9)
     of_host = _strength(between["v"], within, between["k"], n)
     of_path = _strength(inside["v"], within, total["k"] - between["k"] + 1, n)
     sites = paths.join(hosts, "_host").select("_host", "_path", "_s", "_n", "_hs", "_hn")
@@ -291,5 +295,9 @@ def judge(
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose posterior reaches one half, all columns unchanged."""
-    scored = _scored(docs, fit(docs, labels, key, text), text, host, path)
-    return _posterior(scored).where(F.col("_posterior") >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # no name of the input meets a helper's
+    sited = docs.select(*own, host.alias("host"), path.alias("path"))
+    scored = _scored(sited, fit(docs, labels, key, text), f"c{names.index(text)}", F.col("host"), F.col("path"))
+    found = _posterior(scored).where(F.col("_posterior") >= KEEP_FROM)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lowtide.llm.bitmaps import bitmap, held, kept, slot
-from lowtide.llm.storage import written
+from lowtide.llm.storage import bounded_batches, plain_names, written
 from lowtide.llm.text import Words, hashes, mixed, owners, rolling, slices, split_words, strings, window_starts
 
 SPAN = 20
@@ -405,6 +405,7 @@ def _marked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
 
     Only documents that may have spans are joined with them; they are there a second time, without
     a slot."""
+    bounded_batches(docs.sparkSession)
     unique, without, copies = _first_texts(_keyed(docs, key, text))
     every = copies.withColumn("spans", F.lit(b""))
     spans = written(repeated_spans(unique, without).union(every), "spans")
@@ -467,6 +468,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 
     A removed word takes the white space after it along, so kept lines stay lines.  ``chars``, if
     there is such a column, gets the new length.  A document of which nothing is left goes."""
+    own = docs.columns
+    docs, (key, text) = plain_names(docs, key, text)
+    chars = f"c{own.index(chars)}" if chars in own else ""
     names = docs.columns
     marked, bits = _marked(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -491,4 +495,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
                 columns[at] = pc.if_else(pa.array(cut), pc.utf8_length(out).cast(columns[at].type), columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(left))
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema).toDF(*own)
