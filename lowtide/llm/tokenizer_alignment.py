@@ -13,7 +13,8 @@ these places.  Both properties are proved from the files (``cuts``); for other t
 A worker aligns the distinct segments that it has not met yet, many at a time as one text, and keeps what it found of
 each in a bounded cache.
 
-How many documents hold a pair linked is counted in a first pass, combined within each task.  In a second pass the most
+The distinct linked pairs of each document are written once.  How many documents hold a pair is counted from them,
+combined within each task.  The most
 frequent pairs (at most HOT_PAIRS, as many as fit) are broadcast and looked up in place; only the other,
 rare pairs of each document are joined with their counts by a shuffle.  A rare pair occurs in few documents, so no
 key of that join is hot, and what is shuffled is the tail of the counts.  The highest count of an A id
@@ -317,39 +318,57 @@ class Slice:
         return ["" if bad else hashlib.sha256(text.as_buffer()).hexdigest() for bad, text in zip(self.bad, self.joined)]
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """``pair, n, best``: documents that hold a pair linked, and whether no pair of its A id has more.
-
-    A pair is the A id times 2**32 plus the B id."""
+def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document's figures, and its distinct linked pairs as ``a, b, times`` (how often each is linked).
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        pair, n = (np.concatenate(x) for x in zip(*parts))
-        pair, at = np.unique(pair, return_inverse=True)
-        return pair, np.bincount(at, n, len(pair)).astype(np.int64)
+    ``_row`` tells rows apart, whose keys may repeat or be null."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["_row", "_key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, parts, held = load(path_a, path_b), [], 0
+        cache = load(path_a, path_b)
         for batch in slices(batches, "_text"):
             one = Slice(batch.column("_text"), cache)
-            n = np.bincount(one.place, minlength=len(cache.pairs))
-            at = np.flatnonzero(n)
-            parts.append((cache.pairs[at], n[at]))
-            held += len(at)
-            if held > GATHERED:
-                parts = [merged(parts)]
-                held = len(parts[0][0])
-                if held > GATHERED // 2:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], names=["pair", "n"])
-                    parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(parts))], names=["pair", "n"])
-
-    found = docs.select(docs[text].alias("_text")).mapInArrow(run, "pair long, n long")
-    found = written(found.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    best = found.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
-    # a row an id of A
-    best = F.broadcast(best)
-    return found.join(best, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+            offsets = pa.array(np.searchsorted(one.doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            pair = cache.pairs[one.place]
+            sides = (pair >> 32, pair & 0xFFFFFFFF, one.times)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in sides]
+            columns = [*map(pa.array, one.figures), pa.array(one.sha256(), pa.string()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), *columns], names=names)
+
+    figures = ", ".join(f"{c} long" for c in names[2:6])
+    schema = f"_row long, _key {kind}, {figures}, groups_sha256 string, a array<int>, b array<int>, times array<int>"
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[key].alias("_key"), docs[text].alias("_text"))
+    return rows.mapInArrow(run, schema)
+
+
+def _pairs(batch: pa.RecordBatch) -> np.ndarray:
+    a, b = (np.asarray(batch.column(c).flatten(), dtype=np.int64) for c in "ab")
+    return a << 32 | b
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """``pair, n, best``: documents that hold a pair linked, and whether no pair of its A id has more.
+
+    A pair is the A id times 2**32 plus the B id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            own, times = np.unique(_pairs(batch), return_counts=True)
+            pair, at = np.unique(np.concatenate((pair, own)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((n, times)), len(pair)).astype(np.int64)
+            if len(pair) > GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+                pair, n = pair[:0], n[:0]
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+    counts = found.select("a", "b").mapInArrow(run, "pair long, n long")
+    counts = written(counts.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
+    best = F.broadcast(best)  # a row an id of A
+    return counts.join(best, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def _level(n):
@@ -373,37 +392,36 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     id), ``count_sum`` (counts of all links) and ``groups_sha256``."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    counts = written(pair_counts(docs, path_a, path_b, text), "counts")
+    found = written(aligned(docs, path_a, path_b, key, text), "aligned")
+    counts = written(pair_counts(found), "counts")
     least = hot_level(counts, hot_pairs)
     hot = counts.where(_level(F.col("n")) >= least).toPandas().sort_values("pair")
     shared = spark.sparkContext.broadcast((hot["pair"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), hot["best"].to_numpy(bool)))
-    names = ["_row", "_key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare", "times"]
+    plain = [f for f in found.schema.fields if f.name not in ("a", "b", "times")]
+    names = [*[f.name for f in plain], "n_best", "count_sum", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (pairs, n, best) = load(path_a, path_b), shared.value
-        for batch in slices(batches, "_text"):
-            one = Slice(batch.column("_text"), cache)
+        pairs, n, best = shared.value
+        for batch in batches:
+            lists, pair = batch.column("times"), _pairs(batch)
+            times = np.asarray(lists.flatten(), dtype=np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))))
+            known = np.zeros(len(pair), bool)
             if len(pairs):
-                at = np.minimum(np.searchsorted(pairs, cache.pairs), len(pairs) - 1)
-                known = pairs[at] == cache.pairs
-                of, top = np.where(known, n[at], 0), known & best[at]
+                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                known = pairs[at] == pair
+                n_best = sums(np.where(known & best[at], times, 0), offsets)
+                total = sums(np.where(known, n[at], 0) * times, offsets)
             else:
-                known = top = np.zeros(len(cache.pairs), bool)
-                of = np.zeros(len(cache.pairs), np.int64)
-            here = known[one.place]
-            offsets = np.searchsorted(one.doc, np.arange(batch.num_rows + 1))
-            n_best = sums(np.where(top[one.place], one.times, 0), offsets)
-            total = sums(of[one.place] * one.times, offsets)
-            rare = np.concatenate(([0], np.cumsum(~here)))[offsets].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(rare), pa.array(v[~here])) for v in (cache.pairs[one.place], one.times)]
-            columns = [*map(pa.array, (*one.figures, n_best, total)), pa.array(one.sha256(), pa.string()), *lists]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), *columns], names=names)
-
-    figures = ", ".join(f"{c} long" for c in names[2:8])
-    schema = f"_row long, _key {kind}, {figures}, groups_sha256 string, rare array<long>, times array<long>"
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[key].alias("_key"), docs[text].alias("_text"))
-    found = written(rows.mapInArrow(run, schema), "aligned")
+                n_best = total = np.zeros(batch.num_rows, np.int64)
+            rare = pa.array(np.concatenate(([0], np.cumsum(~known)))[offsets].astype(np.int32))
+            left = [pa.ListArray.from_arrays(rare, pa.array(v[~known])) for v in (pair, times)]
+            columns = [batch.column(f.name) for f in plain]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_best), pa.array(total), *left], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
+    found = found.mapInArrow(run, f"{kinds}, n_best long, count_sum long, rare array<long>, times array<long>")
+    found = written(found, "known")
     rare = found.where(F.size("rare") > 0).select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     rare = rare.select("_row", F.col("x.rare").alias("pair"), F.col("x.times").alias("times"))
     rare = rare.join(counts.where(_level(F.col("n")) < least), "pair")
