@@ -11,6 +11,7 @@ from lowtide.operators.merge import guarded_upsert
 from lowtide.session import run_folder
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import discovery, json_docs, xml_docs
+from lowtide.sources.tables import parameterised_query
 
 QUOTE_COLUMNS = "ticker, last_price, close_price, open_price, high_price, low_price, volume, last_updated"
 
@@ -334,17 +335,16 @@ def nodes(spark, sf, per_document=True):
     return discovery.xml_nodes(tables.company_xml(spark, sf), per_document=per_document)
 
 
-@query(
-    "xml_node_counts",
-    "D-15",
-    sql(
+NODE_COUNTS_SQL = sql(
         "listings",
         """SELECT ticker,
                   78 + CASE WHEN balance > 5000 THEN 1 ELSE 0 END + CASE WHEN balance > 3000 THEN 4 ELSE 0 END AS total_nodes,
                   54 + CASE WHEN balance > 5000 THEN 1 ELSE 0 END + CASE WHEN balance > 3000 THEN 3 ELSE 0 END AS leaf_nodes
            FROM listings WHERE balance >= -900""",
-    ),
-)
+    )
+
+
+@query("xml_node_counts", "D-15", NODE_COUNTS_SQL)
 def xml_node_counts(spark, sf):
     return discovery.node_counts(nodes(spark, sf))
 
@@ -428,10 +428,7 @@ _OPTIONAL_PATHS = (
 )
 
 
-@query(
-    "xml_paths",
-    "D-14 U-6",
-    sql(
+PATHS_SQL = sql(
         "listings",
         """SELECT path, CAST(CASE WHEN sum(per_document) > 0 THEN max(total) ELSE max(extra) END AS BIGINT) AS documents,
                   CAST(sum(per_document * total + extra) AS BIGINT) AS nodes
@@ -449,8 +446,10 @@ _OPTIONAL_PATHS = (
                           count(*) FILTER (balance >= 1000) AS priced,
                           count(*) FILTER (balance NOT BETWEEN 4000 AND 4200) AS named
                    FROM listings WHERE balance >= -900)""",
-    ),
-)
+    )
+
+
+@query("xml_paths", "D-14 U-6", PATHS_SQL)
 def xml_paths(spark, sf):
     return discovery.paths(tables.company_xml(spark, sf))
 
@@ -526,3 +525,35 @@ def document_sizes(spark, sf):
 def newest_document_per_source(spark, sf):
     docs = tables.load(spark, sf, "documents").select("source", "doc_id", "n_chars")
     return latest_per_key(docs, ["source"], ["doc_id"])
+
+
+def _companies(spark, sf):
+    discovery.register_xml_nodes(spark)
+    tables.company_xml(spark, sf).createOrReplaceTempView("lowtide_companies")
+
+
+@query("xml_paths_sql", "D-14 S-1", PATHS_SQL)
+def xml_paths_sql(spark, sf):
+    """Path discovery from SQL: the table function over a table argument."""
+    _companies(spark, sf)
+    return parameterised_query(
+        spark,
+        """SELECT path, count(*) AS documents, sum(n) AS nodes
+           FROM (SELECT path, ticker, sum(bearing) AS n
+                 FROM xml_nodes(TABLE(SELECT ticker, xml_snapshot FROM lowtide_companies)) GROUP BY path, ticker)
+           WHERE n >= :least GROUP BY path""",
+        {"least": 1},
+    )
+
+
+@query("xml_node_counts_sql", "D-15 S-1", NODE_COUNTS_SQL)
+def xml_node_counts_sql(spark, sf):
+    """Node counts per document from SQL, the table argument joined laterally."""
+    _companies(spark, sf)
+    return parameterised_query(
+        spark,
+        """SELECT found.ticker, sum(found.nodes) AS total_nodes, sum(found.leaves) AS leaf_nodes
+           FROM VALUES (1) AS once(x),
+                LATERAL (SELECT * FROM xml_nodes(TABLE(SELECT ticker, xml_snapshot FROM lowtide_companies))) AS found
+           WHERE found.attribute IS NULL GROUP BY found.ticker""",
+    )

@@ -8,7 +8,9 @@ from lowtide.checks.base import query, sql
 from lowtide.criteria import DEFAULT
 from lowtide.functions.values import rounded
 from lowtide.operators import bars as bar_ops
+from lowtide.operators import incremental
 from lowtide.operators import indicators as ind
+from lowtide.session import run_folder, written
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources.benchmark_tables import LAST_DAY
 
@@ -178,23 +180,20 @@ def daily_return_lag(spark, sf):
     )
 
 
-@query(
-    "feature_panel",
-    "W-16 C-19",
-    sql(
-        "panel",
-        """SELECT ticker, price_date, n_bars, price, volume, low_52w, high_52w, days_since_low, """
-        + SQL_R(
-            "rvol", "avg_volume_20d", "rsi", "sma50", "sma200", "price_vs_sma50_pct",
-            "sma50_vs_sma200_pct", "atr_pct",
-        )
-        + " FROM panel",
-    ),
+PANEL_SQL = sql(
+    "panel",
+    """SELECT ticker, price_date, n_bars, price, volume, low_52w, high_52w, days_since_low, """
+    + SQL_R(
+        "rvol", "avg_volume_20d", "rsi", "sma50", "sma200", "price_vs_sma50_pct",
+        "sma50_vs_sma200_pct", "atr_pct",
+    )
+    + " FROM panel",
 )
-def feature_panel(spark, sf):
-    return panel(spark, sf).select(
-        "ticker", "price_date", "n_bars", "price", "volume", "low_52w", "high_52w",
-        "days_since_low",
+
+
+def panel_columns(rows):
+    return rows.select(
+        "ticker", "price_date", "n_bars", "price", "volume", "low_52w", "high_52w", "days_since_low",
         *R(
             "rvol", "avg_volume_20d", "rsi", "sma50", "sma200", "price_vs_sma50_pct",
             "sma50_vs_sma200_pct", "atr_pct",
@@ -202,6 +201,30 @@ def feature_panel(spark, sf):
     )
 
 
+
+@query("feature_panel", "W-16 C-19", PANEL_SQL)
+def feature_panel(spark, sf):
+    return panel_columns(panel(spark, sf))
+
+
+NEW_DAYS = 4
+
+
+@query("feature_panel_incremental", "W-16 C-19", PANEL_SQL)
+def feature_panel_incremental(spark, sf):
+    """The same panel from tables: a history at once, then the last days one by one."""
+    bars, path = written(tables.bars(spark, sf), "bars"), run_folder(spark, "panel")
+    days = [r[0] for r in bars.select("price_date").distinct().orderBy(F.desc("price_date")).limit(NEW_DAYS + 1).collect()][::-1]
+    if not days:
+        return panel_columns(ind.feature_panel(bars))
+    history = bars.filter(F.col("price_date") <= F.lit(days[0]))
+    incremental.start(history, ind.feature_panel(history), path, days[0])
+    for before, day in zip(days, days[1:]):
+        incremental.append_bars(bars.filter(F.col("price_date") == F.lit(day)), path)
+        incremental.run_day(spark, path, before, day)
+    return panel_columns(incremental.read_features(spark, path))
+
+
 @query(
     "calendar_extremes",
     "J-15 W-4",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lowtide.checks.base import query, sql
-from lowtide.operators import quality
+from lowtide.operators import outliers, quality
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources.benchmark_tables import UNIVERSE_TIME
 from lowtide.sources.json_docs import parse_quotes
@@ -223,3 +223,29 @@ def quality_metrics(spark, sf):
 )
 def null_counts(spark, sf):
     return quality.null_counts(tables.tickers(spark, sf))
+
+
+NUMBERS = ["last_price", "close_price", "volume"]
+
+
+@query(
+    "quality_outliers",
+    "Q-H",
+    sql(
+        "quotes",
+        " UNION ALL ".join(
+            f"""SELECT t.ticker AS group_value, '{c}' AS column_name, count(*) AS "rows", CAST(q1 AS DOUBLE) AS q1, CAST(q3 AS DOUBLE) AS q3,
+                       q1 - (q3 - q1) * 15e-1 AS low_limit, q3 + (q3 - q1) * 15e-1 AS high_limit,
+                       count(*) FILTER (v < q1 - (q3 - q1) * 15e-1 OR v > q3 + (q3 - q1) * 15e-1) AS outliers
+                FROM (SELECT *, CAST({c} AS DOUBLE) AS v FROM quotes WHERE {c} IS NOT NULL) t
+                JOIN (SELECT ticker, list_sort(list(CAST({c} AS DOUBLE)))[CAST(ceil(count(*) * 25e-2) AS BIGINT)] AS q1,
+                             list_sort(list(CAST({c} AS DOUBLE)))[CAST(ceil(count(*) * 75e-2) AS BIGINT)] AS q3
+                      FROM quotes WHERE {c} IS NOT NULL GROUP BY ticker) q ON q.ticker = t.ticker
+                GROUP BY t.ticker, q1, q3"""
+            for c in NUMBERS
+        ),
+    ),
+)
+def quality_outliers(spark, sf):
+    """Outliers of each ticker's quotes by limits learned from them."""
+    return outliers.outliers(_parsed(spark, sf), "ticker", NUMBERS)

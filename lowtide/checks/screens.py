@@ -11,8 +11,9 @@ from lowtide.checks.base import query, sql
 from lowtide.checks.indicators import panel
 from lowtide.criteria import DEFAULT, ENHANCED, ENHANCED_PRESETS, apply_preset
 from lowtide.operators import indicators as ind
-from lowtide.operators import lookups, screen
+from lowtide.operators import lookups, ranks, screen
 from lowtide.operators.bars import current_quotes, market_summary
+from lowtide.session import written
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs, xml_docs
 from lowtide.sources.benchmark_tables import LAST_DAY
@@ -321,6 +322,35 @@ def priority_score(spark, sf):
     return screen.priority_score(catches, WIDE).select("symbol", "price_date", "score", "alert_level")
 
 
+@query(
+    "priority_percentile",
+    "C-24",
+    sql(
+        "panel",
+        """SELECT symbol, price_date, round(100 * (3e-1 * coalesce(r_rvol, 0) + 25e-2 * coalesce(r_near, 0) + 2e-1 * coalesce(r_volume, 0)
+                  + 15e-2 * coalesce(r_rsi, 0) + 1e-1 * coalesce(r_momentum, 0)), 6) AS score,
+                  CAST(rank() OVER (ORDER BY round(100 * (3e-1 * coalesce(r_rvol, 0) + 25e-2 * coalesce(r_near, 0) + 2e-1 * coalesce(r_volume, 0)
+                  + 15e-2 * coalesce(r_rsi, 0) + 1e-1 * coalesce(r_momentum, 0)), 6) DESC) AS BIGINT) AS rank
+           FROM (SELECT ticker AS symbol, price_date,
+                   percent_rank() OVER (ORDER BY rvol) AS r_rvol,
+                   percent_rank() OVER (ORDER BY -(CASE WHEN low_52w > 0 THEN price / low_52w ELSE 0 END)) AS r_near,
+                   percent_rank() OVER (ORDER BY volume) AS r_volume,
+                   CASE WHEN rsi IS NOT NULL THEN percent_rank() OVER (PARTITION BY rsi IS NULL ORDER BY -rsi) END AS r_rsi,
+                   percent_rank() OVER (ORDER BY price_vs_sma50_pct) AS r_momentum
+                 FROM panel)""",
+    ),
+)
+def priority_percentile(spark, sf):
+    """Percent ranks of five components over the whole panel, weighted, and the rank of the score."""
+    near = F.when(F.col("low_52w") > 0, F.col("price") / F.col("low_52w")).otherwise(0.0)
+    rows = features(spark, sf, gated=False).withColumn("pct_from_low", near)
+    scored = ranks.percentile_score(rows).select("symbol", "price_date", F.round("score", 6).alias("score"))
+    scored = written(scored, "scores")
+    counts = scored.groupBy((-F.col("score")).alias("_down")).agg(F.count("*").alias("n"))
+    places = ranks.running_counts(counts, [], "_down")
+    return scored.join(places, -F.col("score") == F.col("_down")).select("symbol", "price_date", "score", (F.col("below") + 1).alias("rank"))
+
+
 @query(
     "top_priorities",
     "C-24 O-1",
@@ -673,13 +703,11 @@ def daily_scan_query(spark, sf):
     """The whole daily run: universe, stored quotes, features, screen, fallback."""
     from lowtide.plans import daily_scan
 
-    bars = tables.bars(spark, sf)
     source = daily_scan.Tables(
         tickers=tables.tickers(spark, sf),
         directory=tables.directory(spark, sf),
-        bars=bars,
+        bars=tables.bars(spark, sf),
         fundamentals=tables.fundamentals(spark, sf),
-        current=current_quotes(bars),
     )
-    found = daily_scan.catches(spark, source, dims.MARKET_FLAGS, STORED, tables.UNIVERSE_TIME)
+    found = daily_scan.run(spark, source, dims.MARKET_FLAGS, STORED, tables.UNIVERSE_TIME)
     return found.select("symbol", "price", "volume", F.round("rvol", 6).alias("rvol"), "source")

@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: what tells kinds of nodes apart, and what is counted of each
@@ -72,6 +72,29 @@ def xml_nodes(raw: DataFrame, doc: str = "xml_snapshot", per_document: bool = Tr
     return raw.filter(F.col(doc).isNotNull()).select("ticker", doc).mapInArrow(count, NODE_SCHEMA)
 
 
+class XmlNodes:
+    """Table function: the rows of ``xml_nodes`` for a table of (ticker, document), usable from SQL.
+
+    Every Arrow batch is counted on its own, so it runs wherever the rows of its table argument lie."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        total: dict[tuple, list[int]] = {}
+        for ticker, document in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            for kind, counts in _kinds(document).items() if document is not None else ():
+                have = total.setdefault((ticker, *kind), [0] * len(COUNTS))
+                for i, n in enumerate((1, *counts)):
+                    have[i] += n
+        if total:
+            texts = [pa.array(c, pa.string()) for c in zip(*total)]
+            numbers = [pa.array(c, pa.int64()) for c in zip(*total.values())]
+            yield pa.Table.from_arrays([*texts, *numbers], names=["ticker", *KIND, *COUNTS])
+
+
+def register_xml_nodes(spark: SparkSession, name: str = "xml_nodes") -> None:
+    """Make ``SELECT ... FROM xml_nodes(TABLE(SELECT ticker, document FROM ...))`` known to the session."""
+    spark.udtf.register(name, F.arrow_udtf(XmlNodes, returnType=NODE_SCHEMA))
+
+
 def path_counts(nodes: DataFrame) -> DataFrame:
     """Distinct data-bearing paths with the number of documents and nodes."""
     # ratios of several codes share a path, so a document may have several rows of it
