@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lowtide import dims
 from lowtide.checks.base import query, sql
-from lowtide.operators import exports, merge
+from lowtide.operators import buckets, exports, merge
 from lowtide.operators.universe import validity
 from lowtide.sources import benchmark_tables as tables
 from lowtide.sources import json_docs
@@ -419,3 +419,16 @@ def split_raw_documents(spark, sf):
 )
 def cleanup_summary(spark, sf):
     return merge.cleanup_summary(_validation(spark, sf), "SEHK", UNIVERSE_TIME, "monthly")
+
+
+@query("merge_buckets", "K-3 K-4", sql("latest", "SELECT ticker, last_price, close_price, volume, last_updated FROM latest"))
+def merge_buckets(spark, sf):
+    """Quotes merged into a bucketed table in four changes, the newest first: older ones change nothing."""
+    path = run_folder(spark, "buckets")
+    rows = json_docs.parse_quotes(tables.raw_quotes(spark, sf))
+    order = ["last_updated", "event_id"]
+    part = lambda i: rows.filter(F.col("event_id") % 4 == i)
+    buckets.create(part(3), path, ["ticker"], order, buckets=16)
+    for i in (2, 1, 0):
+        buckets.upsert(part(i), path, order, guard="last_updated")
+    return buckets.read(spark, path).select("ticker", "last_price", "close_price", "volume", "last_updated")
