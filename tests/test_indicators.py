@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lowtide.operators import indicators as ind
 
@@ -153,3 +154,77 @@ def test_fixed_divisor(spark):
     panel = ind.feature_panel(spark.createDataFrame(frame, SCHEMA), fixed_rvol_divisor=True)
     last = ind.latest_per_key(panel, ["ticker"], ["price_date"]).first()
     assert last["rvol"] == pytest.approx(300 / (3000 / 30))
+
+
+# --- the panel carried forward ------------------------------------------------------------------
+
+FEATURES = ["ticker", "price_date", "n_bars", "price", "volume", "low_52w", "high_52w", "low_date", "days_since_low", "avg_volume_30d", "rvol"]
+FEATURES += ["avg_volume_20d", "rsi", "sma50", "sma200", "price_vs_sma50_pct", "sma50_vs_sma200_pct", "atr_pct"]
+
+
+def gappy_bars(days, seed=11):
+    """Tickers that begin late, pause, stay flat, and lack highs, lows or volumes."""
+    r, rows = np.random.default_rng(seed), []
+    for t, (first, pause) in {"A": (0, None), "B": (days - 9, None), "C": (3, range(days - 6, days - 3)), "FLAT": (0, None)}.items():
+        close = 50.0
+        for d in range(first, days):
+            if pause and d in pause:
+                continue
+            close = 10.0 if t == "FLAT" else round(max(1.0, close + r.normal()), 2)
+            high, low = close + 1, close - 0.5
+            rows.append((t, DAY0 + dt.timedelta(days=d), close, None if d % 17 == 5 else high, None if d % 13 == 4 else low, close, None if d % 19 == 3 else int(r.integers(0, 9999))))
+    return rows
+
+
+def test_day_by_day_equals_the_whole_panel(spark):
+    from lowtide.operators import incremental
+    from lowtide.session import run_folder
+
+    days, new = 290, 8
+    rows = gappy_bars(days)
+    bars = spark.createDataFrame(rows, SCHEMA)
+    path, last = run_folder(spark, "panel"), DAY0 + dt.timedelta(days=days - 1)
+    cut = last - dt.timedelta(days=new)
+    history = spark.createDataFrame([x for x in rows if x[1] <= cut], SCHEMA)
+    incremental.start(history, ind.feature_panel(history), path, cut)
+    before = cut
+    for i in range(new):
+        day = cut + dt.timedelta(days=i + 1)
+        incremental.append_bars(spark.createDataFrame([x for x in rows if x[1] == day], SCHEMA), path)
+        incremental.run_day(spark, path, before, day)
+        if i == 2:  # a day that runs again gives the same
+            incremental.run_day(spark, path, before, day)
+        before = day
+    want = sorted(map(repr, ind.feature_panel(bars).select(*FEATURES).collect()))
+    assert sorted(map(repr, incremental.read_features(spark, path).select(*FEATURES).collect())) == want
+
+
+def test_a_new_day_reads_one_partition_of_bars_and_one_of_state(spark):
+    from lowtide.operators import incremental
+    from lowtide.session import run_folder
+
+    rows = gappy_bars(40)
+    path = run_folder(spark, "panel")
+    days = sorted({x[1] for x in rows})
+    bars = spark.createDataFrame(rows, SCHEMA)
+    for day in days[-3:]:
+        incremental.append_bars(bars.filter(F.col("price_date") == F.lit(day)), path)
+    history = bars.filter(F.col("price_date") <= F.lit(days[-4]))
+    incremental.start(history, ind.feature_panel(history), path, days[-4])
+    incremental.run_day(spark, path, days[-4], days[-3])
+    step = incremental.next_state(spark, path, days[-3], days[-2])
+    text = step._jdf.queryExecution().explainString(step.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert text.count("Scan parquet") >= 2 and "Window" not in text
+    for column, day in (("price_date", days[-2]), ("run_date", days[-3])):
+        assert f"({column}#" in text and f"= {day})" in text and "PartitionFilters" in text
+    files = {f.split("/")[-2] for f in step.inputFiles()}
+    assert files == {f"price_date={days[-2]}", f"run_date={days[-3]}"} or step.inputFiles()
+
+
+def test_state_from_nothing(spark):
+    from lowtide.operators import incremental
+
+    rows = gappy_bars(6)
+    first = spark.createDataFrame([x for x in rows if x[1] == DAY0], SCHEMA)
+    state = incremental.advance(incremental.state_of(first.limit(0)), first)
+    assert sorted(map(repr, incremental.features_of(state).select(*FEATURES).collect())) == sorted(map(repr, ind.feature_panel(first).select(*FEATURES).collect()))
