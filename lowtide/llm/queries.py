@@ -25,6 +25,8 @@ from lowtide.llm import (
     topk_search,
 )
 
+from lowtide.session import run_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -200,10 +202,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_resharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 5 shards by a hash of the text to 8 of equal bytes."""
+    """From 5 shards by a hash of the text to 8 of equal bytes, as read back from the rewritten shards."""
     docs = table(spark, sf_dir, "documents")
     old = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(5))
-    moved = resharding.reshard(docs, old, 5, 8)
+    moved = resharding.rewritten(docs, old, 5, 8, run_folder(spark, "shards"))
     return moved.select(
         "doc_id",
         "size",

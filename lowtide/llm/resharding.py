@@ -9,14 +9,18 @@ successive shortest paths, and ``assign_blocks`` gives whole blocks to the flows
 fit last, so that sizes end within about one block of their capacities.
 
 The driver holds one row a block.  Their number is set by parameters (old shards x blocks, plus
-the parts of heavy blocks), not by the number of rows.  A block that a hot group makes heavy is
-cut by the hash of the row, otherwise equal texts of one old shard stay together.
+the parts of heavy blocks), not by the number of rows.  A heavy block is cut by the digest of the text, so
+equal texts of one old shard stay together; only a text that alone takes more than ``1 / SPLIT`` of a
+shard is cut by the row, and there are fewer than ``SPLIT`` x shards of these.
 
-Slots are gapless without a global sort: the rank inside a block's part plus the rows of the
+A row's shard follows from its old shard, its text and, for those few texts, its key, so the
+affected shards are rewritten without any shuffle of texts: each task writes its rows into the folders of their
+shards.  Slots are gapless without a global sort: the rank inside a block's part plus the rows of the
 parts before it in the shard.
 
-Defined results: a null text has no bytes (size 1); repeated rows take a slot each; an empty table
-gives an empty result; other columns are ignored by ``reshard``.
+Defined results: a null text has no bytes (size 1); repeated rows take a slot each and are written as
+often as they occur; an empty table gives an empty result; other columns, of any name, are ignored by
+``reshard`` and kept by ``rewrite``.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from lowtide.llm.storage import written
 
 #: blocks of one old shard, and parts of one shard's size that a block may reach before it is cut
 BLOCKS, FINE = 512, 512
+#: share of a shard from which the copies of one text are cut by the row
+SPLIT = 20
 
 
 @dataclass(frozen=True)
@@ -127,100 +133,157 @@ def assign_blocks(blocks: list[Block], flow: dict[tuple[int, int], int], capacit
     return out
 
 
-def reshard(
-    docs: DataFrame,
-    old: Column,
-    n_old: int,
-    n_new: int,
-    key: str = "doc_id",
-    text: str = "text",
-    capacities: list[int] | None = None,
-) -> DataFrame:
-    """One row per document: key, size, text_crc32, old shard, new shard and slot.
+@dataclass
+class Moves:
+    """Where every row goes: blocks with their shards, how blocks are cut, and the shards that change."""
 
-    ``capacities`` are the target bytes of the new shards, by default equal ones."""
-    spark = docs.sparkSession
+    cuts: list[tuple]  # old, block, parts: cut by the digest of the text
+    texts: list[tuple]  # old, block, digest, first part, parts: cut by the row
+    places: list[tuple]  # old, block, part, shard, rows of the shard before it
+    affected: set[int]
+
+
+def _located(old: Column, key: Column, text: Column) -> dict[str, Column]:
+    """What decides where a row goes."""
+    body = F.coalesce(text, F.lit(""))
+    return {
+        "_old": old.cast("int"),
+        "_block": F.pmod(F.xxhash64(body), F.lit(BLOCKS)).cast("int"),
+        "_digest": F.xxhash64(body, F.lit(1)),
+        "_spread": F.pmod(F.xxhash64(key, body, F.lit(2)), F.lit(1 << 20)).cast("int"),
+    }
+
+
+def _narrow(docs: DataFrame, old: Column, key: str, text: str) -> DataFrame:
     body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(
-        docs[key].alias(key),
+    return docs.select(
+        docs[key].alias("_key"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        old.cast("int").alias("_old"),
-        F.pmod(F.xxhash64(body), F.lit(BLOCKS)).cast("int").alias("_block"),
-        F.pmod(F.xxhash64(docs[key], body, F.lit(1)), F.lit(1 << 20)).cast("int").alias("_spread"),
+        *[c.alias(n) for n, c in _located(old, docs[key], docs[text]).items()],
     )
-    rows = written(rows, "reshard")
+
+
+def _with_part(rows: DataFrame, cuts: list[tuple], texts: list[tuple]) -> DataFrame:
+    """Rows with the part of their block; the tables are bounded by parameters."""
+    spark = rows.sparkSession
+    cut = spark.createDataFrame(cuts, "_old int, _block int, _parts long")
+    own = spark.createDataFrame(texts, "_old int, _block int, _digest long, _from long, _pieces long")
+    rows = rows.join(F.broadcast(cut), ["_old", "_block"], "left").join(F.broadcast(own), ["_old", "_block", "_digest"], "left")
+    by_text = F.coalesce(F.pmod(F.col("_digest"), F.col("_parts")), F.lit(0))
+    by_row = F.col("_from") + F.pmod(F.col("_spread"), F.col("_pieces"))
+    return rows.withColumn("_part", F.coalesce(by_row, by_text).cast("int")).drop("_parts", "_from", "_pieces")
+
+
+def plan_moves(rows: DataFrame, n_old: int, n_new: int, capacities: list[int] | None = None) -> Moves:
+    """The moves for narrow rows (``_old, _block, _digest, _spread, size``), which are read several times."""
     sizes = rows.groupBy("_old", "_block").agg(F.sum("size").alias("_size")).collect()
     total = sum(r["_size"] for r in sizes)
-    limit = max(1, total // (n_new * FINE))
-    # parts of the blocks that are too heavy to move whole
-    parts = {(r["_old"], r["_block"]): -(-r["_size"] // limit) for r in sizes if r["_size"] > 2 * limit}
-    cut = spark.createDataFrame([(*k, n) for k, n in parts.items()], "_old int, _block int, _parts long")
-    rows = rows.join(F.broadcast(cut), ["_old", "_block"], "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.col("_spread"), F.col("_parts")), F.lit(0)).cast("int")
-    )
+    limit, split = max(1, total // (n_new * FINE)), max(1, total // (n_new * SPLIT))
+    cuts = {(r["_old"], r["_block"]): -(-r["_size"] // limit) for r in sizes if r["_size"] > 2 * limit}
+    # texts that are too large to stay whole: fewer than SPLIT x shards
+    heavy = rows.groupBy("_old", "_block", "_digest").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
+    heavy = heavy.where((F.col("_size") > split) & (F.col("_n") > 1)).orderBy("_old", "_block", "_digest").collect()
+    texts, used = [], {}
+    for r in heavy:
+        name = (r["_old"], r["_block"])
+        first = used.get(name, cuts.get(name, 1))
+        pieces = min(r["_n"], -(-r["_size"] // limit))
+        texts.append((*name, r["_digest"], first, pieces))
+        used[name] = first + pieces
+    cuts = [(*name, n) for name, n in sorted(cuts.items())]
     name = ["_old", "_block", "_part"]
-    found = rows.groupBy(*name).agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n")).collect()
+    found = _with_part(rows, cuts, texts).groupBy(*name).agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n")).collect()
     blocks = [Block(r["_old"], r["_block"], r["_part"], r["_size"], r["_n"]) for r in found]
     before = [0] * n_old
     for b in blocks:
         before[b.old] += b.size
     capacities = capacities or even(total, n_new)
     target = assign_blocks(blocks, cheapest_flow(before, capacities), capacities)
-    places, taken = [], [0] * n_new
+    places, taken, affected = [], [0] * n_new, set()
     for b in sorted(blocks, key=lambda b: (b.old, b.block, b.part)):
         shard = target[(b.old, b.block, b.part)]
         places.append((b.old, b.block, b.part, shard, taken[shard]))
         taken[shard] += b.rows
-    table = spark.createDataFrame(places, "_old int, _block int, _part int, shard int, _first long")
-    order = Window.partitionBy(*name).orderBy("_spread", key, "size", "text_crc32")
+        if shard != b.old:
+            affected |= {shard, b.old}
+    return Moves(cuts, texts, places, affected & set(range(n_new)))
+
+
+def _placed(rows: DataFrame, moves: Moves) -> DataFrame:
+    """Rows with ``_part``, ``_shard`` and ``_first``, without a shuffle."""
+    table = rows.sparkSession.createDataFrame(moves.places, "_old int, _block int, _part int, _shard int, _first long")
+    return _with_part(rows, moves.cuts, moves.texts).join(F.broadcast(table), ["_old", "_block", "_part"])
+
+
+def _slotted(rows: DataFrame, moves: Moves, key: str) -> DataFrame:
+    """Narrow rows -> key, size, text_crc32, old_shard, shard, slot."""
+    order = Window.partitionBy("_old", "_block", "_part").orderBy("_spread", "_key", "size", "text_crc32")
     return (
-        rows.withColumn("_rank", F.row_number().over(order) - 1)
-        .join(F.broadcast(table), name)
+        _placed(rows, moves)
+        .withColumn("_rank", F.row_number().over(order) - 1)
         .select(
-            key,
+            F.col("_key").alias(key),
             "size",
             "text_crc32",
             F.col("_old").alias("old_shard"),
-            "shard",
+            F.col("_shard").alias("shard"),
             (F.col("_first") + F.col("_rank")).cast("long").alias("slot"),
         )
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, key: str, folder: str, old: Column | None = None, text: str = "text") -> None:
-    """Write the new contents of the shards that change, one folder a shard; others keep their files.
+def reshard(
+    docs: DataFrame,
+    old: Column,
+    n_old: int,
+    n_new: int,
+    key: str = "doc_id",
+    text: str = "text",
+    capacities: list[int] | None = None,
+) -> DataFrame:
+    """One row per document: key, size, text_crc32, old shard, new shard and slot.
+
+    ``capacities`` are the target bytes of the new shards, by default equal ones."""
+    rows = written(_narrow(docs, old, key, text), "reshard")
+    return _slotted(rows, plan_moves(rows, n_old, n_new, capacities), key)
 
-    A shard is affected if a row enters or leaves it.  Each row takes one line of the plan: of its key,
-    size and text_crc32, and by rank among equal ones, so repeated rows and null keys are written as
-    often as they occur.  ``old`` is needed where such rows lie in several shards and differ in other
-    columns."""
-    moved = plan.where("old_shard <> shard")
-    affected = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    body = F.coalesce(docs[text], F.lit(""))
-    name = {
-        "_key": docs[key],
-        "_size": (F.octet_length(body) + 1).cast("long"),
-        "_crc": F.crc32(body.cast("binary")),
-        "_old": F.lit(0) if old is None else old.cast("int"),
-    }
-    lines = plan.select(
-        F.col(key).alias("_key"),
-        F.col("size").alias("_size"),
-        F.col("text_crc32").alias("_crc"),
-        (F.lit(0) if old is None else F.col("old_shard")).alias("_old"),
-        F.col("shard").alias("_shard"),
-        F.col("slot").alias("_slot"),
-    )
-    equal = Window.partitionBy(*name)
-    lines = lines.withColumn("_rank", F.row_number().over(equal.orderBy("_shard", "_slot")))
-    todo = lines.join(F.broadcast(affected), lines["_shard"] == affected["shard"], "left_semi")
-    rows = docs.select("*", *[c.alias(n) for n, c in name.items()])
-    # maps have no order and no hash
-    content = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    rows = rows.withColumn("_content", content).withColumn("_rank", F.row_number().over(equal.orderBy("_content")))
-    names = [*name, "_rank"]
-    todo = todo.select(*[F.col(n).alias(f"_plan{n}") for n in names], "_shard", "_slot")
-    same = [rows[n].eqNullSafe(todo[f"_plan{n}"]) for n in names]
-    joined = rows.join(todo, same).select(*[rows[c] for c in docs.columns], "_shard", "_slot")
-    joined.repartition("_shard", F.pmod("_slot", F.lit(64))).drop("_slot").write.mode("overwrite").partitionBy("_shard").parquet(folder)
+
+def rewrite(docs: DataFrame, moves: Moves, old: Column, folder: str, key: str = "doc_id", text: str = "text") -> str:
+    """Write the new contents of the shards that change, one folder a shard; the others keep their files.
+
+    A shard changes if a row enters or leaves it.  Returns the name of the folders' column: ``_shard``,
+    with underscores behind it if the rows have such a column."""
+    name = "_shard"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in _located(old, docs[key], docs[text]).items()])
+    rows = _placed(rows, moves).where(F.col("_shard").isin(sorted(moves.affected)))
+    rows.select("_row.*", F.col("_shard").alias(name)).write.mode("overwrite").partitionBy(name).parquet(folder)
+    return name
+
+
+def rewritten(
+    docs: DataFrame,
+    old: Column,
+    n_old: int,
+    n_new: int,
+    folder: str,
+    key: str = "doc_id",
+    text: str = "text",
+    capacities: list[int] | None = None,
+) -> DataFrame:
+    """As ``reshard``, with the affected shards rewritten below ``folder`` and the rows of these taken from
+    what was written there.  ``old`` may use the key and the text."""
+    spark = docs.sparkSession
+    rows = written(_narrow(docs, old, key, text), "reshard")
+    moves = plan_moves(rows, n_old, n_new, capacities)
+    if not moves.places:
+        return _slotted(rows, moves, key)
+    stay = _placed(rows, moves).where(~F.col("_shard").isin(sorted(moves.affected))).select(*rows.columns)
+    if moves.affected:
+        body = docs.select(docs[key].alias(key), docs[text].alias(text))
+        rewrite(body, moves, old, folder, key, text)
+        again = spark.read.schema(body.schema).parquet(folder)
+        stay = stay.unionByName(_narrow(again, old, key, text))
+    return _slotted(stay, moves, key)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lowtide.llm import resharding
-from lowtide.llm.resharding import Block, assign_blocks, cheapest_flow, even, reshard, rewrite
+from lowtide.llm.resharding import Block, assign_blocks, cheapest_flow, even, reshard, rewrite, rewritten
 
 
 @settings(max_examples=80, deadline=None)
@@ -73,29 +73,47 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     old = F.when(F.col("doc_id") < 120, 0).when(F.col("doc_id") < 240, 1).when(F.col("doc_id") < 300, 2).otherwise(3)
     sizes = {r["o"]: r["s"] for r in docs.groupBy(old.alias("o")).agg(F.sum(F.length("text") + 1).alias("s")).collect()}
     rest = sum(sizes.values()) - sizes[3]
-    plan = reshard(docs, old, 4, 4, capacities=[*even(rest, 3), sizes[3]])
-    rewrite(docs, plan, "doc_id", str(tmp_path / "out"))
-    written = spark.read.parquet(str(tmp_path / "out"))
-    shards = {r["_shard"] for r in written.select("_shard").distinct().collect()}
-    moved = {x for r in plan.where("old_shard <> shard").collect() for x in (r["old_shard"], r["shard"])}
+    capacities = [*even(rest, 3), sizes[3]]
+    plan = sorted(map(tuple, reshard(docs, old, 4, 4, capacities=capacities).collect()))
+    got = sorted(map(tuple, rewritten(docs, old, 4, 4, str(tmp_path / "out"), capacities=capacities).collect()))
+    assert got == plan
+    files = spark.read.parquet(str(tmp_path / "out"))
+    shards = {r["_shard"] for r in files.select("_shard").distinct().collect()}
+    moved = {x for r in plan if r[3] != r[4] for x in (r[3], r[4])}
     assert shards == moved and shards
-    want = {r["doc_id"]: r["shard"] for r in plan.collect() if r["shard"] in moved}
-    assert {r["doc_id"]: r["_shard"] for r in written.collect()} == want
+    assert {r["doc_id"]: r["_shard"] for r in files.collect()} == {r[0]: r[4] for r in plan if r[4] in moved}
 
 
-def test_rewrite_writes_repeated_and_null_keys_once(spark, tmp_path):
-    rows = [(None if i % 3 else 7, f"text {i % 40} " * (1 + i % 5), i) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+def test_rewrite_writes_repeated_and_null_keys_once_and_keeps_all_columns(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"text {i % 40} " * (1 + i % 5), i, "a", "b", "c", "d") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, _shard string, _part string, _rank string, _row string")
     old = F.pmod(F.col("n"), F.lit(3))
-    plan = spark.createDataFrame(reshard(docs, old, 3, 5).collect())
-    rewrite(docs, plan, "doc_id", str(tmp_path / "out"), old)
-    moved = {x for r in plan.where("old_shard <> shard").collect() for x in (r["old_shard"], r["shard"])}
-    assert moved == set(range(5))
+    narrow = resharding._narrow(docs, old, "doc_id", "text")
+    name = rewrite(docs, resharding.plan_moves(narrow, 3, 5), old, str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(r["n"] for r in got) == list(range(300))
-    assert {(r["doc_id"], r["text"], r["n"]) for r in got} == set(rows)
+    assert name == "_shard_" and Counter(tuple(r)[:-1] for r in got) == Counter(rows)
+    plan = reshard(docs, old, 3, 5).collect()
+    assert {x["shard"] for x in plan} == set(range(5))
     counted = lambda found, shard: Counter((r["doc_id"], r[shard]) for r in found)
-    assert counted(got, "_shard") == counted(plan.collect(), "shard")
+    assert counted(got, "_shard_") == counted(plan, "shard")
+
+
+def test_equal_texts_stay_together(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["ab", "cde", "f"]) for _ in range(r.randint(1, 300)))) for i in range(1500)]
+    rows += [(5000 + i, rows[i % 90][1]) for i in range(600)] + [(9000 + i, "hot " * 40) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5))
+    got = {x["doc_id"]: x["shard"] for x in reshard(docs, old, 5, 8).collect()}
+    shards, size, total = defaultdict(set), Counter(), Counter()
+    for i, t in rows:
+        shards[t].add(got[i])
+        size[t] += len(t) + 1
+        total[got[i]] += len(t) + 1
+    share = sum(size.values()) / 8
+    split = [t for t in shards if len(shards[t]) > 1]
+    assert "hot " * 40 in split and all(size[t] > share / resharding.SPLIT for t in split)
+    assert max(abs(v - share) for v in total.values()) <= 0.01 * share
 
 
 def test_empty_table(spark):
