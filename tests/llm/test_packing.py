@@ -31,9 +31,55 @@ def held(layouts, capacity):
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=25))
 def test_plan_holds_every_piece(counts):
-    layouts = packing.plan(counts, 60)
-    assert held(layouts, 60) == counts
-    assert sum(x.count for x in layouts) <= sum(x.count for x in packing.best_fit(counts, 60))
+    found = packing.plan(counts, 60)
+    assert held(found.layouts, 60) == counts
+    assert found.bound <= found.sequences <= sum(x.count for x in packing.best_fit(counts, 60))
+
+
+def fewest(pieces, capacity):
+    """By trying every way to put the pieces into sequences, longest first."""
+    best = len(pieces)
+
+    def put(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(pieces):
+            best = len(rooms)
+            return
+        for i in {room: i for i, room in enumerate(rooms)}.values():
+            if rooms[i] >= pieces[at]:
+                put(at + 1, [*rooms[:i], rooms[i] - pieces[at], *rooms[i + 1 :]])
+        put(at + 1, [*rooms, capacity - pieces[at]])
+
+    pieces = sorted(pieces, reverse=True)
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=10), st.integers(20, 30))
+def test_small_cases_are_packed_best_and_proved(pieces, capacity):
+    found = packing.plan(Counter(pieces), capacity)
+    assert found.proved and found.sequences == fewest(pieces, capacity)
+
+
+def test_a_spent_budget_is_no_proof(monkeypatch):
+    r = random.Random(6)
+    counts = Counter(r.randint(900, 2100) for _ in range(200))
+    whole = packing.plan(counts, 4096)
+    monkeypatch.setattr(packing, "STEPS", 3)
+    spent = packing.plan(counts, 4096)
+    assert held(spent.layouts, 4096) == counts
+    assert not spent.proved and spent.sequences >= whole.sequences >= whole.bound >= spent.bound
+
+
+def test_dominated_fillings():
+    assert packing.dominated({5: 1, 3: 1}, [2], 2)  # 2 fits beside
+    assert packing.dominated({5: 1, 3: 1}, [4], 1)  # 4 in place of 3
+    assert packing.dominated({4: 1, 3: 1, 2: 1}, [5], 0)  # 5 in place of 3 and 2
+    assert packing.dominated({3: 2}, [6], 0) and not packing.dominated({3: 1}, [6], 0)
+    assert not packing.dominated({5: 1, 3: 1}, [2, 4], 0)
 
 
 def test_completion_beats_best_fit():
@@ -49,7 +95,7 @@ def test_completion_beats_best_fit():
                     counts[k] += 1
                     left -= k
             counts[left] += 1
-        over["plan"] += sum(x.count for x in packing.plan(counts, 100)) - n
+        over["plan"] += packing.plan(counts, 100).sequences - n
         over["best fit"] += sum(x.count for x in packing.best_fit(counts, 100)) - n
     assert over["plan"] == 0 < over["best fit"]
 
