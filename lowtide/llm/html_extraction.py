@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from lowtide.llm.html_blocks import Block, blocks
 from lowtide.llm.html_training import MAIN, training_pages
+from lowtide.llm.storage import bounded_batches
 from lowtide.llm.text import slices
 
 TRAINING_PAGES, ROUNDS, PENALTY = 600, 120, 0.02
@@ -59,6 +60,7 @@ FEATURES = (
     + ["article>aside", "article>nav", "article>form", "article>footer", "article>header", "content>bad", "bad>content", "plain"]
 )
 _NUMBER = {name: i for i, name in enumerate(FEATURES)}
+_DIGITS = re.compile(r"\d")
 BAD = ("menu", "header", "footer", "sidebar", "notice", "advert", "form", "comments")
 
 
@@ -99,22 +101,21 @@ def _text_features(block: Block) -> list[str]:
     found = ["always", "words:" + next((str(k) for k in (1, 2, 4, 9, 19, 49) if n <= k), "more")]
     share = block.linked / max(block.chars, 1)
     found.append("links:none" if not block.linked else "links:some" if share < 0.5 else "links:most")
-    head = text[:400]  # the form shows early; the text itself is never cut
     if text[-1] in ".!?…\"”»":
         found.append("stop")
-    if "," in head:
+    if "," in text:
         found.append("comma")
-    if "©" in head or "(c)" in head:
+    if "©" in text or "(c)" in text:
         found.append("copyright")
-    if "|" in head or "»" in head or "·" in head:
+    if "|" in text or "»" in text or "·" in text:
         found.append("bar")
-    if sum(c.isdigit() for c in head) * 4 > len(head):
+    if 4 * len(_DIGITS.findall(text)) > len(text):
         found.append("digits")
-    if head.isupper():
+    if text.isupper():
         found.append("shouting")
-    if head[0].islower():
+    if text[0].islower():
         found.append("lower")
-    if sum(c in "#*$%&<>" for c in head) * 20 > len(head):
+    if 20 * sum(map(text.count, "#*$%&<>")) > len(text):
         found.append("symbols")
     return found
 
@@ -249,6 +250,7 @@ def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", field: Field | None = None
 ) -> DataFrame:
     """One row per page: key, url, the main text and its number of characters."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 

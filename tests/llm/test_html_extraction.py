@@ -98,3 +98,23 @@ def test_extract_table(spark, field):
     assert got == [(0, "x", body, len(body)), (1, "u", text, len(text)), (1, "u", text, len(text)), (2, "", "", 0), (3, "v", "", 0), (4, "w", "", 0)]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract(empty, field=field).collect() == []
+
+
+def test_formulas_and_figures_stay_in_their_paragraph():
+    page = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be, see <svg><title>t</title><desc>d</desc><path d='M0'/><text>label</text></svg> and <object data=a>fallback</object>.</p><p>Next</p>"
+    assert [b.text for b in blocks(page)] == ["Let x=1 be, see label and fallback.", "Next"]
+
+
+def test_hidden_elements_below_the_greatest_depth():
+    deep = "<div>" * 600
+    page = f"<p>a</p>{deep}in<div hidden>not<b>nor</b></div>shown<script>x</script>{'</div>' * 600}<p>after</p>"
+    assert [b.text for b in blocks(page)] == ["a", "in", "shown", "after"]
+
+
+def test_text_features_see_the_whole_block():
+    from lowtide.llm.html_extraction import _text_features
+
+    block = lambda text: blocks(f"<p>{text}</p>")[0]
+    plain = "word " * 200
+    for feature, end in (("comma", "a, b"), ("copyright", "©"), ("bar", "a | b"), ("symbols", "$$$$ " * 80)):
+        assert feature not in _text_features(block(plain)) and feature in _text_features(block(plain + end))
