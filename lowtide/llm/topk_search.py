@@ -12,6 +12,12 @@ t / LISTS.  For one block of queries, which is broadcast:
 3. the totals of the collected entries are resolved exactly, and each task sends its k best at
    most; the k best of these, ties to the smaller id, are the answer.
 
+Products are saved by norms: no partial score of a block of rows exceeds the product of its largest norm
+in that list and the query's (Cauchy and Schwarz).  Blocks are made of rows of like norm, the
+longest first; phase 1 leaves out the queries of which a block cannot raise the k best found so far, and phase 2
+those of which no list of the block can reach the share.  Vectors of like norm, as of unit length, are not
+spared by this.
+
 Candidates are never shuffled or held: a task works on blocks of rows.  Queries are a stated set
 that grows with the table, so they are taken in blocks of bounded size, one after another, and the
 result of each block is written to the shared folder.  A group of equal vectors sends k rows a
@@ -66,9 +72,21 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.diff(offsets)
     for d in np.unique(size).tolist():
         rows = np.flatnonzero(size == d)
+        values = _integers(flat[offsets[rows][:, None] + np.arange(d)])
+        order = np.argsort(-(values.astype(np.float64) ** 2).sum(axis=1), kind="stable")
         for i in range(0, len(rows), ROW_BLOCK):
-            own = rows[i : i + ROW_BLOCK]
-            yield ids[own], _integers(flat[offsets[own][:, None] + np.arange(d)])
+            yield ids[rows[order[i : i + ROW_BLOCK]]], values[order[i : i + ROW_BLOCK]]
+
+
+def _cuts(d: int) -> list[tuple[int, int]]:
+    cuts = np.linspace(0, d, LISTS + 1).astype(int)
+    return list(zip(cuts, cuts[1:]))
+
+
+def _norms(values: np.ndarray) -> np.ndarray:
+    """Norm of each row in each list, a little too large: rows x lists."""
+    squares = values.astype(np.float64) ** 2
+    return np.sqrt(np.stack([squares[:, a:b].sum(axis=1) for a, b in _cuts(values.shape[1])], axis=1)) * (1 + 1e-9)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,8 +99,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _partials(rows: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
     """Score lists of one block: rows x queries for each group of components."""
-    cuts = np.linspace(0, rows.shape[1], LISTS + 1).astype(int)
-    return [_product(rows[:, a:b], queries[:, a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [_product(rows[:, a:b], queries[:, a:b]) for a, b in _cuts(rows.shape[1])]
 
 
 class Best:
@@ -93,6 +110,15 @@ class Best:
         self.score = np.zeros((0,), np.int64)
         self.id = np.zeros((0,), np.int64)
         self.query = np.zeros((0,), np.int64)
+        self.products = 0  # rows x queries that were multiplied
+
+    def worst(self, queries: int) -> np.ndarray:
+        """The k-th best score of each query so far, or the least number there is."""
+        out = np.full(queries, LEAST)
+        place = np.arange(len(self.query)) - np.searchsorted(self.query, self.query, side="left")
+        last = place == self.k - 1
+        out[self.query[last]] = self.score[last]
+        return out
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids), (self.score, score)))
@@ -123,6 +149,10 @@ def _heads(batches: Iterator[pa.RecordBatch], queries: Queries, k: int) -> Best:
             if rows.shape[1] not in queries.by_size:
                 continue
             number, block = queries.by_size[rows.shape[1]]
+            most = (_norms(rows).max(axis=0) * _norms(block)).sum(axis=1)  # no total is larger
+            left = most >= best.worst(len(queries.ids))[number]
+            number, block = number[left], block[left]
+            best.products += len(ids) * len(number)
             parts = _partials(rows, block)
             own = ids[:, None] == queries.ids[number][None, :]
             total = sum(parts)
@@ -147,6 +177,9 @@ def _resolved(batches: Iterator[pa.RecordBatch], queries: Queries, cutoff: np.nd
             number, block = queries.by_size[rows.shape[1]]
             least = cutoff[number]
             share = np.where(least == LEAST, LEAST, -(-least // LISTS))  # partial * LISTS >= cutoff
+            left = ((_norms(rows).max(axis=0) * _norms(block)) >= share[:, None]).any(axis=1)
+            number, block, least, share = number[left], block[left], least[left], share[left]
+            best.products += len(ids) * len(number)
             parts = _partials(rows, block)
             reach = np.zeros(parts[0].shape, bool)
             for part in parts:

@@ -53,3 +53,25 @@ def test_fewer_candidates_than_k(spark):
 def test_no_queries(spark, rows):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert top_k(docs, F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_norms_spare_most_products():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    length = np.repeat([1.0, 0.1, 0.01], 4000)
+    x = r.normal(size=(12_000, 16)) * length[:, None]
+    order = r.permutation(len(x))
+    rows = [pa.RecordBatch.from_pydict({"id": pa.array(order), "x": pa.array(x[order].tolist(), pa.list_(pa.float64()))})]
+    values = [topk_search._integers(x[i]) for i in range(0, 4000, 100)]
+    queries = topk_search.Queries(np.arange(0, 4000, 100), values)
+    first = topk_search._heads(iter(rows), queries, 10)
+    cutoff = first.worst(40)
+    found = topk_search._resolved(iter(rows), queries, cutoff, 10)
+    whole = topk_search._integers(x) @ np.array(values).T
+    for q in range(40):
+        whole[100 * q, q] = np.iinfo(np.int64).min
+        want = np.sort(whole[:, q])[::-1][:10]
+        assert (np.sort(found.score[found.query == q])[::-1] == want).all()
+    assert first.products + found.products < 0.8 * whole.size  # two for each pair without bounds
