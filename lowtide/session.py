@@ -35,6 +35,15 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str, rows_a_task: int) -> DataFrame:
+    """The rows dealt out by a unique key to tasks of at most about ``rows_a_task`` rows, and to every core.
+
+    For small rows that cost much each: a file of a few megabytes would be one task, however many rows
+    it holds.  The count reads no column."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+    return df.repartition(tasks, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that survives the loss of executors: the cluster's checkpoint folder.
 
