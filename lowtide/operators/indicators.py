@@ -165,24 +165,26 @@ def with_double_bottom(bars: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Flag bars whose last 20 closes show two similar lows and a close above their middle.
 
     A strict local minimum is known one bar later, so each row first names the minimum it
-    confirms; the 18 newest such rows cover the inner 18 of 20 closes.
+    confirms; the 18 newest such rows cover the inner 18 of 20 closes.  Lows are compared as
+    integer ticks: a difference of prices would carry their rounding across the tolerance.
     """
-    prior = F.lag("close", 1).over(_by_day())
+    ticks = bars.withColumn("_close", F.floor(F.col("close") * PRICE_SCALE + 0.5))
+    prior = F.lag("_close", 1).over(_by_day())
     confirmed = F.when(
-        (prior < F.col("close")) & (prior < F.lag("close", 2).over(_by_day())), prior
+        (prior < F.col("_close")) & (prior < F.lag("_close", 2).over(_by_day())), prior
     )
-    marked = bars.withColumns(
+    marked = ticks.withColumns(
         {"_bottom": confirmed, "_rows": F.row_number().over(_by_day())}
     ).withColumn(
         "_lows", F.array_sort(F.collect_list("_bottom").over(_by_day().rowsBetween(-17, 0)))
     )
     first, second = F.get("_lows", 0), F.get("_lows", 1)
     found = (F.try_divide(second - first, first) <= tolerance) & (
-        F.col("close") > (first + second) / 2
+        F.col("_close") > (first + second) / 2
     )
     return marked.withColumn(
         "double_bottom", (F.col("_rows") >= 20) & F.coalesce(found, F.lit(False))
-    ).drop("_bottom", "_rows", "_lows")
+    ).drop("_close", "_bottom", "_rows", "_lows")
 
 
 def calendar_extremes(bars: DataFrame, days: int = 365) -> DataFrame:

@@ -130,6 +130,14 @@ def test_random_series(spark, cents, spread):
     check(spark, bars_frame({"R": rows}), year=20)
 
 
+def test_lows_five_percent_apart_are_a_double_bottom(spark):
+    # as doubles (1.05 - 1.0) / 1.0 is a little more than 0.05
+    closes = [2.0] * 8 + [1.0] + [2.0] * 5 + [1.05] + [2.0] * 5
+    flags = ind.with_double_bottom(spark.createDataFrame(bars_frame({"P": candles(closes)}), SCHEMA))
+    assert ind.latest_per_key(flags, ["ticker"], ["price_date"]).first()["double_bottom"] is True
+    assert "_close" not in flags.columns
+
+
 def test_stepwise_series_is_no_double_bottom(spark):
     closes = [100.0] * 10 + [95.0] * 5 + [98.0] * 5 + [94.0] * 5 + [97.0] * 5 + [96.0] * 5 + [102.0] * 5 + [105.0] * 10
     frame = bars_frame({"P": candles(closes)})
