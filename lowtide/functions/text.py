@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lowtide import dims
 from lowtide.functions.lookup import first_match, lookup
 from lowtide.functions.symbols import suffix
+from lowtide.functions.values import half_away
 
 
 def fixed(value: Column, digits: int) -> Column:
     """Decimal text.  Rounding first makes the result independent of the formatter."""
-    return F.format_string(f"%.{digits}f", F.round(value.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", half_away(value.cast("double"), digits))
 
 
 def short_money(value: Column) -> Column:

@@ -45,6 +45,15 @@ def rounded(value: Column, digits: int) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
+def half_away(value: Column, digits: int) -> Column:
+    """Rounding of doubles of either sign, halves away from zero, as scaled in double arithmetic.
+
+    ``round`` with digits takes the decimal form of the unscaled value, which may lie below a half
+    while the scaled value is one."""
+    scale = F.lit(float(10**digits))
+    return F.round(value * scale) / scale
+
+
 def clean_forecast(value: Column) -> Column:
     return F.nullif(value, F.lit(MISSING_FORECAST))
 
