@@ -346,7 +346,8 @@ NODE_COUNTS_SQL = sql(
 
 @query("xml_node_counts", "D-15", NODE_COUNTS_SQL)
 def xml_node_counts(spark, sf):
-    return discovery.node_counts(nodes(spark, sf))
+    found = discovery.document_counts(tables.company_xml(spark, sf))
+    return found.select("ticker", "total_nodes", "leaf_nodes")
 
 
 # what every document holds: its data-bearing paths with their number of nodes
@@ -481,7 +482,8 @@ def xml_field_codes(spark, sf):
     ),
 )
 def xml_unique_fields(spark, sf):
-    return discovery.unique_fields(nodes(spark, sf))
+    found = discovery.document_counts(tables.company_xml(spark, sf))
+    return found.filter("unique_fields > 0").select("ticker", "unique_fields")
 
 
 @query(
@@ -528,7 +530,7 @@ def newest_document_per_source(spark, sf):
 
 
 def _companies(spark, sf):
-    discovery.register_xml_nodes(spark)
+    discovery.register_xml_functions(spark)
     tables.company_xml(spark, sf).createOrReplaceTempView("lowtide_companies")
 
 
@@ -538,10 +540,9 @@ def xml_paths_sql(spark, sf):
     _companies(spark, sf)
     return parameterised_query(
         spark,
-        """SELECT path, count(*) AS documents, sum(n) AS nodes
-           FROM (SELECT path, ticker, sum(bearing) AS n
-                 FROM xml_nodes(TABLE(SELECT ticker, xml_snapshot FROM lowtide_companies)) GROUP BY path, ticker)
-           WHERE n >= :least GROUP BY path""",
+        """SELECT path, sum(documents) AS documents, sum(documents * bearing) AS nodes
+           FROM xml_paths(TABLE(SELECT xml_snapshot FROM lowtide_companies))
+           WHERE bearing >= :least GROUP BY path""",
         {"least": 1},
     )
 
@@ -552,8 +553,7 @@ def xml_node_counts_sql(spark, sf):
     _companies(spark, sf)
     return parameterised_query(
         spark,
-        """SELECT found.ticker, sum(found.nodes) AS total_nodes, sum(found.leaves) AS leaf_nodes
+        """SELECT found.ticker, found.total_nodes, found.leaf_nodes
            FROM VALUES (1) AS once(x),
-                LATERAL (SELECT * FROM xml_nodes(TABLE(SELECT ticker, xml_snapshot FROM lowtide_companies))) AS found
-           WHERE found.attribute IS NULL GROUP BY found.ticker""",
+                LATERAL (SELECT * FROM xml_documents(TABLE(SELECT ticker, xml_snapshot FROM lowtide_companies))) AS found""",
     )
