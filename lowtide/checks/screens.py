@@ -344,7 +344,7 @@ def priority_percentile(spark, sf):
     """Percent ranks of five components over the whole panel, weighted, and the rank of the score."""
     near = F.when(F.col("low_52w") > 0, F.col("price") / F.col("low_52w")).otherwise(0.0)
     rows = features(spark, sf, gated=False).withColumn("pct_from_low", near)
-    scored = ranks.percentile_score(rows).select("symbol", "price_date", F.round("score", 6).alias("score"))
+    scored = ranks.percentile_score(rows, keep=["symbol", "price_date"]).select("symbol", "price_date", F.round("score", 6).alias("score"))
     scored = written(scored, "scores")
     counts = scored.groupBy((-F.col("score")).alias("_down")).agg(F.count("*").alias("n"))
     places = ranks.running_counts(counts, [], "_down")

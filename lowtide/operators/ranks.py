@@ -71,13 +71,18 @@ def score_parts(rows: DataFrame) -> dict[str, Column]:
     }
 
 
-def percentile_score(rows: DataFrame, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
+def percentile_score(
+    rows: DataFrame, weights: dict[str, float] = SCORE_WEIGHTS, keep: list[str] | None = None
+) -> DataFrame:
     """Add ``score``: 100 times the weighted percent ranks of the five components among all rows.
 
-    A missing component counts as the lowest."""
+    Of the other columns those in ``keep`` are returned, all without it.  A missing component counts as the lowest.  Each rank goes into the sum and its component is
+    dropped; the rows are written after each, as the next rank reads them more than once."""
     parts = score_parts(rows)
-    ranked = written(rows.withColumns({f"_part_{k}": parts[k] for k in weights}), "scored")
-    for k in weights:
-        ranked = with_percent_rank(ranked, f"_part_{k}", f"_rank_{k}")
-    total = sum((F.coalesce(f"_rank_{k}", F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
-    return ranked.withColumn("score", total * 100).drop(*[f"_part_{k}" for k in weights], *[f"_rank_{k}" for k in weights])
+    columns = [F.col(c) for c in (rows.columns if keep is None else keep)]
+    ranked = rows.select(*columns, *[parts[k].alias(f"_part_{k}") for k in weights], F.lit(0.0).alias("_total"))
+    for k, w in weights.items():
+        ranked = with_percent_rank(written(ranked, "scored"), f"_part_{k}", "_rank")
+        ranked = ranked.withColumn("_total", F.col("_total") + F.coalesce("_rank", F.lit(0.0)) * w)
+        ranked = ranked.drop("_rank", f"_part_{k}")
+    return ranked.withColumn("score", F.col("_total") * 100).drop("_total")
