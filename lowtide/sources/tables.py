@@ -80,7 +80,10 @@ def _catch_lines(spark: SparkSession, path: str) -> DataFrame | None:
     Every file is read by its own header line, whatever its column order; a value holds no line
     break.  ``issue`` says what is
     wrong with a line: a number of values other than the header's, or a value that does not fit its
-    column.  None if the log cannot be read."""
+    column.  None if the log cannot be read.
+
+    Values and fields come out of one-element arrays, so that filters on them stay above them and no
+    line is cut again for each term."""
     try:
         lines = spark.read.text(path)
     except AnalysisException:
@@ -89,15 +92,19 @@ def _catch_lines(spark: SparkSession, path: str) -> DataFrame | None:
         v.startswith('"'), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), r'[\\"](["\\])', "$1")
     ).otherwise(v)
     found = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(_VALUE), F.lit(1))
-    lines = lines.filter(F.trim("value") != "").select(
-        F.transform(found, quoted).alias("values"), F.col("_metadata.file_path").alias("file")
+    cut = lambda rows: rows.select(
+        F.explode(F.array(F.transform(found, quoted))).alias("values"), "file"
     )
+    lines = lines.filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
     is_header = F.array_contains("values", "ticker") & F.array_contains("values", "price")
-    headers = lines.filter(is_header).groupBy("file").agg(F.min("values").alias("header"))
-    named = lines.filter(~is_header).join(headers, "file", "left")
+    # only lines that hold both names are cut to look for headers
+    likely = lines.filter(F.contains("value", F.lit("ticker")) & F.contains("value", F.lit("price")))
+    headers = cut(likely).filter(is_header).groupBy("file").agg(F.min("values").alias("header"))
+    named = cut(lines).filter(~is_header).join(F.broadcast(headers), "file", "left")
     fits = F.size("values") == F.size("header")
     fields = F.when(fits, F.map_from_arrays("header", "values"))
-    named = named.withColumn("fields", F.coalesce(fields, F.create_map().cast("map<string,string>")))
+    fields = F.coalesce(fields, F.create_map().cast("map<string,string>"))
+    named = named.select("*", F.explode(F.array(fields)).alias("fields"))
     kinds = [part.split() for part in schemas.CATCHES.split(",")]
     text = lambda n: F.nullif(F.try_element_at("fields", F.lit(n)), F.lit(""))
     row = F.struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lowtide.operators import ranks
+from lowtide.sources import tables as readers
 
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -16,3 +17,14 @@ def test_reads_of_ranked_rows_do_not_double_with_each_component(spark):
     assert scored.columns == ["id", "score"] and scored.count() == 50
     assert plan(scored).count("Relation") <= 8
     assert sorted(ranks.percentile_score(rows).select("id", "score").collect()) == sorted(scored.collect())
+
+
+def test_a_line_of_a_catch_log_is_cut_once(spark, tmp_path):
+    for name, header, line in (("a", "ticker,price,volume,reason", 'A,1.5,3,"x, y"'), ("b", "volume,reason,price,ticker", "about 4,ticker price,2,B")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n{line}\n")
+    kept, bad = readers.read_catches(spark, str(tmp_path)), readers.malformed_catches(spark, str(tmp_path))
+    assert [tuple(r) for r in kept.select("ticker", "price", "volume", "reason").collect()] == [("A", 1.5, 3, "x, y")]
+    assert [(r["issue"], r["fields"]["ticker"], r["fields"]["reason"]) for r in bad.collect()] == [("volume", "B", "ticker price")]
+    # once for the lines, once for the few that may be headers
+    assert plan(bad).count("regexp_extract_all") <= 2
+    assert plan(bad).count("map_from_arrays") == 1
