@@ -564,7 +564,7 @@ def two_phase_screen(spark, sf):
 )
 def fallback_chain(spark, sf):
     """Scanner, stored and history; the first two find nothing in these data."""
-    rows = features(spark, sf)
+    rows = written(screen.screen(features(spark, sf), replace(WIDE, min_price=None, max_price=None)), "features")
     found = lambda criteria: screen.screen(rows, criteria)
     pick = lambda df, name: df.select(
         "symbol", "price_date", "price", F.lit(name).alias("source")
@@ -589,7 +589,7 @@ def fallback_chain(spark, sf):
 )
 def fallback_stops(spark, sf):
     """The second of three sources has rows, so the third adds none."""
-    rows = features(spark, sf)
+    rows = written(screen.screen(features(spark, sf), replace(WIDE, min_price=None, max_price=None)), "features")
     pick = lambda df, name: df.select(
         "symbol", "price_date", "price", F.lit(name).alias("source")
     )

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from compare import connect, difference, spark_rows, sql_rows
+
+from lowtide.checks import REGISTRY
 from lowtide.operators import ranks
 from lowtide.sources import tables as readers
 
+SF_DIR = str(Path("/root/testdata/sf0.001"))
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -28,3 +36,10 @@ def test_a_line_of_a_catch_log_is_cut_once(spark, tmp_path):
     # once for the lines, once for the few that may be headers
     assert plan(bad).count("regexp_extract_all") <= 2
     assert plan(bad).count("map_from_arrays") == 1
+
+
+def test_the_fallback_chain_has_its_features_written(spark):
+    query = REGISTRY["fallback_chain"]
+    found = query.run(spark, SF_DIR)
+    assert "Window" not in plan(found)
+    assert difference(spark_rows(found), sql_rows(connect(SF_DIR), query.sql)) is None
